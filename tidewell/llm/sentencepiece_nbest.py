@@ -71,9 +71,9 @@ class Pieces:
                 if best + s > forward[end]:
                     forward[end] = best + s
         found, order = [], 0
-        heap = [(-forward[size], 0, size, 0, None)]
+        heap = [(-forward[size], size, 0, 0, None)]  # of equal ways the one nearest to the start goes on, so ties don't multiply
         while heap and len(found) < n:
-            _, _, at, behind, path = heapq.heappop(heap)
+            _, at, _, behind, path = heapq.heappop(heap)
             if not at:
                 ids: list[int] = []
                 while path:
@@ -83,7 +83,7 @@ class Pieces:
                 continue
             for start, s, ids in into[at]:
                 order += 1
-                heapq.heappush(heap, (-(forward[start] + s + behind), order, start, behind + s, (ids, path)))
+                heapq.heappush(heap, (-(forward[start] + s + behind), start, order, behind + s, (ids, path)))
         return found
 
     def _hash_pieces(self) -> None:
