@@ -1,0 +1,65 @@
+"""Column expressions: calendar, labels, hashing, rounding."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+DAY_MS, HOUR_MS = 86_400_000, 3_600_000
+MISSING = "<MISSING>"
+
+
+def local_ms(start: str = "start_ms", tz_min: str = "tz_min") -> Column:
+    """Local wall-clock milliseconds; a missing offset counts as UTC."""
+    return F.col(start) + F.coalesce(F.col(tz_min), F.lit(0)).cast("long") * 60_000
+
+
+def day_of(ms: Column) -> Column:
+    return F.floor(ms / DAY_MS).cast("long")
+
+
+def hour_of(ms: Column) -> Column:
+    return F.floor(F.pmod(ms, F.lit(DAY_MS)) / HOUR_MS).cast("long")
+
+
+def bin_of(ms: Column, minutes: int) -> Column:
+    return F.floor(F.pmod(ms, F.lit(DAY_MS)) / (minutes * 60_000)).cast("long")
+
+
+def weekday(day: Column) -> Column:
+    """Monday is 0."""
+    return F.pmod(day + 3, F.lit(7)).cast("long")
+
+
+def week_start(day: Column) -> Column:
+    return (day - weekday(day)).cast("long")
+
+
+def tod_bucket(hour: Column) -> Column:
+    return F.when(hour < 6, "night").when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
+
+
+def binary_label(code: Column, one: int = 20, zero: int = 10) -> Column:
+    return F.when(code == one, 1).when(code == zero, 0).cast("long")
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b)
+
+
+def bmi(weight: Column, height_cm: Column) -> Column:
+    return F.when((weight > 0) & (height_cm > 0), weight / F.pow(height_cm / 100, F.lit(2)))
+
+
+def hash_rank_key(tag: str, *cols: Column) -> Column:
+    """A key whose order is a fixed draw: SHA-256 of a tag and the values."""
+    return F.sha2(F.concat_ws("|", F.lit(tag), *[c.cast("string") for c in cols]), 256)
+
+
+def r6(c: Column) -> Column:
+    """Rounded for reports, so that the order of a sum doesn't show."""
+    return F.round(c, 6)
+
+
+def wrap_phase(c: Column) -> Column:
+    return F.atan2(F.sin(c), F.cos(c))
