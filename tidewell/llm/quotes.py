@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_rows, materialize
@@ -82,20 +82,21 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def _ordered(linked: DataFrame) -> DataFrame:
-    """Adds root_turn, depth and position; each round doubles how far a message's root is followed."""
+    """Adds root_turn, depth and position. Each round doubles how far a message's root is followed, for those whose root isn't reached yet."""
     inside = F.col("parent_conv") == F.col("conv_id")
-    at = materialize(linked.select("conv_id", "turn", F.when(inside, F.col("parent_turn")).otherwise(F.col("turn")).alias("root"), F.when(inside, 1).otherwise(0).cast("long").alias("depth")))
+    going = materialize(linked.select("conv_id", "turn", F.when(inside, F.col("parent_turn")).otherwise(F.col("turn")).alias("root"), F.when(inside, 1).otherwise(0).cast("long").alias("depth")))
+    done = None
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more")).where("more > 0")
-        new = at.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
-        new = materialize(new)
-        if new.where("moved").limit(1).count() == 0:
+        at = going if done is None else going.unionByName(done)
+        up = at.where("depth > 0").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        new = materialize(going.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        reached = new.where("NOT moved").drop("moved")
+        done = reached if done is None else done.unionByName(reached)
+        going = new.where("moved").drop("moved")
+        if going.limit(1).count() == 0:
             break
-        at = new.drop("moved")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conv_id").orderBy("depth", "turn")
-    return linked.join(new.select("conv_id", "turn", F.col("root").alias("root_turn"), "depth"), ["conv_id", "turn"]).withColumn("position", F.row_number().over(order).cast("long"))
+    return linked.join(done.select("conv_id", "turn", F.col("root").alias("root_turn"), "depth"), ["conv_id", "turn"]).withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
