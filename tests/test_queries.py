@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from oracle import SF, assert_same, connect
 
-from tidewell.plans import queries as q
+from tidewell.plans import registry as q
 
 
 @pytest.fixture(scope="module")
