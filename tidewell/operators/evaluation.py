@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranks import running_totals
 from tidewell.operators.windows import average_rank
 
 
@@ -24,25 +25,42 @@ def tie_counts(preds: DataFrame, keys=("arm",)) -> DataFrame:
     return preds.groupBy(*keys, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
 
+def cumulative(preds: DataFrame, keys=("arm",)) -> DataFrame:
+    """Tie counts with the sums below each score and, as tp and fp, from it upwards."""
+    t = running_totals(tie_counts(preds, keys), keys, "score", ("pos", "neg"))
+    return t.withColumn("tp", F.col("pos_total") - F.col("pos_before")).withColumn("fp", F.col("neg_total") - F.col("neg_before"))
+
+
 def auroc(preds: DataFrame, keys=("arm",)) -> DataFrame:
     """Area under ROC with ties counted half; null with one class."""
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = tie_counts(preds, keys).withColumn("_u", F.col("pos") * (below + F.col("neg") / 2))
+    t = cumulative(preds, keys).withColumn("_u", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return t.groupBy(*keys).agg((F.sum("_u") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
+def delong(preds: DataFrame, keys=("arm",), z: float = 1.96) -> DataFrame:
+    """AUROC, its standard error from the placement values of either class, and the interval cut to [0, 1]."""
+    t = cumulative(preds, keys)
+    up = (F.col("neg_before") + F.col("neg") / 2) / F.col("neg_total")
+    down = (F.col("pos_total") - F.col("pos_before") - F.col("pos") / 2) / F.col("pos_total")
+    t = t.withColumn("_a", up).withColumn("_b", down)
+    m = t.groupBy(*keys).agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), (F.sum(F.col("pos") * F.col("_a")) / F.sum("pos")).alias("auroc"),
+        F.sum(F.col("pos") * F.col("_a") * F.col("_a")).alias("_qa"), F.sum(F.col("neg") * F.col("_b") * F.col("_b")).alias("_qb"), (F.sum(F.col("neg") * F.col("_b")) / F.sum("neg")).alias("_mb"),
+    )
+    var = lambda q, n, mean: (F.col(q) - F.col(n) * F.col(mean) ** 2) / (F.col(n) - 1) / F.col(n)
+    out = m.withColumn("se", F.sqrt(F.greatest(var("_qa", "_p", "auroc") + var("_qb", "_n", "_mb"), F.lit(0.0))))
+    return out.select(*keys, "auroc", "se", F.greatest(F.lit(0.0), F.col("auroc") - z * F.col("se")).alias("low"), F.least(F.lit(1.0), F.col("auroc") + z * F.col("se")).alias("high"))
+
+
 def average_precision(preds: DataFrame, keys=("arm",)) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = tie_counts(preds, keys).withColumn("_tp", F.sum("pos").over(w)).withColumn("_n", F.sum(F.col("pos") + F.col("neg")).over(w))
-    return t.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("_tp") / F.col("_n")) / F.sum("pos")).alias("average_precision"))
+    t = cumulative(preds, keys)
+    return t.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("average_precision"))
 
 
 def threshold_curves(preds: DataFrame, keys=("arm",)) -> DataFrame:
     """Precision and coverage of score >= tau for each distinct tau."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.col("pos") + F.col("neg")).over(Window.partitionBy(*keys))
-    t = tie_counts(preds, keys).withColumn("tp", F.sum("pos").over(w)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(w))
-    return t.select(*keys, F.col("score").alias("tau"), "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), (F.col("n") / total).alias("coverage"))
+    n = F.col("tp") + F.col("fp")
+    return cumulative(preds, keys).select(*keys, F.col("score").alias("tau"), "tp", n.alias("n"), (F.col("tp") / n).alias("precision"), (n / (F.col("pos_total") + F.col("neg_total"))).alias("coverage"))
 
 
 def select_thresholds(preds: DataFrame, target: float, keys=("arm",), z: float = 1.96) -> DataFrame:
@@ -56,11 +74,9 @@ def select_thresholds(preds: DataFrame, target: float, keys=("arm",), z: float =
 
 def best_threshold(preds: DataFrame, keys=("arm",)) -> DataFrame:
     """Threshold of the largest balanced accuracy, ties to the larger."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    t = tie_counts(preds, keys).withColumn("_tp", F.sum("pos").over(w)).withColumn("_fp", F.sum("neg").over(w)).withColumn("_p", F.sum("pos").over(all_)).withColumn("_n", F.sum("neg").over(all_))
-    ba = F.round((F.col("_tp") / F.col("_p") + 1 - F.col("_fp") / F.col("_n")) / 2, 12)
-    return t.withColumn("_b", ba).groupBy(*keys).agg(F.max(F.struct("_b", "score")).alias("m")).select(*keys, F.col("m.score").alias("threshold"), F.col("m._b").alias("balanced_accuracy"))
+    ba = F.round((F.col("tp") / F.col("pos_total") + 1 - F.col("fp") / F.col("neg_total")) / 2, 12)
+    t = cumulative(preds, keys).withColumn("_b", ba)
+    return t.groupBy(*keys).agg(F.max(F.struct("_b", "score")).alias("m")).select(*keys, F.col("m.score").alias("threshold"), F.col("m._b").alias("balanced_accuracy"))
 
 
 def proper_scores(preds: DataFrame, keys=("arm",), eps: float = 1e-6) -> DataFrame:
@@ -102,9 +118,7 @@ def welch(rows: DataFrame, keys, label: str, value: str) -> DataFrame:
 
 def mann_whitney(preds: DataFrame, keys=("arm",)) -> DataFrame:
     """U of the positives and z with tie-corrected variance and continuity."""
-    t = tie_counts(preds, keys).withColumn("_t", F.col("pos") + F.col("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2))
+    t = cumulative(preds, keys).withColumn("_t", F.col("pos") + F.col("neg")).withColumn("_u", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     s = t.groupBy(*keys).agg(F.sum("_u").alias("u"), F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"), F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("_c"))
     n = F.col("_p") + F.col("_n")
     var = F.col("_p") * F.col("_n") / 12 * ((n + 1) - F.col("_c") / (n * (n - 1)))

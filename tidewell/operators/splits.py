@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators.ranks import hash_rank, join_nulls
 
 
 def largest_remainder(groups: DataFrame, total: int, weight: str = "n") -> DataFrame:
@@ -22,31 +23,47 @@ def largest_remainder(groups: DataFrame, total: int, weight: str = "n") -> DataF
 
 def stratified_split(rows: DataFrame, id_col: str, label: str, tag: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
     """test, val and train by hash rank within each label; the first two have rounded sizes."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(fn.hash_rank_key(tag, F.col(id_col)), id_col))
-    n = F.count("*").over(w)
-    a, b = F.round(n * test), F.round(n * val)
-    return rows.select(id_col, label, F.when(rank <= a, "test").when(rank <= a + b, "val").otherwise("train").alias("split"))
+    ranked = hash_rank(rows.select(id_col, label), [label], fn.hash_rank_key(tag, F.col(id_col)), id_col)
+    a, b = F.round(F.col("rank_of") * test), F.round(F.col("rank_of") * val)
+    return ranked.select(id_col, label, F.when(F.col("rank") <= a, "test").when(F.col("rank") <= a + b, "val").otherwise("train").alias("split"))
 
 
 def disjoint_kfold(rows: DataFrame, id_col: str, label: str, tag: str, k: int = 5) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(fn.hash_rank_key(tag, F.col(id_col)), id_col))
-    return rows.select(id_col, label, ((rank - 1) % k).cast("long").alias("fold"))
+    ranked = hash_rank(rows.select(id_col, label), [label], fn.hash_rank_key(tag, F.col(id_col)), id_col)
+    return ranked.select(id_col, label, ((F.col("rank") - 1) % k).cast("long").alias("fold"))
+
+
+def balanced_folds(rows: DataFrame, id_col: str, strata, tag: str, k: int = 5) -> DataFrame:
+    """k folds whose sizes differ by one row at most, as does each stratum's part of them.
+
+    Rows are dealt round in the order of stratum, then hash: place = rows of lesser strata + rank within one's own.
+    Strata are few, so their window without partition sees few rows.
+    """
+    strata = list(strata)
+    ranked = hash_rank(rows.select(id_col, *strata), strata, fn.hash_rank_key(tag, F.col(id_col)), id_col)
+    sizes = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
+    offset = sizes.select(*strata, F.coalesce(F.sum("_n").over(Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    return join_nulls(ranked, offset, strata).select(id_col, *strata, ((F.col("_o") + F.col("rank") - 1) % k).cast("long").alias("fold"))
+
+
+def customer_split(rows: DataFrame, entity: str, label: str, tag: str) -> DataFrame:
+    """Splits entities, not rows, and gives each row its entity's split; entities of several labels, or of none, are left out."""
+    own = rows.groupBy(entity).agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a = _b").select(entity, F.col("_a").alias(label))
+    return rows.drop(label).join(stratified_split(own, entity, label, tag), entity)
 
 
 def repeated_holdouts(rows: DataFrame, id_col: str, label: str, tag: str, repeats: int, test: float = 0.2) -> DataFrame:
     r = rows.select(id_col, label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("rep"))
-    w = Window.partitionBy("rep", label)
-    rank = F.row_number().over(w.orderBy(fn.hash_rank_key(tag, F.col("rep"), F.col(id_col)), id_col))
-    return r.select("rep", id_col, label, F.when(rank <= F.round(F.count("*").over(w) * test), "test").otherwise("train").alias("split"))
+    ranked = hash_rank(r, ["rep", label], fn.hash_rank_key(tag, F.col("rep"), F.col(id_col)), id_col)
+    return ranked.select("rep", id_col, label, F.when(F.col("rank") <= F.round(F.col("rank_of") * test), "test").otherwise("train").alias("split"))
 
 
 def proportional_sample(rows: DataFrame, id_col: str, grp: str, total: int, tag: str) -> DataFrame:
     """Exactly total rows, from groups in proportion by largest remainder, drawn by hash."""
     sizes = rows.groupBy(F.col(grp).alias("grp")).agg(F.count("*").alias("n"))
     shares = largest_remainder(sizes, total).select(F.col("grp").alias(grp), "share")
-    rank = F.row_number().over(Window.partitionBy(grp).orderBy(fn.hash_rank_key(tag, F.col(id_col)), id_col))
-    return rows.select(id_col, grp).withColumn("_r", rank).join(shares, grp).where(F.col("_r") <= F.col("share")).select(id_col, grp)
+    ranked = hash_rank(rows.select(id_col, grp), [grp], fn.hash_rank_key(tag, F.col(id_col)), id_col)
+    return ranked.join(shares, grp).where(F.col("rank") <= F.col("share")).select(id_col, grp)
 
 
 def baseline_days(days: DataFrame, tag: str, most: int = 60) -> DataFrame:

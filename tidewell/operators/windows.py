@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators.ranks import join_nulls, running_totals
 
 
 def rolling_calendar(days: DataFrame, width: int, min_count: int, keys=("user_id",), day: str = "day", value: str = "value", adequate: str = "adequate") -> DataFrame:
@@ -104,9 +105,10 @@ def prefix_timeline(days: DataFrame, value: str = "value") -> DataFrame:
 
 
 def average_rank(rows: DataFrame, by: str, keys=()) -> DataFrame:
-    """Mid-ranks: ties share their mean rank."""
-    tie = F.count("*").over(Window.partitionBy(*keys, by))
-    return rows.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(by)) + (tie - 1) / 2)
+    """Mid-ranks: ties share their mean rank. Values are counted first, so that only distinct values are put in order."""
+    counts = running_totals(rows.groupBy(*keys, by).agg(F.count("*").alias("_c")), keys, by, ("_c",))
+    mid = counts.select(*keys, by, (F.col("_c_before") + (F.col("_c") + 1) / 2).alias("rank"))
+    return join_nulls(rows, mid, [*keys, by])
 
 
 def pair_windows(ends: DataFrame, gap: int = 180) -> DataFrame:
