@@ -136,3 +136,31 @@ def perturb_shift(events: DataFrame, shift_hours: int) -> DataFrame:
     """Turns each event's clock by some hours within its local day; the day stays."""
     turned = F.pmod(F.col("local_ms") + shift_hours * fn.HOUR_MS, F.lit(fn.DAY_MS)) + F.col("day") * fn.DAY_MS
     return events.withColumns({"local_ms": turned.cast("long"), "hour": fn.hour_of(turned)})
+
+
+def perturb_events(events: DataFrame, mode: str, tag: str, fraction: float = 1.0, shift_hours: int = 6) -> DataFrame:
+    """Per user, channel and local day: deals values anew by hash (shuffle), draws them with repeats (resample), keeps a fraction (thin), or turns the clock (shift)."""
+    if mode == "shift":
+        return perturb_shift(events, shift_hours)
+    keys = ["user_id", "channel", "day"]
+    digest = fn.hash_rank_key(tag, F.col("user_id"), F.col("event_id"))
+    if mode == "thin":
+        return events.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(fraction * 16**8))
+    w = Window.partitionBy(*keys)
+    numbered = events.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy("start_ms", "event_id")))
+    if mode == "shuffle":
+        want = F.row_number().over(w.orderBy(digest, "event_id"))
+    elif mode == "resample":
+        want = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_n") + 1).cast("int")
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    values = numbered.select(*keys, F.col("_i").alias("_want"), F.col("value").alias("_v"))
+    return numbered.withColumn("_want", want).join(values, [*keys, "_want"]).withColumn("value", F.col("_v")).drop("_want", "_v", "_i", "_n")
+
+
+def islands(events: DataFrame, keys=("user_id", "channel", "day")) -> DataFrame:
+    """Latest end before each interval and the number of its island; touching intervals share one."""
+    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms", "event_id")
+    before = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = events.withColumn("running_end", before).withColumn("_new", (F.col("running_end").isNull() | (F.col("start_ms") > F.col("running_end"))).cast("long"))
+    return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell import functions as fn
+
 KEYS = ("user_id", "day")
 
 
@@ -95,3 +97,92 @@ def daily_signals(grid: DataFrame, night=(0, 2), day=(3, 7), least: int = 1, key
     part = lambda r: F.when(F.count_if(F.col("hr").isNotNull() & F.col("bin").between(*r)) >= least, F.avg(F.when(F.col("bin").between(*r), F.col("hr"))))
     out = grid.groupBy(*keys).agg(F.percentile("hr", F.lit(0.1)).alias("p10"), part(night).alias("night"), part(day).alias("day_mean"), F.avg(F.col("hr").isNotNull().cast("double")).alias("occupancy"))
     return out.withColumn("dipping", F.col("night") / F.col("day_mean"))
+
+
+def fill_global(grid: DataFrame, train: DataFrame, constant: float = 0.0) -> DataFrame:
+    """Missing bins take the training median of all bins (`level`) or a constant (`fixed`)."""
+    whole = train.agg(F.median("hr").alias("whole"))
+    return grid.crossJoin(F.broadcast(whole)).withColumn("level", F.coalesce("hr", "whole")).withColumn("fixed", F.coalesce("hr", F.lit(constant))).drop("whole")  # whole is one row
+
+
+def fill_pchip(filled: DataFrame, k_max: int = 12, keys=KEYS) -> DataFrame:
+    """Interior gaps of k_max bins or fewer by the monotone cubic through two observed neighbours on each side.
+
+    With fewer neighbours the gap is a straight line; other bins keep `filled`. Adds `pchip` and the gap's length.
+    """
+    seen = F.col("hr").isNotNull()
+    own = Window.partitionBy(*keys, "_on").orderBy("bin")
+    x, y = F.col("bin").cast("double"), F.col("hr")
+    pair = filled.withColumn("_on", seen).withColumn("_p", F.struct(F.lag(x).over(own).alias("x0"), F.lag(y).over(own).alias("y0"), x.alias("x1"), y.alias("y1"))).withColumn("_q", F.struct(x.alias("x2"), y.alias("y2"), F.lead(x).over(own).alias("x3"), F.lead(y).over(own).alias("y3")))
+    back = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
+    near = pair.withColumn("_p", F.last(F.when(F.col("_on"), F.col("_p")), True).over(back)).withColumn("_q", F.first(F.when(F.col("_on"), F.col("_q")), True).over(ahead))
+    out = near.withColumns({f"_{c}": F.col(f"_p.{c}") for c in ("x0", "y0", "x1", "y1")} | {f"_{c}": F.col(f"_q.{c}") for c in ("x2", "y2", "x3", "y3")})
+    c = lambda n: F.col(f"_{n}")
+    h0, h, h2 = c("x1") - c("x0"), c("x2") - c("x1"), c("x3") - c("x2")
+    d0, d, d2 = (c("y1") - c("y0")) / h0, (c("y2") - c("y1")) / h, (c("y3") - c("y2")) / h2
+    # Weighted harmonic mean of neighbouring slopes, 0 where they differ in sign: keeps the curve monotone.
+    slope = lambda a, b, ha, hb: F.when(a * b > 0, 3 * (ha + hb) / ((2 * hb + ha) / a + (hb + 2 * ha) / b)).when(a.isNotNull() & b.isNotNull(), 0.0)
+    m1, m2, t = slope(d0, d, h0, h), slope(d, d2, h, h2), (x - c("x1")) / h
+    cubic = (2 * t**3 - 3 * t**2 + 1) * c("y1") + (t**3 - 2 * t**2 + t) * h * m1 + (3 * t**2 - 2 * t**3) * c("y2") + (t**3 - t**2) * h * m2
+    line = c("y1") + (c("y2") - c("y1")) * t
+    gap = F.when(~F.col("_on"), h - 1).cast("long")
+    used = [f"_{n}" for n in ("on", "p", "q", "x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")]
+    return out.withColumn("gap", gap).withColumn("_line", line).withColumn("pchip", F.when(F.col("gap") <= k_max, F.coalesce(cubic, line)).otherwise(F.col("filled"))).drop(*used)
+
+
+def fill_three_tier(filled: DataFrame, k_max: int = 12, keys=KEYS) -> DataFrame:
+    """Gaps of one bin on a straight line, up to k_max by the monotone cubic, others and the day's edges by `filled`."""
+    return fill_pchip(filled, k_max, keys).withColumn("tiered", F.when(F.col("gap") == 1, F.col("_line")).otherwise(F.col("pchip"))).drop("_line")
+
+
+def gap_exposure(grid: DataFrame, short: int, keys=KEYS) -> DataFrame:
+    """Steps between neighbouring bins by what lies there: both observed, or by the missing run: short, long, edge. Their sum is all steps."""
+    on = F.col("hr").isNotNull()
+    by = Window.partitionBy(*keys).orderBy("bin")
+    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(on, F.col("bin"))
+    near = grid.withColumn("_on", on).withColumn("_b0", F.last(at, True).over(back)).withColumn("_b1", F.first(at, True).over(ahead)).withColumn("_next", F.lead("bin").over(by)).withColumn("_n1", F.lead(on).over(by))
+    # The run that a step touches lies between the last observed bin up to its left end and the first from its right end.
+    right = near.withColumn("_r1", F.lead("_b1").over(by)).where("_next IS NOT NULL")
+    kind = F.when(F.col("_on") & F.col("_n1"), "observed").when(F.col("_b0").isNull() | F.col("_r1").isNull(), "edge").when(F.col("_r1") - F.col("_b0") - 1 <= short, "short").otherwise("long")
+    n = lambda k: F.count_if(F.col("_k") == k).alias(k)
+    return right.withColumn("_k", kind).groupBy("user_id").agg(F.count("*").alias("steps"), n("observed"), n("short"), n("long"), n("edge"))
+
+
+def step_error(filled: DataFrame, columns, keys=KEYS) -> DataFrame:
+    """Mean absolute and root mean square step between neighbouring bins under each fill."""
+    by = Window.partitionBy(*keys).orderBy("bin")
+    steps = filled.select(*keys, *[(F.lead(c).over(by) - F.col(c)).alias(c) for c in columns])
+    return steps.groupBy("user_id").agg(*[x for c in columns for x in (F.avg(F.abs(c)).alias(f"{c}_mae"), F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{c}_rms"))])
+
+
+def shuffle_within_day(grid: DataFrame, tag: str, keys=KEYS) -> DataFrame:
+    """Deals a day's observed values to its observed bins in the order of a hash; the mask stays."""
+    seen = grid.where("hr IS NOT NULL").select(*keys, "bin", "hr")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("bin"))
+    drawn = F.row_number().over(Window.partitionBy(*keys).orderBy(fn.hash_rank_key(tag, *[F.col(k) for k in keys], F.col("bin"))))
+    dealt = seen.select(*keys, "bin", place.alias("_r")).join(seen.select(*keys, F.col("hr").alias("shuffled"), drawn.alias("_r")), [*keys, "_r"]).drop("_r")
+    return grid.join(dealt, [*keys, "bin"], "left")
+
+
+def mask_sample(grid: DataFrame, tag: str, one_in: int) -> DataFrame:
+    """Hides about one in `one_in` observed bins, chosen by hash: `truth` keeps the value, `hr` is null there."""
+    digest = fn.hash_rank_key(tag, F.col("user_id"), F.col("day"), F.col("bin"))
+    hide = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % one_in == 0
+    return grid.withColumn("truth", F.when(F.col("hr").isNotNull() & hide, F.col("hr"))).withColumn("hr", F.when(~hide, F.col("hr")))
+
+
+def imputation_error(masked: DataFrame, k_max: int, tiers=(0.25, 0.5)) -> DataFrame:
+    """MAE and RMSE of each fill at the hidden bins, for all days and by the day's occupancy tier, in one pass.
+
+    Fills see only what is left, their templates too.
+    """
+    share = F.avg(F.col("hr").isNotNull().cast("double")).over(Window.partitionBy(*KEYS))
+    tier = F.when(F.col("_o") < tiers[0], "sparse").when(F.col("_o") < tiers[1], "middle").otherwise("dense")
+    done = fill_pchip(fill_linear(fill_global(fill_clock(masked, masked), masked), k_max), k_max).withColumn("_o", share).withColumn("tier", tier).where("truth IS NOT NULL")
+    fills = {"clock": "filled", "linear": "linear", "pchip": "pchip", "level": "level"}
+    long = done.select("tier", "truth", F.expr("stack(4, " + ", ".join(f"'{k}', {v}" for k, v in fills.items()) + ") as (fill, guess)"))
+    e = F.col("guess") - F.col("truth")
+    out = long.groupingSets([[F.col("fill"), F.col("tier")], [F.col("fill")]], "fill", "tier").agg(F.grouping("tier").alias("_all"), F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return out.withColumn("tier", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("tier"))).drop("_all")

@@ -121,3 +121,34 @@ def pair_windows(ends: DataFrame, gap: int = 180) -> DataFrame:
 
 def head_per_group(rows: DataFrame, group: str, order, n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def best_channel(gates: DataFrame) -> DataFrame:
+    """Each user's channel of most strict days, then earliest start, then lowest code."""
+    best = F.max(F.struct("strict_days", (-F.col("start")).alias("s"), (-F.col("channel")).alias("c"))).alias("b")
+    return gates.groupBy("user_id").agg(best, F.count("*").alias("channels")).select("user_id", (-F.col("b.c")).alias("channel"), F.col("b.strict_days").alias("strict_days"), (-F.col("b.s")).alias("start"), "channels")
+
+
+def nested_k(days: DataFrame, ks, tag: str = "") -> DataFrame:
+    """For each k the first k days, or with a tag k days of one fixed permutation: smaller sets lie within larger ones."""
+    order = fn.hash_rank_key(tag, F.col("user_id"), F.col("day")) if tag else F.col("day")
+    ranked = days.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(order)).cast("long")).where(F.col("rank") <= max(ks))
+    return ranked.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).where(F.col("rank") <= F.col("k"))
+
+
+def first_window(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("user_id").agg(F.min_by(F.struct("window_index", "start_day", "end_day"), "window_index").alias("w")).select("user_id", "w.*")
+
+
+def finite_on_all_dates(selected: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Keeps a user only if both measures have a value on every selected date; `kept` and what is missing of either."""
+    a, b = first.select("user_id", "day", F.col("value").alias("_a")), second.select("user_id", "day", F.col("value").alias("_b"))
+    j = selected.join(a, ["user_id", "day"], "left").join(b, ["user_id", "day"], "left")
+    out = j.groupBy("user_id").agg(F.count("*").alias("dates"), F.count_if(F.col("_a").isNull()).alias("missing_first"), F.count_if(F.col("_b").isNull()).alias("missing_second"))
+    return out.withColumn("kept", (F.col("missing_first") == 0) & (F.col("missing_second") == 0))
+
+
+def common_date_reselect(dates: DataFrame, other: DataFrame, windows: DataFrame, target: int, base: int, tag: str) -> DataFrame:
+    """Dates that both measures have, quotas anew from what is left of each block, and a new draw."""
+    common = dates.join(other.select("user_id", "day").distinct(), ["user_id", "day"], "left_semi")
+    return sample_dates(common, windows, block_quotas(block_capacities(common, windows), target, base), tag)
