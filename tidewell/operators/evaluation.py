@@ -38,29 +38,29 @@ def auroc(preds: DataFrame, keys=("arm",)) -> DataFrame:
 
 
 def delong(preds: DataFrame, keys=("arm",), z: float = 1.96) -> DataFrame:
-    """AUROC, its standard error from the placement values of either class, and the interval cut to [0, 1]."""
+    """AUROC, its standard error from the placement values of either class, and the interval cut to [0, 1]; errors need two of each."""
     t = cumulative(preds, keys)
-    up = (F.col("neg_before") + F.col("neg") / 2) / F.col("neg_total")
-    down = (F.col("pos_total") - F.col("pos_before") - F.col("pos") / 2) / F.col("pos_total")
+    up = F.try_divide(F.col("neg_before") + F.col("neg") / 2, "neg_total")
+    down = F.try_divide(F.col("pos_total") - F.col("pos_before") - F.col("pos") / 2, "pos_total")
     t = t.withColumn("_a", up).withColumn("_b", down)
     m = t.groupBy(*keys).agg(
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), (F.sum(F.col("pos") * F.col("_a")) / F.sum("pos")).alias("auroc"),
-        F.sum(F.col("pos") * F.col("_a") * F.col("_a")).alias("_qa"), F.sum(F.col("neg") * F.col("_b") * F.col("_b")).alias("_qb"), (F.sum(F.col("neg") * F.col("_b")) / F.sum("neg")).alias("_mb"),
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.try_divide(F.sum(F.col("pos") * F.col("_a")), F.sum("pos")).alias("auroc"),
+        F.sum(F.col("pos") * F.col("_a") * F.col("_a")).alias("_qa"), F.sum(F.col("neg") * F.col("_b") * F.col("_b")).alias("_qb"), F.try_divide(F.sum(F.col("neg") * F.col("_b")), F.sum("neg")).alias("_mb"),
     )
-    var = lambda q, n, mean: (F.col(q) - F.col(n) * F.col(mean) ** 2) / (F.col(n) - 1) / F.col(n)
-    out = m.withColumn("se", F.sqrt(F.greatest(var("_qa", "_p", "auroc") + var("_qb", "_n", "_mb"), F.lit(0.0))))
-    return out.select(*keys, "auroc", "se", F.greatest(F.lit(0.0), F.col("auroc") - z * F.col("se")).alias("low"), F.least(F.lit(1.0), F.col("auroc") + z * F.col("se")).alias("high"))
+    var = lambda q, n, mean: F.try_divide(F.col(q) - F.col(n) * F.col(mean) ** 2, (F.col(n) - 1) * F.col(n))
+    out = m.withColumn("se", F.sqrt(F.when(F.least("_p", "_n") > 1, F.greatest(var("_qa", "_p", "auroc") + var("_qb", "_n", "_mb"), F.lit(0.0)))))
+    return out.select(*keys, "auroc", "se", F.when(F.col("se").isNotNull(), F.greatest(F.lit(0.0), F.col("auroc") - z * F.col("se"))).alias("low"), F.when(F.col("se").isNotNull(), F.least(F.lit(1.0), F.col("auroc") + z * F.col("se"))).alias("high"))
 
 
 def average_precision(preds: DataFrame, keys=("arm",)) -> DataFrame:
     t = cumulative(preds, keys)
-    return t.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("average_precision"))
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"))
 
 
 def threshold_curves(preds: DataFrame, keys=("arm",)) -> DataFrame:
     """Precision and coverage of score >= tau for each distinct tau."""
     n = F.col("tp") + F.col("fp")
-    return cumulative(preds, keys).select(*keys, F.col("score").alias("tau"), "tp", n.alias("n"), (F.col("tp") / n).alias("precision"), (n / (F.col("pos_total") + F.col("neg_total"))).alias("coverage"))
+    return cumulative(preds, keys).select(*keys, F.col("score").alias("tau"), "tp", n.alias("n"), F.try_divide("tp", n).alias("precision"), F.try_divide(n, F.col("pos_total") + F.col("neg_total")).alias("coverage"))
 
 
 def select_thresholds(preds: DataFrame, target: float, keys=("arm",), z: float = 1.96) -> DataFrame:
@@ -74,7 +74,7 @@ def select_thresholds(preds: DataFrame, target: float, keys=("arm",), z: float =
 
 def best_threshold(preds: DataFrame, keys=("arm",)) -> DataFrame:
     """Threshold of the largest balanced accuracy, ties to the larger."""
-    ba = F.round((F.col("tp") / F.col("pos_total") + 1 - F.col("fp") / F.col("neg_total")) / 2, 12)
+    ba = F.round((F.try_divide("tp", "pos_total") + 1 - F.try_divide("fp", "neg_total")) / 2, 12)
     t = cumulative(preds, keys).withColumn("_b", ba)
     return t.groupBy(*keys).agg(F.max(F.struct("_b", "score")).alias("m")).select(*keys, F.col("m.score").alias("threshold"), F.col("m._b").alias("balanced_accuracy"))
 
@@ -83,7 +83,7 @@ def proper_scores(preds: DataFrame, keys=("arm",), eps: float = 1e-6) -> DataFra
     """Brier score, its skill over the base rate, and log loss."""
     p = F.greatest(F.least(F.col("score"), F.lit(1 - eps)), F.lit(eps))
     out = preds.groupBy(*keys).agg(F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("brier"), F.avg("y").alias("base"), F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"))
-    return out.withColumn("skill", 1 - F.col("brier") / (F.col("base") * (1 - F.col("base"))))
+    return out.withColumn("skill", 1 - F.try_divide("brier", F.col("base") * (1 - F.col("base"))))
 
 
 def ece(preds: DataFrame, keys=("arm",), bins: int = 10) -> DataFrame:
@@ -98,7 +98,7 @@ def smd(rows: DataFrame, group: str, base: str, value: str) -> DataFrame:
     """Standardised mean difference of each group against the base group."""
     s = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     b = s.where(F.col(group) == base).select(F.col("mean").alias("_m"), F.col("sd").alias("_s"))
-    return s.crossJoin(F.broadcast(b)).select(group, "n", "mean", "sd", ((F.col("mean") - F.col("_m")) / F.sqrt((F.col("sd") ** 2 + F.col("_s") ** 2) / 2)).alias("smd"))  # b is one row
+    return s.crossJoin(F.broadcast(b)).select(group, "n", "mean", "sd", F.try_divide(F.col("mean") - F.col("_m"), F.sqrt((F.col("sd") ** 2 + F.col("_s") ** 2) / 2)).alias("smd"))  # b is one row
 
 
 def group_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -111,9 +111,9 @@ def welch(rows: DataFrame, keys, label: str, value: str) -> DataFrame:
     """Difference of means of label 1 less 0, t, Satterthwaite degrees of freedom and Cohen's d."""
     f = lambda y, agg: agg(F.when(F.col(label) == y, F.col(value)))
     s = rows.groupBy(*keys).agg(*[f(y, a).alias(f"{n}{y}") for y in (0, 1) for n, a in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
-    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
-    return s.select(*keys, "n0", "n1", (F.col("m1") - F.col("m0")).alias("diff"), ((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) ** 2 / (a**2 / (F.col("n1") - 1) + b**2 / (F.col("n0") - 1))).alias("df"), ((F.col("m1") - F.col("m0")) / pooled).alias("d"))
+    a, b = F.try_divide("v1", "n1"), F.try_divide("v0", "n0")
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
+    return s.select(*keys, "n0", "n1", (F.col("m1") - F.col("m0")).alias("diff"), F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t"), F.try_divide((a + b) ** 2, F.try_divide(a**2, F.col("n1") - 1) + F.try_divide(b**2, F.col("n0") - 1)).alias("df"), F.try_divide(F.col("m1") - F.col("m0"), pooled).alias("d"))
 
 
 def mann_whitney(preds: DataFrame, keys=("arm",)) -> DataFrame:
@@ -121,9 +121,9 @@ def mann_whitney(preds: DataFrame, keys=("arm",)) -> DataFrame:
     t = cumulative(preds, keys).withColumn("_t", F.col("pos") + F.col("neg")).withColumn("_u", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     s = t.groupBy(*keys).agg(F.sum("_u").alias("u"), F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"), F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("_c"))
     n = F.col("_p") + F.col("_n")
-    var = F.col("_p") * F.col("_n") / 12 * ((n + 1) - F.col("_c") / (n * (n - 1)))
+    var = F.col("_p") * F.col("_n") / 12 * ((n + 1) - F.try_divide("_c", n * (n - 1)))
     gap = F.col("u") - F.col("_p") * F.col("_n") / 2
-    return s.select(*keys, "u", (F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.sqrt(var)).alias("z"))
+    return s.select(*keys, "u", F.try_divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), F.sqrt(var)).alias("z"))
 
 
 def kruskal_wallis(rows: DataFrame, keys, group: str, value: str) -> DataFrame:
@@ -132,7 +132,7 @@ def kruskal_wallis(rows: DataFrame, keys, group: str, value: str) -> DataFrame:
     ties = rows.groupBy(*keys, value).agg(F.count("*").cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_c"))
     g = ranked.groupBy(*keys, group).agg(F.sum("rank").alias("_r"), F.count("*").cast("double").alias("_n")).groupBy(*keys).agg(F.sum(F.col("_r") ** 2 / F.col("_n")).alias("_s"), F.sum("_n").alias("_n"), F.count("*").alias("groups"))
     n = F.col("_n")
-    h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("_c") / (n**3 - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.try_divide("_c", n**3 - n))
     return g.join(ties, list(keys)).select(*keys, "groups", h.alias("h"))
 
 

@@ -43,7 +43,7 @@ def tod_profile(hours: DataFrame, tz_ok: DataFrame, channels) -> DataFrame:
     """Event-weighted mean of each channel and part of the day; null for users whose local time isn't certain (not in tz_ok)."""
     bucket = fn.tod_bucket(F.col("hour"))
     part = lambda c, b, v: F.sum(F.when((F.col("channel") == c) & (bucket == b), F.col(v)))
-    cols = {f"ch{c}_tod_{b}": part(c, b, "vsum") / part(c, b, "n") for c in channels for b in BUCKETS}
+    cols = {f"ch{c}_tod_{b}": F.try_divide(part(c, b, "vsum"), part(c, b, "n")) for c in channels for b in BUCKETS}
     wide = hours.groupBy("user_id").agg(*[v.alias(k) for k, v in cols.items()])
     sure = wide.join(tz_ok.select("user_id").distinct().withColumn("_ok", F.lit(True)), "user_id", "left")
     return sure.select("user_id", *[F.when(F.col("_ok"), F.col(k)).alias(k) for k in cols])

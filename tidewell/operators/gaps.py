@@ -119,7 +119,7 @@ def fill_pchip(filled: DataFrame, k_max: int = 12, keys=KEYS) -> DataFrame:
     near = pair.withColumn("_p", F.last(F.when(F.col("_on"), F.col("_p")), True).over(back)).withColumn("_q", F.first(F.when(F.col("_on"), F.col("_q")), True).over(ahead))
     out = near.withColumns({f"_{c}": F.col(f"_p.{c}") for c in ("x0", "y0", "x1", "y1")} | {f"_{c}": F.col(f"_q.{c}") for c in ("x2", "y2", "x3", "y3")})
     c = lambda n: F.col(f"_{n}")
-    h0, h, h2 = c("x1") - c("x0"), c("x2") - c("x1"), c("x3") - c("x2")
+    h0, h, h2 = c("x1") - c("x0"), F.nullif(c("x2") - c("x1"), F.lit(0.0)), c("x3") - c("x2")  # an observed bin has no gap
     d0, d, d2 = (c("y1") - c("y0")) / h0, (c("y2") - c("y1")) / h, (c("y3") - c("y2")) / h2
     # Weighted harmonic mean of neighbouring slopes, 0 where they differ in sign: keeps the curve monotone.
     slope = lambda a, b, ha, hb: F.when(a * b > 0, 3 * (ha + hb) / ((2 * hb + ha) / a + (hb + 2 * ha) / b)).when(a.isNotNull() & b.isNotNull(), 0.0)

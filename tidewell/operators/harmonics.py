@@ -21,7 +21,7 @@ def curve_features(hours: DataFrame, keys=("user_id",)) -> DataFrame:
     part = lambda lo, hi, v: F.sum(F.when(F.col("hour").between(lo, hi), v))
     n, h, m = F.col("n"), F.col("hour").cast("double"), F.col("m")
     out = g.groupBy(*keys).agg(
-        (part(0, 5, F.col("vsum")) / part(0, 5, n)).alias("night_mean"), (part(8, 19, F.col("vsum")) / part(8, 19, n)).alias("_day"), F.max("m").alias("_hi"), F.min("m").alias("_lo"), F.sum("m").alias("_sum"), F.count("*").alias("hours"),
+        F.try_divide(part(0, 5, F.col("vsum")), part(0, 5, n)).alias("night_mean"), F.try_divide(part(8, 19, F.col("vsum")), part(8, 19, n)).alias("_day"), F.max("m").alias("_hi"), F.min("m").alias("_lo"), F.sum("m").alias("_sum"), F.count("*").alias("hours"),
         F.count_if(F.col("hour").between(5, 9)).alias("_k"), part(5, 9, n).alias("_n"), part(5, 9, n * h).alias("_x"), part(5, 9, n * m).alias("_y"), part(5, 9, n * h * h).alias("_xx"), part(5, 9, n * h * m).alias("_xy"), F.collect_list("m").alias("_ms"),
     )
     c = F.col
@@ -98,7 +98,7 @@ def band_summary(spectrum: DataFrame, low: float, high: float, keys=("user_id",
     inside = spectrum.where(F.col("explained").isNotNull() & F.col("period").between(low, high))
     area = (F.col("period") - F.lag("period").over(w)) * (F.col("explained") + F.lag("explained").over(w)) / 2
     best = F.max_by(F.struct("period", "explained", "amplitude"), F.struct(F.round("explained", 9), -F.col("period"))).alias("b")
-    out = inside.withColumn("_a", area).groupBy(*keys).agg(best, (F.sum("_a") / (F.max("period") - F.min("period"))).alias("band_mean"))
+    out = inside.withColumn("_a", area).groupBy(*keys).agg(best, F.try_divide(F.sum("_a"), F.max("period") - F.min("period")).alias("band_mean"))
     return out.select(*keys, F.col("b.period").alias("peak_period"), F.col("b.explained").alias("peak_share"), F.col("b.amplitude").alias("peak_amplitude"), "band_mean")
 
 

@@ -65,7 +65,7 @@ def group_means_bootstrap(draws: DataFrame, keys=(), level: float = 0.95) -> Dat
 def paired_difference(a: DataFrame, b: DataFrame, ratio: bool = False) -> DataFrame:
     """Interval of the difference, or ratio, of two arms' means over the same draws."""
     j = a.select("draw", F.col("mean").alias("_a")).join(b.select("draw", F.col("mean").alias("_b")), "draw")
-    return group_means_bootstrap(j.select((F.col("_a") / F.col("_b") if ratio else F.col("_a") - F.col("_b")).alias("value")))
+    return group_means_bootstrap(j.select((F.try_divide("_a", "_b") if ratio else F.col("_a") - F.col("_b")).alias("value")))
 
 
 def ols_hc3(rows: DataFrame, y: str, features, intercept: bool = True) -> tuple[DataFrame, np.ndarray]:

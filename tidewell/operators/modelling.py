@@ -78,16 +78,15 @@ def ridge_fit(train: DataFrame, val: DataFrame, features, y: str = "y", alphas=(
 
     The normal equations are one pass over the training rows for each alpha; one alpha needs no look at val.
     """
-    fit, best = _assembled(train, features), None
-    for a in sorted(alphas, reverse=True):
-        model = LinearRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, regParam=a, standardization=True, solver="normal").fit(fit)
-        if len(alphas) == 1:
-            return model
-        area = auroc(linear_score(model, val, features).select(F.lit("ridge").alias("arm"), F.col(y).alias("y"), F.round("score", 9).alias("score"))).first()
-        value = area.auroc if area is not None and area.auroc is not None else 0.5
-        if best is None or value > best[0] + 1e-12:
-            best = (value, model)
-    return best[1]
+    fit = _assembled(train, features)
+    models = {a: LinearRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, regParam=a, standardization=True, solver="normal").fit(fit) for a in alphas}
+    if len(alphas) == 1:
+        return models[alphas[0]]
+    guess = lambda m: sum((F.col(f) * float(c) for f, c in zip(features, m.coefficients)), F.lit(float(m.intercept)))
+    each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.round(guess(m), 9).alias("score")) for a, m in models.items()]))
+    areas = auroc(val.select(F.col(y).alias("y"), each.alias("e")).select("y", "e.*"), ("alpha",)).collect()  # a row for each alpha
+    best = max(areas, key=lambda r: (round(r.auroc if r.auroc is not None else 0.5, 12), r.alpha), default=None)
+    return models[next(a for a in alphas if best is None or float(a) == best.alpha)]
 
 
 def forest(train: DataFrame, rows: DataFrame, features, y: str = "y", trees: int = 50, depth: int = 6, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +107,7 @@ def platt(val: DataFrame, rows: DataFrame, y: str = "y") -> DataFrame:
 def blend(val: DataFrame, a: str, b: str, steps: int = 20) -> DataFrame:
     """The weight of arm a, of a grid, that gives two standardised scores the best AUROC on val; ties to the smallest."""
     z = val.where(F.col("arm").isin(a, b)).groupBy("arm").agg(F.avg("score").alias("_m"), F.stddev_samp("score").alias("_s"))
-    wide = val.join(F.broadcast(z), "arm").withColumn("_z", (F.col("score") - F.col("_m")) / F.col("_s")).groupBy("user_id", "y").agg(F.max(F.when(F.col("arm") == a, F.col("_z"))).alias("_a"), F.max(F.when(F.col("arm") == b, F.col("_z"))).alias("_b"))  # z has two rows
+    wide = val.join(F.broadcast(z), "arm").withColumn("_z", F.try_divide(F.col("score") - F.col("_m"), "_s")).groupBy("user_id", "y").agg(F.max(F.when(F.col("arm") == a, F.col("_z"))).alias("_a"), F.max(F.when(F.col("arm") == b, F.col("_z"))).alias("_b"))  # z has two rows
     tried = wide.dropna(subset=["_a", "_b"]).withColumn("weight", F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)]))).withColumn("score", F.round(F.col("weight") * F.col("_a") + (1 - F.col("weight")) * F.col("_b"), 9))
     return auroc(tried, ("weight",)).agg(F.min_by(F.struct("weight", "auroc"), F.struct(-F.round("auroc", 9), F.col("weight"))).alias("b")).select("b.*")
 

@@ -34,7 +34,7 @@ def spectrum(series: DataFrame, periods: list[float], keys=("user_id",), value:
 
 def peak(powers: DataFrame, keys=("user_id",)) -> DataFrame:
     """The period of the largest power, ties to the shorter, and its share of the median power."""
-    return powers.where("power IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("period", "power", "amplitude"), F.struct(F.round("power", 9), -F.col("period"))).alias("p"), F.median("power").alias("_m")).select(*keys, "p.*", (F.col("p.power") / F.col("_m")).alias("snr"))
+    return powers.where("power IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("period", "power", "amplitude"), F.struct(F.round("power", 9), -F.col("period"))).alias("p"), F.median("power").alias("_m")).select(*keys, "p.*", F.try_divide("p.power", "_m").alias("snr"))
 
 
 def cosinor_grid(series: DataFrame, periods: list[float], keys=("user_id",)) -> DataFrame:

@@ -76,8 +76,8 @@ add("reconcile", lambda s, d: quality.reconcile(events(s, d).groupBy("user_id").
 # Scalar functions
 add("scalar_string", lambda s, d: vw.demographics(s, d).select("user_id", F.concat_ws("|", F.lower(F.trim("bmi_grp")), F.coalesce(F.col("salutation").cast("string"), F.lit(fn.MISSING))).alias("cell"), F.regexp_extract(F.col("birth_year").cast("string"), "([0-9]{4})", 1).alias("year"), F.format_string("%02d:%02d", F.floor(F.col("user_id") % 288 / 12), F.col("user_id") % 12 * 5).alias("clock")), "SELECT user_id, lower(trim(bmi_grp)) || '|' || coalesce(salutation::VARCHAR, '<MISSING>') AS cell, birth_year::VARCHAR AS year, printf('%02d:%02d', user_id % 288 // 12, user_id % 12 * 5) AS clock FROM demographics", DM)
 add("scalar_hash", lambda s, d: vw.demographics(s, d).select("user_id", F.conv(F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 12), 16, 10).cast("long").alias("seed")), "SELECT user_id, ('0x' || substr(sha256(user_id::VARCHAR), 1, 12))::BIGINT AS seed FROM demographics", DM)
-_date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int"))
-add("scalar_date", lambda s, d: vw.daily_values(s, d).select("user_id", "day", F.date_format(_date, "yyyy-MM-dd").alias("date"), fn.week_start(F.col("day")).alias("monday"), F.year(_date).cast("long").alias("year"), F.month(_date).cast("long").alias("month")), "SELECT user_id, day, strftime(DATE '1970-01-01' + day::INT, '%Y-%m-%d') AS date, day - (day + 3) % 7 AS monday, year(DATE '1970-01-01' + day::INT) AS year, month(DATE '1970-01-01' + day::INT) AS month FROM daily_values", D)
+_date = lambda: F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int"))
+add("scalar_date", lambda s, d: vw.daily_values(s, d).select("user_id", "day", F.date_format(_date(), "yyyy-MM-dd").alias("date"), fn.week_start(F.col("day")).alias("monday"), F.year(_date()).cast("long").alias("year"), F.month(_date()).cast("long").alias("month")), "SELECT user_id, day, strftime(DATE '1970-01-01' + day::INT, '%Y-%m-%d') AS date, day - (day + 3) % 7 AS monday, year(DATE '1970-01-01' + day::INT) AS year, month(DATE '1970-01-01' + day::INT) AS month FROM daily_values", D)
 add("scalar_math", lambda s, d: vw.daily_values(s, d).select("user_id", "day", F.hypot(F.col("value"), F.lit(3.0)).alias("h"), fn.wrap_phase(2 * F.pi() * F.col("day") / 29.530588).alias("moon"), F.greatest(F.lit(10.0), F.least(F.lit(40.0), F.col("value"))).alias("clipped"), (-F.col("value") / 100 * F.log(F.col("value") / 100)).alias("entropy")), "SELECT user_id, day, sqrt(value ** 2 + 9) AS h, atan2(sin(2 * pi() * day / 29.530588), cos(2 * pi() * day / 29.530588)) AS moon, greatest(10, least(40, value)) AS clipped, -value / 100 * ln(value / 100) AS entropy FROM daily_values", D, "h moon clipped entropy")
 add("scalar_array", lambda s, d: vw.table(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.array_max("embedding").cast("double").alias("top"), F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x).alias("norm2"), F.array_max(F.slice("embedding", 1, 3)).cast("double").alias("pooled")), "SELECT vec_id, len(embedding) AS n, list_max(embedding)::DOUBLE AS top, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS norm2, list_max(embedding[1:3])::DOUBLE AS pooled FROM embeddings", "", "top norm2 pooled")
 add("scalar_json", lambda s, d: vw.demographics(s, d).select("user_id", F.to_json(F.struct("age_group", "bmi_grp")).alias("cell")), "SELECT user_id, '{\"age_group\":' || age_group || ',\"bmi_grp\":\"' || bmi_grp || '\"}' AS cell FROM demographics", DM)

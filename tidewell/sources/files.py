@@ -57,10 +57,10 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str, users: DataFrame, owner: str = OWNER) -> DataFrame:
-    """Each listed user's file: missing, zero_byte or nonempty, and its bytes. Contents aren't read."""
+    """Each listed user's file: missing or nonempty, and its bytes. Contents aren't read. Spark's scan passes over files of no bytes, which count as missing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", owner, 1).try_cast("long").alias("user_id"), F.col("length").alias("bytes"))
     own = files.groupBy("user_id").agg(F.sum("bytes").alias("bytes"))
-    state = F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "zero_byte").otherwise("nonempty")
+    state = F.when(F.coalesce("bytes", F.lit(0)) == 0, "missing").otherwise("nonempty")
     return users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", state.alias("state"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
