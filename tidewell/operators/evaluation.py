@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ranks import running_totals
+from tidewell.operators.ranks import join_nulls, running_totals
 from tidewell.operators.windows import average_rank
 
 
@@ -88,9 +88,9 @@ def proper_scores(preds: DataFrame, keys=("arm",), eps: float = 1e-6) -> DataFra
 
 def ece(preds: DataFrame, keys=("arm",), bins: int = 10) -> DataFrame:
     """Calibration gap over bins of equal counts, ties by user."""
-    w = Window.partitionBy(*keys).orderBy("score", "user_id")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    b = preds.withColumn("_b", F.floor((F.row_number().over(w) - 1) * bins / n)).groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.abs(F.avg("score") - F.avg("y")).alias("_g"))
+    tied = running_totals(preds.groupBy(*keys, "score").agg(F.count("*").alias("_c")), keys, "score", ("_c",)).drop("_c")
+    place = F.col("_c_before") + F.row_number().over(Window.partitionBy(*keys, "score").orderBy("user_id")) - 1
+    b = join_nulls(preds, tied, [*keys, "score"]).withColumn("_b", F.floor(place * bins / F.col("_c_total"))).groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.abs(F.avg("score") - F.avg("y")).alias("_g"))
     return b.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_g")) / F.sum("_n")).alias("ece"))
 
 
@@ -172,11 +172,11 @@ def worst_balance(report: DataFrame, k: int) -> DataFrame:
 
 
 def bootstrap_means(rows: DataFrame, strata: str, id_col: str, value: str, draws: int, tag: str) -> DataFrame:
-    """Mean of each of `draws` resamples within strata: each place of a draw takes the row whose number a hash gives.
+    """Mean of each of `draws` resamples within strata: each place of a draw takes the row whose number a hash gives; id_col is distinct.
 
     Draws depend on stratum, draw and place alone, so arms with the same rows share them.
     """
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(strata).orderBy(id_col)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(strata)))
+    numbered = running_totals(rows.select(strata, id_col, value, F.lit(1).cast("long").alias("_k")), [strata], id_col, ("_k",)).select(strata, value, F.col("_k_before").cast("int").alias("_i"), F.col("_k_total").alias("_n"))
     places = numbered.select(strata, "_n", F.col("_i").alias("place")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     hashed = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(tag), F.col(strata).cast("string"), F.col("draw").cast("string"), F.col("place").cast("string")), 256), 1, 12), 16, 10).cast("long")
     picked = places.withColumn("_i", F.pmod(hashed, F.col("_n")).cast("int")).join(numbered.select(strata, "_i", value), [strata, "_i"])
