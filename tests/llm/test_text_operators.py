@@ -174,6 +174,8 @@ def test_toxicity_folds_and_exceptions():
     found = lambda t: [x[2] for x in toxicity.matches(auto, t)[0]]
     assert found("you 1D!0T!!") == ["idiot"] and found("idiot$$$ іdіоt") == ["idiot", "idiot"]
     assert found("idiots trashy") == [] and found("a trash can") == [] and found("trash, can") == ["trash"]
+    auto = toxicity.build({"loser": 3.0, "loser*": 1.0, "los*": 0.5, "scum*": 2.0})
+    assert found("loser losers lost los") == ["loser", "loser*", "los*"] and found("pond scum scumbag xscumbag") == ["scum*"]
     assert len(toxicity.fold("ÀÉ!!a@b" * 50)) == 350 and toxicity.matches(auto, None)[0] == []
 
 
@@ -182,7 +184,9 @@ def test_toxicity_on_held_out_rows(spark):
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(d, labels).join(labels, "doc_id").where("held_out")
     r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("hit"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("miss")).first()
-    assert r.hit > 0.5 and r.miss < 0.01  # so few labels leave rare insults of other languages unlearnt
+    assert r.hit > 0.9 and r.miss < 0.01
+    by_lang = got.join(d.select("doc_id", "lang"), "doc_id").where("toxic = 1").groupBy("lang").agg(F.avg("predicted").alias("hit")).collect()
+    assert all(x.hit > 0.6 for x in by_lang)
 
 
 def test_toxicity_of_awkward_rows(spark, docs):

@@ -16,7 +16,14 @@ from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows
 
 #: Learning reads about so many labelled rows, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
-MIN_WEIGHT, MIN_SHARE, MIN_DOCS = 2.0, 0.02, 5
+#: A term's least log ratio of rates, share and number of toxic texts, and log-likelihood ratio of its presence.
+MIN_WEIGHT, MIN_SHARE, MIN_DOCS, MIN_EVIDENCE = 2.5, 0.02, 3, 6.0
+#: Beginnings of words that may be terms, as stems: insults are inflected and compounded.
+STEMS = range(5, 9)
+#: A stem isn't a term where one longer term makes up so much of its toxic occurrences: it would only add that word's innocent kin.
+ONE_WORD = 0.9
+#: A clean text rejected costs as much as so many toxic ones kept.
+FALSE_ALARM = 3
 
 #: Characters that stand for a letter. Digits and signs count only inside a word.
 LOOKALIKES = {
@@ -59,35 +66,43 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def build(weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
-    """Automaton of folded terms; an exception has weight 0 and covers what lies inside it."""
+    """Automaton of folded terms; one that ends in * is a stem. An exception has weight 0 and covers what lies inside it."""
+    held: dict[str, list] = {}
+    for term, w in [*weights.items(), *((e, 0.0) for e in exceptions)]:
+        stem = term.endswith("*")
+        if key := fold(term.rstrip("*")).strip():
+            held.setdefault(key, [None, None])[stem] = w
     auto = ahocorasick.Automaton()
-    for term, w in weights.items():
-        if term := fold(term).strip():
-            auto.add_word(term, (len(term), w, term))
-    for phrase in exceptions:
-        if phrase := fold(phrase).strip():
-            auto.add_word(phrase, (len(phrase), 0.0, phrase))
+    for key, (whole, stem) in held.items():
+        auto.add_word(key, (len(key), key, whole, stem))
     auto.make_automaton()
     return auto
 
 
 def matches(auto, text: str | None) -> tuple[list[tuple[int, int, str, float]], int]:
-    """Whole-word matches outside exceptions, as (start, end, term, weight), and the number of words."""
+    """Matches outside exceptions, as (start, end, term, weight), and the number of words.
+
+    Terms match whole words, stems the beginning of longer words; of terms that start together the longest counts.
+    """
     folded = fold(text or "")
     if not len(auto):
         return [], folded.count(" ") + 1
-    found, except_for = [], []
-    for last, (n, w, term) in auto.iter(folded):
+    found, except_for = {}, []
+    for last, (n, key, whole, stem) in auto.iter(folded):
         start, end = last + 1 - n, last + 1
-        if (start and folded[start - 1].isalnum()) or (end < len(folded) and folded[end].isalnum()):
+        if start and folded[start - 1].isalnum():
             continue
-        if w:
-            found.append((start, end, term, w))
-        else:
+        if end < len(folded) and folded[end].isalnum():
+            if stem is not None:
+                found[start] = (start, end, f"{key}*", stem)
+        elif whole:
+            found[start] = (start, end, key, whole)
+        elif whole is not None:
             except_for.append((start, end))
-    if except_for and found:
-        found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in except_for)]
-    return found, len(folded.split())
+    kept = list(found.values())  # matches of one start come shortest first
+    if except_for and kept:
+        kept = [x for x in kept if not any(a <= x[0] and x[1] <= b for a, b in except_for)]
+    return kept, len(folded.split())
 
 
 def density(found: list, n_words: int) -> float:
@@ -98,39 +113,71 @@ def density(found: list, n_words: int) -> float:
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float]:
     """Weights of terms, and the density that scores 0.5, from labelled rows with text.
 
-    Terms are words whose share of toxic texts is well above that of others (log odds of MIN_WEIGHT
-    or more) and which stand in MIN_SHARE of the toxic texts and MIN_DOCS of them at least, so there
-    are 1 / MIN_SHARE times the words of a toxic text at most. Without labelled rows no term is learnt.
+    Candidates are words and their first 5 to 8 letters. A term's weight is the log of its rate per
+    word in toxic texts over that in others. Terms have MIN_WEIGHT or more, stand in MIN_SHARE of the
+    toxic texts and MIN_DOCS of them at least, and their presence tells the labels apart by a
+    log-likelihood ratio of MIN_EVIDENCE; there are 5 / MIN_SHARE times the words of a toxic text at
+    most. Without labelled rows no term is learnt.
     """
     want = bounded_sample(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", train_rows)
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(want), "doc_id").select("toxic", "text")  # train_rows bounds the broadcast side
     bound_batches(docs.sparkSession)
 
     def count(batches):
-        held: Counter = Counter()
+        held: dict[tuple[int, str], list[int]] = {}
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.update((toxic, w) for w in {"", *_WORD.findall(fold(text))})
-            if len(held) > 300_000:
-                yield pack(held)
-                held = Counter()
+                own: Counter = Counter()
+                for w, n in Counter(_WORD.findall(fold(text))).items():
+                    own[""] += n
+                    own[w] += n
+                    for k in STEMS:
+                        if k < len(w):
+                            own[f"{w[:k]}*"] += n
+                own.setdefault("", 0)
+                for term, n in own.items():
+                    x = held.setdefault((toxic == 1, term), [0, 0])
+                    x[0] += 1
+                    x[1] += n
+                if len(held) > 300_000:
+                    yield pack(held)
+                    held = {}
         yield pack(held)
 
     def pack(held):
-        return pa.RecordBatch.from_arrays([pa.array([w for _, w in held], pa.string()), pa.array([n if t == 1 else 0 for (t, _), n in held.items()], pa.int64()), pa.array([0 if t == 1 else n for (t, _), n in held.items()], pa.int64())], names=["term", "bad", "good"])
+        sides = [[n[i] if bad == side else 0 for (bad, _), n in held.items()] for i in (0, 1) for side in (True, False)]
+        return pa.RecordBatch.from_arrays([pa.array([t for _, t in held], pa.string()), *(pa.array(x, pa.int64()) for x in sides)], names=["term", "bad", "good", "bad_n", "good_n"])
 
-    sums = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 5 OR term = ''")
+    numbers = ("bad", "good", "bad_n", "good_n")
+    counted = rows.mapInArrow(count, "term string, bad long, good long, bad_n long, good_n long")
+    sums = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in numbers]).where(f"bad >= {MIN_DOCS} OR term = ''")
     total = sums.where("term = ''").first()
     if total is None or not total.bad:
         return {}, 1.0
-    weight = F.log((F.col("bad") + 0.5) / (total.bad + 1) / ((F.col("good") + 0.5) / (total.good + 1)))
-    terms = sums.where("term != ''").where(F.col("bad") >= max(MIN_DOCS, MIN_SHARE * total.bad)).select("term", weight.alias("w")).where(F.col("w") >= MIN_WEIGHT).collect()
-    weights = {r.term: round(r.w, 6) for r in sorted(terms, key=lambda r: r.term)}
+
+    def fit(k, n: int):
+        """Log-likelihood of k among n at its own smoothed rate."""
+        q = (k + 0.5) / (n + 1)
+        return k * F.log(q) + (n - k) * F.log(1 - q)
+
+    bad, good = F.col("bad"), F.col("good")
+    evidence = fit(bad, total.bad) + fit(good, total.good) - fit(bad + good, total.bad + total.good)
+    weight = F.log((F.col("bad_n") + 0.5) / max(1, total.bad_n) / ((F.col("good_n") + 0.5) / max(1, total.good_n)))
+    terms = (
+        sums.where("term != ''").where((bad >= MIN_SHARE * total.bad) & (bad * total.good >= good * total.bad) & (evidence >= MIN_EVIDENCE))
+        .select("term", "bad_n", weight.alias("w")).where(F.col("w") >= MIN_WEIGHT).collect()
+    )
+    most: dict[str, int] = {}  # toxic occurrences of the commonest longer term that begins so
+    for r in terms:
+        for k in STEMS:
+            if k < len(r.term.rstrip("*")):
+                most[r.term[:k]] = max(most.get(r.term[:k], 0), r.bad_n)
+    weights = {r.term: round(r.w, 6) for r in sorted(terms, key=lambda r: r.term) if not r.term.endswith("*") or most.get(r.term[:-1], 0) < ONE_WORD * r.bad_n}
     return weights, _threshold(rows, weights)
 
 
 def _threshold(rows: DataFrame, weights: dict[str, float]) -> float:
-    """Half the least density among those that separate the labels best by balanced accuracy; rows are bounded by train_rows."""
+    """Halfway from the density with most hits, less FALSE_ALARM for each false alarm, to the next lower one; rows are bounded by train_rows."""
     held = rows.sparkSession.sparkContext.broadcast(weights)
 
     def make():
@@ -138,15 +185,14 @@ def _threshold(rows: DataFrame, weights: dict[str, float]) -> float:
         return lambda toxic, texts: (toxic, [density(*matches(auto, t)) for t in texts])
 
     seen = map_rows(rows, make, "toxic int, d double").groupBy("toxic", "d").count().collect()
-    bad, good = (sum(r["count"] for r in seen if (r.toxic == 1) == k) or 1 for k in (True, False))
-    best, at, hit, miss = -1.0, 1.0, 0, 0
-    for d in sorted({r.d for r in seen}, reverse=True):
-        if not d:
-            break
-        hit += sum(r["count"] for r in seen if r.d == d and r.toxic == 1)
-        miss += sum(r["count"] for r in seen if r.d == d and r.toxic != 1)
-        if hit / bad - miss / good >= best:
-            best, at = hit / bad - miss / good, d
+    at_density: Counter = Counter()
+    for r in seen:
+        at_density[r.d] += r["count"] if r.toxic == 1 else -FALSE_ALARM * r["count"]
+    best, at, gain = -math.inf, 1.0, 0
+    for d in sorted((d for d in at_density if d > 0), reverse=True):
+        gain += at_density[d]
+        if gain > best:
+            best, at = gain, d
     below = max((r.d for r in seen if r.d < at), default=0.0)
     return (at + below) / 2
 
