@@ -210,6 +210,19 @@ def test_quotes_nest_and_link(spark):
     assert (two[1].parent_conv, two[1].parent_turn) == (1, 1) and two[0].body == "" and None not in got and got[3][0].body == ""
 
 
+MESSAGE = "conv_id long, turn long, role string, text string"
+
+
+def test_quotes_keep_every_row(spark):
+    rows = [(1, 0, "a", "one"), (1, 0, "b", "two"), (1, 0, "b", "two"), (1, 1, "a", "three"), (1, 1, "a", "four"), (None, 0, "a", "> two\nfive"), (1, None, "a", "six"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, MESSAGE)
+    got = quotes.link_rows(df.withColumn("text", F.when(F.col("turn") == 1, F.concat(F.lit("> two\n"), "text")).otherwise(F.col("text")))).collect()
+    assert sorted(r.body for r in got) == ["", "five", "four", "one", "six", "three", "two", "two"] and len({r.row for r in got}) == 8
+    assert all(r.parent_turn == (0 if r.body in ("three", "four") else None) for r in got) and sorted(r.position for r in got if r.position) == [1, 2, 3, 4, 5]
+    assert quotes.as_mail(df).count() == len(rows) == quotes.quotation_links(df).count()
+    assert {r.text for r in quotes.as_mail(df).where("conv_id = 1 AND turn = 1").collect()} == {"On turn 0, a wrote:\n> one\nthree", "On turn 0, a wrote:\n> one\nfour"}
+
+
 def test_segmentation_against_brute_force():
     pieces = sentencepiece_nbest.Pieces(open(sentencepiece_nbest.MODEL, "rb").read())
     rng = random.Random(4)

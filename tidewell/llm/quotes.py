@@ -42,72 +42,96 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(level, "\n".join(lines)) for level, lines, _ in passages]
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """messages with a row id, written so that it stays the same in all that follows; as they are if they have one."""
+    return messages if "row" in messages.columns else materialize(messages.withColumn("row", F.monotonically_increasing_id()))
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, body, body_key, passages) of each message; a null text counts as empty."""
+    """(row, conv_id, turn, role, tie, body, body_key, passages) of each message; a null text counts as empty.
+
+    tie is a hash of role and text.
+    """
 
     def make():
-        def step(convs, turns, roles, texts):
+        def step(rows, convs, turns, roles, ties, texts):
             got = [parse(t) for t in texts]
-            return convs, turns, roles, [b for b, _ in got], [passage_key(b) for b, _ in got], [[{"level": n, "key": k} for n, p in ps if (k := passage_key(p))] for _, ps in got]
+            passages = [[{"level": n, "key": k} for n, p in ps if (k := passage_key(p))] for _, ps in got]
+            return rows, convs, turns, roles, ties, [b for b, _ in got], [passage_key(b) for b, _ in got], passages
 
         return step
 
-    return map_rows(messages.select("conv_id", "turn", "role", "text"), make, "conv_id long, turn long, role string, body string, body_key string, passages array<struct<level:long,key:string>>")
+    rows = numbered(messages).select("row", "conv_id", "turn", "role", F.xxhash64("role", "text").alias("tie"), "text")
+    return map_rows(rows, make, "row long, conv_id long, turn long, role string, tie long, body string, body_key string, passages array<struct<level:long,key:string>>")
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, body, n_quotes, max_level, parent_conv, parent_turn, root_turn, depth, position) of each message.
+def link_rows(messages: DataFrame) -> DataFrame:
+    """(row, conv_id, turn, role, body, n_quotes, max_level, parent_conv, parent_turn, root_turn, depth, position) of each row of messages.
 
     The first passage of the lowest level whose key is that of a message's own text names the parent:
     within the conversation the first message of that text, if it came before; else the first such
     message of all others (least conv_id, then turn). Keys are reduced to one original before any
-    join, so a passage quoted by a third of all messages makes no pairs. root_turn and depth follow
-    parents within the conversation; position orders a conversation by depth, then turn. Messages
-    without a linked quote are roots. Rows of a null conv_id or turn are left out.
+    join, so a passage quoted by a third of all messages makes no pairs.
+
+    root_turn and depth follow parents within the conversation; position orders a conversation by
+    depth, then turn, then tie. Messages without a linked quote are roots. Repeats of (conv_id, turn) are
+    messages of their own: where several could be an original, that of the least hash of role and text is.
+    Rows of a null conv_id or turn come back without links and position.
     """
-    parsed = materialize(parse_messages(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")))
-    keyed = parsed.where("body_key IS NOT NULL")
-    in_conv = keyed.groupBy("conv_id", F.col("body_key").alias("key")).agg(F.min("turn").alias("own_turn"))
-    of_all = keyed.groupBy(F.col("body_key").alias("key")).agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    asked = parsed.select("conv_id", "turn", F.posexplode("passages").alias("nth", "p")).select("conv_id", "turn", "nth", "p.level", "p.key")
-    hit = asked.join(in_conv, ["conv_id", "key"], "left").withColumn("own_turn", F.when(F.col("own_turn") < F.col("turn"), F.col("own_turn")))
-    hit = hit.join(of_all, "key", "left")
+    parsed = materialize(parse_messages(messages))
+    placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    keyed = placed.where("body_key IS NOT NULL").select("conv_id", F.col("body_key").alias("key"), F.struct("turn", "tie", "row").alias("at"))
+    in_conv = keyed.groupBy("conv_id", "key").agg(F.min("at").alias("own"))
+    of_all = keyed.groupBy("key").agg(F.min(F.struct("conv_id", "at")).alias("first"))
+    asked = placed.select("row", "conv_id", "turn", F.posexplode("passages").alias("nth", "p")).select("row", "conv_id", "turn", "nth", "p.level", "p.key")
+    hit = asked.join(in_conv, ["conv_id", "key"], "left").join(of_all, "key", "left")
     other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
-    hit = hit.select("conv_id", "turn", "level", "nth", F.when(F.col("own_turn").isNotNull(), F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(other).alias("parent")).where("parent IS NOT NULL")
-    best = hit.groupBy("conv_id", "turn").agg(F.min_by("parent", F.struct("level", "nth")).alias("parent"))
-    quotes = F.size("passages").cast("long")
-    joined = parsed.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "body", quotes.alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level"))).alias("m")).join(best, ["conv_id", "turn"], "left")
-    linked = materialize(joined.select("conv_id", "turn", "m.*", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn")))
-    return _ordered(linked)
+    hit = hit.withColumn("found", F.when(F.col("own.turn") < F.col("turn"), F.struct("conv_id", F.col("own").alias("at"))).otherwise(other)).where("found IS NOT NULL")
+    best = hit.groupBy("row").agg(F.min_by("found", F.struct("level", "nth")).alias("parent"))
+    level = F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level")
+    linked = materialize(
+        parsed.join(best, "row", "left").select("row", "conv_id", "turn", "tie", "role", "body", F.size("passages").cast("long").alias("n_quotes"), level, F.col("parent.conv_id").alias("parent_conv"), F.col("parent.at.turn").alias("parent_turn"), F.col("parent.at.row").alias("to"))
+    )
+    return _ordered(linked).drop("tie", "to")
+
+
+def link_quotes(messages: DataFrame) -> DataFrame:
+    """link_rows of the distinct messages of a conv_id and turn that aren't null, without their row ids."""
+    return link_rows(messages.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()).drop("row")
 
 
 def _ordered(linked: DataFrame) -> DataFrame:
     """Adds root_turn, depth and position. Each round doubles how far a message's root is followed, for those whose root isn't reached yet."""
-    inside = F.col("parent_conv") == F.col("conv_id")
-    going = materialize(linked.select("conv_id", "turn", F.when(inside, F.col("parent_turn")).otherwise(F.col("turn")).alias("root"), F.when(inside, 1).otherwise(0).cast("long").alias("depth")))
+    inside = F.coalesce(F.col("parent_conv") == F.col("conv_id"), F.lit(False))
+    going = materialize(linked.select("row", F.when(inside, F.col("to")).otherwise(F.col("row")).alias("root"), F.when(inside, F.col("parent_turn")).otherwise(F.col("turn")).alias("root_turn"), F.when(inside, 1).otherwise(0).cast("long").alias("depth")))
     done = None
     while True:
         at = going if done is None else going.unionByName(done)
-        up = at.where("depth > 0").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        new = materialize(going.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        up = at.where("depth > 0").select(F.col("row").alias("root"), F.col("root").alias("next"), F.col("root_turn").alias("next_turn"), F.col("depth").alias("more"))
+        new = materialize(going.join(up, "root", "left").select("row", F.coalesce("next", "root").alias("root"), F.coalesce("next_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
         reached = new.where("NOT moved").drop("moved")
         done = reached if done is None else done.unionByName(reached)
         going = new.where("moved").drop("moved")
         if going.limit(1).count() == 0:
             break
-    order = Window.partitionBy("conv_id").orderBy("depth", "turn")
-    return linked.join(done.select("conv_id", "turn", F.col("root").alias("root_turn"), "depth"), ["conv_id", "turn"]).withColumn("position", F.row_number().over(order).cast("long"))
+    order = Window.partitionBy("conv_id", F.col("turn").isNull()).orderBy("depth", "turn", "tie", "row")
+    place = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.row_number().over(order)).cast("long")
+    return linked.join(done.drop("root"), "row").withColumn("position", place)
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """Conversations as mail threads: each message quotes the one before it, and that one's own quote a level deeper."""
-    own = conversations.select("conv_id", "turn", "role", F.col("text").alias("said"))
-    back = lambda k: own.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(f"said_{k}"), F.col("role").alias(f"role_{k}"))
+    """Conversations as mail threads: each message quotes the one before it, and that one's own quote a level deeper.
+
+    One row for each row. Of several messages of a (conv_id, turn), the one of the least text, then role, is quoted.
+    """
+    own = numbered(conversations).select("row", "conv_id", "turn", "role", F.col("text").alias("said"))
+    one = own.where("conv_id IS NOT NULL AND turn IS NOT NULL AND said IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("said", "role")).alias("m"))
+    back = lambda k: one.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("m.said").alias(f"said_{k}"), F.col("m.role").alias(f"role_{k}"))
     quote = lambda col, mark: F.concat(F.lit(mark), F.replace(F.col(col), F.lit("\n"), F.lit("\n" + mark)))
     joined = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     head = F.concat(F.lit("On turn "), F.col("turn") - 1, F.lit(", "), F.coalesce("role_1", F.lit("someone")), F.lit(" wrote:\n"))
     text = F.when(F.col("said_1").isNull(), F.col("said")).otherwise(F.concat(head, F.when(F.col("said_2").isNotNull(), F.concat(quote("said_2", "> > "), F.lit("\n"))).otherwise(""), quote("said_1", "> "), F.lit("\n"), F.coalesce("said", F.lit(""))))
-    return joined.select("conv_id", "turn", "role", text.alias("text"))
+    return joined.select("row", "conv_id", "turn", "role", text.alias("text"))
 
 
 QUOTES_SQL = """
@@ -120,4 +144,4 @@ SELECT conv_id, turn, role, sha256(text) AS body_sha256, quotes AS n_quotes, quo
 
 def quotation_links(conversations: DataFrame) -> DataFrame:
     """The links of conversations written as mail, which the operator has to find again from the quotes alone."""
-    return link_quotes(as_mail(conversations)).select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quotes", "max_level", "parent_turn")
+    return link_rows(as_mail(conversations)).select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quotes", "max_level", "parent_turn")
