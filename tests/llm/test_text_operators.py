@@ -213,6 +213,17 @@ def test_quotes_nest_and_link(spark):
 MESSAGE = "conv_id long, turn long, role string, text string"
 
 
+def test_quotes_of_parts_and_of_several_messages(spark):
+    rows = [
+        (1, 0, "a", "First line\nsecond line\n\nAnother paragraph\nof two"), (1, 1, "b", "Something else"), (1, 2, "a", "> second line\nyes"), (1, 3, "b", "> another paragraph\n> of two\nyes indeed"),
+        (1, 4, "a", "> Something else\nand\n> second line\nboth"), (1, 5, "b", "> second line\n> nowhere\npart of it"), (1, 6, "a", "> Later text\nquoted before it was said"), (1, 7, "b", "Later text"), (2, 9, "b", "later text"),
+    ]
+    got = {r.turn: r for r in quotes.link_rows(spark.createDataFrame(rows, MESSAGE)).where("conv_id = 1").collect()}
+    to = {t: [(x.conv_id, x.turn) for x in r.links] for t, r in got.items()}
+    assert to == {0: [], 1: [], 2: [(1, 0)], 3: [(1, 0)], 4: [(1, 1), (1, 0)], 5: [(1, 0)], 6: [(2, 9)], 7: []}
+    assert (got[4].parent_turn, got[5].links[0].part, got[6].parent_conv, got[6].depth) == (1, 1, 2, 0)
+
+
 def test_quotes_keep_every_row(spark):
     rows = [(1, 0, "a", "one"), (1, 0, "b", "two"), (1, 0, "b", "two"), (1, 1, "a", "three"), (1, 1, "a", "four"), (None, 0, "a", "> two\nfive"), (1, None, "a", "six"), (None, None, None, None)]
     df = spark.createDataFrame(rows, MESSAGE)

@@ -42,36 +42,65 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(level, "\n".join(lines)) for level, lines, _ in passages]
 
 
+def part_keys(text: str) -> list[str]:
+    """Keys of the paragraphs and lines of a text, each once, without that of the whole."""
+    found = dict.fromkeys(passage_key(p) for p in [*re.split(r"\n\s*\n", text), *text.split("\n")])
+    return [k for k in found if k and k != passage_key(text)]
+
+
 def numbered(messages: DataFrame) -> DataFrame:
     """messages with a row id, written so that it stays the same in all that follows; as they are if they have one."""
     return messages if "row" in messages.columns else materialize(messages.withColumn("row", F.monotonically_increasing_id()))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """(row, conv_id, turn, role, tie, body, body_key, passages) of each message; a null text counts as empty.
+    """(row, conv_id, turn, role, tie, body, body_key, parts, passages) of each message; a null text counts as empty.
 
-    tie is a hash of role and text.
+    parts are the keys of the body's paragraphs and lines, a passage's parts those of its own. tie is a hash of role and text.
     """
 
     def make():
         def step(rows, convs, turns, roles, ties, texts):
             got = [parse(t) for t in texts]
-            passages = [[{"level": n, "key": k} for n, p in ps if (k := passage_key(p))] for _, ps in got]
-            return rows, convs, turns, roles, ties, [b for b, _ in got], [passage_key(b) for b, _ in got], passages
+            passages = [[{"level": n, "key": k, "parts": part_keys(p)} for n, p in ps if (k := passage_key(p))] for _, ps in got]
+            return rows, convs, turns, roles, ties, [b for b, _ in got], [passage_key(b) for b, _ in got], [part_keys(b) for b, _ in got], passages
 
         return step
 
     rows = numbered(messages).select("row", "conv_id", "turn", "role", F.xxhash64("role", "text").alias("tie"), "text")
-    return map_rows(rows, make, "row long, conv_id long, turn long, role string, tie long, body string, body_key string, passages array<struct<level:long,key:string>>")
+    return map_rows(rows, make, "row long, conv_id long, turn long, role string, tie long, body string, body_key string, parts array<string>, passages array<struct<level:long,key:string,parts:array<string>>>")
+
+
+def _originals(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first message of each key: of (conv_id, key), as whole and piece; and of key, as `others`, those of the two least conv_ids for each of both."""
+    keys = F.concat(F.array(F.struct(F.col("body_key").alias("key"), F.lit(0).alias("kind"))), F.transform("parts", lambda k: F.struct(k.alias("key"), F.lit(1).alias("kind"))))
+    keyed = parsed.where("body_key IS NOT NULL").select("conv_id", F.struct("turn", "tie", "row").alias("at"), F.explode(keys).alias("k")).select("conv_id", "at", "k.key", "k.kind")
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
+    in_conv = materialize(keyed.groupBy("conv_id", "key").agg(first(0).alias("whole"), first(1).alias("piece")))
+    each = in_conv.select("key", "conv_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("whole").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("piece").alias("at")))).alias("x")).where("x.at IS NOT NULL").select("key", "x.kind", "conv_id", "x.at")
+    least = each.withColumn("_n", F.row_number().over(Window.partitionBy("key", "kind").orderBy("conv_id"))).where("_n <= 2")  # limited to two before the shuffle, too
+    return in_conv, least.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "conv_id", "at"))).alias("others"))
+
+
+def _find(asked: DataFrame, in_conv: DataFrame, of_all: DataFrame) -> DataFrame:
+    """asked with the message that its key names, as `found`; without the rows whose key names none."""
+    before = lambda c: F.when(F.col(f"{c}.turn") < F.col("turn"), F.struct("conv_id", F.col(c).alias("at")))
+    own = asked.join(in_conv, ["conv_id", "key"], "left").withColumn("own", F.coalesce(before("whole"), before("piece"))).drop("whole", "piece")
+    other = F.get(F.filter("others", lambda o: o["conv_id"] != F.col("conv_id")), F.lit(0))
+    found = F.coalesce("own", F.when(other.isNotNull(), F.struct(other["conv_id"].alias("conv_id"), other["at"].alias("at"))))
+    return own.join(of_all, "key", "left").withColumn("found", found).where("found IS NOT NULL").select(*asked.columns, "found")
 
 
 def link_rows(messages: DataFrame) -> DataFrame:
-    """(row, conv_id, turn, role, body, n_quotes, max_level, parent_conv, parent_turn, root_turn, depth, position) of each row of messages.
+    """(row, conv_id, turn, role, body, n_quotes, max_level, links, parent_conv, parent_turn, root_turn, depth, position) of each row of messages.
 
-    The first passage of the lowest level whose key is that of a message's own text names the parent:
-    within the conversation the first message of that text, if it came before; else the first such
-    message of all others (least conv_id, then turn). Keys are reduced to one original before any
-    join, so a passage quoted by a third of all messages makes no pairs.
+    A passage names an original by the key of its whole text: within the conversation the first earlier
+    message of that own text, else the first earlier one with such a paragraph or line; else, of all
+    others, the first message of the least conv_id, whole texts before parts. A passage that names none
+    that way is asked for again by its own paragraphs and lines. links holds all (level, nth, part, conv_id,
+    turn) in order, part 0 being the passage as a whole; the first of the lowest level is the parent. Keys are
+    reduced to one original for each conversation and two of all before any join, so a passage quoted
+    by a third of all messages makes no pairs.
 
     root_turn and depth follow parents within the conversation; position orders a conversation by
     depth, then turn, then tie. Messages without a linked quote are roots. Repeats of (conv_id, turn) are
@@ -80,17 +109,19 @@ def link_rows(messages: DataFrame) -> DataFrame:
     """
     parsed = materialize(parse_messages(messages))
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    keyed = placed.where("body_key IS NOT NULL").select("conv_id", F.col("body_key").alias("key"), F.struct("turn", "tie", "row").alias("at"))
-    in_conv = keyed.groupBy("conv_id", "key").agg(F.min("at").alias("own"))
-    of_all = keyed.groupBy("key").agg(F.min(F.struct("conv_id", "at")).alias("first"))
-    asked = placed.select("row", "conv_id", "turn", F.posexplode("passages").alias("nth", "p")).select("row", "conv_id", "turn", "nth", "p.level", "p.key")
-    hit = asked.join(in_conv, ["conv_id", "key"], "left").join(of_all, "key", "left")
-    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
-    hit = hit.withColumn("found", F.when(F.col("own.turn") < F.col("turn"), F.struct("conv_id", F.col("own").alias("at"))).otherwise(other)).where("found IS NOT NULL")
-    best = hit.groupBy("row").agg(F.min_by("found", F.struct("level", "nth")).alias("parent"))
+    in_conv, of_all = _originals(placed)
+    asked = placed.select("row", "conv_id", "turn", F.posexplode("passages").alias("nth", "p")).select("row", "conv_id", "turn", "nth", "p.level", F.lit(0).alias("part"), "p.key", "p.parts")
+    whole = materialize(_find(asked.drop("parts"), in_conv, of_all))
+    parts = asked.where(F.size("parts") > 0).join(whole.select("row", "nth"), ["row", "nth"], "left_anti").select("row", "conv_id", "turn", "nth", "level", F.posexplode("parts").alias("at", "key"))
+    parts = parts.select("row", "conv_id", "turn", "nth", "level", (F.col("at") + 1).alias("part"), "key")
+    hit = whole.unionByName(_find(parts, in_conv, of_all))
+    one = F.struct("level", "nth", "part", F.col("found.conv_id").alias("conv_id"), F.col("found.at.turn").alias("turn"), F.col("found.at.row").alias("to"))
+    best = hit.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"))
+    parent = F.get("found", F.lit(0))
+    links = F.transform(F.coalesce("found", F.array().cast("array<struct<level:long,nth:int,part:int,conv_id:long,turn:long,to:long>>")), lambda x: x.dropFields("to"))
     level = F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level")
     linked = materialize(
-        parsed.join(best, "row", "left").select("row", "conv_id", "turn", "tie", "role", "body", F.size("passages").cast("long").alias("n_quotes"), level, F.col("parent.conv_id").alias("parent_conv"), F.col("parent.at.turn").alias("parent_turn"), F.col("parent.at.row").alias("to"))
+        parsed.join(best, "row", "left").select("row", "conv_id", "turn", "tie", "role", "body", F.size("passages").cast("long").alias("n_quotes"), level, links.alias("links"), parent["conv_id"].alias("parent_conv"), parent["turn"].alias("parent_turn"), parent["to"].alias("to"))
     )
     return _ordered(linked).drop("tie", "to")
 
