@@ -213,6 +213,18 @@ def test_quotes_nest_and_link(spark):
 MESSAGE = "conv_id long, turn long, role string, text string"
 
 
+def test_places_by_buckets(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.randrange(-40, 400), rng.randrange(9), rng.randrange(3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "row long, conv_id long, turn long, depth long, tie long")
+    want = {}
+    for conv in (1, 2):
+        want |= {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[1] == conv), key=lambda r: (r[3], r[2], r[4], r[0])), 1)}
+    for least in (10, 10**6):
+        got = quotes._placed(df, least, 7).collect()
+        assert len(got) == len(rows) and all(r.position == want.get(r.row) for r in got)
+
+
 def test_quotes_of_parts_and_of_several_messages(spark):
     rows = [
         (1, 0, "a", "First line\nsecond line\n\nAnother paragraph\nof two"), (1, 1, "b", "Something else"), (1, 2, "a", "> second line\nyes"), (1, 3, "b", "> another paragraph\n> of two\nyes indeed"),

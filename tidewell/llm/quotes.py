@@ -145,9 +145,29 @@ def _ordered(linked: DataFrame) -> DataFrame:
         going = new.where("moved").drop("moved")
         if going.limit(1).count() == 0:
             break
-    order = Window.partitionBy("conv_id", F.col("turn").isNull()).orderBy("depth", "turn", "tie", "row")
-    place = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.row_number().over(order)).cast("long")
-    return linked.join(done.drop("root"), "row").withColumn("position", place)
+    return _placed(linked.join(done.drop("root"), "row"))
+
+
+def _placed(rows: DataFrame, least: int = 500, buckets: int = 64) -> DataFrame:
+    """Adds position, the place from 1 of a row in its conversation by depth, turn, tie and row.
+
+    A conversation of more than `least` rows and of more than 1 in 4,096 of all is cut into buckets at
+    approximate quantiles and each bucket is ordered by itself, so no task sorts a large conversation;
+    where the cuts lie doesn't change the result. Tables of those conversations are small and broadcast.
+    """
+    rows = materialize(rows)
+    coarse = F.col("depth") * F.lit(2.0**33) + F.greatest(F.least(F.col("turn").cast("double"), F.lit(2.0**32)), F.lit(-(2.0**32)))  # never falls in the order
+    usable = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    large = rows.where(usable).groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, rows.count() // 4096)).select("conv_id")
+    edges = rows.where(usable).join(F.broadcast(large), "conv_id").groupBy("conv_id").agg(F.percentile_approx(coarse, [i / buckets for i in range(1, buckets)], 1000).alias("_e"))
+    cut = rows.join(F.broadcast(materialize(edges)), "conv_id", "left").withColumn("_b", F.coalesce(F.size(F.filter("_e", lambda e: e < coarse)), F.lit(0)))
+    sums = cut.where("_e IS NOT NULL").groupBy("conv_id", "_b").agg(F.count("*").alias("_n"))
+    before = sums.select("conv_id", "_b", F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
+    # A null conv_id or turn has no place; its row id keeps such rows from meeting in one task.
+    alone = F.when(usable, F.lit(None)).otherwise(F.col("row"))
+    inner = Window.partitionBy("conv_id", "_b", "_a").orderBy("depth", "turn", "tie", "row")
+    place = F.when(usable, F.coalesce("_o", F.lit(0)) + F.row_number().over(inner)).cast("long")
+    return cut.drop("_e").join(F.broadcast(before), ["conv_id", "_b"], "left").withColumn("_a", alone).withColumn("position", place).drop("_b", "_o", "_a")
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
@@ -173,6 +193,18 @@ d AS (SELECT n.conv_id, n.turn, n.role, n.text, p.parent_turn, (SELECT count(*)
 SELECT conv_id, turn, role, sha256(text) AS body_sha256, quotes AS n_quotes, quotes AS max_level, parent_turn FROM d"""
 
 
+#: The links of QUOTES_SQL with roots, depths and places by recursion over parents.
+THREADS_SQL = QUOTES_SQL.replace("\nWITH n AS", "\nWITH RECURSIVE n AS").rpartition("\nSELECT conv_id, turn")[0] + """,
+t AS (SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM d WHERE parent_turn IS NULL UNION ALL SELECT d.conv_id, d.turn, t.root_turn, t.depth + 1 FROM d JOIN t ON d.conv_id = t.conv_id AND d.parent_turn = t.turn)
+SELECT conv_id, turn, role, sha256(text) AS body_sha256, quotes AS n_quotes, quotes AS max_level, quotes AS n_links, CASE WHEN parent_turn IS NOT NULL THEN conv_id END AS parent_conv, parent_turn, root_turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn) AS position
+FROM d JOIN t USING (conv_id, turn)"""
+
+
+def quotation_threads(conversations: DataFrame) -> DataFrame:
+    """The links, roots, depths and places of conversations written as mail, which the operator has to find again from the quotes alone."""
+    return link_rows(as_mail(conversations)).select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quotes", "max_level", F.size("links").cast("long").alias("n_links"), "parent_conv", "parent_turn", "root_turn", "depth", "position")
+
+
 def quotation_links(conversations: DataFrame) -> DataFrame:
-    """The links of conversations written as mail, which the operator has to find again from the quotes alone."""
-    return link_rows(as_mail(conversations)).select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quotes", "max_level", "parent_turn")
+    """quotation_threads without what orders a conversation."""
+    return quotation_threads(conversations).select("conv_id", "turn", "role", "body_sha256", "n_quotes", "max_level", "parent_turn")
