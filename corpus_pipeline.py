@@ -20,8 +20,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows of which test items cover a twentieth of the words or more; the rest stays as it is."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drops rows of which test items cover a twentieth of the words or more; cuts spans of more than 13 words from the others."""
+    return decontam.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,33 @@ def test_decontamination_in_shards(spark, docs):
     assert not any(r.contaminated for r in decontam.contamination(docs, none).collect())
 
 
+def test_long_spans_are_cut(spark):
+    rng = random.Random(6)
+    item = [f"t{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "é ü" * 3 + " " + " ".join(f"s{i}" for i in range(15)))], "item_id long, text string")
+    rows = [(i, ", ".join([*(f"é{rng.random()}x" for _ in range(600)), *item[:n], *(f"ü{k}" for k in range(600))])) for i, n in enumerate([0, 12, 13, 14, 40, 60])]
+    rows.append((6, " ".join([*(f"f{k}" for k in range(900)), *item[:9], *(f"s{i}" for i in range(15)), *item[9:30], "end"])))  # the cut brings a new span together
+    rows.append((7, None))
+    docs = spark.createDataFrame([(i, t, -1) for i, t in rows], "doc_id long, text string, n_chars long")
+    grams = {tuple(w[k : k + 13]) for w in (decontam.words(r.text) for r in bench.collect()) for k in range(len(w) - 12)}
+
+    def brute(text):
+        while True:
+            w = decontam.words(text)
+            hit = sorted({p for k in range(len(w) - 12) if tuple(w[k : k + 13]) in grams for p in range(k, k + 13)})
+            runs = [r for r in "".join("x" if k in set(hit) else " " for k in range(len(w))).split() if len(r) > 13]
+            if not runs:
+                return w
+            long = {p for p in hit if any(set(range(s, s + 14)) <= set(hit) and s <= p <= s + 13 for s in range(p - 13, p + 1))}
+            text = " ".join(x.decode() for k, x in enumerate(w) if k not in long)
+
+    got = {r.doc_id: r for r in decontam.remove_contamination(docs, bench).collect()}
+    assert set(got) == set(range(8)) and all(decontam.words(got[i].text) == brute(t or "") for i, t in rows)
+    assert [got[i].text == t for i, t in rows] == [True, True, True, False, False, False, False, True]
+    assert all(r.n_chars == (-1 if r.text == dict(rows)[i] else len(r.text)) for i, r in got.items())
+    assert {r.doc_id: r.text for r in decontam.drop_contaminated(docs, bench).collect()} == dict(rows)
+
+
 def test_license_scan(spark, docs):
     notice = license_scan.TEMPLATES["mit-grant"]
     extra = spark.createDataFrame([(50, "foo " * 200 + notice + " bar" * 100), (51, "released UNDER the  mit license"), (52, "mit license released under")], "doc_id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
+    """text without the words of the ranges (start, end exclusive; in order), from a range's first character to its last.
+
+    Words begin and end beside ASCII, so cuts of bytes never split a character.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_FOLD))]
+    out, done = [], 0
+    for s, e in ranges:
+        out.append(raw[done : at[s][0]])
+        done = at[e - 1][1]
+    return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
+
+
 class Automaton:
     """Generalised suffix automaton of items' words.
 
@@ -192,25 +207,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = 20) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = 20, window: int = WINDOW) -> DataFrame:
-    """docs without the rows whose hit words reach 1 in `coverage`; all other rows stay as they are.
+    """docs without the rows whose hit words reach 1 in `coverage`; all other rows stay as they are."""
+    return remove_contamination(docs, benchmark, coverage, None, window)
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = 20, limit: int | None = WINDOW, window: int = WINDOW) -> DataFrame:
+    """docs without the rows whose hit words reach 1 in `coverage`, and without the spans of more than `limit` words in the texts of others.
 
-    The test runs beside the row, on Arrow batches, so texts aren't shuffled.
+    Where a cut brings words together that make a new span, that is cut too, or the row dropped if it then reaches the
+    coverage; n_chars follows. A limit of None cuts nothing. The test runs beside the row, on Arrow batches, so texts aren't shuffled.
     """
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     held = automata(benchmark, window, SHARD_CHARS)
 
     def make():
         autos = [h.value for h in held]
 
-        def bad(text):
-            tokens = words(text)
-            n = sum(e - s for s, e in merge([x for a in autos for x in a.scan(tokens)[0]]))
-            return n > 0 and coverage * n >= len(tokens)
+        def clean(text):
+            """(whether the row stays, its text)"""
+            while True:
+                tokens = words(text)
+                spans = merge([x for a in autos for x in a.scan(tokens)[0]])
+                n = sum(e - s for s, e in spans)
+                if n > 0 and coverage * n >= len(tokens):
+                    return False, None
+                long = [(s, e) for s, e in spans if limit is not None and e - s > limit]
+                if not long:
+                    return True, text
+                text = cut_words(text, long)
 
         def step(*cols):
-            keep = [not bad(t) for t in cols[at]]
-            return [[x for x, k in zip(c, keep, strict=True) if k] for c in cols]
+            got = [clean(t) for t in cols[at]]
+            cols = list(cols)
+            if size is not None:
+                cols[size] = [len(new) if keep and new != old else c for c, old, (keep, new) in zip(cols[size], cols[at], got, strict=True)]
+            cols[at] = [x for _, x in got]
+            return [[x for x, (k, _) in zip(c, got, strict=True) if k] for c in cols]
 
         return step
 
