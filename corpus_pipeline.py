@@ -15,7 +15,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the least doc_id of each component; rows of a null doc_id stay."""
+    """Keeps one row of each component: that of the least doc_id, then of the least digest; a null doc_id comes last."""
     return simhash.keep_first(docs)
 
 

@@ -367,6 +367,14 @@ def test_near_duplicates_of_awkward_rows(spark, docs):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = lambda seed: " ".join(random.Random(seed).choice("abcdefghijklmnop") * 3 for _ in range(60))
+    x, y, z, w = map(text, range(4))
+    rows = [(3, y, "a"), (5, x, "a"), (5, y, "a"), (5, x, "a"), (5, x, "b"), (None, x, "a"), (None, z, "a"), (None, z, "a"), (7, w, "a"), (7, w, "a"), (7, w, "a")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", y), ("5", x), ("None", z), ("7", w)])
+
+
 def test_token_counts(spark, docs):
     import base64
 

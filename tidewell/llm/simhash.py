@@ -152,6 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct, a row for each fp, with the root of its component."""
+    roots = components(links(distinct, radius))
+    return materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs.
 
@@ -160,17 +166,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     such rows alone has a null one. Null and empty texts share fingerprint zero.
     """
     own = materialize(fingerprints(docs))
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, radius))
-    linked = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    linked = materialize(linked)
+    linked = _rooted(materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), radius)
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = linked.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id. Rows of a null doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of its least doc_id, and of several such rows the one of the least digest.
+
+    The digest is SHA-256 of the row as JSON, so rows of one digest are alike in every column and one of
+    them stays. A null doc_id comes after all others: such rows stay only where no other is near.
+    """
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    own = materialize(fingerprints(docs.select(F.struct("doc_id", digest.alias("digest")).alias("at"), "text"), "at"))
+    order = F.struct(F.col("at.doc_id").isNull().alias("last"), F.col("at.doc_id").alias("doc_id"), F.col("at.digest").alias("digest"))
+    linked = _rooted(materialize(own.groupBy("fp").agg(F.min(order).alias("first"))), radius)
+    kept = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.digest").alias("_row_digest"))
+    return docs.withColumn("_row_digest", digest).join(kept, "_row_digest", "left_semi").dropDuplicates(["_row_digest"]).select(*docs.columns)
