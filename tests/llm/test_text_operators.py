@@ -335,8 +335,10 @@ def components_brute(fps, radius):
     return {f: find(f) for f in fps}
 
 
-def test_links_lose_none(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+@pytest.mark.parametrize("sizes", [(16, 64), (2, 2)])
+def test_links_lose_none(spark, monkeypatch, sizes):
+    monkeypatch.setattr(simhash, "BLOCK", sizes[0])
+    monkeypatch.setattr(simhash, "GROUP", sizes[1])
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(60)]
     fps = set(seeds)
@@ -399,6 +401,21 @@ def test_token_counts(spark, docs):
     assert token_counts.section_rows(token_counts.token_counts(more.where("doc_id = 300"))).count() == 5
 
 
+def test_long_whitespace_keeps_tokens():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "B", " ", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "1", ".", "'s", "é"]) * rng.randint(1, 4) for _ in range(rng.randint(0, 20)))
+        assert token_counts.encode(enc, t, rng.choice([2, 3, 5])) == enc.encode_ordinary(t)
+    assert token_counts.encode(enc, " " * 3_000_000) == [ranks[b" "]] * 3_000_000
+    assert len(token_counts.encode(enc, "a" + "\n" * 2_000_000 + " b")) < 2_000_000
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

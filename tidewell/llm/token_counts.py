@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +15,27 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The pattern's engine fails on much longer runs of whitespace, so those are cut out first. Fixed value: the characters its \s stands for.
+LONGEST_RUN = 100_000
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def encode(enc, text: str, longest: int = LONGEST_RUN) -> list[int]:
+    """Token ids of a text of any length.
+
+    The pattern takes a run of whitespace at the end of the text as one piece, and one before other characters without its
+    last; nothing before a run belongs to it. So a long run is encoded by itself without changing any token.
+    """
+    if len(text) < longest:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in re.finditer(f"[{WHITE}]{{{longest},}}", text):
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
 
 def line_sections(text: str) -> list[int]:
     """Ends of lines, in characters; a line's newline belongs to it, and text behind the last newline is a line."""
@@ -54,7 +76,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     """(id, n_tokens, n_crossing, sections array of (end, n_tokens)) of each row.
 
     sections(text) gives the ends of a text's sections in characters, rising to its length. Null and
-    empty texts have no tokens and no sections. The vocabulary file is read by the driver and sent on.
+    empty texts have no tokens and no sections; whitespace counts like other characters. Rows may repeat, ids
+    may repeat or be null: each row comes back with its id. The vocabulary file is read by the driver and sent on.
     """
     with open(vocabulary, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -71,7 +94,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
         def one(text):
             if not text:
                 return 0, 0, []
-            ids = np.asarray(enc.encode_ordinary(text))
+            ids = np.asarray(encode(enc, text))
             ends = sections(text)
             counts, crossing = allot(*token_spans(text, width[ids]), ends)
             return len(ids), crossing, [{"end": e, "n_tokens": n} for e, n in zip(ends, counts.tolist(), strict=True)]
