@@ -15,6 +15,8 @@ from tidewell.llm.common import map_rows, materialize
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: A fingerprint's tile is the bit count of each of its PARTS equal parts; a tile's blocks hold about BLOCK fingerprints.
 PARTS, BLOCK = 4, 1024
+#: A task compares the pairs of two groups of blocks, of so many blocks each, however large a tile is.
+GROUP = 64
 #: Shingles hashed together.
 STEP = 255 * 64
 
@@ -97,21 +99,28 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Each fingerprint goes to a tile by the bit counts of its parts. Two fingerprints within radius
     differ by radius at most in the sum over parts of the differences of those counts, so other tile
-    pairs are skipped and none is lost. Tiles are cut into blocks by a hash, so no task holds a whole
-    tile; every pair of blocks of near tiles is compared in full by exclusive-or and bit count.
+    pairs are skipped and none is lost. Tiles are cut into blocks by a hash and blocks into groups, so no
+    task holds a whole tile or all pairs of one: the pairs of a tile are dealt by (tile, its group, group of
+    the near tile), and every pair of blocks of near tiles is compared in full by exclusive-or and bit count.
     """
     keyed = fps.select("fp", tile_key(F.col("fp")).alias("tile"))
-    counts = keyed.groupBy("tile").agg(F.count("*").alias("n"))  # (64 / PARTS + 1) ** PARTS = 83,521 rows at most, so it is broadcast
+    counts = materialize(keyed.groupBy("tile").agg(F.count("*").alias("n")))  # (64 / PARTS + 1) ** PARTS = 83,521 rows at most, so it is broadcast
     blocks = (
         keyed.join(F.broadcast(counts), "tile")
         .groupBy("tile", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).alias("block"))
         .agg(F.collect_list("fp").alias("fps"))
     )
-    blocks = materialize(blocks)
-    there = F.broadcast(counts.select(F.col("tile").alias("other")))
-    left = blocks.select("tile", "block", F.col("fps").alias("a"), F.explode(F.array(*[F.lit(x).cast("long") for x in near_tiles(radius)])).alias("step")).withColumn("other", F.col("tile") + F.col("step")).join(there, "other")
-    right = blocks.select(F.col("tile").alias("other"), F.col("block").alias("other_block"), F.col("fps").alias("b"))
-    pairs = left.join(right, "other").where((F.col("step") != 0) | (F.col("block") <= F.col("other_block"))).select("a", "b")
+    blocks = materialize(blocks.withColumn("group", F.floor(F.col("block") / GROUP)))
+    steps = F.explode(F.array(*[F.lit(x).cast("long") for x in near_tiles(radius)]))
+    groups = counts.select("tile", F.ceil(F.ceil(F.col("n") / BLOCK) / GROUP).alias("groups"))
+    near = groups.select("groups", "tile", steps.alias("step")).groupBy((F.col("tile") + F.col("step")).alias("other")).agg(F.max("groups").alias("met"))
+    there = F.broadcast(materialize(groups.withColumnRenamed("tile", "other").join(near, "other")))  # a row for each tile
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = blocks.select("tile", "block", F.col("group").alias("own_group"), F.col("fps").alias("a"), steps.alias("step")).withColumn("other", F.col("tile") + F.col("step"))
+    left = left.join(there.drop("met"), "other").withColumn("group", each("groups"))
+    right = blocks.select(F.col("tile").alias("other"), F.col("block").alias("other_block"), "group", F.col("fps").alias("b"))
+    right = right.join(there.drop("groups"), "other").withColumn("own_group", each("met"))
+    pairs = left.join(right, ["other", "group", "own_group"]).where((F.col("step") != 0) | (F.col("block") <= F.col("other_block"))).select("a", "b")
 
     def compare(batches):
         for batch in batches:
