@@ -106,6 +106,8 @@ def test_decontamination_in_shards(spark, docs):
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100, "x " + " ".join(f"w{i}" for i in range(2, 16)) + " y"), (101, "A Tiny, ONE b")], "doc_id long, text string"))
     whole, parts = (decontam.match_benchmark(more, bench, shard_chars=n) for n in (10**6, 30))
     assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    parts = {r.item_id for r in bench.where("item_id IS NOT NULL AND text IS NOT NULL").collect()}
+    assert len(parts) == 2 and decontam.automata(bench, 13, 10**6, 14)[0].count() == 1
     got = by_id(decontam.contamination(more, bench))
     assert (got[100][0].n_hit, got[100][0].n_items) == (14, 1) and (got[101][0].n_hit, got[101][0].contaminated) == (2, True)
     assert {r.doc_id for r in decontam.drop_contaminated(more, bench).collect()} == {r.doc_id for r in more.collect()} - {100, 101}
@@ -134,6 +136,7 @@ def test_long_spans_are_cut(spark):
             text = " ".join(x.decode() for k, x in enumerate(w) if k not in long)
 
     got = {r.doc_id: r for r in decontam.remove_contamination(docs, bench).collect()}
+    assert got == {r.doc_id: r for r in decontam.remove_contamination(docs, bench, shard_chars=90).collect()}
     assert set(got) == set(range(8)) and all(decontam.words(got[i].text) == brute(t or "") for i, t in rows)
     assert [got[i].text == t for i, t in rows] == [True, True, True, False, False, False, False, True]
     assert all(r.n_chars == (-1 if r.text == dict(rows)[i] else len(r.text)) for i, r in got.items())
@@ -194,6 +197,43 @@ def test_language_of_awkward_rows(spark, docs):
     assert all(0 <= r.score <= 1 for rows in got.values() for r in rows)
     nothing = langid.language(docs.where("lang = 'none'"))
     assert nothing.count() == 0
+    unlearnt = langid.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(unlearnt) == len(got[None]) + sum(len(v) for k, v in got.items() if k is not None) and {r.lang_pred for r in unlearnt} == {"und"}
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["²½", "Ⅷ①", "12 !", "é", "²a"])], "doc_id long, text string")
+    model = langid.learn(spark.createDataFrame([(1, "abc é", "x"), (2, "xyz", "y")], "doc_id long, text string, lang string"))
+    assert [r.lang_pred != "und" for r in langid.predict(signs, model).orderBy("doc_id").collect()] == [False, False, False, True, True]
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Naive Bayes over n-grams counted one by one, for all texts, in pieces and batches of any size."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in d.collect() if r.text is not None and r.lang is not None]
+
+    def keys(text):
+        c = "".join(x if x.isalpha() else " " for x in text.lower())
+        c = "  " + re.sub("^ +", "", re.sub(" +", " ", c))
+        for i in range(2, len(c)):
+            h = 0
+            for n in langid.ORDERS:
+                h = (h + ord(c[i + 1 - n]) * ((n * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1)) % 2**64
+                yield (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 64 - langid.BITS
+
+    langs = sorted({r.lang for r in rows})
+    counts, prior = {x: np.full(1 << langid.BITS, 0.5) for x in langs}, {x: 0 for x in langs}
+    for r in rows:
+        prior[r.lang] += 1
+        for k in keys(r.text):
+            counts[r.lang][k] += 1
+    logs = {x: np.log(c / c.sum()) for x, c in counts.items()}
+    model = langid.learn(d)
+    few = [r.text for r in rows[:60]] + [" " * 300 + rows[0].text]
+    for piece, together in ((langid.PIECE, langid.TOGETHER), (50, 200)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        for t, lang, score in zip(few, *langid.posteriors(few, model[0], model[1].T, model[2]), strict=True):
+            at = list(keys(t))
+            x = np.array([np.log(prior[k] / len(rows)) + logs[k][at].sum() for k in langs])
+            assert not any(map(str.isalpha, t)) or (lang == langs[int(x.argmax())] and abs(score - 1 / np.exp(x - x.max()).sum()) < 1e-3)
 
 
 def test_toxicity_folds_and_exceptions():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lowers the session's bounds of Arrow batches where they are higher; they hold when a plan runs, so they stay lowered."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
@@ -47,18 +51,23 @@ def map_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of this process where that is unset (local runs)."""
+    """This application's folder in spark.checkpoint.dir. Where that is unset a local session gets a temporary one; a cluster raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later jobs start from files that outlive executors."""
+    """Writes df as Parquet in the shared folder and reads it back: later jobs start from files that outlive executors.
+
+    Results are lazy and may be read at any time, so the files stay; the application's folder may go when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_rows
+from tidewell.llm.common import map_rows, materialize
 
 WINDOW = 13
-#: An automaton holds test items of about so many characters; more items make more automata, each streamed in turn.
-SHARD_CHARS = 20_000_000
+#: An automaton holds test items of about so many characters; more items make more automata, and documents pass one after the other.
+SHARD_CHARS = 2_000_000
+#: Longer items are cut into parts of so many words, which overlap so that each window lies in one of them.
+PART_WORDS = 10_000
 
 #: A-Z become lower case, all ASCII but letters and digits a space; bytes from 0x80 on are parts of words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -153,47 +157,75 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int, shard_chars: int) -> list:
-    """Broadcast automata, each of about shard_chars characters of the benchmark, dealt by a hash of the item's id."""
-    bench = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+def automata(benchmark: DataFrame, window: int, shard_chars: int, part_words: int = PART_WORDS) -> tuple[DataFrame, int]:
+    """A written table of (shard, automaton), and the number of shards, each of about shard_chars characters of the benchmark.
+
+    Items are cut into parts, dealt by a hash of item and part, and each shard's automaton is built in a task.
+    """
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     shards = max(1, math.ceil((bench.agg(F.sum(F.length("text"))).first()[0] or 0) / shard_chars))
-    out = []
-    for k in range(shards):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Automaton([(str(r.item_id), words(r.text)) for r in rows], window)))
-    return out
 
+    def make():
+        def step(ids, texts):
+            cut = [(i, n, w[a : a + part_words]) for i, w in zip(ids, map(words, texts), strict=True) for n, a in enumerate(range(0, max(1, len(w) - window + 1), part_words - window + 1)) if w]
+            return [i for i, _, _ in cut], [n for _, n, _ in cut], [b" ".join(w) for _, _, w in cut]
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, spans (hit word ranges), items (ids as strings, sorted).
+        return step
+
+    def build(groups: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(groups.column(c).to_pylist() for c in ("item_id", "part", "tokens")), strict=True))
+        auto = Automaton([(i, t.split()) for i, _, t in rows], window)
+        return pa.table({"shard": groups.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(auto)], pa.binary())})
+
+    parts = map_rows(bench, make, "item_id string, part long, tokens binary").withColumn("shard", F.pmod(F.xxhash64("item_id", "part"), F.lit(shards)))
+    return materialize(parts.groupBy("shard").applyInArrow(build, "shard long, automaton binary")), shards
+
+
+def scans(df: DataFrame, autos: tuple[DataFrame, int], text_col: str) -> DataFrame:
+    """df with spans (hit word ranges), items (ids as strings, sorted) and n_words of its texts.
 
-    Null and empty texts have no words and no hits. Benchmark rows of a null id or text are left
-    out; a repeated item_id counts once. Test items of up to shard_chars characters form one
-    automaton; larger benchmarks are split by a hash of the id, and documents pass each in turn
-    within one task, so no automaton outgrows that bound.
+    The driver sends one automaton at a time. Before the next one follows, what the rows met so far is written, so
+    neither the driver nor a worker ever holds two.
     """
-    autos = automata(benchmark, window, shard_chars)
-    kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", F.col("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for held in autos:
+    table, shards = autos
+    names = [*df.columns, "n_words", "spans", "items"]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "n_words long, spans array<struct<start:long,end:long>>, items array<string>"])
+    out = df.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    at = df.columns.index(text_col)
+    for k in range(shards):
+        row = table.where(F.col("shard") == k).first()
+        held = df.sparkSession.sparkContext.broadcast(pickle.loads(row.automaton) if row else Automaton([]))
 
-        def make(held=held, last=held is autos[-1]):
+        def make(held=held):
             auto = held.value
 
-            def step(ids, texts, n, spans, items):
-                for i, text in enumerate(texts):
+            def step(*cols):
+                *_, n, spans, items = cols
+                for i, text in enumerate(cols[at]):
                     tokens = words(text)
                     hit, found = auto.scan(tokens)
                     n[i] = len(tokens)
-                    hit = merge([*((s["start"], s["end"]) for s in spans[i]), *hit]) if spans[i] else hit
-                    spans[i] = [{"start": s, "end": e} for s, e in hit]
+                    spans[i] = [{"start": s, "end": e} for s, e in (merge([*((s["start"], s["end"]) for s in spans[i]), *hit]) if spans[i] else hit)]
                     items[i] = sorted(found | set(items[i]))
-                return ids, [None] * len(ids) if last else texts, n, spans, items
+                return cols
 
             return step
 
-        out = map_rows(out, make, f"doc_id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-    return out.drop("text")
+        out = map_rows(out.select(*[f"`{n}`" for n in names]), make, schema)
+        if k < shards - 1:
+            out = materialize(out)
+            held.destroy()
+    return out
+
+
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, spans (hit word ranges), items (ids as strings, sorted).
+
+    Null and empty texts have no words and no hits; ids may repeat or be null. Benchmark rows of a null id or text
+    are left out; rows of one item_id count as one item. Test items of up to shard_chars characters form one
+    automaton; of larger benchmarks each document passes one automaton after the other.
+    """
+    return scans(docs.select("doc_id", "text"), automata(benchmark, window, shard_chars), "text").drop("text")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = 20) -> DataFrame:
@@ -211,41 +243,44 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = 20,
     return remove_contamination(docs, benchmark, coverage, None, window)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = 20, limit: int | None = WINDOW, window: int = WINDOW) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = 20, limit: int | None = WINDOW, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """docs without the rows whose hit words reach 1 in `coverage`, and without the spans of more than `limit` words in the texts of others.
 
     Where a cut brings words together that make a new span, that is cut too, or the row dropped if it then reaches the
-    coverage; n_chars follows. A limit of None cuts nothing. The test runs beside the row, on Arrow batches, so texts aren't shuffled.
+    coverage; n_chars follows. A limit of None cuts nothing. Rows of null and empty texts stay. The test runs beside the
+    row, on Arrow batches, so texts aren't shuffled; rows whose text was cut are written and scanned again until none is.
     """
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    held = automata(benchmark, window, SHARD_CHARS)
+    autos = automata(benchmark, window, shard_chars)
 
     def make():
-        autos = [h.value for h in held]
-
-        def clean(text):
+        def clean(text, n_words, spans):
             """(whether the row stays, its text)"""
-            while True:
-                tokens = words(text)
-                spans = merge([x for a in autos for x in a.scan(tokens)[0]])
-                n = sum(e - s for s, e in spans)
-                if n > 0 and coverage * n >= len(tokens):
-                    return False, None
-                long = [(s, e) for s, e in spans if limit is not None and e - s > limit]
-                if not long:
-                    return True, text
-                text = cut_words(text, long)
+            n = sum(s["end"] - s["start"] for s in spans)
+            if n > 0 and coverage * n >= n_words:
+                return False, None
+            long = [(s["start"], s["end"]) for s in spans if limit is not None and s["end"] - s["start"] > limit]
+            return True, cut_words(text, long) if long else text
 
         def step(*cols):
-            got = [clean(t) for t in cols[at]]
-            cols = list(cols)
+            *cols, n_words, spans = cols
+            got = [clean(*x) for x in zip(cols[at], n_words, spans, strict=True)]
+            again = [new != old for old, (_, new) in zip(cols[at], got, strict=True)]
             if size is not None:
-                cols[size] = [len(new) if keep and new != old else c for c, old, (keep, new) in zip(cols[size], cols[at], got, strict=True)]
+                cols[size] = [len(new) if keep and more else c for c, more, (keep, new) in zip(cols[size], again, got, strict=True)]
             cols[at] = [x for _, x in got]
-            return [[x for x, (k, _) in zip(c, got, strict=True) if k] for c in cols]
+            return [[x for x, (k, _) in zip(c, got, strict=True) if k] for c in [*cols, again]]
 
         return step
 
-    return map_rows(docs.toDF(*names), make, ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))).toDF(*docs.columns)
+    schema = ", ".join([*(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)), "_again boolean"])
+    todo, done = docs.toDF(*names), None
+    while True:
+        got = materialize(map_rows(scans(todo, autos, names[at]).select(*names, "n_words", "spans"), make, schema))
+        rest = got.where("NOT _again").select(*names)
+        done = rest if done is None else done.unionByName(rest)
+        todo = got.where("_again").select(*names)
+        if todo.isEmpty():
+            return done.toDF(*docs.columns)
