@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +14,11 @@ from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows
 BITS, ORDERS = 15, (1, 2, 3)
 #: Learning reads about so many rows with a language, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
-#: A text longer than so many n-grams counts as one of that length in its score, so that scores stay below 1 where languages mix.
-SATURATE = 300
 PIECE = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+#: n-grams of texts scored together; bounds the memory of a step.
+TOGETHER = 1 << 21
 
-_letters = np.ones(0x110000, bool)
-_letters[:0x3000] = [chr(c).isalpha() for c in range(0x3000)]
+_letters = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool)
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -29,7 +26,7 @@ def grams(text: str) -> Iterator[np.ndarray]:
     before = np.full(2, 32, np.uint32)
     for at in range(0, len(text), PIECE):
         body = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        body = np.where(_letters[np.minimum(body, 0x10FFFF)], body, 32)
+        body = np.where(_letters[body], body, 32)
         body = body[(body != 32) | (np.r_[before[-1], body[:-1]] != 32)]
         c = np.r_[before, body].astype(np.uint64)
         before = c[-2:].astype(np.uint32)
@@ -71,30 +68,51 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, smooth: float = 0.5) ->
     return langs, np.log(p / p.sum(axis=0)).astype(np.float32), np.log(docs_of / docs_of.sum())
 
 
+def posteriors(texts: list[str | None], langs: list[str], by_lang: np.ndarray, prior: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and posterior of each text; by_lang holds a row of log-probabilities for each language."""
+    total = np.tile(prior, (len(texts), 1))
+    known = np.array([bool(langs and t and any(map(str.isalpha, t))) for t in texts], bool)
+    owners: list[int] = []
+    parts: list[np.ndarray] = []
+
+    def add():
+        """Adds the log-probabilities of the n-grams at hand: the product of the sparse rows of counts and the matrix."""
+        flat, starts = np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
+        for k, row in enumerate(by_lang):
+            np.add.at(total[:, k], owners, np.add.reduceat(row[flat], starts, dtype=np.float64))
+        owners.clear()
+        parts.clear()
+
+    size = 0
+    for i in np.nonzero(known)[0].tolist():
+        for g in grams(texts[i]):
+            if len(g):
+                owners.append(i)
+                parts.append(g)
+                size += len(g)
+            if size >= TOGETHER:
+                add()
+                size = 0
+    if parts:
+        add()
+    if not langs:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    best = total.argmax(axis=1)
+    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    return [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0).tolist()
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score). A text that is null or has no letter is `und` with score 0; ties go to the first language by name."""
+    """(id, lang_pred, score), the score being the posterior of the language.
+
+    A text that is null or has no letter (str.isalpha) is `und` with score 0, as are all where nothing could be learnt; ties
+    go to the first language by name. Texts of any length are scored whole, rows and ids may repeat, ids may be null.
+    """
     langs, table, prior = model
     held = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table.T), prior))
 
     def make():
-        langs, table, prior = held.value
-
-        def one(text):
-            if not langs or not text or not LETTER.search(text):
-                return "und", 0.0
-            total, n = np.zeros(len(langs)), 0
-            for g in grams(text):
-                total += [row[g].sum(dtype=np.float64) for row in table]
-                n += len(g)
-            x = prior + total * min(1.0, SATURATE / max(1, n))
-            best = int(np.argmax(x))
-            return langs[best], float(1 / np.exp(x - x[best]).sum())
-
-        def step(ids, texts):
-            got = [one(t) for t in texts]
-            return ids, [a for a, _ in got], [b for _, b in got]
-
-        return step
+        return lambda ids, texts: (ids, *posteriors(texts, *held.value))
 
     return map_rows(docs.select(id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
 
