@@ -256,6 +256,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(x.hit > 0.6 for x in by_lang)
 
 
+def toxicity_brute(weights, threshold, exceptions, text):
+    """The score by looking at every word: whole terms, else the longest stem; words inside an exception don't count."""
+    folded = toxicity.fold(text or "")
+    inside = [(m.start(), m.end()) for e in exceptions for m in re.finditer(f"(?<![^\\W_]){re.escape(toxicity.fold(e))}(?![^\\W_])", folded)]
+    total = 0.0
+    for m in re.finditer(r"[^\W_]+", folded):
+        word = m[0]
+        stems = [k for k in range(len(word) - 1, 0, -1) if f"{word[:k]}*" in weights]
+        end = m.end() if word in weights else m.start() + stems[0] if stems else None
+        if end and not any(a <= m.start() and end <= b for a, b in inside):
+            total += weights[word] if word in weights else weights[f"{word[: stems[0]]}*"]
+    d = total / np.log2(2 + len(folded.split()))
+    return d / (d + threshold)
+
+
+def test_toxicity_against_brute_force(spark):
+    """The learnt terms, phrases and scores of sf0.01 against counts made one by one."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.unionByName(d.where("doc_id < 4").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic")).select(labels.columns))
+    innocent = spark.createDataFrame([(10**6 + i, f"a calm text {i} on things") for i in range(300)], "doc_id long, text string")
+    model = toxicity.learn(d, labels)
+    term = max((t for t in model[0] if not t.endswith("*")), key=lambda t: model[0][t])
+    tame = spark.createDataFrame([(2 * 10**6 + i, f"the steel {term} of item {i}") for i in range(4)], "doc_id long, text string")
+    more = d.select("doc_id", "text").unionByName(innocent).unionByName(tame)
+    taught = labels.select("doc_id", "toxic").unionByName(innocent.unionByName(tame).select("doc_id", F.lit(0).cast(labels.schema["toxic"].dataType).alias("toxic")))
+    weights, threshold, exceptions = toxicity.learn(more, taught)
+    assert {f"steel {term}", f"{term} of"} <= set(exceptions)
+    y = {}
+    for r in taught.where("toxic IS NOT NULL").collect():
+        y[r.doc_id] = max(y.get(r.doc_id, 0), r.toxic)
+    rows = [(y[r.doc_id], r.text) for r in more.collect() if r.doc_id in y and r.text is not None]
+    words = lambda side: [w for k, t in rows if (k == 1) == side for w in re.findall(r"[^\W_]+", toxicity.fold(t))]
+    bad, good = words(True), words(False)
+    for t, w in weights.items():
+        n = lambda ws: sum(x.startswith(t[:-1]) and len(x) >= len(t) if t.endswith("*") else x == t for x in ws)
+        assert abs(w - np.log((n(bad) + 0.5) / len(bad) / ((n(good) + 0.5) / len(good)))) < 1e-5 and w >= toxicity.MIN_WEIGHT
+    got = {r.doc_id: r.score for r in toxicity.score(more, (weights, threshold, exceptions)).collect()}
+    for r in more.collect():
+        assert abs(got[r.doc_id] - toxicity_brute(weights, threshold, (*toxicity.EXCEPTIONS, *exceptions), r.text)) < 1e-9
+
+
 def test_toxicity_of_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs, labels)

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows
+from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows, materialize
 
 #: Learning reads about so many labelled rows, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
 #: A term's least log ratio of rates, share and number of toxic texts, and log-likelihood ratio of its presence.
-MIN_WEIGHT, MIN_SHARE, MIN_DOCS, MIN_EVIDENCE = 2.5, 0.02, 3, 6.0
+MIN_WEIGHT, MIN_SHARE, MIN_DOCS, MIN_EVIDENCE = 2.5, 0.01, 3, 10.0
 #: Beginnings of words that may be terms, as stems: insults are inflected and compounded.
 STEMS = range(5, 9)
 #: A stem isn't a term where one longer term makes up so much of its toxic occurrences: it would only add that word's innocent kin.
@@ -31,6 +31,9 @@ LOOKALIKES = {
     "i": "1!іιı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м", "n": "η", "o": "0оο", "p": "рρ",
     "s": "5$ѕ", "t": "7тτ", "u": "υ", "v": "νѵ", "w": "ѡ", "x": "хχ", "y": "уγ", "z": "2",
 }
+#: Model: weights of terms, the density that scores 0.5, learnt phrases in which a term is meant otherwise.
+Model = tuple[dict[str, float], float, tuple[str, ...]]
+
 #: Phrases in which a word of the lexicon is meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown nose", "sore loser", "idiot proof", "pond scum", "soap scum", "losers bracket")
 
@@ -110,17 +113,20 @@ def density(found: list, n_words: int) -> float:
     return sum(w for *_, w in found) / math.log2(2 + n_words)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float]:
-    """Weights of terms, and the density that scores 0.5, from labelled rows with text.
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """The model, from labelled rows with text.
 
     Candidates are words and their first 5 to 8 letters. A term's weight is the log of its rate per
     word in toxic texts over that in others. Terms have MIN_WEIGHT or more, stand in MIN_SHARE of the
     toxic texts and MIN_DOCS of them at least, and their presence tells the labels apart by a
     log-likelihood ratio of MIN_EVIDENCE; there are 5 / MIN_SHARE times the words of a toxic text at
-    most. Without labelled rows no term is learnt.
+    most. Phrases of a term and a word beside it are exceptions where MIN_DOCS others have them and toxic texts
+    have them no more often per word, so they are learnt for any language. Rows of a null id or label teach nothing, one
+    of a repeated id with several labels counts as toxic if one of them is, and repeated texts count each. Without
+    labelled rows no term is learnt.
     """
     want = bounded_sample(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", train_rows)
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(want), "doc_id").select("toxic", "text")  # train_rows bounds the broadcast side
+    rows = materialize(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(want), "doc_id").select("toxic", "text"))  # train_rows bounds the broadcast side
     bound_batches(docs.sparkSession)
 
     def count(batches):
@@ -153,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     sums = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in numbers]).where(f"bad >= {MIN_DOCS} OR term = ''")
     total = sums.where("term = ''").first()
     if total is None or not total.bad:
-        return {}, 1.0
+        return {}, 1.0, ()
 
     def fit(k, n: int):
         """Log-likelihood of k among n at its own smoothed rate."""
@@ -173,15 +179,49 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
             if k < len(r.term.rstrip("*")):
                 most[r.term[:k]] = max(most.get(r.term[:k], 0), r.bad_n)
     weights = {r.term: round(r.w, 6) for r in sorted(terms, key=lambda r: r.term) if not r.term.endswith("*") or most.get(r.term[:-1], 0) < ONE_WORD * r.bad_n}
-    return weights, _threshold(rows, weights)
+    except_for = _exceptions(rows, weights, total.bad_n, total.good_n)
+    return weights, _threshold(rows, weights, except_for), except_for
+
+
+def phrases(auto, text: str) -> set[str]:
+    """A matched word with the word before it, and with the word behind it, as folded text has them with a space between."""
+    folded = fold(text)
+    out = set()
+    for start, end, _, _ in matches(auto, text)[0]:
+        stop = end
+        while stop < len(folded) and folded[stop].isalnum():
+            stop += 1
+        if m := re.search(r"([^\W_]+) \Z", folded[max(0, start - 40) : start]):
+            out.add(f"{m[1]} {folded[start:stop]}")
+        if m := re.match(r" ([^\W_]+)", folded[stop : stop + 40]):
+            out.add(f"{folded[start:stop]} {m[1]}")
+    return out
+
+
+def _exceptions(rows: DataFrame, weights: dict[str, float], bad_n: int, good_n: int) -> tuple[str, ...]:
+    """Phrases with a term that are at least as frequent in texts that aren't toxic; rows are bounded by train_rows."""
+    held = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def make():
+        auto = build(held.value)
+
+        def step(toxic, texts):
+            got = [(y, sorted(phrases(auto, t))) for y, t in zip(toxic, texts, strict=True)]
+            return [y for y, p in got for _ in p], [x for _, p in got for x in p]
+
+        return step
+
+    counts = map_rows(rows, make, "toxic int, phrase string").groupBy("phrase").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"))
+    kept = counts.where((F.col("good") >= MIN_DOCS) & (F.col("bad") * max(1, good_n) <= F.col("good") * max(1, bad_n)))
+    return tuple(sorted(r.phrase for r in kept.select("phrase").collect()))
 
 
-def _threshold(rows: DataFrame, weights: dict[str, float]) -> float:
+def _threshold(rows: DataFrame, weights: dict[str, float], except_for: tuple[str, ...]) -> float:
     """Halfway from the density with most hits, less FALSE_ALARM for each false alarm, to the next lower one; rows are bounded by train_rows."""
     held = rows.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        auto = build(held.value)
+        auto = build(held.value, (*EXCEPTIONS, *except_for))
         return lambda toxic, texts: (toxic, [density(*matches(auto, t)) for t in texts])
 
     seen = map_rows(rows, make, "toxic int, d double").groupBy("toxic", "d").count().collect()
@@ -197,13 +237,16 @@ def _threshold(rows: DataFrame, weights: dict[str, float]) -> float:
     return (at + below) / 2
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float], exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, terms) of each row: density over density plus threshold, and the matched terms. Null and empty texts score 0."""
-    held = docs.sparkSession.sparkContext.broadcast((*model, exceptions))
+def score(docs: DataFrame, model: Model, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, terms) of each row: density over density plus threshold, and the matched terms.
+
+    Null and empty texts score 0; rows and ids may repeat, ids may be null, and each row comes back with its id.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        weights, threshold, exceptions = held.value
-        auto = build(weights, exceptions)
+        weights, threshold, learnt = held.value
+        auto = build(weights, (*exceptions, *learnt))
 
         def step(ids, texts):
             got = [matches(auto, t) for t in texts]
@@ -223,14 +266,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold_no: int = 0, folds: int =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic, tested beside the row so that texts aren't shuffled; null texts stay."""
-    weights, threshold = learn(docs, labels.where(crc_mod("doc_id", 5) != 0))
-    held = docs.sparkSession.sparkContext.broadcast((weights, threshold))
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels.where(crc_mod("doc_id", 5) != 0)))
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
 
     def make():
-        weights, threshold = held.value
-        auto = build(weights)
+        weights, threshold, learnt = held.value
+        auto = build(weights, (*EXCEPTIONS, *learnt))
 
         def step(*cols):
             keep = [density(*matches(auto, t)) < threshold for t in cols[at]]
