@@ -185,6 +185,133 @@ def test_media_index_and_shots():
         avi_media.read_index(b"not a file at all")
 
 
+def huffman(frame):
+    """Tables of a frame by class and number, as (length, code) -> symbol; code after code, as the standard describes it."""
+    out, at = {}, 2
+    while frame[at + 1] != 0xDA:
+        size = int.from_bytes(frame[at + 2 : at + 4], "big")
+        if frame[at + 1] == 0xC4:
+            body, table, code, k = frame[at + 4 : at + 2 + size], {}, 0, 17
+            while body:
+                table, code, k = {}, 0, 17
+                for n in range(1, 17):
+                    for _ in range(body[n]):
+                        table[n, code] = body[k]
+                        code, k = code + 1, k + 1
+                    code *= 2
+                out[body[0]] = table
+                body = body[k:]
+        at += 2 + size
+    return out, at + 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+
+
+def decode_bit_by_bit(frame, blocks):
+    """Coefficients of a grey frame that restarts after every block, read one bit after the other."""
+    tables, at = huffman(frame)
+    out = []
+    for part in re.split(rb"\xff[\xd0-\xd7]", frame[at:-2]):
+        bits = "".join(f"{b:08b}" for b in part.replace(b"\xff\0", b"\xff"))
+        pos, block = 0, [0] * 64
+
+        def symbol(table):
+            nonlocal pos
+            for n in range(1, 17):
+                if (n, int(bits[pos : pos + n], 2)) in table:
+                    pos += n
+                    return table[n, int(bits[pos - n : pos], 2)]
+
+        def value(n):
+            nonlocal pos
+            pos += n
+            x = int(bits[pos - n : pos] or "0", 2)
+            return x if not n or x >> n - 1 else x - (1 << n) + 1
+
+        block[0] = value(symbol(tables[0]))
+        k = 1
+        while k < 64 and (s := symbol(tables[16])):
+            k += s >> 4
+            block[k] = value(s & 15)
+            k += 1
+        out.append(block)
+    assert len(out) == blocks
+    return out
+
+
+def colour_frame(coef, wide, high, restart):
+    """A frame of three components, the first with two blocks a unit, written bit by bit; coef: (units, 4, 64)."""
+    code = {(c, s): f"{v:0{n}b}" for c, t in huffman(avi_media.HEAD)[0].items() for (n, v), s in t.items()}
+    bits, scan, last = "", b"", [0, 0, 0]
+    flush = lambda: (lambda x: int(x, 2).to_bytes(len(x) // 8, "big").replace(b"\xff", b"\xff\0") if x else b"")(bits + "1" * (-len(bits) % 8))
+    put = lambda c, run, v: code[c, run << 4 | (n := int(abs(v)).bit_length())] + (f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else "")
+    for u, unit in enumerate(coef.tolist()):
+        if u and restart and u % restart == 0:
+            scan += flush() + bytes([255, 0xD0 + (u // restart - 1) % 8])
+            bits, last = "", [0, 0, 0]
+        for part, block in zip((0, 0, 1, 2), unit, strict=True):
+            bits += put(0, 0, block[0] - last[part])
+            last[part], run = block[0], 0
+            for v in block[1:]:
+                if v:
+                    while run > 15:
+                        bits += code[16, 0xF0]
+                        run -= 16
+                    bits += put(16, run, v)
+                    run = 0
+                else:
+                    run += 1
+            if run:
+                bits += code[16, 0]
+    head = avi_media.HEAD
+    sof, sos = head.index(b"\xff\xc0"), head.index(b"\xff\xda")
+    dht = head[head.index(b"\xff\xc4") : head.index(b"\xff\xdd")]
+    frame = bytes([255, 0xC0, 0, 17, 8]) + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + bytes([3, 1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0])
+    rst = bytes([255, 0xDD, 0, 4]) + restart.to_bytes(2, "big")
+    return head[:sof] + frame + dht + rst + bytes([255, 0xDA, 0, 12, 3, 1, 0, 2, 0, 3, 0, 0, 63, 0]) + scan + flush() + b"\xff\xd9", dht, sos
+
+
+def test_frames_against_a_plain_decoder():
+    rng = np.random.default_rng(1)
+    for data in (rng.integers(0, 256, (64, 64)), np.where(rng.random((64, 64)) < 0.9, 128, rng.integers(0, 256, (64, 64))), np.full((64, 64), 128), np.zeros((64, 64))):
+        data = data.astype(np.uint8)
+        frames = [avi_media.HEAD + s + b"\xff\xd9" for s in avi_media.encode_scans(data, 32)]
+        plain = [b for f in frames for b in decode_bit_by_bit(f, 32)]
+        assert (np.array(plain) + 128 == data).all() and (np.concatenate(avi_media.decode_frames(frames)) + 128 == data).all()
+
+
+@pytest.mark.parametrize("restart", [0, 1, 3])
+def test_colour_frames(spark, restart):
+    rng = np.random.default_rng(2)
+    coef = np.where(rng.random((6, 4, 64)) < 0.8, 0, rng.integers(-60, 61, (6, 4, 64)))
+    frame, dht, _ = colour_frame(coef, 41, 15, restart)
+    assert (avi_media.decode_frames([frame, frame])[1].reshape(6, 4, 64) == coef).all()
+    bare = frame.replace(dht, b"")
+    assert (avi_media.decode_frames([bare], dht[4:21 + 12] + dht[dht.index(b"\xff\xc4", 2) + 4 :])[0].reshape(6, 4, 64) == coef).all()
+    body = lambda f: avi_media.write_avi(b"", [f]).replace(avi_media.HEAD + f + b"\xff\xd9", f.ljust(len(avi_media.HEAD + f) + 2, b"\0"))
+    good = avi_media.write_avi(b"x" * 64, avi_media.encode_scans(np.full((32, 64), 130, np.uint8), 32))
+    rows = [(1, body(frame)), (2, body(bare)), (3, b"not a file"), (4, good), (5, good[: len(good) // 2]), (6, None), (7, good.replace(good[700:760], b"\x55" * 60)), (None, good), (4, good)]
+    got = by_id(avi_media.read_avi(spark.createDataFrame(rows, "doc_id long, media binary")))
+    assert got[4][0].error is None and len(got[4]) == 2 and got[4][0].frames == 1 and got[None][0].payload == got[4][0].payload and got[1][0].frames == 1
+    assert all(got[i][0].error and got[i][0].payload is None and got[i][0].clips is None for i in (2, 3, 7)) and got[6][0].payload is None and got[6][0].error is None
+
+
+def test_media_digest_against_hashlib(spark, docs):
+    import hashlib
+    import zlib
+
+    media = by_id(avi_media.store_as_avi(docs))
+    for i, rows in by_id(avi_media.media_digest(docs)).items():
+        for r, text in zip(rows, [AWKWARD[i] if i is not None else "no id here"] * 2, strict=False):
+            raw = (text or "").encode()
+            payload = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (r.media_bytes, r.media_sha256) == (len(media[i][0].media), hashlib.sha256(media[i][0].media).hexdigest())
+            frames = [avi_media.HEAD + s + b"\xff\xd9" for s in avi_media.encode_scans(np.frombuffer(payload.ljust(-(-len(payload) // 2048) * 2048, b"\x80"), np.uint8).reshape(-1, 64), 32)]
+            hists = [avi_media.histogram(np.array(decode_bit_by_bit(f, 32))) for f in frames]
+            cut = [*avi_media.shots(hists), len(hists)]
+            assert r.feature == f"frames={len(frames)};shots={len(cut) - 1};clips=" + ",".join(f"{a * 0.04:.2f}-{b * 0.04:.2f}" for a, b in zip(cut, cut[1:], strict=False))
+    assert avi_media.media_digest(docs.where("false")).count() == 0
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
     got = langid.language(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred != 'und'")

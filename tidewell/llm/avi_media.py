@@ -1,8 +1,8 @@
 """AVI motion-JPEG columns: write payloads as intra frames, parse RIFF indexes, decode frames, cut shots.
 
 A payload byte is one quantised DCT coefficient (its value less 128, in zigzag order), the lossless
-unit of baseline JPEG: an 8 x 8 block holds 64 bytes. All frames are grey, 64 pixels wide and 32 high.
-Colour frames aren't decoded: a frame of several components raises ValueError.
+unit of baseline JPEG: an 8 x 8 block holds 64 bytes. The frames written are grey, 64 pixels wide and 32 high.
+Frames read may have several components in one interleaved scan; shots follow the first, which is luminance.
 """
 
 from __future__ import annotations
@@ -177,8 +177,10 @@ def read_index(avi: bytes) -> tuple[int, int | None, list[tuple[int, int]]]:
             at += 8 + size + (size & 1)
     if movi is None:
         return micros, noted, []
-    if listed is not None:
-        return micros, noted, [(movi[0] + at + 8, size) for tag, _, at, size in listed if tag[2:] in (b"dc", b"db")]
+    if listed:
+        tag, _, at, _ = listed[0]
+        base = movi[0] if avi[movi[0] + at : movi[0] + at + 4] == tag else 0  # offsets count from movi, in some files from the start
+        return micros, noted, [(base + at + 8, size) for tag, _, at, size in listed if tag[2:] in (b"dc", b"db")]
     out, at = [], movi[0] + 4
     while at + 8 <= movi[1]:
         size = struct.unpack_from("<I", avi, at + 4)[0]
@@ -191,108 +193,162 @@ def read_index(avi: bytes) -> tuple[int, int | None, list[tuple[int, int]]]:
 #: For each size of a value: its bits, the least that is positive, what is added to those below.
 _MASK, _HALF, _BELOW = (np.array(x) for x in ([(1 << s) - 1 for s in range(16)], [(1 << s) >> 1 for s in range(16)], [1 - (1 << s) for s in range(16)]))
 
-_heads: dict[bytes, tuple] = {}
-
-
-def _head(frame: bytes) -> tuple:
-    """(where the scan starts, width, height, restart interval, quantisers in zigzag order, for each 16 bits: size, code and size, zeros before)"""
-    at, quant, tables, dri = 2, {}, {}, 0
-    while True:
-        mark, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
-        body = frame[at + 4 : at + 2 + size]
-        at += 2 + size
-        if mark == 0xDB:
-            while body:
-                step = 2 if body[0] >> 4 else 1
-                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * step], ">u2" if step == 2 else "u1").astype(np.int64)
-                body = body[1 + 64 * step :]
-        elif mark == 0xC0:
-            _, high, wide, parts, _, _, q = struct.unpack_from(">BHHBBBB", body)
-            if parts != 1:
-                raise ValueError("only grey frames are decoded")
-        elif 0xC1 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("only baseline frames are decoded")
-        elif mark == 0xC4:
-            while body:
-                n = sum(body[1:17])
-                tables[body[0]] = _canonical(list(body[1:17]), list(body[17 : 17 + n]))
-                body = body[17 + n :]
-        elif mark == 0xDD:
-            dri = struct.unpack(">H", body)[0]
-        elif mark == 0xDA:
-            look = np.zeros((3, 1 << 17), np.int64)
-            for half, key in ((0, body[2] >> 4), (1, 16 | body[2] & 15)):
-                for s, (code, n) in tables[key].items():
-                    a = half << 16 | code << (16 - n)
+#: What raises where a file isn't sound, or isn't of a kind that is decoded.
+UNSOUND = (ValueError, KeyError, IndexError, struct.error)
+
+
+class Head:
+    """What a frame's header says: where the scan starts, blocks, restart interval in blocks, and for the blocks of a unit
+    their component and their Huffman tables.
+
+    look holds, for each pair of tables, each kind of value (DC, AC) and each 16 bits: size, code and size (0 for no code),
+    zeros before. tables are DHT segments for frames that bring none.
+    """
+
+    def __init__(self, frame: bytes, tables: bytes = b""):
+        if frame[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        quant, codes, parts, self.restart = {}, {}, None, 0
+        self._huffman(tables, codes)
+        at = 2
+        while True:
+            mark, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+            if frame[at] != 0xFF or size < 2:
+                raise ValueError("damaged header")
+            body = frame[at + 4 : at + 2 + size]
+            at += 2 + size
+            if mark == 0xDB:
+                while body:
+                    step = 2 if body[0] >> 4 else 1
+                    quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * step], ">u2" if step == 2 else "u1").astype(np.int64)
+                    body = body[1 + 64 * step :]
+            elif mark == 0xC0:
+                high, wide = struct.unpack_from(">HH", body, 1)
+                parts = {body[i]: (body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)}
+            elif 0xC1 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("only baseline frames are decoded")
+            elif mark == 0xC4:
+                self._huffman(body, codes)
+            elif mark == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            elif mark == 0xDA:
+                break
+        if parts is None or body[0] != len(parts):
+            raise ValueError("only frames of one scan are decoded")
+        scan = [(body[i], body[i + 1] >> 4, 16 | body[i + 1] & 15) for i in range(1, 1 + 2 * body[0], 2)]
+        across, down = max(h for h, _, _ in parts.values()), max(v for _, v, _ in parts.values())
+        if len(parts) == 1:
+            units, each = -(-wide // 8) * -(-high // 8), [1]
+        else:
+            units, each = -(-wide // (8 * across)) * -(-high // (8 * down)), [parts[c][0] * parts[c][1] for c, _, _ in scan]
+        self.part = np.repeat(np.arange(len(scan)), each)
+        self.per, self.blocks, self.start, self.parts = len(self.part), units * len(self.part), at, len(scan)
+        self.restart *= self.per
+        self.quant = quant[parts[scan[0][0]][2]]
+        self.table = self.part << 17
+        self.look = np.zeros((3, len(scan) << 17), np.int64)
+        for i, (_, dc, ac) in enumerate(scan):
+            for half, key in ((0, dc), (1, ac)):
+                for s, (code, n) in codes[key].items():
+                    a = i << 17 | half << 16 | code << (16 - n)
                     skip = 64 if half and not s else s >> 4 if half else 0
-                    look[:, a : a + (1 << (16 - n))] = np.array([[s & 15], [n + (s & 15)], [skip]])
-            return at, wide, high, dri, quant[q], look
+                    self.look[:, a : a + (1 << (16 - n))] = np.array([[s & 15], [n + (s & 15)], [skip]])
+
+    @staticmethod
+    def _huffman(body: bytes, codes: dict) -> None:
+        while body:
+            n = sum(body[1:17])
+            codes[body[0]] = _canonical(list(body[1:17]), list(body[17 : 17 + n]))
+            body = body[17 + n :]
+
+
+_heads: dict[tuple[bytes, bytes], Head] = {}
+
+
+def head_of(frame: bytes, tables: bytes = b"") -> Head:
+    at = frame.index(b"\xff\xda")
+    raw = frame[: at + 2 + struct.unpack_from(">H", frame, at + 2)[0]]
+    if (raw, tables) not in _heads:
+        if len(_heads) > 16:
+            _heads.clear()
+        _heads[raw, tables] = Head(raw, tables)
+    return _heads[raw, tables]
 
 
-def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """Quantised coefficients, (blocks, 64) in zigzag order, of each frame. All restart segments advance together."""
+def decode_frames(frames: list[bytes], tables: bytes = b"") -> list[np.ndarray]:
+    """Quantised coefficients, (blocks, 64) in zigzag order and the order of the scan, of each frame. All restart segments advance together."""
     out: list[np.ndarray] = [np.zeros((0, 64), np.int64)] * len(frames)
-    by_head: dict[bytes, list[int]] = {}
+    by_head: dict[int, tuple[Head, list[int]]] = {}
     for i, f in enumerate(frames):
-        by_head.setdefault(f[: f.index(b"\xff\xda") + 2 + struct.unpack_from(">H", f, f.index(b"\xff\xda") + 2)[0]], []).append(i)
-    for head, group in by_head.items():
-        if head not in _heads:
-            _heads.clear()
-            _heads[head] = _head(head)
-        start, wide, high, dri, _, (size_of, used_of, skip_of) = _heads[head]
-        each = -(-wide // 8) * -(-high // 8)
-        raws = [np.frombuffer(frames[i], np.uint8, len(frames[i]) - start - 2, start) for i in group]
-        raw = np.concatenate(raws)
-        bounds = np.cumsum([len(r) for r in raws])
-        ff = np.nonzero(raw[:-1] == 255)[0]
-        after = raw[ff + 1]
-        keep = np.ones(len(raw), bool)
-        keep[ff[after == 0] + 1] = False
-        marks = ff[(after >= 0xD0) & (after <= 0xD7)]
-        keep[marks] = keep[marks + 1] = False
-        place = np.cumsum(keep) - keep
-        data = np.r_[raw[keep], np.zeros(8, np.uint8)].astype(np.int64)
-        begins = np.concatenate([np.r_[0, bounds[:-1]], marks + 2])
-        order = np.argsort(begins, kind="stable")
-        begins = begins[order]
-        frame = np.searchsorted(bounds, begins, "right")
-        nth = np.arange(len(begins)) - np.searchsorted(frame, frame)
-        first = frame * each + nth * (dri or each)
-        left = np.minimum(dri or each, (frame + 1) * each - first)
-        window = data[:-5] << 32 | data[1:-4] << 24 | data[2:-3] << 16 | data[3:-2] << 8 | data[4:-1]
-        coef = np.zeros(len(group) * each * 64 + 64, np.int64)
-        pos, block, k = place[np.minimum(begins, len(place) - 1)] * 8, first * 64, np.zeros(len(begins), np.int64)
-        pred = np.zeros(len(begins), np.int64) if (left > 1).any() else None
-        while len(pos):
-            w = window[np.minimum(pos >> 3, len(window) - 1)] << (pos & 7) & 0xFFFFFFFFFF
-            code = (w >> 24) | (k > 0) << 16
-            s, used = size_of[code], used_of[code]
-            v = (w >> (40 - used)) & _MASK[s]
-            v += (v < _HALF[s]) * _BELOW[s]
-            pos += used
-            if pred is not None:
-                pred = np.where(k == 0, pred + v, pred)
-                v = np.where(k == 0, pred, v)
-            k += skip_of[code]
-            put = k < 64
-            if put.all():
-                coef[block + k] = v
-            else:
-                coef[(block + k)[put]] = v[put]
-            k += 1
-            over = k >= 64
-            if over.any():
-                left = left - over
-                block, k = block + 64 * over, np.where(over, 0, k)
-                on = left > 0
-                if not on.all():
-                    pos, block, k, left = pos[on], block[on], k[on], left[on]
-                    pred = None if pred is None else pred[on]
-        for j, i in enumerate(group):
-            out[i] = coef[j * each * 64 : (j + 1) * each * 64].reshape(each, 64)
+        head = head_of(f, tables)
+        by_head.setdefault(id(head), (head, []))[1].append(i)
+    for head, group in by_head.values():
+        for i, coef in zip(group, _decode(head, [frames[i] for i in group]), strict=True):
+            out[i] = coef
     return out
 
 
+def _decode(head: Head, frames: list[bytes]) -> np.ndarray:
+    each, stride = head.blocks, head.restart or head.blocks
+    size_of, used_of, skip_of = head.look
+    raws = [np.frombuffer(f, np.uint8, len(f) - head.start - 2, head.start) for f in frames]
+    raw = np.concatenate(raws)
+    bounds = np.cumsum([len(r) for r in raws])
+    ff = np.nonzero(raw[:-1] == 255)[0]
+    after = raw[ff + 1]
+    keep = np.ones(len(raw), bool)
+    keep[ff[after == 0] + 1] = False
+    marks = ff[(after >= 0xD0) & (after <= 0xD7)]
+    keep[marks] = keep[marks + 1] = False
+    place = np.r_[0, np.cumsum(keep)]
+    data = np.r_[raw[keep], np.zeros(8, np.uint8)].astype(np.int64)
+    begins = np.sort(np.concatenate([np.r_[0, bounds[:-1]], marks + 2]))
+    stops = np.sort(np.concatenate([bounds, marks]))
+    frame = np.searchsorted(bounds, begins, "right")
+    nth = np.arange(len(begins)) - np.searchsorted(frame, frame)
+    if len(begins) != len(frames) * -(-each // stride) or (np.diff(frame) < 0).any() or (nth * stride >= each).any():
+        raise ValueError("restart markers don't fit the frame")
+    first = frame * each + nth * stride
+    left = np.minimum(stride, (frame + 1) * each - first)
+    window = data[:-5] << 32 | data[1:-4] << 24 | data[2:-3] << 16 | data[3:-2] << 8 | data[4:-1]
+    coef = np.zeros(len(frames) * each * 64 + 64, np.int64)
+    pos, end, block, k = place[begins] * 8, place[stops] * 8, first * 64, np.zeros(len(begins), np.int64)
+    table, unit = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+    pred = np.zeros((len(begins), head.parts), np.int64) if (left > 1).any() else None
+    while len(pos):
+        w = window[np.minimum(pos >> 3, len(window) - 1)] << (pos & 7) & 0xFFFFFFFFFF
+        code = (w >> 24) | (k > 0) << 16 | table
+        s, used = size_of[code], used_of[code]
+        v = (w >> (40 - used)) & _MASK[s]
+        v += (v < _HALF[s]) * _BELOW[s]
+        pos = pos + used
+        if not used.all() or (pos > end).any():
+            raise ValueError("damaged scan")
+        if pred is not None and (dc := np.nonzero(k == 0)[0]).size:
+            part = head.part[unit[dc]]
+            pred[dc, part] += v[dc]
+            v[dc] = pred[dc, part]
+        k += skip_of[code]
+        put = k < 64
+        if put.all():
+            coef[block + k] = v
+        else:
+            coef[(block + k)[put]] = v[put]
+        k += 1
+        over = k >= 64
+        if over.any():
+            left = left - over
+            block, k = block + 64 * over, np.where(over, 0, k)
+            if head.per > 1:
+                unit = (unit + over) % head.per
+                table = head.table[unit]
+            on = left > 0
+            if not on.all():
+                pos, end, block, k, left, table, unit = (x[on] for x in (pos, end, block, k, left, table, unit))
+                pred = None if pred is None else pred[on]
+    return coef[:-64].reshape(len(frames), each, 64)
+
+
 def histogram(coef: np.ndarray, quant: np.ndarray | int = 1, bins: int = 16) -> np.ndarray:
     pixels = np.clip(np.rint((coef * quant).astype(np.float64) @ IDCT / 2**14) + 128, 0, 255).astype(np.int64)
     return np.bincount((pixels * bins // 256).ravel(), minlength=bins)
@@ -337,50 +393,72 @@ def store_as_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, media binary")
 
 
-def read_avi(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, payload, frames, clips) of each file, clips being array of (shot, start_frame, end_frame, start_s, end_s).
+def read_avi(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", tables: bytes = b"") -> DataFrame:
+    """(id, payload, frames, clips, error) of each file, clips being array of (shot, start_frame, end_frame, start_s, end_s).
 
-    A null file gives null payload and clips. Files that aren't grey baseline motion-JPEG raise ValueError.
+    The payload is what store_as_avi wrote. A null file gives null payload and clips. So does a file that isn't sound or not
+    baseline motion-JPEG in one scan; error says why, and all other files are read. tables are DHT segments for
+    frames without Huffman tables. A frame of no bytes repeats the one before. Rows may repeat, ids may be null.
     """
 
     def make():
+        def index_of(f):
+            try:
+                return None if f is None else read_index(f)
+            except UNSOUND as e:
+                return str(e) or "damaged file"
+
+        def decode(part, frames, errors):
+            """Coefficients of frames; of those that can't be read none."""
+            try:
+                return decode_frames(frames, tables)
+            except UNSOUND as e:
+                if len(frames) == 1:
+                    errors.setdefault(part[0], str(e) or "damaged frame")
+                    return [None]
+                return [c for i, f in zip(part, frames, strict=True) for c in decode([i], [f], errors)]
+
         def step(ids, files):
-            index = [None if f is None else read_index(f) for f in files]
+            index = [index_of(f) for f in files]
+            errors = {i: x for i, x in enumerate(index) if isinstance(x, str)}
             parts: list[list[bytes]] = [[] for _ in files]
             hists: list[list[np.ndarray]] = [[] for _ in files]
-            todo = [(i, at, size) for i, x in enumerate(index) if x for at, size in x[2]]
+            todo = [(i, at, size) for i, x in enumerate(index) if x and i not in errors for at, size in x[2]]
             for a in range(0, len(todo), GROUP):
-                part = todo[a : a + GROUP]
-                frames = [files[i][at : at + size] for i, at, size in part]
-                for (i, _, _), f, coef in zip(part, frames, decode_frames(frames), strict=True):
-                    parts[i].append((coef + 128).astype(np.uint8).tobytes())
-                    hists[i].append(histogram(coef, _head_quant(f)))
+                some = [x for x in todo[a : a + GROUP] if x[2]]
+                frames = [files[i][at : at + size] for i, at, size in some]
+                coefs = iter(decode([i for i, _, _ in some], frames, errors) if some else ())
+                frames = iter(frames)
+                for i, _, size in todo[a : a + GROUP]:
+                    if not size:
+                        hists[i] += hists[i][-1:]
+                        continue
+                    coef, frame = next(coefs), next(frames)
+                    if coef is not None:
+                        head = head_of(frame, tables)
+                        parts[i].append((coef + 128).astype(np.uint8).tobytes())
+                        hists[i].append(histogram(coef[head.part[np.arange(len(coef)) % head.per] == 0], head.quant))
             payloads, clips = [], []
             for i, x in enumerate(index):
-                if x is None:
+                if x is None or i in errors:
                     payloads.append(None)
                     clips.append(None)
                     continue
                 payloads.append(b"".join(parts[i])[: x[1]])
                 cut = [*shots(hists[i]), len(hists[i])]
                 clips.append([{"shot": n, "start_frame": a, "end_frame": b, "start_s": a * x[0] / 1e6, "end_s": b * x[0] / 1e6} for n, (a, b) in enumerate(zip(cut, cut[1:], strict=False))])
-            return ids, payloads, [len(h) for h in hists], clips
+            return ids, payloads, [None if i in errors else len(h) for i, h in enumerate(hists)], clips, [errors.get(i) for i in range(len(files))]
 
         return step
 
-    return map_rows(media.select(id_col, media_col), make, f"{id_col} {dict(media.dtypes)[id_col]}, payload binary, frames long, clips array<struct<shot:long,start_frame:long,end_frame:long,start_s:double,end_s:double>>")
-
-
-def _head_quant(frame: bytes) -> np.ndarray:
-    end = frame.index(b"\xff\xda")
-    head = frame[: end + 2 + struct.unpack_from(">H", frame, end + 2)[0]]
-    if head not in _heads:
-        _heads[head] = _head(head)
-    return _heads[head][4]
+    return map_rows(media.select(id_col, media_col), make, f"{id_col} {dict(media.dtypes)[id_col]}, payload binary, frames long, clips array<struct<shot:long,start_frame:long,end_frame:long,start_s:double,end_s:double>>, error string")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Sizes and digests of stored and read-back bytes, with the shots as the feature; both steps run in one stage."""
+    """Sizes and digests of stored and read-back bytes, with the shots as the feature; both steps run in one stage.
+
+    Null counts as empty; ids may repeat or be null: a row comes back for each row.
+    """
     media = store_as_avi(docs)
     stored = media.select("doc_id", "n_bytes", "media")
     back = read_avi(stored.select(F.struct("doc_id", "n_bytes", F.length("media").alias("size"), F.sha2("media", 256).alias("sha")).alias("key"), "media"), "key")
