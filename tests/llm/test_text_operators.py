@@ -451,14 +451,40 @@ MESSAGE = "conv_id long, turn long, role string, text string"
 
 def test_places_by_buckets(spark):
     rng = random.Random(8)
-    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.randrange(-40, 400), rng.randrange(9), rng.randrange(3)) for i in range(1500)]
-    df = spark.createDataFrame(rows, "row long, conv_id long, turn long, depth long, tie long")
+    rows = [(i, rng.choice([1, 1, 1, 2]), rng.choice([-1, -1, 7]), rng.randrange(-40, 400), rng.randrange(-(2**63), 2**63) if i % 3 else 5) for i in range(1500)]
+    df = spark.createDataFrame(rows, "row long, conv_id long, above long, turn long, tie long")
     want = {}
-    for conv in (1, 2):
-        want |= {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[1] == conv), key=lambda r: (r[3], r[2], r[4], r[0])), 1)}
+    for key in {r[1:3] for r in rows}:
+        want |= {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[1:3] == key), key=lambda r: (r[3], r[4], r[0])), 1)}
     for least in (10, 10**6):
-        got = quotes._placed(df, least, 7).collect()
-        assert len(got) == len(rows) and all(r.position == want.get(r.row) for r in got)
+        got = quotes._nth(df, least, 7).collect()
+        assert len(got) == len(rows) and all(r.nth == want[r.row] for r in got)
+
+
+def test_threads_are_read_depth_first(spark):
+    rng = random.Random(9)
+    rows, up = [], {}
+    for conv in range(4):
+        for turn in range([1, 7, 60, 300][conv]):
+            row = len(rows)
+            above = [r for r in rows if r[1] == conv]
+            parent = None if not above or rng.random() < 0.1 else above[-1] if rng.random() < 0.5 else rng.choice(above)
+            rows.append((row, conv, turn, rng.randrange(100), None if parent is None else conv if rng.random() < 0.97 else 99, None if parent is None else parent[2], None if parent is None else parent[0]))
+            up[row] = parent[0] if parent is not None and rows[-1][4] == conv else None
+    rows += [(len(rows), None, 3, 1, None, None, None), (len(rows) + 1, 2, None, 1, None, None, None)]
+    got = {r.row: r for r in quotes._ordered(spark.createDataFrame(rows, "row long, conv_id long, turn long, tie long, parent_conv long, parent_turn long, to long")).collect()}
+    at = {}
+
+    def visit(row, depth, root):
+        conv = rows[row][1]
+        at[conv] = at.get(conv, 0) + 1
+        assert (got[row].position, got[row].depth, got[row].root_turn) == (at[conv], depth, root)
+        for r in sorted((r for r in rows if up.get(r[0]) == row), key=lambda r: (r[2], r[3], r[0])):
+            visit(r[0], depth + 1, root)
+
+    for r in sorted((r for r in rows[:-2] if up[r[0]] is None), key=lambda r: (r[1], r[2], r[3], r[0])):
+        visit(r[0], 0, r[2])
+    assert len(got) == len(rows) and sum(at.values()) == len(rows) - 2 and all(got[r[0]].position is None for r in rows[-2:])
 
 
 def test_quotes_of_parts_and_of_several_messages(spark):
@@ -469,6 +495,7 @@ def test_quotes_of_parts_and_of_several_messages(spark):
     got = {r.turn: r for r in quotes.link_rows(spark.createDataFrame(rows, MESSAGE)).where("conv_id = 1").collect()}
     to = {t: [(x.conv_id, x.turn) for x in r.links] for t, r in got.items()}
     assert to == {0: [], 1: [], 2: [(1, 0)], 3: [(1, 0)], 4: [(1, 1), (1, 0)], 5: [(1, 0)], 6: [(2, 9)], 7: []}
+    assert [got[i].position for i in range(8)] == [1, 5, 2, 3, 6, 4, 7, 8]
     assert (got[4].parent_turn, got[5].links[0].part, got[6].parent_conv, got[6].depth) == (1, 1, 2, 0)
 
 

@@ -37,7 +37,7 @@ def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.quotation_threads(table(spark, sf_dir, "conversations"))
+    return quotes.quotation_links(table(spark, sf_dir, "conversations"))
 
 
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN s USING (rid)"""
 
-ORACLE_SQL = {"op2_decontamination": DECONTAMINATION_SQL, "op3_license_scan": license_scan.license_sql(), "op7_quotation_links": quotes.QUOTES_SQL, "op7_quotation_threads": quotes.THREADS_SQL}
+ORACLE_SQL = {"op2_decontamination": DECONTAMINATION_SQL, "op3_license_scan": license_scan.license_sql(), "op7_quotation_links": quotes.QUOTES_SQL, "op7_quotation_threads": quotes.QUOTES_SQL}

@@ -102,10 +102,11 @@ def link_rows(messages: DataFrame) -> DataFrame:
     reduced to one original for each conversation and two of all before any join, so a passage quoted
     by a third of all messages makes no pairs.
 
-    root_turn and depth follow parents within the conversation; position orders a conversation by
-    depth, then turn, then tie. Messages without a linked quote are roots. Repeats of (conv_id, turn) are
+    root_turn and depth follow parents within the conversation; a message without one, or with one of another
+    conversation only, is a root. position is the place from 1 of a message when its conversation is read depth first: a message,
+    then its replies by turn, hash of role and text, and row, each with all that answers it. Repeats of (conv_id, turn) are
     messages of their own: where several could be an original, that of the least hash of role and text is.
-    Rows of a null conv_id or turn come back without links and position.
+    Rows of a null conv_id or turn come back without links, as roots without a position.
     """
     parsed = materialize(parse_messages(messages))
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
@@ -131,43 +132,56 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return link_rows(messages.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()).drop("row")
 
 
+def _follow(rows: DataFrame, **merge) -> DataFrame:
+    """rows (row, at, ...) when every `at`, a row or null, is followed until null. A round doubles how far that is, for those still
+    going: merge has the new value of each other column from its own and, under names with _ before, those of the row at `at`."""
+    going, done = rows.where("at IS NOT NULL"), rows.where("at IS NULL")
+    while not going.isEmpty():
+        other = going.unionByName(done).select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+        new = materialize(going.join(other, F.col("at") == F.col("_row")).select("row", F.col("_at").alias("at"), *[e.alias(c) for c, e in merge.items()]))
+        going, done = new.where("at IS NOT NULL"), done.unionByName(new.where("at IS NULL"))
+    return done.drop("at")
+
+
 def _ordered(linked: DataFrame) -> DataFrame:
-    """Adds root_turn, depth and position. Each round doubles how far a message's root is followed, for those whose root isn't reached yet."""
-    inside = F.coalesce(F.col("parent_conv") == F.col("conv_id"), F.lit(False))
-    going = materialize(linked.select("row", F.when(inside, F.col("to")).otherwise(F.col("row")).alias("root"), F.when(inside, F.col("parent_turn")).otherwise(F.col("turn")).alias("root_turn"), F.when(inside, 1).otherwise(0).cast("long").alias("depth")))
-    done = None
-    while True:
-        at = going if done is None else going.unionByName(done)
-        up = at.where("depth > 0").select(F.col("row").alias("root"), F.col("root").alias("next"), F.col("root_turn").alias("next_turn"), F.col("depth").alias("more"))
-        new = materialize(going.join(up, "root", "left").select("row", F.coalesce("next", "root").alias("root"), F.coalesce("next_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
-        reached = new.where("NOT moved").drop("moved")
-        done = reached if done is None else done.unionByName(reached)
-        going = new.where("moved").drop("moved")
-        if going.limit(1).count() == 0:
-            break
-    return _placed(linked.join(done.drop("root"), "row"))
-
-
-def _placed(rows: DataFrame, least: int = 500, buckets: int = 64) -> DataFrame:
-    """Adds position, the place from 1 of a row in its conversation by depth, turn, tie and row.
-
-    A conversation of more than `least` rows and of more than 1 in 4,096 of all is cut into buckets at
-    approximate quantiles and each bucket is ordered by itself, so no task sorts a large conversation;
-    where the cuts lie doesn't change the result. Tables of those conversations are small and broadcast.
+    """Adds root_turn, depth and position.
+
+    Behind a message comes its first reply or, without replies, the next sibling of the nearest message above it, itself
+    included, that has one. What each message comes behind is followed to the start, which gives its position.
     """
-    rows = materialize(rows)
-    coarse = F.col("depth") * F.lit(2.0**33) + F.greatest(F.least(F.col("turn").cast("double"), F.lit(2.0**32)), F.lit(-(2.0**32)))  # never falls in the order
+    inside = F.coalesce(F.col("parent_conv") == F.col("conv_id"), F.lit(False))
     usable = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    large = rows.where(usable).groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, rows.count() // 4096)).select("conv_id")
-    edges = rows.where(usable).join(F.broadcast(large), "conv_id").groupBy("conv_id").agg(F.percentile_approx(coarse, [i / buckets for i in range(1, buckets)], 1000).alias("_e"))
-    cut = rows.join(F.broadcast(materialize(edges)), "conv_id", "left").withColumn("_b", F.coalesce(F.size(F.filter("_e", lambda e: e < coarse)), F.lit(0)))
-    sums = cut.where("_e IS NOT NULL").groupBy("conv_id", "_b").agg(F.count("*").alias("_n"))
-    before = sums.select("conv_id", "_b", F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
-    # A null conv_id or turn has no place; its row id keeps such rows from meeting in one task.
-    alone = F.when(usable, F.lit(None)).otherwise(F.col("row"))
-    inner = Window.partitionBy("conv_id", "_b", "_a").orderBy("depth", "turn", "tie", "row")
-    place = F.when(usable, F.coalesce("_o", F.lit(0)) + F.row_number().over(inner)).cast("long")
-    return cut.drop("_e").join(F.broadcast(before), ["conv_id", "_b"], "left").withColumn("_a", alone).withColumn("position", place).drop("_b", "_o", "_a")
+    nodes = linked.select("row", "conv_id", "turn", "tie", F.when(inside, F.col("to")).alias("at"), F.when(usable, F.when(inside, F.col("to")).otherwise(-1)).alias("above"))
+    nodes = materialize(_nth(nodes.where("above IS NOT NULL")).unionByName(nodes.where("above IS NULL").withColumn("nth", F.lit(None).cast("long"))))
+    placed = nodes.where("above IS NOT NULL")
+    before = placed.select("conv_id", "above", (F.col("nth") - 1).alias("nth"), F.col("row").alias("sibling"))
+    tree = materialize(nodes.join(before, ["conv_id", "above", "nth"], "left").select("row", "at", "above", "nth", "sibling", F.when(F.col("at").isNull(), F.col("turn")).alias("root_turn"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    root = _follow(tree.select("row", "at", "root_turn", "depth", "sibling"), root_turn=F.col("_root_turn"), depth=F.col("depth") + F.col("_depth"), sibling=F.coalesce("sibling", "_sibling"))
+    root = materialize(root)
+    child = tree.where("nth = 1 AND at IS NOT NULL").select(F.col("at").alias("row"), F.col("row").alias("child"))
+    behind = root.join(child, "row", "left").select(F.col("row").alias("at"), F.coalesce("child", "sibling").alias("row")).where("row IS NOT NULL")
+    chain = materialize(placed.select("row").join(behind, "row", "left").withColumn("position", F.lit(1).cast("long")))
+    position = _follow(chain, position=F.col("position") + F.col("_position"))
+    return linked.join(root.drop("sibling"), "row").join(position, "row", "left")
+
+
+def _nth(rows: DataFrame, least: int = 500, buckets: int = 64) -> DataFrame:
+    """Adds nth, the place from 1 of a row among those of its conv_id and `above`, by turn, tie and row.
+
+    Those of more than `least` rows and of more than 1 in 4,096 of all are cut into buckets at approximate quantiles
+    and each bucket is ordered by itself, so no task sorts a large one; where the cuts lie doesn't change the result. Tables
+    of the large ones have 4,096 rows or so and are broadcast. Only exact repeats (of turn, role and text) share a bucket always.
+    """
+    keys = ["conv_id", "above"]
+    clipped = F.greatest(F.least(F.col("turn").cast("double"), F.lit(2.0**32)), F.lit(-(2.0**32)))
+    coarse = clipped + (F.col("tie").cast("double") + 2.0**63) / 2.0**64 * 0.999  # never falls in the order of turn and tie
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, rows.count() // 4096)).select(*keys)
+    edges = rows.join(F.broadcast(large), keys).groupBy(*keys).agg(F.percentile_approx(coarse, [i / buckets for i in range(1, buckets)], 1000).alias("_e"))
+    cut = rows.join(F.broadcast(materialize(edges)), keys, "left").withColumn("_b", F.coalesce(F.size(F.filter("_e", lambda e: e < coarse)), F.lit(0)))
+    sums = cut.where("_e IS NOT NULL").groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = sums.select(*keys, "_b", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
+    place = F.coalesce("_o", F.lit(0)) + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("turn", "tie", "row"))
+    return cut.drop("_e").join(F.broadcast(before), [*keys, "_b"], "left").withColumn("nth", place.cast("long")).drop("_b", "_o")
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
@@ -186,25 +200,23 @@ def as_mail(conversations: DataFrame) -> DataFrame:
 
 
 QUOTES_SQL = """
-WITH n AS (SELECT conv_id, turn, role, text, regexp_replace(regexp_replace(lower(text), '[\\s]+', ' ', 'g'), '^ | $', '', 'g') AS plain FROM conversations),
+WITH RECURSIVE n AS (SELECT conv_id, turn, role, text, regexp_replace(regexp_replace(lower(text), '[\\s]+', ' ', 'g'), '^ | $', '', 'g') AS plain FROM conversations),
 f AS (SELECT conv_id, plain, min(turn) AS first FROM n GROUP BY ALL),
 p AS (SELECT a.conv_id, a.turn, f.first AS parent_turn FROM n a JOIN n b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 JOIN f ON f.conv_id = b.conv_id AND f.plain = b.plain),
-d AS (SELECT n.conv_id, n.turn, n.role, n.text, p.parent_turn, (SELECT count(*) FROM n m WHERE m.conv_id = n.conv_id AND m.turn IN (n.turn - 1, n.turn - 2)) AS quotes FROM n LEFT JOIN p USING (conv_id, turn))
-SELECT conv_id, turn, role, sha256(text) AS body_sha256, quotes AS n_quotes, quotes AS max_level, parent_turn FROM d"""
-
-
-#: The links of QUOTES_SQL with roots, depths and places by recursion over parents.
-THREADS_SQL = QUOTES_SQL.replace("\nWITH n AS", "\nWITH RECURSIVE n AS").rpartition("\nSELECT conv_id, turn")[0] + """,
-t AS (SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM d WHERE parent_turn IS NULL UNION ALL SELECT d.conv_id, d.turn, t.root_turn, t.depth + 1 FROM d JOIN t ON d.conv_id = t.conv_id AND d.parent_turn = t.turn)
-SELECT conv_id, turn, role, sha256(text) AS body_sha256, quotes AS n_quotes, quotes AS max_level, quotes AS n_links, CASE WHEN parent_turn IS NOT NULL THEN conv_id END AS parent_conv, parent_turn, root_turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn) AS position
+d AS (SELECT n.conv_id, n.turn, n.role, n.text, p.parent_turn, (SELECT count(*) FROM n m WHERE m.conv_id = n.conv_id AND m.turn IN (n.turn - 1, n.turn - 2)) AS quotes FROM n LEFT JOIN p USING (conv_id, turn)),
+t AS (SELECT conv_id, turn, turn AS root_turn, 0 AS depth, [turn] AS path FROM d WHERE parent_turn IS NULL UNION ALL SELECT d.conv_id, d.turn, t.root_turn, t.depth + 1, list_append(t.path, d.turn) FROM d JOIN t ON d.conv_id = t.conv_id AND d.parent_turn = t.turn)
+SELECT conv_id, turn, role, sha256(text) AS body_sha256, quotes AS n_quotes, quotes AS max_level, quotes AS n_links, CASE WHEN parent_turn IS NOT NULL THEN conv_id END AS parent_conv, parent_turn, root_turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS position
 FROM d JOIN t USING (conv_id, turn)"""
 
 
-def quotation_threads(conversations: DataFrame) -> DataFrame:
-    """The links, roots, depths and places of conversations written as mail, which the operator has to find again from the quotes alone."""
+def quotation_links(conversations: DataFrame) -> DataFrame:
+    """The links, roots, depths and places of conversations written as mail, which the operator has to find again from the quotes alone.
+
+    A row for each row, repeated and null-keyed ones included.
+    """
     return link_rows(as_mail(conversations)).select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quotes", "max_level", F.size("links").cast("long").alias("n_links"), "parent_conv", "parent_turn", "root_turn", "depth", "position")
 
 
-def quotation_links(conversations: DataFrame) -> DataFrame:
-    """quotation_threads without what orders a conversation."""
-    return quotation_threads(conversations).select("conv_id", "turn", "role", "body_sha256", "n_quotes", "max_level", "parent_turn")
+def threads(linked: DataFrame) -> DataFrame:
+    """A row for each thread of link_rows: conv_id, root_turn, messages, greatest depth, place of its root. Roots of one turn count as one thread."""
+    return linked.where("position IS NOT NULL").groupBy("conv_id", "root_turn").agg(F.count("*").alias("n_messages"), F.max("depth").alias("max_depth"), F.min("position").alias("position"))
