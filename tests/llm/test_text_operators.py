@@ -653,12 +653,87 @@ def test_long_whitespace_keeps_tokens():
 
 
 def test_pipeline(spark):
+    """Each stage's rows against a plain version of its rule, on what the stage before has kept."""
     import corpus_pipeline as cp
 
-    out = cp.run(spark, SF)
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    assert 0 < out.count() <= d.count() and {"doc_id", "text", "piece_ids"} <= set(out.columns)
-    assert not any(pii_brute(r.text) for r in out.collect())
+    sf = SF.replace("sf0.001", "sf0.01")
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), labels.where(toxicity.crc_mod("doc_id", 5) != 0))
+    want = [{i: r.text for i, r in rows.items() if toxicity_brute(model[0], model[1], (*toxicity.EXCEPTIONS, *model[2]), r.text) < 0.5}]
+    fps = {i: fingerprint_brute(t) for i, t in want[0].items()}
+    root, first = components_brute(sorted(set(fps.values())), 3), {}
+    for i in sorted(fps):
+        first.setdefault(root[fps[i]], i)
+    want.append({i: want[0][i] for i in first.values()})
+    items = [decontam.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    grams = {tuple(w[k : k + 13]) for w in items if w for k in range(max(1, len(w) - 12))}
+    sizes = sorted({len(g) for g in grams})
+
+    def clean(text):
+        while True:
+            w = decontam.words(text)
+            hit = {p for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in grams for p in range(k, k + n)}
+            if hit and 20 * len(hit) >= len(w):
+                return False
+            runs, at = [], 0
+            for p in range(len(w) + 1):
+                if p not in hit:
+                    runs += [(at, p)] if p - at > 13 else []
+                    at = p + 1
+            if not runs:
+                return w
+            text = b" ".join(x for p, x in enumerate(w) if not any(a <= p < b for a, b in runs)).decode()
+
+    words = {i: clean(t) for i, t in want[1].items()}
+    want.append({i: w for i, w in words.items() if w is not False})
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf).cache()
+        seen.append({r.doc_id: r.text for r in docs.collect()})
+        assert docs.count() == len(seen[-1])
+    assert seen[0] == want[0] and seen[1] == want[1] and {i: decontam.words(t) for i, t in seen[2].items()} == want[2]
+    assert len(rows) > len(seen[0]) > len(seen[1]) > len(seen[2]) == len(seen[4])
+    assert seen[3] == {i: t and pii.redact(t, pii.find_spans(t)) for i, t in seen[2].items()} == seen[4] and not any(pii_brute(t) for t in seen[4].values())
+    assert {(r.doc_id, r.text) for r in cp.run(spark, sf).collect()} == set(seen[4].items())
+
+
+LONG = [" " * 1_500_000, "x" * 300_000, "ab c. " * 200_000, "\n" * 400_000 + "end", "@" * 200_000, "1" * 200_000 + " 4111111111111111", "> " * 100_000 + "deep", "日本" * 200_000, "a b c d e f g h i j k l m n " * 20_000, "AA00" * 50_000]
+
+
+def documents_operators(docs, labels, bench, spark):
+    return {
+        "op1": pii.pii_digest(docs), "op2": decontam.contamination(docs, bench), "op3": license_scan.scan_licenses(spark, docs), "op4": avi_media.media_digest(docs), "op5": langid.language(docs),
+        "op6": toxicity.toxicity(docs, labels), "op8": sentencepiece_nbest.segment_digest(docs), "op9": simhash.near_duplicates(docs), "op10": token_counts.token_digest(docs),
+    }
+
+
+def test_empty_and_clashing_tables(spark, docs):
+    """No rows, and columns named as the operators' own: a row for each row, but for the license scan, which returns matches."""
+    labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    own = "ids ways decoded fp tile items n_words payload media clips score terms sections row root node a b shard key at text_1 _row_digest".split()
+    clash = docs.select("*", *[F.lit(str(i)).alias(c) for i, c in enumerate(own)])
+    for name, out in documents_operators(clash, labels, bench, spark).items():
+        assert out.count() == docs.count() or name == "op3", name
+    for name, out in documents_operators(clash.where("false"), labels.where("false"), bench.where("false"), spark).items():
+        assert out.count() == 0, name
+    talk = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y")], MESSAGE).select("*", *[F.lit(str(i)).alias(c) for i, c in enumerate(["body", "said", "key", "found", "passages", "depth", "nth", "at", "sibling"])])
+    assert quotes.quotation_links(talk).count() == 2 and quotes.link_rows(talk.where("false")).count() == 0 == quotes.quotation_links(talk.where("false")).count()
+    assert [r.n_messages for r in quotes.threads(quotes.link_rows(quotes.as_mail(talk))).collect()] == [2]
+
+
+def test_very_long_texts(spark):
+    labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(LONG)], "doc_id long, text string, lang string").repartition(4, "doc_id")
+    got = {name: by_id(out) for name, out in documents_operators(docs, labels, bench, spark).items()}
+    assert all(len(out) == len(LONG) for name, out in got.items() if name != "op3")
+    for i, t in enumerate(LONG):
+        assert (got["op1"][i][0].n_card, got["op2"][i][0].n_words, got["op4"][i][0].n_bytes) == (len(pii_brute(t)) if i not in (4, 6, 7) else 0, len(decontam.words(t)), len(t.encode()))
+        assert got["op9"][i][0].fingerprint == f"{fingerprint_brute(t):016x}"
+    back = by_id(sentencepiece_nbest.segment_texts(docs))
+    assert all(back[i][0].decoded == t for i, t in enumerate(LONG))
+    parsed = quotes.link_rows(docs.select(F.lit(1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("a").alias("role"), "text"))
+    assert parsed.count() == len(LONG)
 
 
 def test_stages_on_awkward_rows(spark, docs):
