@@ -17,7 +17,7 @@ from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows
 #: Learning reads about so many labelled rows, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
 #: A term's least log ratio of rates, share and number of toxic texts, and log-likelihood ratio of its presence.
-MIN_WEIGHT, MIN_SHARE, MIN_DOCS, MIN_EVIDENCE = 2.5, 0.01, 3, 10.0
+MIN_WEIGHT, MIN_SHARE, MIN_DOCS, MIN_EVIDENCE = 2.5, 0.02, 3, 10.0
 #: Beginnings of words that may be terms, as stems: insults are inflected and compounded.
 STEMS = range(5, 9)
 #: A stem isn't a term where one longer term makes up so much of its toxic occurrences: it would only add that word's innocent kin.
