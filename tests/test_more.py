@@ -160,11 +160,11 @@ def test_files_of_differing_columns(spark, tmp_path):
     got = {r.file.rsplit("/", 1)[1]: r.status for r in files.scan_status(names, rows, files.headers(spark, path)).collect()}
     assert got == {"1.csv": "ok", "2.csv": "ok", "3.csv": "header_only", "4.csv": "missing_required_columns", "6.csv": "no_valid_core_event"}
     inventory = {r.user_id: r.state for r in files.file_inventory(spark, path, spark.createDataFrame([(1,), (5,), (8,)], "user_id long")).collect()}
-    assert inventory == {1: "nonempty", 5: "missing", 8: "missing"}
+    assert inventory == {1: "nonempty", 5: "zero_byte", 8: "missing"}
 
 
 def test_folds_are_not_overwritten(spark, tmp_path):
-    df = spark.createDataFrame([(1, 0)], "id long, fold long")
+    df = spark.createDataFrame([(1, 0)], "user_id long, fold long")
     files.sink_folds(df, str(tmp_path / "f"))
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         files.sink_folds(df, str(tmp_path / "f"))
@@ -173,7 +173,7 @@ def test_folds_are_not_overwritten(spark, tmp_path):
 def test_empty_days(spark):
     none = spark.createDataFrame([], "user_id long, channel long, day long, n long, cov_s double, hours long, mean double, sd double, median double, vmin double, vmax double, adequate boolean")
     assert features.channel_summary(none).count() == 0 and windows.nested_k(none.select("user_id", "day"), (3,)).count() == 0
-    assert rhythms.phase_coherence(rhythms.spectrum(spark.createDataFrame([], "user_id long, day long, residual double"), [7.0])).count() == 0
+    assert rhythms.phase_coherence(rhythms.spectrum(spark.createDataFrame([], "user_id long, day long, residual double"), [7.0]).selectExpr("*", "1 as team"), "team").count() == 0
 
 
 def test_registry_has_all():

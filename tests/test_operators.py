@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
-from tidewell.operators import cohorts, epochs, evaluation, gaps, splits, windows
+from tidewell.operators import cohorts, epochs, evaluation, gaps, ranks, splits, windows
 
 
 @pytest.fixture
@@ -97,8 +98,26 @@ def test_circular_smooth_wraps(spark):
 
 def test_thresholds_take_all_ties(spark):
     p = spark.createDataFrame([("a", i, 1 if i < 3 else 0, 0.9 if i < 4 else 0.1) for i in range(8)], "arm string, user_id long, y long, score double")
-    row = evaluation.select_thresholds(p, 0.7).first()
-    assert (row.tau, row.n, row.tp) == (0.9, 4, 3)
+    both = p.selectExpr("arm", "user_id", "y", "score", "explode(array('val', 'test')) as split")
+    got = {r.side: r for r in evaluation.select_thresholds(both, 0.7).collect()}
+    assert (got[1].tau, got[1].n_val, got[1].right_test, got[1].recall_test) == (0.9, 4, 3, 1.0) and (got[0].tau, got[0].n_test, got[0].right_test) == (0.1, 4, 4)
+    assert [r.tau for r in evaluation.select_thresholds(both, 0.99, bound="cp").collect()] == [None, None]
+
+
+def test_binomial_tail(spark):
+    rows = [(k, n) for n in (1, 2, 5, 40, 300) for k in {0, 1, n // 3, n // 2, n - 1, n}]
+    for share in (0.05, 0.5, 0.8):
+        for r in spark.createDataFrame(rows, "k long, n long").withColumn("p", evaluation.binomial_tail(F.col("k"), F.col("n"), share)).collect():
+            assert r.p == pytest.approx(sum(math.comb(r.n, i) * share**i * (1 - share) ** (r.n - i) for i in range(r.k, r.n + 1)), abs=1e-9)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, None if i % 9 == 0 else float(v)) for k in ("a", "b") for i, v in enumerate(rng.integers(0, 40, 500))] + [("c", 1.5), ("d", None)]
+    got = {r.k: r for r in ranks.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q1": 0.25, "m": 0.5, "p9": 0.9}).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in got:
+        assert [got[k].q1, got[k].m, got[k].p9] == pytest.approx(list(np.quantile([v for x, v in rows if x == k and v is not None], [0.25, 0.5, 0.9])))
 
 
 def test_auroc_of_ties_is_half(spark):

@@ -27,10 +27,10 @@ def coverage_by_channel(days: DataFrame, min_days: int = 14) -> DataFrame:
     return per.groupBy("channel").agg(F.count("*").alias("users"), F.count_if(F.col("good") >= min_days).alias("users_passing"), F.median("good").alias("median_good"))
 
 
-def coverage_semantics(days: DataFrame) -> DataFrame:
+def coverage_semantics(days: DataFrame, keys=("source", "channel")) -> DataFrame:
     """Days, days whose coverage exceeds 24 hours (it isn't clipped at midnight), the largest, and the user and day that attain it."""
     top = F.max_by(F.struct("user_id", "day"), F.struct("cov_s", -F.col("user_id"), -F.col("day")))
-    return days.groupBy("channel").agg(F.count("*").alias("day_rows"), F.count_if(F.col("cov_s") > 86_400).alias("over_24h"), F.max("cov_s").alias("most"), top.alias("t")).select("channel", "day_rows", "over_24h", "most", F.col("t.user_id").alias("user_id"), F.col("t.day").alias("day"))
+    return days.groupBy(*keys).agg(F.count("*").alias("day_rows"), F.count_if(F.col("cov_s") > 86_400).alias("over_24h"), F.max("cov_s").alias("most"), top.alias("t")).select(*keys, "day_rows", "over_24h", "most", F.col("t.user_id").alias("user_id"), F.col("t.day").alias("day"))
 
 
 def primary_source(events: DataFrame) -> DataFrame:
@@ -95,11 +95,13 @@ def ages(people: DataFrame, year: int) -> DataFrame:
     return people.select("user_id", F.when(ok, age).cast("long").alias("age"), band.alias("band"))
 
 
-def age_support(people: DataFrame, year: int, least: int) -> DataFrame:
-    """Users of either label in each band, and whether both reach a number."""
+def age_support(people: DataFrame, year: int, least: int, bands: int = 3) -> DataFrame:
+    """Users of either label in each band of five years, whether both reach a number, and whether so many bands do that ages can be compared."""
     a = people.withColumn("band", F.floor((F.lit(year) - F.col("birth_year")) / 5) * 5)
     out = a.groupBy("band").agg(F.count_if(F.col("salutation") == 10).alias("n0"), F.count_if(F.col("salutation") == 20).alias("n1"))
-    return out.withColumn("supported", (F.col("n0") >= least) & (F.col("n1") >= least))
+    out = out.withColumn("supported", (F.col("n0") >= least) & (F.col("n1") >= least))
+    enough = out.agg((F.count_if("supported") >= bands).alias("comparable"))
+    return out.crossJoin(F.broadcast(enough))  # enough is one row
 
 
 def crosstab_share(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -159,7 +161,26 @@ def outer_blocks(a: DataFrame, b: DataFrame, on) -> DataFrame:
     return a.join(b, list(on), "full")
 
 
-def cohort_checks(m: DataFrame) -> DataFrame:
-    """(check, passed, violations) of the manifest."""
+def cohort_checks(m: DataFrame, events: DataFrame, days: DataFrame, splits: DataFrame, excluded=(), min_days: int = 14, forbidden=()) -> DataFrame:
+    """(check, violations, passed) of a manifest (user_id, label, passed, adequate_days, raw_events) and what belongs to it.
+
+    Labels are 0 or 1, users unique, those passed were seen, no event is of an excluded source, the gate and its days come out the
+    same from the day table, forbidden columns are absent, and splits hold each passed user once and no other.
+    """
+    n = lambda df, name: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
     own = m.agg(F.count_if(F.coalesce(~F.col("label").isin(0, 1), F.lit(False))).alias("a"), (F.count("*") - F.countDistinct("user_id")).alias("b"), F.count_if(F.col("passed") & F.col("raw_events").isNull()).alias("c"))
-    return own.select(F.expr("stack(3, 'labels_binary', a, 'users_unique', b, 'passed_were_seen', c) as (check, violations)")).withColumn("passed", F.col("violations") == 0)
+    base = own.select(F.expr("stack(3, 'labels_binary', a, 'users_unique', b, 'passed_were_seen', c) as (check, violations)"))
+    best = days.groupBy("user_id", "channel").agg(F.count_if("adequate").alias("_g")).groupBy("user_id").agg(F.max("_g").alias("_g"))
+    gate = m.join(best, "user_id", "left").withColumn("_g", F.coalesce("_g", F.lit(0)))
+    passed = m.where("passed").select("user_id").distinct()
+    once = splits.groupBy("user_id").agg(F.count("*").alias("_n"))
+    bad = len(set(forbidden) & set(m.columns))
+    checks = (
+        base.unionByName(n(events.where(F.col("source").isin(*excluded)) if excluded else events.limit(0), "no_excluded_source"))
+        .unionByName(n(gate.where(~F.col("_g").eqNullSafe(F.coalesce("adequate_days", F.lit(0)))), "adequate_days_recomputed"))
+        .unionByName(n(gate.where(F.coalesce("passed", F.lit(False)) != (F.col("_g") >= min_days)), "gate_recomputed"))
+        .unionByName(base.limit(1).select(F.lit("forbidden_absent").alias("check"), F.lit(bad).cast("long").alias("violations")))
+        .unionByName(n(passed.join(once, "user_id", "full").where(F.coalesce("_n", F.lit(0)) != 1), "split_covers_each_once"))
+        .unionByName(n(once.join(passed, "user_id", "left_anti"), "split_holds_no_other"))
+    )
+    return checks.withColumn("passed", F.col("violations") == 0)

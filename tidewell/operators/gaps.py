@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators.ranks import quantiles
 
 KEYS = ("user_id", "day")
 
@@ -35,7 +36,7 @@ def clean_diff(grid: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def fill_template(train: DataFrame) -> DataFrame:
-    return train.groupBy("bin").agg(F.median("hr").alias("template"))
+    return quantiles(train, ["bin"], "hr", {"template": 0.5})
 
 
 def fill_clock(grid: DataFrame, train: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def fill_clock(grid: DataFrame, train: DataFrame) -> DataFrame:
 
     The template has one row for each bin of a day, 1,440 at most, and is broadcast.
     """
-    whole = train.agg(F.median("hr").alias("whole"))
+    whole = quantiles(train, [], "hr", {"whole": 0.5})
     return grid.join(F.broadcast(fill_template(train)), "bin", "left").crossJoin(F.broadcast(whole)).withColumn("filled", F.coalesce("hr", "template", "whole")).drop("template", "whole")
 
 
@@ -75,33 +76,64 @@ def mask_stats(grid: DataFrame) -> DataFrame:
     return grid.groupBy("user_id", "bin").agg(p.alias("share"), n.alias("days")).withColumn("sd", F.when(F.col("days") > 1, F.sqrt(F.col("share") * (1 - F.col("share")) * F.col("days") / (F.col("days") - 1))).otherwise(0.0))
 
 
-def transition_dynamics(grid: DataFrame, keys=KEYS) -> DataFrame:
-    """Counts of observed and missing bins followed by either, within days, and the hazards of stopping and starting."""
+def pool_mask(grid: DataFrame, bins: int = 3, keys=KEYS) -> DataFrame:
+    """The grid in coarser bins, observed where one of its bins is: hr is 1 or null."""
+    return grid.groupBy(*keys, F.floor(F.col("bin") / bins).cast("long").alias("bin")).agg(F.max(F.when(F.col("hr").isNotNull(), 1.0)).alias("hr"))
+
+
+def transition_dynamics(grid: DataFrame, windows: dict[str, tuple[int, int]], pool: int = 3, keys=KEYS) -> DataFrame:
+    """Counts and shares of observed and missing bins followed by either, within days, hazards of stopping and starting, and stops a day.
+
+    A row for each user and part: `all`, each clock window (bins from, to, of the step's first bin, end exclusive), and `pooled`,
+    all steps of the mask in bins of `pool`.
+    """
     on = F.col("hr").isNotNull()
-    m = grid.withColumn("on", on).withColumn("next", F.lead(on).over(Window.partitionBy(*keys).orderBy("bin"))).where("next IS NOT NULL")
+
+    def steps(g, part):
+        m = g.withColumn("on", on).withColumn("next", F.lead(on).over(Window.partitionBy(*keys).orderBy("bin"))).where("next IS NOT NULL")
+        return m.withColumn("part", part).select(*keys, F.explode("part").alias("part"), "on", "next").where("part IS NOT NULL")
+
+    parts = F.array(F.lit("all"), *[F.when(F.col("bin").between(a, b - 1), F.lit(n)) for n, (a, b) in windows.items()])
+    m = steps(grid, parts).unionByName(steps(pool_mask(grid, pool, keys), F.array(F.lit("pooled"))))
     c = lambda a, b: F.count_if((F.col("on") == a) & (F.col("next") == b))
-    out = m.groupBy("user_id").agg(c(True, True).alias("n11"), c(True, False).alias("n10"), c(False, True).alias("n01"), c(False, False).alias("n00"))
-    return out.withColumn("stop", F.col("n10") / F.nullif(F.col("n10") + F.col("n11"), F.lit(0))).withColumn("start", F.col("n01") / F.nullif(F.col("n01") + F.col("n00"), F.lit(0)))
+    daily = m.groupBy(*keys, "part").agg(c(True, True).alias("n11"), c(True, False).alias("n10"), c(False, True).alias("n01"), c(False, False).alias("n00"))
+    out = daily.groupBy("user_id", "part").agg(*[F.sum(x).alias(x) for x in ("n11", "n10", "n01", "n00")], F.avg("n10").alias("stops_a_day"), F.coalesce(F.stddev_samp("n10"), F.lit(0.0)).alias("stops_sd"))
+    total = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
+    return out.withColumns({f"f{k}": F.col(f"n{k}") / total for k in ("11", "10", "01", "00")} | {"stop": F.try_divide("n10", F.col("n10") + F.col("n11")), "start": F.try_divide("n01", F.col("n01") + F.col("n00"))})
 
 
 def gap_run_profile(runs: DataFrame, edges=(1, 3, 6)) -> DataFrame:
-    """Missing runs of each user by length bucket and whether inside the day."""
+    """Runs of each user, missing or observed, by length bucket and whether inside the day."""
     bucket = F.lit(len(edges))
     for i in reversed(range(len(edges))):
         bucket = F.when(F.col("length") <= edges[i], i).otherwise(bucket)
-    return runs.where("missing").groupBy("user_id", bucket.cast("long").alias("bucket"), "interior").agg(F.count("*").alias("n_runs"), F.sum("length").alias("bins"))
+    return runs.groupBy("user_id", "missing", bucket.cast("long").alias("bucket"), "interior").agg(F.count("*").alias("n_runs"), F.sum("length").alias("bins"))
 
 
-def daily_signals(grid: DataFrame, night=(0, 2), day=(3, 7), least: int = 1, keys=KEYS) -> DataFrame:
-    """Tenth percentile, mean of night and day bins, their ratio and the occupied share of each day."""
-    part = lambda r: F.when(F.count_if(F.col("hr").isNotNull() & F.col("bin").between(*r)) >= least, F.avg(F.when(F.col("bin").between(*r), F.col("hr"))))
-    out = grid.groupBy(*keys).agg(F.percentile("hr", F.lit(0.1)).alias("p10"), part(night).alias("night"), part(day).alias("day_mean"), F.avg(F.col("hr").isNotNull().cast("double")).alias("occupancy"))
-    return out.withColumn("dipping", F.col("night") / F.col("day_mean"))
+def gap_clock_profile(runs: DataFrame, windows: dict[str, tuple[int, int]], charging: tuple[int, int], micro: int) -> DataFrame:
+    """Interior gaps a day of each user by the clock window of their midpoint: charging (of such lengths) and micro (of `micro` bins at most)."""
+    middle = (F.col("start") + F.col("end")) / 2
+    name = F.lit("other")
+    for n, (a, b) in windows.items():
+        name = F.when((middle >= a) & (middle < b), n).otherwise(name)
+    days = runs.groupBy("user_id").agg(F.countDistinct("day").alias("days"))
+    inside = runs.where("missing AND interior").groupBy("user_id", name.alias("window")).agg(F.count_if(F.col("length").between(*charging)).alias("charging"), F.count_if(F.col("length") <= micro).alias("micro"))
+    return inside.join(days, "user_id").select("user_id", "window", "charging", "micro", (F.col("charging") / F.col("days")).alias("charging_a_day"), (F.col("micro") / F.col("days")).alias("micro_a_day"))
+
+
+def daily_signals(grid: DataFrame, night=(0, 2), day=(3, 7), least_night: int = 1, least_day: int = 1, compliant: float = 0.5, keys=KEYS) -> DataFrame:
+    """Tenth percentile, mean of night and day bins with enough of them, their ratio, the occupied share of each day and of its night, whether that complies, and gap episodes (an observed bin followed by a missing one)."""
+    seen = F.col("hr").isNotNull()
+    at = lambda r: F.col("bin").between(*r)
+    part = lambda r, least: F.when(F.count_if(seen & at(r)) >= least, F.avg(F.when(at(r), F.col("hr"))))
+    stop = seen & ~F.lead(seen).over(Window.partitionBy(*keys).orderBy("bin"))
+    out = grid.withColumn("_s", stop).groupBy(*keys).agg(F.percentile("hr", F.lit(0.1)).alias("p10"), part(night, least_night).alias("night"), part(day, least_day).alias("day_mean"), F.avg(seen.cast("double")).alias("occupancy"), F.avg(F.when(at(night), seen.cast("double"))).alias("night_occupancy"), F.count_if("_s").alias("gap_episodes"))
+    return out.withColumn("dipping", F.try_divide("night", "day_mean")).withColumn("night_compliant", F.col("night_occupancy") >= compliant)
 
 
 def fill_global(grid: DataFrame, train: DataFrame, constant: float = 0.0) -> DataFrame:
     """Missing bins take the training median of all bins (`level`) or a constant (`fixed`)."""
-    whole = train.agg(F.median("hr").alias("whole"))
+    whole = quantiles(train, [], "hr", {"whole": 0.5})
     return grid.crossJoin(F.broadcast(whole)).withColumn("level", F.coalesce("hr", "whole")).withColumn("fixed", F.coalesce("hr", F.lit(constant))).drop("whole")  # whole is one row
 
 
@@ -166,23 +198,45 @@ def shuffle_within_day(grid: DataFrame, tag: str, keys=KEYS) -> DataFrame:
     return grid.join(dealt, [*keys, "bin"], "left")
 
 
-def mask_sample(grid: DataFrame, tag: str, one_in: int) -> DataFrame:
-    """Hides about one in `one_in` observed bins, chosen by hash: `truth` keeps the value, `hr` is null there."""
-    digest = fn.hash_rank_key(tag, F.col("user_id"), F.col("day"), F.col("bin"))
-    hide = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % one_in == 0
-    return grid.withColumn("truth", F.when(F.col("hr").isNotNull() & hide, F.col("hr"))).withColumn("hr", F.when(~hide, F.col("hr")))
+def hide_stretches(grid: DataFrame, tiers: dict[str, tuple[int, int]], tag: str, each: int = 1, keys=KEYS) -> DataFrame:
+    """Hidden stretches: for each user and tier (least, most bins) up to `each` observed runs, and in each a stretch inside it.
 
-
-def imputation_error(masked: DataFrame, k_max: int, tiers=(0.25, 0.5)) -> DataFrame:
-    """MAE and RMSE of each fill at the hidden bins, for all days and by the day's occupancy tier, in one pass.
-
-    Fills see only what is left, their templates too.
+    Runs, lengths and starts are drawn by hashes of tag, tier, user, day and start. A run holds a bin more at either end, which stays. Returns
+    (user_id, day, gap_tier, first, last).
+    """
+    draw = lambda *c: F.conv(F.substring(fn.hash_rank_key(tag, *c), 1, 8), 16, 10).cast("long")
+    runs = bin_runs(grid, keys).where("NOT missing")
+    tier = F.explode(F.array(*[F.struct(F.lit(n).alias("gap_tier"), F.lit(a).alias("least"), F.lit(b).alias("most")) for n, (a, b) in tiers.items()]))
+    open_ = runs.select(*keys, "start", "end", "length", tier.alias("t")).select(*keys, "start", "end", "length", "t.*").where("length >= least + 2")
+    key = (F.col("gap_tier"), F.col("user_id"), F.col("day"), F.col("start"))
+    place = F.row_number().over(Window.partitionBy("user_id", "gap_tier").orderBy(fn.hash_rank_key(tag, *key), "day", "start"))
+    chosen = open_.withColumn("_r", place).where(F.col("_r") <= each)
+    k = F.col("least") + draw(F.lit("length"), *key) % (F.least(F.col("most"), F.col("length") - 2) - F.col("least") + 1)
+    first = F.col("start") + 1 + draw(F.lit("start"), *key) % (F.col("length") - 1 - F.col("_k"))
+    return chosen.withColumn("_k", k).withColumn("first", first.cast("long")).select(*keys, "gap_tier", "first", (F.col("first") + F.col("_k") - 1).cast("long").alias("last"))
+
+
+def fill_error(grid: DataFrame, hidden: DataFrame, k_max: int, occupancy=(0.25, 0.5), constant: float = 0.0, keys=KEYS) -> DataFrame:
+    """MAE, RMSE and jump at the left edge of five fills over hidden stretches, by gap tier, the user's occupancy tier, both and neither.
+
+    Each stretch is hidden in a copy of its day of its own; templates come from all days without any hidden bin. Fills: clock
+    template, level, constant, straight line and monotone cubic through what is left. Every stretch counts once.
     """
-    share = F.avg(F.col("hr").isNotNull().cast("double")).over(Window.partitionBy(*KEYS))
-    tier = F.when(F.col("_o") < tiers[0], "sparse").when(F.col("_o") < tiers[1], "middle").otherwise("dense")
-    done = fill_pchip(fill_linear(fill_global(fill_clock(masked, masked), masked), k_max), k_max).withColumn("_o", share).withColumn("tier", tier).where("truth IS NOT NULL")
-    fills = {"clock": "filled", "linear": "linear", "pchip": "pchip", "level": "level"}
-    long = done.select("tier", "truth", F.expr("stack(4, " + ", ".join(f"'{k}', {v}" for k, v in fills.items()) + ") as (fill, guess)"))
-    e = F.col("guess") - F.col("truth")
-    out = long.groupingSets([[F.col("fill"), F.col("tier")], [F.col("fill")]], "fill", "tier").agg(F.grouping("tier").alias("_all"), F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    return out.withColumn("tier", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("tier"))).drop("_all")
+    keys, one = list(keys), ["user_id", "day", "gap_tier", "first"]
+    covered = grid.join(hidden, keys).where(F.col("bin").between(F.col("first"), F.col("last"))).select(*keys, "bin").distinct()
+    left = grid.join(covered, [*keys, "bin"], "left_anti")
+    share = grid.groupBy("user_id").agg(F.avg(F.col("hr").isNotNull().cast("double")).alias("_o"))
+    copies = grid.join(hidden, keys).withColumn("_in", F.col("bin").between(F.col("first"), F.col("last"))).withColumn("truth", F.when(F.col("_in"), F.col("hr"))).withColumn("hr", F.when(~F.col("_in"), F.col("hr")))
+    filled = fill_pchip(fill_linear(fill_global(fill_clock(copies, left), left, constant), 10**9, one), k_max, one)
+    before = F.lag("hr").over(Window.partitionBy(*one).orderBy("bin"))
+    done = filled.withColumn("_left", before).where("_in")
+    guesses = {"clock": "filled", "level": "level", "constant": "fixed", "linear": "linear", "cubic": "pchip"}
+    e = {n: F.col(c) - F.col("truth") for n, c in guesses.items()}
+    per = done.groupBy(*one).agg(*[F.struct(F.lit(n).alias("fill"), F.avg(F.abs(e[n])).alias("mae"), F.sqrt(F.avg(e[n] * e[n])).alias("rmse"), F.max(F.when(F.col("bin") == F.col("first"), F.abs(F.col(c) - F.col("_left")))).alias("jump")).alias(n) for n, c in guesses.items()])
+    per = per.select(*one, F.explode(F.array(*guesses)).alias("x")).join(share, "user_id")
+    tier = F.when(F.col("_o") < occupancy[0], "low").when(F.col("_o") < occupancy[1], "medium").otherwise("high")
+    per = per.select("gap_tier", tier.alias("occupancy_tier"), "x.*")
+    out = per.groupingSets([[F.col("fill")], [F.col("fill"), F.col("gap_tier")], [F.col("fill"), F.col("occupancy_tier")], [F.col("fill"), F.col("gap_tier"), F.col("occupancy_tier")]], "fill", "gap_tier", "occupancy_tier")
+    sem = lambda c: F.coalesce(F.stddev_samp(c) / F.sqrt(F.count("*")), F.lit(0.0)).alias(f"{c}_sem")
+    out = out.agg(F.grouping("gap_tier").alias("_g"), F.grouping("occupancy_tier").alias("_p"), F.count("*").alias("n"), *[x for c in ("mae", "rmse", "jump") for x in (F.avg(c).alias(c), sem(c))])
+    return out.withColumn("gap_tier", F.when(F.col("_g") == 1, "ALL").otherwise(F.col("gap_tier"))).withColumn("occupancy_tier", F.when(F.col("_p") == 1, "ALL").otherwise(F.col("occupancy_tier"))).drop("_g", "_p")

@@ -78,15 +78,15 @@ def nuisance_spectrum(series: DataFrame, periods, keys=("user_id", "window_index
         clean = lambda m: m - q @ (q.T @ m)
         r = clean(y)
         total = float(r @ r)
-        out = []
-        for p in grid:
-            turn = 2 * math.pi * day / p
-            pair = clean(np.column_stack([np.cos(turn), np.sin(turn)]))
-            if n <= q.shape[1] + 2 or total <= 1e-12 * max(float(y @ y), 1e-300):
-                out.append((*key, p, n, None, None, None))
-                continue
-            b = np.linalg.lstsq(pair, r, rcond=1e-9)[0]
-            out.append((*key, p, n, float(b @ pair.T @ r / total), float(np.hypot(*b)), float(np.arctan2(b[1], b[0]))))
+        if n <= q.shape[1] + 2 or total <= 1e-12 * max(float(y @ y), 1e-300):
+            return pd.DataFrame([(*key, p, n, None, None, None) for p in grid], columns=[*keys, "period", "n", "explained", "amplitude", "angle"])
+        turn = 2 * math.pi * day[:, None] / np.array(grid)
+        c, s = clean(np.cos(turn)), clean(np.sin(turn))
+        pairs = np.stack([np.stack([(c * c).sum(0), (c * s).sum(0)], 1), np.stack([(c * s).sum(0), (s * s).sum(0)], 1)], 1)
+        right = np.stack([c.T @ r, s.T @ r], 1)
+        size, axes = np.linalg.eigh(pairs)  # all periods at once; what the nuisance leaves nothing of falls out
+        b = np.einsum("pij,pj,pkj,pk->pi", axes, np.where(size > 1e-9 * n, 1 / np.where(size > 1e-9 * n, size, 1.0), 0.0), axes, right)
+        out = [(*key, p, n, float(x @ w / total), float(np.hypot(*x)), float(np.arctan2(x[1], x[0]))) for p, x, w in zip(grid, b, right, strict=True)]
         return pd.DataFrame(out, columns=[*keys, "period", "n", "explained", "amplitude", "angle"])
 
     return series.select(*keys, "day", "value", *extra).groupBy(*keys).applyInPandas(solve, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell.operators.evaluation import auroc
+from tidewell.operators.ranks import hash_rank, quantiles
 from tidewell.operators.windows import average_rank
 
 
@@ -38,8 +39,8 @@ def abstention_profile(preds: DataFrame, low: float, high: float, stats: DataFra
 
 def outcome_groups(preds: DataFrame, before: str, after: str) -> DataFrame:
     """Users by whether two arms, each cut at its median score, are right: both_right, rescued, degraded, both_wrong."""
-    cut = preds.groupBy("arm").agg(F.median("score").alias("_m"))
-    right = preds.join(cut, "arm").withColumn("_ok", (F.col("score") >= F.col("_m")).cast("long") == F.col("y"))
+    cut = quantiles(preds, ["arm"], "score", {"_m": 0.5})
+    right = preds.join(F.broadcast(cut), "arm").withColumn("_ok", (F.col("score") >= F.col("_m")).cast("long") == F.col("y"))
     w = right.groupBy("user_id").agg(F.max(F.when(F.col("arm") == before, F.col("_ok"))).alias("a"), F.max(F.when(F.col("arm") == after, F.col("_ok"))).alias("b"))
     name = F.when(F.col("a") & F.col("b"), "both_right").when(~F.col("a") & F.col("b"), "rescued").when(F.col("a") & ~F.col("b"), "degraded").when(~F.col("a") & ~F.col("b"), "both_wrong")
     return w.select("user_id", name.alias("outcome")).where("outcome IS NOT NULL")
@@ -62,10 +63,21 @@ def group_means_bootstrap(draws: DataFrame, keys=(), level: float = 0.95) -> Dat
     return draws.groupBy(*keys).agg(F.count("*").alias("draws"), F.avg("value").alias("mean"), F.percentile("value", F.lit(a)).alias("low"), F.percentile("value", F.lit(1 - a)).alias("high"))
 
 
-def paired_difference(a: DataFrame, b: DataFrame, ratio: bool = False) -> DataFrame:
-    """Interval of the difference, or ratio, of two arms' means over the same draws."""
-    j = a.select("draw", F.col("mean").alias("_a")).join(b.select("draw", F.col("mean").alias("_b")), "draw")
-    return group_means_bootstrap(j.select((F.try_divide("_a", "_b") if ratio else F.col("_a") - F.col("_b")).alias("value")))
+def paired_difference(draws: DataFrame, a: str, b: str, keys=(), ratio: bool = False) -> DataFrame:
+    """Interval of the difference, or ratio, of two arms' means over the same draws (keys, arm, draw, mean)."""
+    of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("mean")))
+    both = draws.groupBy(*keys, "draw").agg(of(a).alias("_a"), of(b).alias("_b"))
+    return group_means_bootstrap(both.select(*keys, (F.try_divide("_a", "_b") if ratio else F.col("_a") - F.col("_b")).alias("value")), keys)
+
+
+def ratio_bootstrap(draws: DataFrame, a: str, b: str, key: str, reference: str) -> DataFrame:
+    """For each key the interval of the ratio of two arms' means, and of that ratio over the reference key's in the same draw."""
+    of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("mean")))
+    ratios = draws.groupBy(key, "draw").agg(F.try_divide(of(a), of(b)).alias("value"))
+    base = ratios.where(F.col(key) == reference).select("draw", F.col("value").alias("_r"))  # a row for each draw
+    double = ratios.join(F.broadcast(base), "draw").select(key, F.try_divide("value", "_r").alias("value"))
+    own = group_means_bootstrap(ratios, [key])
+    return own.join(group_means_bootstrap(double, [key]).select(key, F.col("mean").alias("double_mean"), F.col("low").alias("double_low"), F.col("high").alias("double_high")), key)
 
 
 def ols_hc3(rows: DataFrame, y: str, features, intercept: bool = True) -> tuple[DataFrame, np.ndarray]:
@@ -143,17 +155,29 @@ def transitions(curve: DataFrame, keys, x: str, value: str) -> DataFrame:
     return out.select(*keys, F.when(inside, at).alias("lowest_at"), F.when(inside, F.col(f"_l.{value}")).alias("lowest"), "crossing")
 
 
-def period_persistence(peaks: DataFrame, near: float = 1.5, buckets: int = 2, tag: str = "perm") -> DataFrame:
+def forecast_correlation(metrics: DataFrame, series: DataFrame, keys=("user_id",), origin: int = 0) -> DataFrame:
+    """How a harmonic fitted on window 1 (period, amplitude, phase) does on the days of window 2: correlation and R2 of each key.
+
+    metrics (keys, window_index, period, amplitude, phase), series (keys, window_index, day, residual).
+    """
+    keys = list(keys)
+    fit = metrics.where("window_index = 1").select(*keys, "period", "amplitude", "phase")
+    x = series.where("window_index = 2").join(fit, keys)
+    guess = F.col("amplitude") * F.cos(2 * np.pi * (F.col("day") - origin) / F.col("period") - F.col("phase"))
+    x = x.select(*keys, F.col("residual").alias("_y"), guess.alias("_g"))
+    return x.groupBy(*keys).agg(F.count("*").alias("days"), F.corr("_y", "_g").alias("forecast_r"), (1 - F.try_divide(F.sum((F.col("_y") - F.col("_g")) ** 2), F.count("*") * F.var_pop("_y"))).alias("forecast_r2"))
+
+
+def period_persistence(peaks: DataFrame, forecasts: DataFrame | None = None, near: float = 1.5, tag: str = "perm") -> DataFrame:
     """Share of users whose peak period of window 1 comes back within `near` days in window 2, and the same for permuted pairs.
 
-    Permuted pairs: in each of `buckets` groups of users each takes the next one's period in hash order, the last the
-    first's. More buckets for more users keep the groups small.
+    Permuted pairs: each user takes the period of the next one in hash order, the last the first's; ranks come from
+    buckets, so no task orders all users. With forecasts, their mean R2 and correlation too.
     """
     a = peaks.where("window_index = 1").select("user_id", F.col("period").alias("p1"))
     b = peaks.where("window_index = 2").select("user_id", F.col("period").alias("p2"))
-    j = a.join(b, "user_id").withColumn("_g", F.pmod("user_id", F.lit(buckets)))
-    w = Window.partitionBy("_g").orderBy(fn.hash_rank_key(tag, F.col("user_id")))
-    first = F.first("p2").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    mixed = j.withColumn("_o", F.coalesce(F.lead("p2").over(w), first))
+    j = hash_rank(a.join(b, "user_id").withColumn("_all", F.lit(0)), ["_all"], fn.hash_rank_key(tag, F.col("user_id")), "user_id", "_r", few=True)
+    mixed = j.join(j.select((F.when(F.col("_r") == 1, F.col("_r_of")).otherwise(F.col("_r") - 1)).alias("_r"), F.col("p2").alias("_o")), "_r")
     close = lambda c: F.avg((F.abs(F.col("p1") - F.col(c)) <= near).cast("double"))
-    return mixed.agg(F.count("*").alias("users"), close("p2").alias("share"), close("_o").alias("share_permuted"))
+    out = mixed.agg(F.count("*").alias("users"), close("p2").alias("share"), close("_o").alias("share_permuted"))
+    return out if forecasts is None else out.crossJoin(F.broadcast(forecasts.agg(F.avg("forecast_r2").alias("mean_r2"), F.avg("forecast_r").alias("mean_r"))))  # one row each

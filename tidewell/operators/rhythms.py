@@ -15,51 +15,101 @@ def detrend(series: DataFrame, keys=("user_id",)) -> DataFrame:
     return series.join(fit, list(keys)).withColumn("residual", F.col("value") - F.col("_m") - F.col("_b") * (t - F.col("_t"))).drop("_b", "_m", "_t")
 
 
-def spectrum(series: DataFrame, periods: list[float], keys=("user_id",), value: str = "residual") -> DataFrame:
-    """Explained share and amplitude of each trial period: least squares of value on 1, cos and sin.
+#: Trial periods in days: half-day steps from 14 to 56. Flanks of the peak band: up to 22 and from 38 days.
+PERIODS = [x / 2 for x in range(28, 113)]
+FLANKS = ((14.0, 22.0), (38.0, 56.0))
+
+
+def spectrum(series: DataFrame, periods: list[float] = PERIODS, keys=("user_id",), value: str = "residual") -> DataFrame:
+    """Normalised power (the explained share of the sum of squares) and amplitude of each trial period: least squares of value on cos and sin.
 
     Periods are a literal array, so each day's products are summed map-side and only sums are shuffled.
     """
     x = series.select(*keys, F.col("day").cast("double").alias("t"), F.col(value).alias("y"), F.explode(F.array(*map(F.lit, periods))).alias("period"))
     a = 2 * math.pi * F.col("t") / F.col("period")
     x = x.withColumn("c", F.cos(a)).withColumn("s", F.sin(a))
-    cov = lambda p, q: F.covar_pop(p, q)
-    m = x.groupBy(*keys, "period").agg(F.count("*").alias("n"), cov("c", "c").alias("cc"), cov("s", "s").alias("ss"), cov("c", "s").alias("cs"), cov("c", "y").alias("cy"), cov("s", "y").alias("sy"), cov("y", "y").alias("yy"))
+    m = x.groupBy(*keys, "period").agg(F.count("*").alias("n"), *[F.avg(F.col(p) * F.col(q)).alias(p + q) for p, q in ("cc", "ss", "cs", "cy", "sy", "yy")])
     det = F.col("cc") * F.col("ss") - F.col("cs") ** 2
     b = (F.col("cy") * F.col("ss") - F.col("sy") * F.col("cs")) / det
     g = (F.col("sy") * F.col("cc") - F.col("cy") * F.col("cs")) / det
-    ok = (det > 1e-12) & (F.col("yy") > 0)
+    ok = (det > 1e-9) & (F.col("yy") > 1e-12)
     return m.select(*keys, "period", "n", F.when(ok, (b * F.col("cy") + g * F.col("sy")) / F.col("yy")).alias("power"), F.when(ok, F.hypot(b, g)).alias("amplitude"), F.when(ok, F.atan2(g, b)).alias("phase"))
 
 
-def peak(powers: DataFrame, keys=("user_id",)) -> DataFrame:
-    """The period of the largest power, ties to the shorter, and its share of the median power."""
-    return powers.where("power IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("period", "power", "amplitude"), F.struct(F.round("power", 9), -F.col("period"))).alias("p"), F.median("power").alias("_m")).select(*keys, "p.*", F.try_divide("p.power", "_m").alias("snr"))
+def peak(powers: DataFrame, keys=("user_id",), flanks=FLANKS) -> DataFrame:
+    """The period of the largest power, ties to the shorter, its amplitude and phase, and its share of the median power of the flanks."""
+    inside = F.lit(False)
+    for low, high in flanks:
+        inside = inside | F.col("period").between(low, high)
+    best = F.max_by(F.struct("period", "power", "amplitude", "phase"), F.struct(F.round("power", 9), -F.col("period")))
+    return powers.where("power IS NOT NULL").groupBy(*keys).agg(best.alias("p"), F.median(F.when(inside, F.col("power"))).alias("noise_floor")).select(*keys, "p.*", "noise_floor", F.try_divide("p.power", "noise_floor").alias("snr"))
+
+
+def cosinor_grid(series: DataFrame, periods: list[float] = PERIODS, keys=("user_id",)) -> DataFrame:
+    """value on 1, day, cos and sin in one fit for each period: R2 gained over 1 and day, amplitude, acrophase, F(2, n - 4) and its p.
+
+    What day explains is taken out of the products of the others, which leaves two equations; only sums are shuffled.
+    """
+    start = series.groupBy(*keys).agg(F.min("day").alias("_d"))  # days from the first keep the sums small; phases count from day 0
+    x = series.join(start, list(keys)).select(*keys, (F.col("day") - F.col("_d")).cast("double").alias("t"), F.col("day").cast("double").alias("d"), F.col("value").alias("y"), F.explode(F.array(*map(F.lit, periods))).alias("period"))
+    a = 2 * math.pi * F.col("d") / F.col("period")
+    x = x.withColumn("c", F.cos(a)).withColumn("s", F.sin(a))
+    pairs = ("cc", "ss", "cs", "cy", "sy", "yy", "ct", "st", "yt", "tt")
+    m = x.groupBy(*keys, "period").agg(F.count("*").alias("n"), *[F.covar_pop(p, q).alias(p + q) for p, q in pairs])
+    part = {p + q: F.col(p + q) - F.coalesce(F.try_divide(F.col(f"{p}t") * F.col(f"{q}t"), F.col("tt")), F.lit(0.0)) for p, q in pairs[:6]}
+    det = part["cc"] * part["ss"] - part["cs"] ** 2
+    b, g = (part["cy"] * part["ss"] - part["sy"] * part["cs"]) / det, (part["sy"] * part["cc"] - part["cy"] * part["cs"]) / det
+    m = m.where("n > 4").select(*keys, "period", "n", "yy", part["yy"].alias("_null"), F.when(det > 1e-9, b).alias("_b"), F.when(det > 1e-9, g).alias("_g"), F.when(det > 1e-9, b * part["cy"] + g * part["sy"]).alias("_gain"))
+    df = F.col("n") - 4
+    f = F.when(F.col("_null") - F.col("_gain") > 1e-12, F.col("_gain") / 2 / ((F.col("_null") - F.col("_gain")) / df))
+    out = m.select(*keys, "period", "n", F.try_divide("_gain", "yy").alias("delta_r2"), (1 - F.try_divide("_null", "yy")).alias("r2_null"), F.hypot("_b", "_g").alias("amplitude"), F.atan2("_g", "_b").alias("acrophase"), f.alias("f"))
+    return out.withColumn("p", F.pow(1 + 2 * F.col("f") / df, -df / 2))
+
+
+def sliding_spectrum(series: DataFrame, periods: list[float] = PERIODS, window: int = 90, step: int = 15, min_days: int = 45) -> DataFrame:
+    """Peak period of each window of `window` days that starts `step` days after the one before, from a user's first day on, with min_days days or more.
+
+    Windows lie wholly within a user's first and last day.
+    """
+    ends = series.groupBy("user_id").agg(F.min("day").alias("_a"), F.max("day").alias("_z"))
+    x = series.join(ends, "user_id").withColumn("_k", F.col("day") - F.col("_a"))
+    first = F.greatest(F.floor((F.col("_k") - window) / step) + 1, F.lit(0))
+    last = F.least(F.floor(F.col("_k") / step), F.floor((F.col("_z") - F.col("_a") - window) / step))
+    x = x.where(first <= last).withColumn("w", F.explode(F.sequence(first, last))).withColumn("start_day", F.col("_a") + F.col("w") * step)
+    n = F.count("*").over(Window.partitionBy("user_id", "start_day"))
+    x = x.withColumn("_n", n).where(F.col("_n") >= min_days).select("user_id", "start_day", "day", "value")
+    return peak(spectrum(detrend(x, ("user_id", "start_day")), periods, ("user_id", "start_day")), ("user_id", "start_day"))
 
 
-def cosinor_grid(series: DataFrame, periods: list[float], keys=("user_id",)) -> DataFrame:
-    """R2 gained by a cosine pair over a line, F and amplitude, for each period."""
-    powers = spectrum(detrend(series, keys), periods, keys)
-    f = F.when(F.col("power") < 1, F.col("power") / 2 / ((1 - F.col("power")) / (F.col("n") - 4)))
-    return powers.withColumn("f", F.when(F.col("n") > 4, f))
+def period_drift(peaks: DataFrame, low: float = 25.0, high: float = 35.0) -> DataFrame:
+    """Spread between the quartiles of a user's peak periods over windows, and the share of them between low and high."""
+    q = lambda p: F.percentile("period", F.lit(p))
+    return peaks.groupBy("user_id").agg(F.count("*").alias("windows"), (q(0.75) - q(0.25)).alias("drift"), F.avg(F.col("period").between(low, high).cast("double")).alias("share_in_band"))
 
 
-def sliding_spectrum(series: DataFrame, periods: list[float], window: int = 90, step: int = 15, min_days: int = 45) -> DataFrame:
-    """Peak period of each window of `window` days from every `step` days, with min_days days or more."""
-    start = F.explode(F.sequence(F.floor((F.col("day") - window) / step) + 1, F.floor(F.col("day") / step)))
-    x = series.withColumn("w", start)
-    n = F.count("*").over(Window.partitionBy("user_id", "w"))
-    x = x.withColumn("_n", n).where(F.col("_n") >= min_days).drop("_n")
-    return peak(spectrum(detrend(x, ("user_id", "w")), periods, ("user_id", "w")), ("user_id", "w")).withColumn("start_day", (F.col("w") * step).cast("long")).drop("w")
+def phase_coherence(powers: DataFrame, stratum: str, near: float = 29.530589) -> DataFrame:
+    """Mean resultant length of users' phases at each period of each stratum, the level that one in 20 uniform sets exceeds, and the share of the stratum's periods above theirs."""
+    r = powers.where("phase IS NOT NULL").groupBy(stratum, "period").agg(F.count("*").alias("n"), F.hypot(F.avg(F.cos("phase")), F.avg(F.sin("phase"))).alias("coherence"))
+    r = r.withColumn("null95", F.sqrt(-F.log(F.lit(0.05)) / F.col("n")))
+    share = r.groupBy(stratum).agg(F.avg((F.col("coherence") > F.col("null95")).cast("double")).alias("exceed_share"), F.min_by("coherence", F.struct(F.abs(F.col("period") - near), "period")).alias("coherence_near"), F.max_by("period", F.struct(F.round("coherence", 9), -F.col("period"))).alias("period_at_max"))
+    return r.join(share, stratum)
 
 
-def phase_coherence(powers: DataFrame) -> DataFrame:
-    """Mean resultant length of users' phases at each period."""
-    return powers.where("phase IS NOT NULL").groupBy("period").agg(F.count("*").alias("n"), F.hypot(F.avg(F.cos("phase")), F.avg(F.sin("phase"))).alias("coherence"))
+#: Trial values of the day-to-day correlation: hundredths up to 0.99, and 0.995.
+PHIS = [*(x / 100 for x in range(100)), 0.995]
 
 
-def ar1(series: DataFrame, keys=("user_id",)) -> DataFrame:
-    """Lag-one correlation over pairs of consecutive calendar days."""
-    before = F.lag("value").over(Window.partitionBy(*keys).orderBy("day"))
-    gap = F.col("day") - F.lag("day").over(Window.partitionBy(*keys).orderBy("day"))
-    return series.withColumn("_p", F.when(gap == 1, before)).where("_p IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("pairs"), F.corr("_p", "value").alias("phi"))
+def ar1(series: DataFrame, keys=("user_id",), value: str = "residual", least: int = 3) -> DataFrame:
+    """Calendar AR(1): phi of the largest profile likelihood on days of any gaps, of equal ones the smallest, and the variance there.
+
+    Days a and b correlate by phi ** (b - a). Phi comes from a grid, a literal array beside each day, so only sums are shuffled.
+    """
+    w = Window.partitionBy(*keys).orderBy("day")
+    x = series.select(*keys, F.col(value).alias("y"), F.lag(value).over(w).alias("_p"), (F.col("day") - F.lag("day").over(w)).alias("_g"))
+    x = x.withColumn("phi", F.explode(F.array(*map(F.lit, PHIS))))  # behind the window, which would see its copies
+    at = F.when(F.col("_p").isNull(), 0.0).otherwise(F.pow("phi", "_g"))
+    rest = F.greatest(1 - at * at, F.lit(1e-12))
+    sums = x.groupBy(*keys, "phi").agg(F.count("*").alias("days"), F.sum((F.col("y") - at * F.coalesce("_p", F.lit(0.0))) ** 2 / rest).alias("_q"), F.sum(F.log(rest)).alias("_d")).where(F.col("days") >= least)
+    variance = F.greatest(F.col("_q") / F.col("days"), F.lit(1e-12))
+    cost = F.round(F.col("days") * F.log(variance) + F.col("_d"), 6)
+    return sums.groupBy(*keys).agg(F.max("days").alias("days"), F.min_by(F.struct("phi", variance.alias("variance")), F.struct(cost, "phi")).alias("b")).select(*keys, "days", "b.*")

@@ -39,7 +39,6 @@ def statuses(spark, sf_dir: str):
 add("scan_status", statuses, "SELECT 'ok' AS status, count(*) AS rows, count(value) AS valid FROM epochs", E)
 uploads = lambda s, d: vw.epochs(s, d).select("user_id", "event_id", F.concat(F.date_format(F.timestamp_millis(F.col("start_ms") + F.coalesce("tz_min", F.lit(0.0)).cast("long") * 60000), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("tz_min").isNull(), "").otherwise(F.format_string("%s%02d:00", F.when(F.col("tz_min") < 0, "-").otherwise("+"), F.abs(F.col("tz_min") / 60).cast("int")))).alias("timestamp"), F.col("value").cast("string").alias("hr"))
 add("normalize_upload", lambda s, d: files.normalize_upload(uploads(s, d)).select("user_id", "start_ms", "end_ms", "tz_min", "value", "reason"), "SELECT user_id, start_ms // 1000 * 1000 AS start_ms, start_ms // 1000 * 1000 AS end_ms, tz_min, value, CASE WHEN tz_min IS NULL THEN 'offset' END AS reason FROM epochs", E)
-add("file_inventory", lambda s, d: files.file_inventory(s, event_files(s, d), vw.demographics(s, d), OWNER).select("user_id", "state"), f", {vw.DEMOGRAPHICS_SQL} SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM epochs) THEN 'nonempty' ELSE 'missing' END AS state FROM demographics", E)
 add("scan_reduced", lambda s, d: vw.table(s, d, "events").select("event_id", "user_id", "value").where("value > 50"), "SELECT event_id, user_id, value FROM events WHERE value > 50")
 
 
@@ -75,11 +74,4 @@ add("sink_parquet", round_trip(), SINK, E)
 add("sink_partitioned", round_trip(("source_id",)), SINK, E)
 
 
-def folds(spark, sf_dir: str):
-    path = files.scratch(spark, "folds")
-    files.sink_folds(splits.disjoint_kfold(vw.demographics(spark, sf_dir), "user_id", "age_group", "split"), path)
-    return spark.read.parquet(path).select("user_id", "age_group", F.col("fold").cast("long").alias("fold"))
-
-
-add("sink_folds", folds, "SELECT user_id, age_group, (row_number() OVER (PARTITION BY age_group ORDER BY sha256('split|' || user_id), user_id) - 1) % 5 AS fold FROM demographics", DM)
 add("resume_done", lambda s, d: files.unfinished(vw.demographics(s, d).select("user_id"), vw.epochs(s, d).select("user_id").distinct(), ["user_id"]), f", {vw.DEMOGRAPHICS_SQL} SELECT user_id FROM demographics WHERE user_id NOT IN (SELECT user_id FROM epochs)", E)

@@ -26,7 +26,7 @@ add("partial_r2", lambda s, d: _pr(s, d).select("user_id", "window_index", "n",
 add("partial_r2_blocks", _pr, doubles="r2_trend r2_weekdays r2_period")
 halves = lambda s, d, w: rhythms.detrend(series(s, d).where(F.col("window_index") == w))
 FF = DW + """, sr AS (SELECT user_id, window_index, day, value FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day), ft AS (SELECT user_id, window_index, regr_slope(value, day) AS b, avg(value) AS m, avg(day) AS t FROM sr GROUP BY ALL),
-rs AS (SELECT user_id, window_index, day, value - m - b * (day - t) AS y, cos(2 * pi() * day / 28) AS c, sin(2 * pi() * day / 28) AS s FROM sr JOIN ft USING (user_id, window_index)), cv AS (SELECT user_id, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, y) AS cy, covar_pop(s, y) AS sy FROM rs WHERE window_index = 1 GROUP BY 1)
+rs AS (SELECT user_id, window_index, day, value - m - b * (day - t) AS y, cos(2 * pi() * day / 28) AS c, sin(2 * pi() * day / 28) AS s FROM sr JOIN ft USING (user_id, window_index)), cv AS (SELECT user_id, avg(c * c) AS cc, avg(s * s) AS ss, avg(c * s) AS cs, avg(c * y) AS cy, avg(s * y) AS sy FROM rs WHERE window_index = 1 GROUP BY 1)
 """
 add("frozen_forecast", lambda s, d: hm.frozen_forecast(rhythms.spectrum(halves(s, d, 1), [28.0]), halves(s, d, 2), 28.0), "SELECT user_id, count(*) AS n, corr((cy * ss - sy * cs) / (cc * ss - cs ** 2) * c + (sy * cc - cy * cs) / (cc * ss - cs ** 2) * s, y) AS r FROM rs JOIN cv USING (user_id) WHERE window_index = 2 GROUP BY 1", FF, "r")
 add("calendar_phase", lambda s, d: hm.calendar_phase(spec(s, d)).select("user_id", "period", "peak_day"), "SELECT user_id, period, CASE WHEN phase < 0 THEN phase / (2 * pi()) * period + period ELSE phase / (2 * pi()) * period END AS peak_day FROM sp", SPEC, "peak_day")

@@ -21,19 +21,12 @@ add("outcome_groups", lambda s, d: inf.outcome_groups(preds(s, d), "length", "mi
 add("user_mean_prediction", lambda s, d: inf.user_mean_prediction(preds(s, d)), "SELECT user_id, y, avg(score) AS score, count(*) AS rows, 1 / count(*) AS weight FROM predictions GROUP BY ALL", P, "score weight")
 add("cohen_d", lambda s, d: ev.welch(preds(s, d), ["arm", "grp"], "y", "score").select("arm", "grp", "diff", "d", "df"), "SELECT arm, grp, m1 - m0 AS diff, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d, (v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)) AS df FROM (SELECT arm, grp, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, avg(score) FILTER (y = 0) AS m0, avg(score) FILTER (y = 1) AS m1, var_samp(score) FILTER (y = 0) AS v0, var_samp(score) FILTER (y = 1) AS v1 FROM predictions GROUP BY ALL)", P, "diff d df")
 add("orthogonal_auroc", lambda s, d: ev.auroc(inf.orthogonal(preds(s, d), "mixed", "length")), "SELECT arm, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT 'mixed|length' AS arm, score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM ort GROUP BY ALL)) GROUP BY 1", P + ", wp AS (SELECT user_id, y, max(score) FILTER (arm = 'mixed') AS a, max(score) FILTER (arm = 'length') AS b FROM predictions GROUP BY ALL), ort AS (SELECT user_id, y, round(a - ma - sl * (b - mb), 9) AS score FROM wp, (SELECT regr_slope(a, b) AS sl, avg(a) AS ma, avg(b) AS mb FROM wp))\n", "auroc")
-boot = lambda s, d, arm: ev.bootstrap_means(preds(s, d).where(F.col("arm") == arm), "y", "user_id", "score", 20, "boot")
-BOOT = P + ", nu AS (SELECT arm, y, score, row_number() OVER (PARTITION BY arm, y ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY arm, y) AS n FROM predictions), dr AS (SELECT arm, y, draw, ('0x' || substr(sha256('boot|' || y || '|' || draw || '|' || i), 1, 12))::BIGINT % n AS i FROM nu, (SELECT unnest(range(0, 20)) AS draw)), bm AS (SELECT arm, draw, avg(score) AS mean FROM dr JOIN nu USING (arm, y, i) GROUP BY ALL)\n"
-add("stratified_bootstrap", lambda s, d: inf.group_means_bootstrap(boot(s, d, "length").select(F.col("mean").alias("value"))), "SELECT count(*) AS draws, avg(mean) AS mean, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM bm WHERE arm = 'length'", BOOT, "mean low high")
-for _n, _op in (("paired_difference", "-"), ("ratio_bootstrap", "/")):
-    add(_n, lambda s, d, r=_op == "/": inf.paired_difference(boot(s, d, "length"), boot(s, d, "mixed"), r), f"SELECT count(*) AS draws, avg(v) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM (SELECT a.mean {_op} b.mean AS v FROM bm a JOIN bm b ON b.draw = a.draw AND a.arm = 'length' AND b.arm = 'mixed')", BOOT, "mean low high")
-add("pearson_pairs", lambda s, d: wmeans(s, d).groupBy("user_id").agg(F.max(F.when(F.col("window_index") == 1, F.col("mean"))).alias("a"), F.max(F.when(F.col("window_index") == 2, F.col("mean"))).alias("b")).agg(F.count("b").alias("pairs"), F.corr("a", "b").alias("r")), "SELECT count(b) AS pairs, corr(a, b) AS r FROM (SELECT user_id, max(mean) FILTER (window_index = 1) AS a, max(mean) FILTER (window_index = 2) AS b FROM wm GROUP BY 1)", WM, "r")
 people = lambda s, d: vw.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").cast("double").alias("y"), (F.col("c_nationkey") % 5).cast("long").alias("grp"), F.col("c_nationkey").cast("double").alias("x"))
 OLS = "WITH pe AS (SELECT c_custkey AS user_id, c_acctbal::DOUBLE AS y, (c_nationkey % 5)::BIGINT AS grp, c_nationkey::DOUBLE AS x FROM customer)\n"
 add("ols_hc3", lambda s, d: inf.ols_hc3(people(s, d), "y", ["x"])[0], "SELECT unnest(['intercept', 'x']) AS term, unnest([max(a), max(b)]) AS estimate, unnest([sqrt(sum((1 / n - mx * (x - mx) / sxx) ** 2 * w)), sqrt(sum((x - mx) ** 2 * w) / max(sxx) ** 2)]) AS se, unnest([max(n), max(n)]) AS n FROM (SELECT x, n, mx, sxx, a, b, ((y - a - b * x) / (1 - 1 / n - (x - mx) ** 2 / sxx)) ** 2 AS w FROM pe, (SELECT count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM pe))", OLS, "estimate se")
 _dm = lambda s, d: inf.dummies(people(s, d), "grp", range(5), 0)
 _dn = [f"grp_{i}" for i in range(1, 5)]
 add("ancova", lambda s, d: inf.ols_hc3(_dm(s, d), "y", _dn)[0], "SELECT CASE grp WHEN 0 THEN 'intercept' ELSE 'grp_' || grp END AS term, CASE grp WHEN 0 THEN m ELSE m - (SELECT m FROM gm WHERE grp = 0) END AS estimate, sqrt(CASE grp WHEN 0 THEN v ELSE v + (SELECT v FROM gm WHERE grp = 0) END) AS se, (SELECT count(*) FROM pe) AS n FROM gm", OLS + ", gm AS (SELECT grp, avg(y) AS m, var_pop(y) * count(*) / (1 - 1 / count(*)) ** 2 / count(*) ** 2 AS v FROM pe GROUP BY 1)\n", "estimate se")
-add("wald_chunks", lambda s, d: inf.wald(*inf.ols_hc3(_dm(s, d), "y", _dn), {"grp_1": ["grp_1"], "grp_4": ["grp_4"]}), "SELECT 'grp_' || grp AS chunk, (m - (SELECT m FROM gm WHERE grp = 0)) ** 2 / (v + (SELECT v FROM gm WHERE grp = 0)) AS wald, 1::BIGINT AS df FROM gm WHERE grp IN (1, 4)", OLS + ", gm AS (SELECT grp, avg(y) AS m, var_pop(y) * count(*) / (1 - 1 / count(*)) ** 2 / count(*) ** 2 AS v FROM pe GROUP BY 1)\n", "wald")
 _k = (2.0, 8.0, 15.0, 22.0)
 _t = lambda t, n: f"(greatest(x - {t}, 0) ** {n} - greatest(x - 15, 0) ** {n} * {(22.0 - t) / 7} + greatest(x - 22, 0) ** {n} * {(15.0 - t) / 7})"
 add("rcs_design", lambda s, d: inf.rcs(people(s, d).select("user_id", "x"), "x", _k), f"SELECT user_id, x, x AS rcs_1, 1.0::DOUBLE AS d_rcs_1, {_t(2, 3)} / 400 AS rcs_2, 3 * {_t(2, 2)} / 400 AS d_rcs_2, {_t(8, 3)} / 400 AS rcs_3, 3 * {_t(8, 2)} / 400 AS d_rcs_3 FROM pe", OLS, "rcs_2 d_rcs_2 rcs_3 d_rcs_3")
@@ -51,9 +44,6 @@ def age_curves(s, d):
 
 
 add("age_curves", age_curves, doubles="fit slope")
-windowed = lambda s, d: cohorts.window_range_join(vw.daily_values(s, d), wins(s, d)).select("user_id", "window_index", "day", "value")
-peaks = lambda s, d: rhythms.peak(rhythms.spectrum(rhythms.detrend(windowed(s, d), ("user_id", "window_index")), PERIODS, ("user_id", "window_index")), ("user_id", "window_index"))
-add("period_persistence", lambda s, d: inf.period_persistence(peaks(s, d)), doubles="share share_permuted")
 rayleigh_p = lambda s, d: ev.rayleigh(events(s, d).select("user_id", "channel", (2 * F.pi() * F.pmod("local_ms", F.lit(fn.DAY_MS)) / fn.DAY_MS).alias("angle")), ["user_id", "channel"]).select("user_id", F.col("channel").cast("string").alias("test"), F.exp(-F.col("z")).alias("p"))
 add("holm_adjust", lambda s, d: ev.holm(rayleigh_p(s, d), ["user_id"]), "SELECT user_id, test, p, least(1, max((m - i + 1) * p) OVER (PARTITION BY user_id ORDER BY p, test ROWS UNBOUNDED PRECEDING)) AS adjusted FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY p, test) AS i FROM rp)", E + ", rp AS (SELECT user_id, channel::VARCHAR AS test, exp(-count(*) * (avg(cos(t)) ** 2 + avg(sin(t)) ** 2)) AS p FROM (SELECT user_id, channel, 2 * pi() * (local_ms % 86400000) / 86400000 AS t FROM e) GROUP BY ALL)\n", "p adjusted")
 add("eligibility_summary", lambda s, d: vw.demographics(s, d).groupBy("bmi_grp").agg(F.count("*").alias("candidates"), F.count_if(F.col("salutation").isin(10, 20)).alias("eligible"), F.count_if(F.col("salutation") == 10).alias("n0"), F.count_if(F.col("salutation") == 20).alias("n1"), F.median(F.when(F.col("salutation").isin(10, 20), 2024 - F.col("birth_year"))).alias("median_age")), "SELECT bmi_grp, count(*) AS candidates, count(*) FILTER (salutation IN (10, 20)) AS eligible, count(*) FILTER (salutation = 10) AS n0, count(*) FILTER (salutation = 20) AS n1, median(2024 - birth_year) FILTER (salutation IN (10, 20)) AS median_age FROM demographics GROUP BY 1", DM, "median_age")
@@ -61,8 +51,6 @@ add("eligibility_summary", lambda s, d: vw.demographics(s, d).groupBy("bmi_grp")
 # Splits and limits
 add("balanced_folds", lambda s, d: splits.balanced_folds(vw.demographics(s, d), "user_id", ["age_group", "bmi_grp"], "bal"), "SELECT user_id, age_group, bmi_grp, (row_number() OVER (ORDER BY age_group, bmi_grp, sha256('bal|' || user_id), user_id) - 1) % 5 AS fold FROM demographics", DM)
 add("customer_split", lambda s, d: splits.customer_split(preds(s, d).select("user_id", "arm", "y"), "user_id", "y", "cs"), "SELECT user_id, arm, y, CASE WHEN r <= round(n * 0.15) THEN 'test' WHEN r <= round(n * 0.15) + round(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM predictions JOIN (SELECT user_id, row_number() OVER (PARTITION BY y ORDER BY sha256('cs|' || user_id), user_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM (SELECT DISTINCT user_id, y FROM predictions)) USING (user_id)", P)
-_bal = lambda s, d: ev.balance_report(vw.demographics(s, d).withColumn("split", F.col("user_id") % 3), "split", ["age_group", "bmi_grp"]).withColumn("max_pp", fn.r6(F.col("max_pp")))
-add("worst_balance", lambda s, d: ev.worst_balance(_bal(s, d), 5), "SELECT variable, level, round(max(s) - min(s), 6) AS max_pp FROM sh GROUP BY ALL ORDER BY max_pp DESC, variable, level LIMIT 5", DM + ", l AS (SELECT user_id % 3 AS split, 'age_group' AS variable, age_group::VARCHAR AS level FROM demographics UNION ALL SELECT user_id % 3, 'bmi_grp', bmi_grp FROM demographics), sh AS (SELECT variable, level, split, 100 * coalesce(count(l2.split), 0) / max(total) AS s FROM (SELECT DISTINCT variable, level FROM l) CROSS JOIN (SELECT user_id % 3 AS split, count(*) AS total FROM demographics GROUP BY 1) LEFT JOIN l l2 USING (variable, level, split) GROUP BY ALL)\n")
 add("limit_users", lambda s, d: events(s, d).join(vw.demographics(s, d).select("user_id").orderBy("user_id").limit(10), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), f", {vw.DEMOGRAPHICS_SQL} SELECT user_id, count(*) AS n FROM e WHERE user_id IN (SELECT user_id FROM demographics ORDER BY user_id LIMIT 10) GROUP BY 1", E)
 
 # Checks
@@ -71,7 +59,6 @@ frozen = lambda s, d: vw.epochs(s, d).groupBy(F.col("source").cast("string").ali
 add("anchor_counts", lambda s, d: quality.anchor_counts(counts(s, d), frozen(s, d)), "SELECT name, actual, expected FROM (SELECT source::VARCHAR AS name, count(*) AS actual FROM e GROUP BY 1) FULL JOIN (SELECT source::VARCHAR AS name, count(*) AS expected FROM epochs GROUP BY 1) USING (name) WHERE actual IS DISTINCT FROM expected", E)
 add("feature_checks", lambda s, d: quality.feature_checks(days(s, d)), "SELECT item, violations, violations = 0 AS passed FROM (SELECT unnest(['hours_in_range', 'mean_between_extremes', 'sd_not_negative', 'events_cover_hours', 'coverage_not_negative', 'keys_unique']) AS item, unnest([count(*) FILTER (hours NOT BETWEEN 1 AND 24), count(*) FILTER (NOT mean BETWEEN vmin - 1e-9 AND vmax + 1e-9), count(*) FILTER (sd < 0), count(*) FILTER (n < hours), count(*) FILTER (cov_s < 0), count(*) - count(DISTINCT (user_id, channel, day))]) AS violations FROM days)", COV)
 add("pair_checks", lambda s, d: quality.pair_checks(wins(s, d)), "SELECT user_id, max(start_day) FILTER (window_index = 2) - max(start_day) FILTER (window_index = 1) < 180 AS overlap, count(*) FILTER (window_index = 1) = 0 AS no_first, count(*) FILTER (window_index = 2) = 0 AS no_second FROM win GROUP BY 1", DW)
-add("reconcile", lambda s, d: quality.reconcile(events(s, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top")), events(s, d).groupBy("user_id", "day").agg(F.count("*").alias("n"), F.max("value").alias("top")).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("top").alias("top")), ["user_id"], ["n", "top"]), "SELECT 0::BIGINT AS unmatched, unnest(['n', 'top']) AS item, unnest([0.0, 0.0]::DOUBLE[]) AS largest FROM (SELECT count(*) FROM e)", E)
 
 # Scalar functions
 add("scalar_string", lambda s, d: vw.demographics(s, d).select("user_id", F.concat_ws("|", F.lower(F.trim("bmi_grp")), F.coalesce(F.col("salutation").cast("string"), F.lit(fn.MISSING))).alias("cell"), F.regexp_extract(F.col("birth_year").cast("string"), "([0-9]{4})", 1).alias("year"), F.format_string("%02d:%02d", F.floor(F.col("user_id") % 288 / 12), F.col("user_id") % 12 * 5).alias("clock")), "SELECT user_id, lower(trim(bmi_grp)) || '|' || coalesce(salutation::VARCHAR, '<MISSING>') AS cell, birth_year::VARCHAR AS year, printf('%02d:%02d', user_id % 288 // 12, user_id % 12 * 5) AS clock FROM demographics", DM)
@@ -79,5 +66,4 @@ add("scalar_hash", lambda s, d: vw.demographics(s, d).select("user_id", F.conv(F
 _date = lambda: F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int"))
 add("scalar_date", lambda s, d: vw.daily_values(s, d).select("user_id", "day", F.date_format(_date(), "yyyy-MM-dd").alias("date"), fn.week_start(F.col("day")).alias("monday"), F.year(_date()).cast("long").alias("year"), F.month(_date()).cast("long").alias("month")), "SELECT user_id, day, strftime(DATE '1970-01-01' + day::INT, '%Y-%m-%d') AS date, day - (day + 3) % 7 AS monday, year(DATE '1970-01-01' + day::INT) AS year, month(DATE '1970-01-01' + day::INT) AS month FROM daily_values", D)
 add("scalar_math", lambda s, d: vw.daily_values(s, d).select("user_id", "day", F.hypot(F.col("value"), F.lit(3.0)).alias("h"), fn.wrap_phase(2 * F.pi() * F.col("day") / 29.530588).alias("moon"), F.greatest(F.lit(10.0), F.least(F.lit(40.0), F.col("value"))).alias("clipped"), (-F.col("value") / 100 * F.log(F.col("value") / 100)).alias("entropy")), "SELECT user_id, day, sqrt(value ** 2 + 9) AS h, atan2(sin(2 * pi() * day / 29.530588), cos(2 * pi() * day / 29.530588)) AS moon, greatest(10, least(40, value)) AS clipped, -value / 100 * ln(value / 100) AS entropy FROM daily_values", D, "h moon clipped entropy")
-add("scalar_array", lambda s, d: vw.table(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.array_max("embedding").cast("double").alias("top"), F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x).alias("norm2"), F.array_max(F.slice("embedding", 1, 3)).cast("double").alias("pooled")), "SELECT vec_id, len(embedding) AS n, list_max(embedding)::DOUBLE AS top, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS norm2, list_max(embedding[1:3])::DOUBLE AS pooled FROM embeddings", "", "top norm2 pooled")
 add("scalar_json", lambda s, d: vw.demographics(s, d).select("user_id", F.to_json(F.struct("age_group", "bmi_grp")).alias("cell")), "SELECT user_id, '{\"age_group\":' || age_group || ',\"bmi_grp\":\"' || bmi_grp || '\"}' AS cell FROM demographics", DM)

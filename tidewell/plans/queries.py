@@ -111,17 +111,14 @@ add("perturb_shift", lambda s, d: ep.perturb_shift(events(s, d), 6).groupBy("use
 # Cohorts and profiles
 add("coverage_gate", lambda s, d: cohorts.coverage_gate(days(s, d), 3), ", p AS (SELECT user_id, channel, count(*) FILTER (adequate) AS good FROM days GROUP BY ALL) SELECT user_id, arg_max(channel, good * 10000 - channel) AS best_channel, max(good) AS adequate_days, count(*) FILTER (good >= 3) AS channels_adequate, max(good) >= 3 AS passed FROM p GROUP BY 1", COV)
 add("coverage_by_channel", lambda s, d: cohorts.coverage_by_channel(days(s, d), 3), "SELECT channel, count(*) AS users, count(*) FILTER (good >= 3) AS users_passing, median(good) AS median_good FROM (SELECT user_id, channel, count(*) FILTER (adequate) AS good FROM days GROUP BY ALL) GROUP BY 1", COV, "median_good")
-add("coverage_semantics", lambda s, d: cohorts.coverage_semantics(days(s, d)), "SELECT channel, count(*) AS day_rows, count(*) FILTER (cov_s > 86400) AS over_24h, max(cov_s) AS most, arg_max(user_id, (cov_s, -user_id, -day)) AS user_id, arg_max(day, (cov_s, -user_id, -day)) AS day FROM days GROUP BY 1", COV, "most")
 add("primary_source", lambda s, d: cohorts.primary_source(events(s, d)), "SELECT user_id, arg_max(source, days * 1000 - source) AS primary_source, max(days) AS days FROM (SELECT user_id, source, count(DISTINCT day) AS days FROM e GROUP BY ALL) GROUP BY 1", E)
 add("source_set", lambda s, d: cohorts.source_set(events(s, d)), "SELECT user_id, string_agg(source, ',' ORDER BY source) AS sources, count(*) AS n_sources, count(*) > 1 AS multi FROM (SELECT DISTINCT user_id, source FROM e) GROUP BY 1", E)
 add("source_indicators", lambda s, d: cohorts.source_indicators(events(s, d), (3, 6, 7, 9)), "SELECT user_id, max((source = 3)::BIGINT) AS src_3, max((source = 6)::BIGINT) AS src_6, max((source = 7)::BIGINT) AS src_7, max((source = 9)::BIGINT) AS src_9 FROM e GROUP BY 1", E)
-add("sole_source", lambda s, d: cohorts.sole_source(events(s, d).where("channel = 3000")), "SELECT user_id, min(source) AS source FROM e WHERE channel = 3000 GROUP BY 1 HAVING count(DISTINCT source) = 1", E)
 add("source_inventory", lambda s, d: cohorts.source_inventory(events(s, d)), "SELECT channel, source, count(*) AS users, sum(e)::BIGINT AS events, sum(d)::BIGINT AS days, count(*) FILTER (d >= 5) AS users_5d, count(*) FILTER (d >= 10) AS users_10d, median(d) AS median_days FROM (SELECT channel, source, user_id, count(*) AS e, count(DISTINCT day) AS d FROM e GROUP BY ALL) GROUP BY ALL", E, "median_days")
 add("channel_audit", lambda s, d: cohorts.channel_audit(events(s, d)), "SELECT channel, source, count(*) AS events, avg((end_ms = start_ms)::INT) AS zero_share, median((end_ms - start_ms) / 60000) AS median_min, (SELECT median(n) FROM (SELECT count(*) AS n FROM e y WHERE y.channel = x.channel AND y.source = x.source GROUP BY user_id, day)) AS median_events_day, CASE WHEN avg((end_ms = start_ms)::INT) >= 0.9 THEN 'point' WHEN avg((end_ms = start_ms)::INT) <= 0.1 THEN 'interval' ELSE 'mixed' END AS kind FROM e x GROUP BY channel, source", E, "zero_share median_min median_events_day")
 add("cohort_flow", lambda s, d: cohorts.cohort_flow(vw.demographics(s, d).join(cohorts.coverage_gate(days(s, d), 3), "user_id", "left"), [("no_label", F.col("salutation").isNull()), ("not_binary", ~F.col("salutation").isin(10, 20)), ("no_events", F.col("passed").isNull()), ("gate", ~F.col("passed"))]), f", {vw.DEMOGRAPHICS_SQL}, p AS (SELECT user_id, max(good) >= 3 AS passed FROM (SELECT user_id, channel, count(*) FILTER (adequate) AS good FROM days GROUP BY ALL) GROUP BY 1), c AS (SELECT CASE WHEN salutation IS NULL THEN 'no_label' WHEN salutation NOT IN (10, 20) THEN 'not_binary' WHEN passed IS NULL THEN 'no_events' WHEN NOT passed THEN 'gate' ELSE 'included' END AS category FROM demographics LEFT JOIN p USING (user_id)) SELECT category, count(*) AS n, (CASE category WHEN 'no_label' THEN 0 WHEN 'not_binary' THEN 1 WHEN 'no_events' THEN 2 WHEN 'gate' THEN 3 ELSE 4 END)::BIGINT AS step FROM c GROUP BY 1", COV)
 add("binary_label", lambda s, d: vw.demographics(s, d).select("user_id", fn.binary_label(F.col("salutation")).alias("label"), F.col("salutation").isNull().alias("missing"), F.coalesce(~F.col("salutation").isin(10, 20), F.lit(False)).alias("not_binary")), "SELECT user_id, (CASE salutation WHEN 20 THEN 1 WHEN 10 THEN 0 END)::BIGINT AS label, salutation IS NULL AS missing, coalesce(salutation NOT IN (10, 20), false) AS not_binary FROM demographics", DM)
 add("ages", lambda s, d: cohorts.ages(vw.demographics(s, d), 2024), "SELECT user_id, 2024 - birth_year AS age, ((2024 - birth_year) // 5 * 5) || '-' || ((2024 - birth_year) // 5 * 5 + 4) AS band FROM demographics", DM)
-add("age_support", lambda s, d: cohorts.age_support(vw.demographics(s, d), 2024, 5), "SELECT (2024 - birth_year) // 5 * 5 AS band, count(*) FILTER (salutation = 10) AS n0, count(*) FILTER (salutation = 20) AS n1, count(*) FILTER (salutation = 10) >= 5 AND count(*) FILTER (salutation = 20) >= 5 AS supported FROM demographics GROUP BY 1", DM)
 add("bmi", lambda s, d: vw.demographics(s, d).select("user_id", fn.bmi(F.col("weight"), F.col("height")).alias("bmi")), "SELECT user_id, weight / (height / 100) ** 2 AS bmi FROM demographics", DM, "bmi")
 add("demographics_clean", lambda s, d: cohorts.demographics_clean(vw.demographics(s, d), 2000).select("user_id", "birth_year", "salutation"), "SELECT user_id, birth_year, salutation FROM demographics WHERE birth_year BETWEEN 1900 AND 2000 AND salutation IN (10, 20)", DM)
 add("demographics_audit", lambda s, d: cohorts.demographics_audit(vw.demographics(s, d), 2000), "SELECT unnest(['duplicated', 'bad_year', 'not_binary', 'users']) AS item, unnest([0, count(*) FILTER (birth_year NOT BETWEEN 1900 AND 2000), count(*) FILTER (salutation IS NULL OR salutation NOT IN (10, 20)), count(*)]) AS n FROM demographics", DM)
@@ -135,7 +132,6 @@ man AS (SELECT user_id, (CASE salutation WHEN 20 THEN 1 WHEN 10 THEN 0 END)::BIG
 """
 add("manifest_join", manifest, "SELECT * FROM man", MAN)
 add("tier_flags", lambda s, d: cohorts.tier_flags(manifest(s, d), 5), "SELECT user_id, raw_events IS NOT NULL AS tier_seen, passed AND label IS NOT NULL AS tier_strict, coalesce(n_days, 0) >= 5 AS tier_days FROM man", MAN)
-add("cohort_checks", lambda s, d: cohorts.cohort_checks(manifest(s, d)), "SELECT unnest(['labels_binary', 'users_unique', 'passed_were_seen']) AS \"check\", unnest([count(*) FILTER (label NOT IN (0, 1)), count(*) - count(DISTINCT user_id), count(*) FILTER (passed AND raw_events IS NULL)]) AS violations, unnest([count(*) FILTER (label NOT IN (0, 1)) = 0, count(*) - count(DISTINCT user_id) = 0, count(*) FILTER (passed AND raw_events IS NULL) = 0]) AS passed FROM man", MAN)
 add("semi_cohort", lambda s, d: events(s, d).join(vw.demographics(s, d).where("salutation = 20"), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), f", {vw.DEMOGRAPHICS_SQL} SELECT user_id, count(*) AS n FROM e WHERE user_id IN (SELECT user_id FROM demographics WHERE salutation = 20) GROUP BY 1", E)
 add("anti_excluded", lambda s, d: vw.epochs(s, d).select("user_id").distinct().join(vw.epochs(s, d).where((F.col("source") == 38) & (F.col("value") > 100)).select("user_id"), "user_id", "left_anti"), "SELECT DISTINCT user_id FROM epochs WHERE user_id NOT IN (SELECT user_id FROM epochs WHERE source = 38 AND value > 100)", E)
 add("window_range_join", lambda s, d: cohorts.window_range_join(good_days(s, d), user_windows(s, d)).groupBy("user_id").agg(F.count("*").alias("days"), F.count_if("adequate").alias("adequate")), f"SELECT user_id, count(*) AS days, count(*) FILTER (adequate) AS adequate FROM days JOIN {USER_WIN} USING (user_id) WHERE channel = 3000 AND day BETWEEN start_day AND end_day GROUP BY 1", COV)
@@ -174,7 +170,6 @@ add("average_rank", lambda s, d: wd.average_rank(vw.predictions(s, d), "score",
 # Gaps and bins
 RUNS = GRID + ", ru AS (SELECT user_id, day, missing, min(bin) AS start, max(bin) AS \"end\", count(*) AS length, min(bin) > 0 AND max(bin) < 7 AS interior FROM (SELECT *, hr IS NULL AS missing, bin - row_number() OVER (PARTITION BY user_id, day, hr IS NULL ORDER BY bin) AS i FROM g) GROUP BY user_id, day, missing, i)\n"
 add("bin_runs", lambda s, d: gaps.bin_runs(grid(s, d)), "SELECT * FROM ru", RUNS)
-add("gap_run_profile", lambda s, d: gaps.gap_run_profile(gaps.bin_runs(grid(s, d))), "SELECT user_id, (CASE WHEN length <= 1 THEN 0 WHEN length <= 3 THEN 1 WHEN length <= 6 THEN 2 ELSE 3 END)::BIGINT AS bucket, interior, count(*) AS n_runs, sum(length)::BIGINT AS bins FROM ru WHERE missing GROUP BY ALL", RUNS)
 add("clean_diff", lambda s, d: gaps.clean_diff(grid(s, d)).select("user_id", "day", "bin", "diff"), "SELECT user_id, day, bin, coalesce(lead(hr) OVER (PARTITION BY user_id, day ORDER BY bin) - hr, 0) AS diff FROM g", GRID, "diff")
 FILL = GRID + ", tp AS (SELECT bin, median(hr) AS template FROM g WHERE user_id % 2 = 0 GROUP BY 1), fc AS (SELECT g.*, coalesce(hr, template, (SELECT median(hr) FROM g WHERE user_id % 2 = 0)) AS filled FROM g LEFT JOIN tp USING (bin))\n"
 clock = lambda s, d: gaps.fill_clock(grid(s, d), grid(s, d).where("user_id % 2 = 0"))
@@ -184,54 +179,26 @@ QUERIES["fill_linear"] = lambda s, d: gaps.fill_linear(clock(s, d), 2).select("u
 profile = lambda s, d: events(s, d).groupBy("user_id", F.col("hour").alias("bin")).agg(F.avg("value").alias("hr"))
 add("circular_smooth", lambda s, d: gaps.circular_smooth(profile(s, d), 24, 1.5, keys=("user_id",)).select("user_id", "bin", "smooth"), "SELECT user_id, ((hour + k + 24) % 24)::BIGINT AS bin, sum(exp(-0.5 * (k / 1.5) ** 2) * hr) / sum(exp(-0.5 * (k / 1.5) ** 2)) AS smooth FROM (SELECT user_id, hour, avg(value) AS hr FROM e GROUP BY ALL), range(-6, 7) r(k) GROUP BY ALL", E, "smooth")
 add("mask_stats", lambda s, d: gaps.mask_stats(grid(s, d)), "SELECT user_id, bin, avg((hr IS NOT NULL)::INT) AS share, count(*) AS days, coalesce(stddev_samp((hr IS NOT NULL)::INT), 0) AS sd FROM g GROUP BY ALL", GRID, "share sd")
-add("transition_dynamics", lambda s, d: gaps.transition_dynamics(grid(s, d)), ", x AS (SELECT user_id, hr IS NOT NULL AS a, lead(hr IS NOT NULL) OVER (PARTITION BY user_id, day ORDER BY bin) AS b FROM g), y AS (SELECT user_id, count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM x WHERE b IS NOT NULL GROUP BY 1) SELECT *, round(n10 / nullif(n10 + n11, 0), 6) AS stop, round(n01 / nullif(n01 + n00, 0), 6) AS start FROM y", GRID)
-QUERIES["transition_dynamics"] = lambda s, d: gaps.transition_dynamics(grid(s, d)).withColumns({c: fn.r6(F.col(c)) for c in ("stop", "start")})
-add("daily_signals", lambda s, d: gaps.daily_signals(grid(s, d)), "SELECT *, night / day_mean AS dipping FROM (SELECT user_id, day, quantile_cont(hr, 0.1) AS p10, avg(hr) FILTER (bin BETWEEN 0 AND 2) AS night, avg(hr) FILTER (bin BETWEEN 3 AND 7) AS day_mean, avg((hr IS NOT NULL)::INT) AS occupancy FROM g GROUP BY ALL)", GRID, "p10 night day_mean occupancy dipping")
 
 # Evaluation
 CUM = P + ", c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY arm) AS np, sum(neg) OVER (PARTITION BY arm) AS nn, coalesce(sum(neg) OVER (PARTITION BY arm ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t WINDOW w AS (PARTITION BY arm ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), cu AS (SELECT arm, score AS tau, tp::BIGINT AS tp, (tp + fp)::BIGINT AS n, tp / (tp + fp) AS precision, (tp + fp) / (np + nn) AS coverage FROM c)\n"
-add("classification_metrics", lambda s, d: ev.classification_metrics(vw.predictions(s, d)), ", m AS (SELECT arm, count(*) FILTER (y = 1 AND score >= 0.5) AS tp, count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 1 AND score < 0.5) AS fn, count(*) FILTER (y = 0 AND score < 0.5) AS tn FROM predictions GROUP BY 1) SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM m", P)
-_cm = ("accuracy", "balanced_accuracy", "precision", "recall", "f1")
-QUERIES["classification_metrics"] = lambda s, d: ev.classification_metrics(vw.predictions(s, d)).withColumns({c: fn.r6(F.col(c)) for c in _cm})
-ORACLE_SQL["classification_metrics"] = ORACLE_SQL["classification_metrics"].replace("SELECT *, (tp", "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _cm) + ") FROM (SELECT *, (tp", 1) + ")"
 add("auroc", lambda s, d: ev.auroc(vw.predictions(s, d)), "SELECT arm, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM c GROUP BY 1", CUM, "auroc")
 add("average_precision", lambda s, d: ev.average_precision(vw.predictions(s, d)), "SELECT arm, sum(pos * tp / (tp + fp)) / sum(pos) AS average_precision FROM c GROUP BY 1", CUM, "average_precision")
-add("threshold_curves", lambda s, d: ev.threshold_curves(vw.predictions(s, d)), "SELECT * FROM cu", CUM, "precision coverage")
-add("select_thresholds", lambda s, d: ev.select_thresholds(vw.predictions(s, d), 0.8), "SELECT *, (precision + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(precision * (1 - precision) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS low, (precision + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(precision * (1 - precision) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS high FROM (SELECT * FROM cu WHERE precision >= 0.8 QUALIFY row_number() OVER (PARTITION BY arm ORDER BY tau) = 1)", CUM, "precision coverage low high")
 add("best_threshold", lambda s, d: ev.best_threshold(vw.predictions(s, d)), "SELECT arm, score AS threshold, round((tp / np + 1 - fp / nn) / 2, 12) AS balanced_accuracy FROM c QUALIFY row_number() OVER (PARTITION BY arm ORDER BY round((tp / np + 1 - fp / nn) / 2, 12) DESC, score DESC) = 1", CUM, "balanced_accuracy")
-add("proper_scores", lambda s, d: ev.proper_scores(vw.predictions(s, d)), "SELECT *, 1 - brier / (base * (1 - base)) AS skill FROM (SELECT arm, avg((score - y) * (score - y)) AS brier, avg(y) AS base, avg(-CASE WHEN y = 1 THEN ln(greatest(least(score, 0.999999), 0.000001)) ELSE ln(1 - greatest(least(score, 0.999999), 0.000001)) END) AS log_loss FROM predictions GROUP BY 1)", P, "brier base log_loss skill")
-add("ece_10", lambda s, d: ev.ece(vw.predictions(s, d)), ", k AS (SELECT arm, score, y, (row_number() OVER (PARTITION BY arm ORDER BY score, user_id) - 1) * 10 // count(*) OVER (PARTITION BY arm) AS b FROM predictions) SELECT arm, round(sum(n * gap) / sum(n), 6) AS ece FROM (SELECT arm, b, count(*) AS n, abs(avg(score) - avg(y)) AS gap FROM k GROUP BY ALL) GROUP BY 1", P)
-QUERIES["ece_10"] = lambda s, d: ev.ece(vw.predictions(s, d)).withColumn("ece", fn.r6(F.col("ece")))
-add("smd", lambda s, d: ev.smd(vw.predictions(s, d), "grp", "src0", "score"), "SELECT a.grp, a.n, a.mean, a.sd, (a.mean - b.mean) / sqrt((a.sd ** 2 + b.sd ** 2) / 2) AS smd FROM (SELECT grp, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS sd FROM predictions GROUP BY 1) a, (SELECT avg(score) AS mean, stddev_samp(score) AS sd FROM predictions WHERE grp = 'src0') b", P, "mean sd smd")
-add("group_summary", lambda s, d: ev.group_summary(vw.predictions(s, d), "grp", "score"), "SELECT CASE WHEN grouping(grp) = 1 THEN 'ALL' ELSE grp END AS grp, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS sd, quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75 FROM predictions GROUP BY GROUPING SETS ((grp), ())", P, "mean sd p25 p50 p75")
-add("welch_t", lambda s, d: ev.welch(vw.predictions(s, d), ["arm"], "y", "score"), "SELECT arm, n0, n1, m1 - m0 AS diff, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, (v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)) AS df, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM (SELECT arm, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, avg(score) FILTER (y = 0) AS m0, avg(score) FILTER (y = 1) AS m1, var_samp(score) FILTER (y = 0) AS v0, var_samp(score) FILTER (y = 1) AS v1 FROM predictions GROUP BY 1)", P, "diff t df d")
-add("mann_whitney", lambda s, d: ev.mann_whitney(vw.predictions(s, d)), ", s AS (SELECT arm, sum(pos * (below + neg / 2)) AS u, sum(pos)::DOUBLE AS p, sum(neg)::DOUBLE AS n, sum((pos + neg)::DOUBLE ** 3 - (pos + neg)) AS ties FROM c GROUP BY 1) SELECT arm, round(u, 6) AS u, round(sign(u - p * n / 2) * greatest(abs(u - p * n / 2) - 0.5, 0) / sqrt(p * n / 12 * (p + n + 1 - ties / ((p + n) * (p + n - 1)))), 6) AS z FROM s", CUM)
-QUERIES["mann_whitney"] = lambda s, d: ev.mann_whitney(vw.predictions(s, d)).withColumns({c: fn.r6(F.col(c)) for c in ("u", "z")})
 add("kruskal_wallis", lambda s, d: ev.kruskal_wallis(vw.predictions(s, d), ["arm"], "grp", "score"), ", r AS (SELECT arm, grp, rank() OVER (PARTITION BY arm ORDER BY score) + (count(*) OVER (PARTITION BY arm, score) - 1) / 2 AS rk FROM predictions), q AS (SELECT arm, sum(sr ** 2 / n) AS s, sum(n) AS n, count(*) AS groups FROM (SELECT arm, grp, sum(rk) AS sr, count(*)::DOUBLE AS n FROM r GROUP BY ALL) GROUP BY 1), ti AS (SELECT arm, sum((pos + neg)::DOUBLE ** 3 - (pos + neg)) AS c FROM t GROUP BY 1) SELECT arm, groups, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - c / (n ** 3 - n)), 6) AS h FROM q JOIN ti USING (arm)", P)
 QUERIES["kruskal_wallis"] = lambda s, d: ev.kruskal_wallis(vw.predictions(s, d), ["arm"], "grp", "score").withColumn("h", fn.r6(F.col("h")))
-add("balance_report", lambda s, d: ev.balance_report(vw.demographics(s, d).withColumn("split", F.col("user_id") % 3), "split", ["age_group", "bmi_grp"]), ", l AS (SELECT user_id % 3 AS split, 'age_group' AS variable, age_group::VARCHAR AS level FROM demographics UNION ALL SELECT user_id % 3, 'bmi_grp', bmi_grp FROM demographics), sh AS (SELECT variable, level, split, 100 * coalesce(count(l2.split), 0) / max(total) AS s FROM (SELECT DISTINCT variable, level FROM l) CROSS JOIN (SELECT user_id % 3 AS split, count(*) AS total FROM demographics GROUP BY 1) LEFT JOIN l l2 USING (variable, level, split) GROUP BY ALL) SELECT variable, level, round(max(s) - min(s), 6) AS max_pp FROM sh GROUP BY ALL", DM)
-QUERIES["balance_report"] = lambda s, d: ev.balance_report(vw.demographics(s, d).withColumn("split", F.col("user_id") % 3), "split", ["age_group", "bmi_grp"]).withColumn("max_pp", fn.r6(F.col("max_pp")))
 ANG = E + ", an AS (SELECT user_id, 2 * pi() * (local_ms % 86400000) / 86400000 - pi() AS angle FROM e)\n"
 angles = lambda s, d: events(s, d).select("user_id", (2 * F.pi() * F.pmod("local_ms", F.lit(fn.DAY_MS)) / fn.DAY_MS - F.pi()).alias("angle"))
-add("rayleigh", lambda s, d: ev.rayleigh(angles(s, d), ["user_id"]), "SELECT user_id, count(*) AS n, sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS length, atan2(avg(sin(angle)), avg(cos(angle))) AS mean_angle, count(*) * (avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS z FROM an GROUP BY 1", ANG, "length mean_angle z")
-add("phase_histogram", lambda s, d: ev.phase_histogram(angles(s, d), ["user_id"]).select("user_id", "bin", "n", "density"), "SELECT user_id, bin, n, n / sum(n) OVER (PARTITION BY user_id) / (2 * pi() / 24) AS density FROM (SELECT user_id, least(floor((angle + pi()) / (2 * pi() / 24)), 23)::BIGINT AS bin, count(*) AS n FROM an GROUP BY ALL)", ANG, "density")
-add("bootstrap_bands", lambda s, d: ev.bootstrap_means(vw.predictions(s, d).where("arm = 'mixed'"), "y", "user_id", "score", 20, "boot").select(F.col("draw").cast("long").alias("draw"), "n", "mean"), ", nu AS (SELECT y, score, row_number() OVER (PARTITION BY y ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM predictions WHERE arm = 'mixed'), dr AS (SELECT y, draw, ('0x' || substr(sha256('boot|' || y || '|' || draw || '|' || i), 1, 12))::BIGINT % n AS i FROM nu, (SELECT unnest(range(0, 20)) AS draw)) SELECT draw, count(*) AS n, round(avg(score), 6) AS mean FROM dr JOIN nu USING (y, i) GROUP BY 1", P)
-_boot = QUERIES["bootstrap_bands"]
-QUERIES["bootstrap_bands"] = lambda s, d: _boot(s, d).withColumn("mean", fn.r6(F.col("mean")))
 
 # Rhythms
-PERIODS = [7.0, 14.0, 21.0, 28.0, 30.0, 35.0]
+PERIODS = rhythms.PERIODS
 DET = D + ", fit AS (SELECT user_id, coalesce(regr_slope(value, day), 0) AS b, avg(value) AS m, avg(day) AS t FROM daily_values GROUP BY 1), dt AS (SELECT user_id, day, value, value - m - b * (day - t) AS residual FROM daily_values JOIN fit USING (user_id))\n"
-SPEC = DET + ", x AS (SELECT user_id, period, residual AS y, cos(2 * pi() * day / period) AS c, sin(2 * pi() * day / period) AS s FROM dt, (SELECT unnest([7.0, 14.0, 21.0, 28.0, 30.0, 35.0]::DOUBLE[]) AS period)), mm AS (SELECT user_id, period, count(*) AS n, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, y) AS cy, covar_pop(s, y) AS sy, covar_pop(y, y) AS yy FROM x GROUP BY ALL), co AS (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs ** 2) AS b, (sy * cc - cy * cs) / (cc * ss - cs ** 2) AS g FROM mm), sp AS (SELECT user_id, period, n, (b * cy + g * sy) / yy AS power, sqrt(b ** 2 + g ** 2) AS amplitude, atan2(g, b) AS phase FROM co)\n"
+SPEC = DET + """, x AS (SELECT user_id, period, residual AS y, cos(2 * pi() * day / period) AS c, sin(2 * pi() * day / period) AS s FROM dt, (SELECT unnest(range(28, 113)) / 2 AS period)),
+mm AS (SELECT user_id, period, count(*) AS n, avg(c * c) AS cc, avg(s * s) AS ss, avg(c * s) AS cs, avg(c * y) AS cy, avg(s * y) AS sy, avg(y * y) AS yy FROM x GROUP BY ALL),
+co AS (SELECT *, CASE WHEN cc * ss - cs ** 2 > 1e-9 AND yy > 1e-12 THEN (cy * ss - sy * cs) / (cc * ss - cs ** 2) END AS b, CASE WHEN cc * ss - cs ** 2 > 1e-9 AND yy > 1e-12 THEN (sy * cc - cy * cs) / (cc * ss - cs ** 2) END AS g FROM mm), sp AS (SELECT user_id, period, n, (b * cy + g * sy) / yy AS power, sqrt(b ** 2 + g ** 2) AS amplitude, atan2(g, b) AS phase FROM co)
+"""
 add("detrend", lambda s, d: rhythms.detrend(vw.daily_values(s, d)).select("user_id", "day", "residual"), "SELECT user_id, day, residual FROM dt", DET, "residual")
 spec = lambda s, d: rhythms.spectrum(rhythms.detrend(vw.daily_values(s, d)), PERIODS)
-add("lomb_scargle", spec, "SELECT * FROM sp", SPEC, "power amplitude phase")
-add("cosinor_grid", lambda s, d: rhythms.cosinor_grid(vw.daily_values(s, d), PERIODS).select("user_id", "period", "n", "power", "f"), "SELECT user_id, period, n, power, power / 2 / ((1 - power) / (n - 4)) AS f FROM sp", SPEC, "power f")
-add("spectral_peak", lambda s, d: rhythms.peak(spec(s, d)), "SELECT user_id, arg_max(period, (round(power, 9), -period)) AS period, arg_max(power, (round(power, 9), -period)) AS power, arg_max(amplitude, (round(power, 9), -period)) AS amplitude, max(power) / median(power) AS snr FROM sp GROUP BY 1", SPEC, "power amplitude snr")
-add("phase_coherence", lambda s, d: rhythms.phase_coherence(spec(s, d)), "SELECT period, count(*) AS n, sqrt(avg(cos(phase)) ** 2 + avg(sin(phase)) ** 2) AS coherence FROM sp GROUP BY 1", SPEC, "coherence")
-add("sliding_spectrum", lambda s, d: rhythms.sliding_spectrum(vw.daily_values(s, d), [14.0, 21.0, 28.0, 35.0], 90, 15, 15).select("user_id", "start_day", "period"))
-add("ar1_profile", lambda s, d: rhythms.ar1(vw.daily_values(s, d)), ", pr AS (SELECT user_id, value, CASE WHEN day - lag(day) OVER w = 1 THEN lag(value) OVER w END AS p FROM daily_values WINDOW w AS (PARTITION BY user_id ORDER BY day)) SELECT user_id, count(*) AS pairs, round(corr(p, value), 6) AS phi FROM pr WHERE p IS NOT NULL GROUP BY 1", D)
-QUERIES["ar1_profile"] = lambda s, d: rhythms.ar1(vw.daily_values(s, d)).withColumn("phi", fn.r6(F.col("phi")))
 
 # Splits
 LR = DM + ", gz AS (SELECT bmi_grp AS grp, count(*) AS n FROM demographics GROUP BY 1), lr AS (SELECT grp, n, floor(n * 100 / tot) AS f, n * 100 / tot - floor(n * 100 / tot) AS rem FROM gz, (SELECT sum(n) AS tot FROM gz)), sr AS (SELECT grp, n, (f + (row_number() OVER (ORDER BY round(rem, 9) DESC, grp) <= 100 - sum(f) OVER ())::INT)::BIGINT AS share FROM lr)\n"

@@ -24,14 +24,6 @@ k AS (SELECT user_id, CASE WHEN hr IS NOT NULL AND b1 = bin + 1 THEN 'observed'
 add("gap_exposure", lambda s, d: gaps.gap_exposure(grid(s, d), 2), "SELECT user_id, count(*) AS steps, " + ", ".join(f"count(*) FILTER (kind = '{x}') AS {x}" for x in ("observed", "short", "long", "edge")) + " FROM k GROUP BY 1", GE)
 add("step_error", lambda s, d: gaps.step_error(gaps.fill_pchip(clock(s, d), 4), ["filled", "pchip"]), "SELECT user_id, avg(abs(a)) AS filled_mae, sqrt(avg(a * a)) AS filled_rms, avg(abs(b)) AS pchip_mae, sqrt(avg(b * b)) AS pchip_rms FROM (SELECT user_id, lead(filled) OVER w - filled AS a, lead(pchip) OVER w - pchip AS b FROM pc WINDOW w AS (PARTITION BY user_id, day ORDER BY bin)) GROUP BY 1", PQ, "filled_mae filled_rms pchip_mae pchip_rms")
 add("shuffle_within_day", lambda s, d: gaps.shuffle_within_day(grid(s, d), "sh").select("user_id", "day", "bin", "shuffled"), "SELECT g.user_id, g.day, g.bin, y.hr AS shuffled FROM g LEFT JOIN x USING (user_id, day, bin) LEFT JOIN y ON y.user_id = x.user_id AND y.day = x.day AND y.r = x.r", GRID + ", x AS (SELECT user_id, day, bin, row_number() OVER (PARTITION BY user_id, day ORDER BY bin) AS r FROM b), y AS (SELECT user_id, day, hr, row_number() OVER (PARTITION BY user_id, day ORDER BY sha256('sh|' || user_id || '|' || day || '|' || bin)) AS r FROM b)\n", "shuffled")
-IMP = GRID + """, hd AS (SELECT *, ('0x' || substr(sha256('imp|' || user_id || '|' || day || '|' || bin), 1, 8))::BIGINT % 4 = 0 AS hide FROM g),
-mk AS (SELECT user_id, day, bin, CASE WHEN hide THEN hr END AS truth, CASE WHEN NOT hide THEN hr END AS hr FROM hd),
-nb AS (SELECT mk.*, coalesce(hr, t.template, w.whole) AS clock, w.whole AS level, last_value(CASE WHEN hr IS NOT NULL THEN bin END IGNORE NULLS) OVER p AS b0, last_value(hr IGNORE NULLS) OVER p AS h0, first_value(CASE WHEN hr IS NOT NULL THEN bin END IGNORE NULLS) OVER n AS b1, first_value(hr IGNORE NULLS) OVER n AS h1, avg((hr IS NOT NULL)::INT) OVER (PARTITION BY user_id, day) AS o
-  FROM mk LEFT JOIN (SELECT bin, median(hr) AS template FROM mk GROUP BY 1) t USING (bin), (SELECT median(hr) AS whole FROM mk) w WINDOW p AS (PARTITION BY user_id, day ORDER BY bin ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY user_id, day ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-er AS (SELECT CASE WHEN o < 0.25 THEN 'sparse' WHEN o < 0.5 THEN 'middle' ELSE 'dense' END AS tier, unnest(['clock', 'linear', 'level']) AS fill, unnest([clock, CASE WHEN b1 - b0 - 1 <= 2 THEN h0 + (h1 - h0) * (bin - b0) / (b1 - b0) ELSE clock END, level]) - truth AS e FROM nb WHERE truth IS NOT NULL)
-"""
-imputed = lambda s, d: gaps.imputation_error(gaps.mask_sample(grid(s, d), "imp", 4), 2)
-add("imputation_error", lambda s, d: imputed(s, d).where("fill <> 'pchip'"), "SELECT fill, CASE WHEN grouping(tier) = 1 THEN 'ALL' ELSE tier END AS tier, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM er GROUP BY GROUPING SETS ((fill, tier), (fill))", IMP, "mae rmse")
 PE = E + """, nu AS (SELECT *, count(*) OVER (PARTITION BY user_id, channel, day) AS n, row_number() OVER (PARTITION BY user_id, channel, day ORDER BY start_ms, event_id) AS i, sha256('pe|' || user_id || '|' || event_id) AS dg FROM e),
 nw AS (SELECT *, row_number() OVER (PARTITION BY user_id, channel, day ORDER BY dg, event_id) AS shuffled, ('0x' || substr(dg, 1, 8))::BIGINT % n + 1 AS resampled FROM nu)
 """

@@ -56,11 +56,23 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("_s = 0").groupBy("file").agg(F.min_by("value", "_i").alias("header"))
 
 
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of all files below a folder, those of no bytes too, which Spark's scans pass over: the store's own listing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            found.append((f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(found, "path string, bytes long")
+
+
 def file_inventory(spark: SparkSession, path: str, users: DataFrame, owner: str = OWNER) -> DataFrame:
-    """Each listed user's file: missing or nonempty, and its bytes. Contents aren't read. Spark's scan passes over files of no bytes, which count as missing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", owner, 1).try_cast("long").alias("user_id"), F.col("length").alias("bytes"))
+    """Each listed user's file: missing, zero_byte or nonempty, and its bytes. Contents aren't read; names and sizes pass through the driver."""
+    files = file_listing(spark, path).select(F.regexp_extract("path", owner, 1).try_cast("long").alias("user_id"), "bytes")
     own = files.groupBy("user_id").agg(F.sum("bytes").alias("bytes"))
-    state = F.when(F.coalesce("bytes", F.lit(0)) == 0, "missing").otherwise("nonempty")
+    state = F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "zero_byte").otherwise("nonempty")
     return users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", state.alias("state"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
@@ -93,9 +105,15 @@ def sink_parquet(df: DataFrame, path: str, mode: str = "append", by=()) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def sink_folds(assigned: DataFrame, path: str) -> None:
-    """A table with a folder for each fold; a path that exists is refused."""
-    sink_parquet(assigned, path, "errorifexists", ("fold",))
+def sink_folds(assigned: DataFrame, path: str, variables=()) -> None:
+    """folds (a folder for each fold), assignments (user_id, fold) and balance (variable, level, fold, n, share) below a path; one that exists is refused."""
+    sink_parquet(assigned, f"{path}/folds", "errorifexists", ("fold",))
+    sink_parquet(assigned.select("user_id", "fold"), f"{path}/assignments", "errorifexists")
+    if variables:
+        cells = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.coalesce(F.col(v).cast("string"), F.lit("<MISSING>")).alias("level")) for v in variables]))
+        n = assigned.select("fold", cells.alias("x")).groupBy("x.variable", "x.level", "fold").agg(F.count("*").alias("n"))
+        total = assigned.groupBy("fold").agg(F.count("*").alias("_t"))
+        sink_parquet(n.join(F.broadcast(total), "fold").select("variable", "level", "fold", "n", (F.col("n") / F.col("_t")).alias("share")), f"{path}/balance", "errorifexists")  # one row for each fold
 
 
 def unfinished(wanted: DataFrame, done: DataFrame, keys) -> DataFrame:
