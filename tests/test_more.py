@@ -148,7 +148,7 @@ def test_uploads(spark):
 
 def test_files_of_differing_columns(spark, tmp_path):
     (tmp_path / "1.csv").write_text("startTimestamp,type,longValue\n5,3000,61\n6,3000,bad\n")
-    (tmp_path / "2.csv").write_text("longValue,source,startTimestamp,type\n70,3,9,3001\n")
+    (tmp_path / "2.csv").write_text('note,longValue,source,"startTimestamp",type\n"a, b",70,3,9,3001\n')
     (tmp_path / "3.csv").write_text("startTimestamp,type,longValue\n")
     (tmp_path / "4.csv").write_text("startTimestamp,type\n1,2\n")
     (tmp_path / "5.csv").write_text("")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators.ranks import join_nulls, quantiles
 
 
 def adequate(days: DataFrame, min_hours: int = 8, min_cov_s: float = 28_800, min_n: int = 60) -> DataFrame:
@@ -60,10 +61,13 @@ def source_inventory(events: DataFrame, day_marks=(5, 10)) -> DataFrame:
 def channel_audit(events: DataFrame) -> DataFrame:
     """Events, share of points, median minutes and median events a user-day of each channel and source, and whether it holds points or intervals."""
     ms = F.col("end_ms") - F.col("start_ms")
-    daily = events.groupBy("channel", "source", "user_id", "day").agg(F.count("*").alias("n")).groupBy("channel", "source").agg(F.median("n").alias("median_events_day"))
-    own = events.groupBy("channel", "source").agg(F.count("*").alias("events"), F.avg((ms == 0).cast("double")).alias("zero_share"), F.median(ms / 60_000).alias("median_min"))
+    keys = ["channel", "source"]
+    daily = quantiles(events.groupBy(*keys, "user_id", "day").agg(F.count("*").alias("n")), keys, "n", {"median_events_day": 0.5})
+    length = quantiles(events.select(*keys, (ms / 60_000).alias("_m")), keys, "_m", {"median_min": 0.5})
+    own = events.groupBy(*keys).agg(F.count("*").alias("events"), F.avg((ms == 0).cast("double")).alias("zero_share"))
+    own = join_nulls(own, F.broadcast(length), keys)  # one row for each channel and source
     kind = F.when(F.col("zero_share") >= 0.9, "point").when(F.col("zero_share") <= 0.1, "interval").otherwise("mixed")
-    return own.join(daily, ["channel", "source"]).withColumn("kind", kind)
+    return join_nulls(own, F.broadcast(daily), keys).withColumn("kind", kind)
 
 
 def cohort_flow(people: DataFrame, steps: list[tuple[str, object]], last: str = "included") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators.ranks import join_nulls, quantiles
 
 LOW, HIGH = 25.0, 230.0
 
@@ -41,10 +42,15 @@ def day_stats(events: DataFrame, keys=("user_id", "channel", "day")) -> DataFram
     """Count, mean, median, sample deviation (0 for one event), least, largest and distinct hours of each day."""
     return events.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"),
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"), F.countDistinct("hour").alias("hours"),
+        F.min("value").alias("vmin"), F.max("value").alias("vmax"), distinct_hours().alias("hours"),
     )
 
 
+def distinct_hours(hour: str = "hour") -> Column:
+    """Number of distinct hours from 0 to 23, as bits: rows are combined before the shuffle without a distinct aggregate."""
+    return F.bit_count(F.expr(f"bit_or(shiftleft(1, cast({hour} as int)))")).cast("long")
+
+
 def union_coverage(events: DataFrame, keys=("user_id", "channel", "day"), start: str = "start_ms", end: str = "end_ms", unit_ms: int = 1000) -> DataFrame:
     """Length of the union of each group's intervals. An interval that starts at the running end extends it."""
     w = Window.partitionBy(*keys).orderBy(start, end)
@@ -56,7 +62,18 @@ def union_coverage(events: DataFrame, keys=("user_id", "channel", "day"), start:
 
 
 def day_table(events: DataFrame, keys=("user_id", "channel", "day")) -> DataFrame:
-    return day_stats(events, keys).join(union_coverage(events, keys), list(keys))
+    """day_stats with cov_s, the length of the union of the day's intervals, after one shuffle by keys.
+
+    In order of start each interval adds what lies behind the latest end so far.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max("end_ms").over(w), F.col("start_ms"))
+    adds = F.greatest(F.col("end_ms") - F.greatest(F.col("start_ms"), before), F.lit(0))
+    own = events.withColumn("_adds", adds).groupBy(*keys)
+    return own.agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"),
+        F.min("value").alias("vmin"), F.max("value").alias("vmax"), distinct_hours().alias("hours"), (F.sum("_adds") / 1000).alias("cov_s"),
+    )
 
 
 def source_stats(events: DataFrame) -> DataFrame:
@@ -85,11 +102,13 @@ def bin_means(events: DataFrame, minutes: int, min_bins: int, min_days: int) ->
 
 
 def span_audit(epochs: DataFrame, by: str = "source") -> DataFrame:
+    """Quantiles of the spans' lengths of each source, exact by ordered buckets, the longest, and shares over 5 and 10 minutes; a null source is one of its own."""
     ms = F.col("end_ms") - F.col("start_ms")
-    return epochs.groupBy(by).agg(
-        *[F.percentile(ms, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)], F.max(ms).alias("longest"),
-        F.avg((ms > 5 * 60_000).cast("double")).alias("over_5min"), F.avg((ms > 10 * 60_000).cast("double")).alias("over_10min"), F.countDistinct("tz_min").alias("offsets"),
+    own = epochs.groupBy(by).agg(
+        F.max(ms).alias("longest"), F.avg((ms > 5 * 60_000).cast("double")).alias("over_5min"), F.avg((ms > 10 * 60_000).cast("double")).alias("over_10min"), F.countDistinct("tz_min").alias("offsets"),
     )
+    cuts = quantiles(epochs.select(by, ms.alias("_ms")), [by], "_ms", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return join_nulls(own, F.broadcast(cuts), [by])  # one row for each source
 
 
 def window_diurnal(events: DataFrame, windows: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators.ranks import quantiles
 
 BUCKETS = ("night", "morning", "afternoon", "evening")
 
@@ -114,7 +117,7 @@ def recording_descriptors(grid: DataFrame) -> DataFrame:
 
 def tercile_groups(rows: DataFrame, train: DataFrame, columns) -> DataFrame:
     """low, middle or high of each column by the training rows' thirds, and the crossed group."""
-    cuts = train.agg(*[F.percentile(c, F.lit(p)).alias(f"_{c}{i}") for c in columns for i, p in enumerate((1 / 3, 2 / 3))])
+    cuts = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [quantiles(train, [], c, {f"_{c}0": 1 / 3, f"_{c}1": 2 / 3}) for c in columns])  # one row each
     level = lambda c: F.when(F.col(c) <= F.col(f"_{c}0"), "low").when(F.col(c) <= F.col(f"_{c}1"), "middle").when(F.col(c).isNotNull(), "high")
     out = rows.crossJoin(F.broadcast(cuts)).select("user_id", *[level(c).alias(f"{c}_group") for c in columns])  # cuts is one row
     return out.withColumn("crossed", F.concat_ws("/", *[F.coalesce(f"{c}_group", F.lit(fn.MISSING)) for c in columns]))

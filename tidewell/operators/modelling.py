@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell.operators.evaluation import auroc
-from tidewell.operators.ranks import hash_rank
+from tidewell.operators.ranks import hash_rank, quantiles
 
 
 def prepare(train: DataFrame, rows: DataFrame, numeric, categorical=(), max_levels: int = 200) -> tuple[DataFrame, list[str]]:
@@ -21,14 +21,15 @@ def prepare(train: DataFrame, rows: DataFrame, numeric, categorical=(), max_leve
     Columns without any training value are dropped. A category's unseen levels get zeros. A column of more than
     max_levels levels raises an error: that is a key, not a category. What comes to the driver is a few values for each column.
     """
-    stats = train.agg(*[F.median(c).alias(f"m_{c}") for c in numeric], *[F.count_if(F.col(c).isNull()).alias(f"k_{c}") for c in numeric], *[F.count_distinct(c).alias(f"l_{c}") for c in categorical]).first()
+    middle = {c: r[0] for c in numeric if (r := quantiles(train, [], c, {"m": 0.5}).first()) is not None}
+    stats = train.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"k_{c}") for c in numeric], *[F.count_distinct(c).alias(f"l_{c}") for c in categorical]).first()
     wide = [c for c in categorical if stats[f"l_{c}"] > max_levels]
     if wide:
         raise ValueError(f"more than {max_levels} levels in {wide}")
     new = {}
     for c in numeric:
-        if stats[f"m_{c}"] is not None:
-            new[f"x_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(float(stats[f"m_{c}"])))
+        if middle.get(c) is not None:
+            new[f"x_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c])))
             if stats[f"k_{c}"]:
                 new[f"x_{c}_missing"] = F.col(c).isNull().cast("double")
     for c in categorical:

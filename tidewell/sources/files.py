@@ -26,14 +26,21 @@ def scan_epochs(spark: SparkSession, path: str, owner: str = OWNER) -> DataFrame
     )
 
 
-def scan_coerced(spark: SparkSession, path: str, columns=("startTimestamp", "endTimestamp", "type", "longValue", "source", "timezoneOffset")) -> DataFrame:
+def cells_of(line: str, width: int = 32) -> Column:
+    """The first `width` cells of a CSV line as an array, null beyond its end; quoted cells may hold commas."""
+    row = F.from_csv(F.col(line), F.lit(", ".join(f"c{i} string" for i in range(width))))
+    return F.array(*[row[f"c{i}"] for i in range(width)])
+
+
+def scan_coerced(spark: SparkSession, path: str, columns=("startTimestamp", "endTimestamp", "type", "longValue", "source", "timezoneOffset"), width: int = 32) -> DataFrame:
     """Events of CSV files whatever their columns: each file's header says where the named ones are, values are coerced or null.
 
-    A file is a few lines of text to Spark: lines are joined to their file's header, so files may differ in columns.
+    A file is a few lines of text to Spark: lines are joined to their file's header, so files may differ in columns. Cells may be
+    quoted and then hold commas; of a file's columns the first `width` are looked at.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_s"), user_of_file().alias("user_id"), "value")
-    heads = lines.where(F.col("value").rlike("(^|,)(" + "|".join(columns) + ")(,|$)")).groupBy("file").agg(F.min("value").alias("_head"))
-    cells = lines.join(heads, "file", "left").where("_head IS NULL OR value <> _head").withColumn("_c", F.split("value", ",")).withColumn("_h", F.split("_head", ","))
+    heads = lines.where(F.col("value").rlike("(^|,)\"?(" + "|".join(columns) + ")\"?(,|$)")).groupBy("file").agg(F.min("value").alias("_head"))
+    cells = lines.join(heads, "file", "left").where("_head IS NULL OR value <> _head").withColumn("_c", cells_of("value", width)).withColumn("_h", cells_of("_head", width))
     at = lambda c: F.when(F.array_position("_h", c) > 0, F.get("_c", (F.array_position("_h", c) - 1).cast("int"))).try_cast("double")
     return cells.select("file", "user_id", *[at(c).alias(c) for c in columns])
 
@@ -45,7 +52,7 @@ def scan_status(inventory: DataFrame, rows: DataFrame, heads: DataFrame, core=CO
         full = full & F.col(c).isNotNull()
     n = rows.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(full).alias("valid"))
     j = inventory.join(heads, "file", "left").join(n, "file", "left")
-    missing = F.size(F.array_except(F.array(*map(F.lit, core)), F.split("header", ","))) > 0
+    missing = F.size(F.array_except(F.array(*map(F.lit, core)), cells_of("header"))) > 0
     status = F.when(F.col("header").isNull(), "unreadable").when(missing, "missing_required_columns").when(F.col("rows").isNull(), "header_only").when(F.col("valid") == 0, "no_valid_core_event").otherwise("ok")
     return j.select("file", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("valid", F.lit(0)).alias("valid"))
 
