@@ -100,3 +100,14 @@ def test_top_features(spark):
     weights = sorted(((-r.importance, r.feature) for r in model_queries.forest_parts(spark, SF)[1].collect()))[:5]
     got = [(r.feature, r.importance) for r in registry.QUERIES["topk_features"](spark, SF).collect()]
     assert sorted(got) == sorted((f, pytest.approx(-w, abs=1e-6)) for w, f in weights)
+
+
+def test_forest_depth_is_chosen_out_of_fold(spark):
+    from tidewell.operators import modelling
+
+    rng = np.random.default_rng(3)
+    a, b = rng.random(400), rng.random(400)
+    rows = spark.createDataFrame([(i, float(x), float(z), float((x > 0.5) != (z > 0.5))) for i, (x, z) in enumerate(zip(a, b, strict=True))], "user_id long, a double, b double, y double")
+    depth, areas = modelling.tune_forest(rows, ["a", "b"], "user_id", depths=(1, 5))
+    got = {r.depth: r.auroc for r in areas.collect()}
+    assert depth == 5 and got[5] > 0.9 > got[1]  # one split can't tell exclusive-or

@@ -98,6 +98,22 @@ def forest(train: DataFrame, rows: DataFrame, features, y: str = "y", trees: int
     return scored, rows.sparkSession.createDataFrame(weights, "feature string, importance double")
 
 
+def tune_forest(train: DataFrame, features, id_col: str, depths=(3, 6), y: str = "y", folds: int = 3, trees: int = 20, tag: str = "tune") -> tuple[int, DataFrame]:
+    """The depth whose out-of-fold scores have the largest AUROC, ties to the smaller, and (depth, auroc) of all.
+
+    Folds come from a hash of id_col. Each forest scores the fold it hasn't seen, and a depth's folds are judged together.
+    """
+    dealt = train.withColumn("_fold", F.conv(F.substring(fn.hash_rank_key(tag, F.col(id_col)), 1, 8), 16, 10).cast("long") % folds)
+    parts = None
+    for d in depths:
+        for k in range(folds):
+            own = forest(dealt.where(F.col("_fold") != k), dealt.where(F.col("_fold") == k), features, y, trees, d)[0].select(F.lit(d).cast("long").alias("depth"), F.col(y).alias("y"), F.round("score", 9).alias("score"))
+            parts = own if parts is None else parts.unionByName(own)
+    areas = auroc(parts, ("depth",)).select("depth", "auroc")
+    best = min(((-(r.auroc if r.auroc is not None else 0.5), r.depth) for r in areas.collect()), default=(0, depths[0]))  # a row for each depth
+    return int(best[1]), areas
+
+
 def platt(val: DataFrame, rows: DataFrame, y: str = "y") -> DataFrame:
     """Calibrated scores by a logistic map fitted on val alone; rows without a score keep none."""
     model = LogisticRegression(featuresCol="_features", labelCol=y).fit(_assembled(val.where("score IS NOT NULL"), ["score"]))

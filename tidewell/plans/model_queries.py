@@ -32,8 +32,9 @@ def ridge_scores(s, d):
 
 
 def forest_parts(s, d):
+    """A forest of the depth that out-of-fold scores choose."""
     (train, _, test), names = parts(s, d)
-    return ml.forest(train, test, names)
+    return ml.forest(train, test, names, depth=ml.tune_forest(train, names, "user_id", folds=2)[0])
 
 
 def importance(s, d):
