@@ -18,6 +18,8 @@ from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows
 TRAIN_ROWS = 20_000
 #: A term's least log ratio of rates, share and number of toxic texts, and log-likelihood ratio of its presence.
 MIN_WEIGHT, MIN_SHARE, MIN_DOCS, MIN_EVIDENCE = 2.5, 0.02, 3, 10.0
+#: Terms that a task counts before it hands its counts on; bounds its memory.
+HELD = 60_000
 #: Beginnings of words that may be terms, as stems: insults are inflected and compounded.
 STEMS = range(5, 9)
 #: A stem isn't a term where one longer term makes up so much of its toxic occurrences: it would only add that word's innocent kin.
@@ -145,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
                     x = held.setdefault((toxic == 1, term), [0, 0])
                     x[0] += 1
                     x[1] += n
-                if len(held) > 300_000:
+                if len(held) > HELD:
                     yield pack(held)
                     held = {}
         yield pack(held)
