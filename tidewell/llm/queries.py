@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import avi_media, decontam, langid, license_scan, pii, quotes, sentencepiece_nbest, simhash, token_counts, toxicity
+from tidewell.llm import avi_media, decontam, langid, license_scan, pii, quotes, sentencepiece_nbest, setsketch, simhash, spelling, token_counts, toxicity, whitening
 from tidewell.llm.common import table
 
 
@@ -36,10 +36,6 @@ def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.quotation_links(table(spark, sf_dir, "conversations"))
 
 
-def op7_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.quotation_links(table(spark, sf_dir, "conversations"))
-
-
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.segment_digest(table(spark, sf_dir, "documents"))
 
@@ -52,7 +48,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_license_scan, op4_avi_media, op5_language_id, op6_toxicity, op7_quotation_links, op7_quotation_threads, op8_sentencepiece_nbest, op9_simhash, op10_token_counts)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_license_scan, op4_avi_media, op5_language_id, op6_toxicity, op7_quotation_links, op8_sentencepiece_nbest, op9_simhash, op10_token_counts, op11_whitening, op12_setsketch, op13_spelling)}
 
 DECONTAMINATION_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -68,4 +76,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN s USING (rid)"""
 
-ORACLE_SQL = {"op2_decontamination": DECONTAMINATION_SQL, "op3_license_scan": license_scan.license_sql(), "op7_quotation_links": quotes.QUOTES_SQL, "op7_quotation_threads": quotes.QUOTES_SQL}
+ORACLE_SQL = {"op2_decontamination": DECONTAMINATION_SQL, "op3_license_scan": license_scan.license_sql(), "op7_quotation_links": quotes.QUOTES_SQL}
