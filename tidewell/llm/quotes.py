@@ -168,20 +168,25 @@ def _ordered(linked: DataFrame) -> DataFrame:
 def _nth(rows: DataFrame, least: int = 500, buckets: int = 64) -> DataFrame:
     """Adds nth, the place from 1 of a row among those of its conv_id and `above`, by turn, tie and row.
 
-    Those of more than `least` rows and of more than 1 in 4,096 of all are cut into buckets at approximate quantiles
-    and each bucket is ordered by itself, so no task sorts a large one; where the cuts lie doesn't change the result. Tables
-    of the large ones have 4,096 rows or so and are broadcast. Only exact repeats (of turn, role and text) share a bucket always.
+    Those of more than `least` rows and of more than 1 in 4,096 of all are cut into buckets at approximate quantiles of the turn,
+    where a turn that is a cut has a bucket of its own, dealt on by the beginning of tie. Each bucket is ordered by
+    itself, so no task sorts a large one; where the cuts lie doesn't change the result, since no bucket's rows lie among another's.
+    The cuts of the large ones, 4,096 at most, are broadcast. Only exact repeats (of turn, role and text) share a bucket always, and
+    turns beyond 2^53 that are the same as doubles.
     """
-    keys = ["conv_id", "above"]
-    clipped = F.greatest(F.least(F.col("turn").cast("double"), F.lit(2.0**32)), F.lit(-(2.0**32)))
-    coarse = clipped + (F.col("tie").cast("double") + 2.0**63) / 2.0**64 * 0.999  # never falls in the order of turn and tie
+    keys, turn = ["conv_id", "above"], F.col("turn").cast("double")
     large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, rows.count() // 4096)).select(*keys)
-    edges = rows.join(F.broadcast(large), keys).groupBy(*keys).agg(F.percentile_approx(coarse, [i / buckets for i in range(1, buckets)], 1000).alias("_e"))
-    cut = rows.join(F.broadcast(materialize(edges)), keys, "left").withColumn("_b", F.coalesce(F.size(F.filter("_e", lambda e: e < coarse)), F.lit(0)))
-    sums = cut.where("_e IS NOT NULL").groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = sums.select(*keys, "_b", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
-    place = F.coalesce("_o", F.lit(0)) + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("turn", "tie", "row"))
-    return cut.drop("_e").join(F.broadcast(before), [*keys, "_b"], "left").withColumn("nth", place.cast("long")).drop("_b", "_o")
+    edges = rows.join(F.broadcast(large), keys).groupBy(*keys).agg(F.array_distinct(F.percentile_approx(turn, [i / buckets for i in range(1, buckets)], 1000)).alias("_e"))
+    edges = F.broadcast(materialize(edges))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy("turn", "tie", "row")).cast("long")
+    cut = rows.join(edges, keys)
+    among = 2 * F.size(F.filter("_e", lambda e: e < turn)) + F.array_contains("_e", turn).cast("int")
+    part = F.when(F.array_contains("_e", turn) & (F.abs(turn) < 2.0**53), F.shiftright("tie", 58)).otherwise(0)  # tie is signed, as its order is
+    cut = cut.withColumn("_b", F.struct(among.alias("among"), part.alias("part"))).drop("_e")
+    sums = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = sums.select(*keys, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    cut = cut.join(before, [*keys, "_b"]).withColumn("nth", F.col("_o") + place("_b")).drop("_b", "_o")
+    return rows.join(edges, keys, "left_anti").withColumn("nth", place()).unionByName(cut)
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
