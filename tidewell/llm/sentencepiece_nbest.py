@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,12 @@ N_BEST = 3
 SLICE = 1 << 20
 #: A worker keeps the results of so many segments; longer segments than SHORT characters are searched one by one.
 CACHE, SHORT = 1_500_000, 128
-_K = 0x9E3779B97F4A7C15
+#: Segments of up to PLAIN characters are told apart by a polynomial hash modulo 2^64, longer ones by XXH3: for strings made to
+#: collide, such as long Thue-Morse ones, powers of two in the differences would add up. Each process draws its own
+#: multiplier, 3 or 5 modulo 8, which keeps those powers least, and seed; results don't depend on them.
+PLAIN = 32
+_K = int.from_bytes(os.urandom(8)) & ~7 | 5
+_SEED = int.from_bytes(os.urandom(8))
 _INVERSE = pow(_K, -1, 2**64)
 NO_GAP = 1 << 60
 
@@ -88,7 +95,7 @@ class Pieces:
     """Pieces of a model file with scores by their rank among the merges; a character that is no piece becomes its bytes.
 
     Texts are cut into segments wherever no piece holds both the character before and the one behind the cut,
-    so segments are independent of each other; the results of a segment are kept under a 64-bit hash of it.
+    so segments are independent of each other; the results of a segment are kept under a 64-bit hash of it (see PLAIN).
     """
 
     def __init__(self, model: bytes):
@@ -288,6 +295,8 @@ class Pieces:
             back = np.cumprod(np.r_[np.uint64(1), np.full(len(chars), _INVERSE, np.uint64)])
             total = np.r_[np.uint64(0), np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * power[:-1])]
             hashes = (total[end] - total[begin]) * back[begin]
+            for i in np.nonzero(end - begin > PLAIN)[0].tolist():
+                hashes[i] = xxhash.xxh3_64_intdigest(chars[begin[i] : end[i]].tobytes(), _SEED)
             k = self.seen.find(hashes)
             fresh = np.nonzero(k < 0)[0]
             if len(fresh):
