@@ -185,11 +185,14 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of its least doc_id, and of several such rows the one of the least digest.
 
     The digest is SHA-256 of the row as JSON, so rows of one digest are alike in every column and one of
-    them stays. A null doc_id comes after all others: such rows stay only where no other is near.
+    them stays. Columns may have any names. A null doc_id comes after all others: such rows stay only where no other is near.
     """
-    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
-    own = materialize(fingerprints(docs.select(F.struct("doc_id", digest.alias("digest")).alias("at"), "text"), "at"))
+    names = [f"_{i}" for i in range(len(docs.columns))]  # by place, so that no column of docs is taken for another
+    rows = docs.toDF(*names)
+    at, key = (F.col(names[docs.columns.index(c)]) for c in ("text", "doc_id"))
+    digest = F.sha2(F.to_json(F.struct(*names)), 256)
+    own = materialize(fingerprints(rows.select(F.struct(key.alias("doc_id"), digest.alias("digest")).alias("at"), at.alias("text")), "at"))
     order = F.struct(F.col("at.doc_id").isNull().alias("last"), F.col("at.doc_id").alias("doc_id"), F.col("at.digest").alias("digest"))
     linked = _rooted(materialize(own.groupBy("fp").agg(F.min(order).alias("first"))), radius)
     kept = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.digest").alias("_row_digest"))
-    return docs.withColumn("_row_digest", digest).join(kept, "_row_digest", "left_semi").dropDuplicates(["_row_digest"]).select(*docs.columns)
+    return rows.withColumn("_row_digest", digest).join(kept, "_row_digest", "left_semi").dropDuplicates(["_row_digest"]).select(*names).toDF(*docs.columns)
