@@ -72,13 +72,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About `bound` rows of df, chosen by a hash of key; all of them where df is smaller. Rows of a null key don't take part."""
+def bounded_sample(df: DataFrame, key: str, bound: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """About `bound` rows of df, chosen by a hash of key and the columns `also`; all of them where df is smaller. Rows of a null key don't take part.
+
+    Rows alike in those columns are chosen together: where that leaves none, the share is widened until some are; where it
+    gives over four times the bound, each such row counts once, so many copies of few rows stay within the bound.
+    """
     df = df.where(F.col(key).isNotNull())
     n = df.count()
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    share, own = bound / n, F.xxhash64(F.lit("sample"), key, *also)
+    while True:
+        chosen = df.where(F.pmod(own, F.lit(1 << 30)) < int(share * (1 << 30)))
+        found = chosen.count()
+        if found or share >= 1:
+            return chosen if found <= 4 * bound else chosen.dropDuplicates([key, *also])
+        share = min(1.0, share * 8)
 
 
 def crc_mod(col: str, n: int):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import bound_batches, bounded_sample, crc_mod, map_rows
 
 BITS, ORDERS = 15, (1, 2, 3)
-#: Learning reads about so many rows with a language, chosen by a hash of their id.
+#: Learning reads about so many rows with a language, chosen by a hash of their id, text and language.
 TRAIN_ROWS = 20_000
 PIECE = 1 << 19
 #: n-grams of texts scored together; bounds the memory of a step.
@@ -43,7 +43,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, smooth: float = 0.5) ->
     n-grams are counted in each task and summed by Spark; what reaches the driver has at most
     2**15 rows for each language.
     """
-    rows = bounded_sample(docs.where("lang IS NOT NULL AND text IS NOT NULL"), "doc_id", train_rows).select("lang", "text")
+    rows = bounded_sample(docs.where("lang IS NOT NULL AND text IS NOT NULL"), "doc_id", train_rows, ("text", "lang")).select("lang", "text")
     bound_batches(docs.sparkSession)
 
     def count(batches):
