@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import SF, assert_same, connect  # noqa: E402
 
-from tidewell.llm import avi_media, decontam, langid, license_scan, pii, quotes, sentencepiece_nbest, simhash, token_counts, toxicity  # noqa: E402
+from tidewell.llm import avi_media, common, decontam, langid, license_scan, pii, quotes, sentencepiece_nbest, simhash, token_counts, toxicity  # noqa: E402
 from tidewell.llm import queries as q  # noqa: E402
 
 AWKWARD = [None, "", " ", "\n\n", "a", "ü", "日本語 \U0001f600", "x" * 5000, "a b " * 3000, "Und.34@mail7.example.com", "10.0.0.1; card 4111 1111 1111 1111; +1 (017) 555-7713", "a▁b  c"]
@@ -364,11 +364,11 @@ def test_language_against_brute_force(spark, monkeypatch):
 
 
 def test_toxicity_folds_and_exceptions():
-    auto = toxicity.build({"idiot": 3.0, "trash": 2.0})
+    auto = toxicity.build({"idiot": 3.0, "trash": 2.0}, ("trash can",))
     found = lambda t: [x[2] for x in toxicity.matches(auto, t)[0]]
     assert found("you 1D!0T!!") == ["idiot"] and found("idiot$$$ іdіоt") == ["idiot", "idiot"]
     assert found("idiots trashy") == [] and found("a trash can") == [] and found("trash, can") == ["trash"]
-    auto = toxicity.build({"loser": 3.0, "loser*": 1.0, "los*": 0.5, "scum*": 2.0})
+    auto = toxicity.build({"loser": 3.0, "loser*": 1.0, "los*": 0.5, "scum*": 2.0}, ("pond scum",))
     assert found("loser losers lost los") == ["loser", "loser*", "los*"] and found("pond scum scumbag xscumbag") == ["scum*"]
     assert len(toxicity.fold("ÀÉ!!a@b" * 50)) == 350 and toxicity.matches(auto, None)[0] == []
 
@@ -422,7 +422,7 @@ def test_toxicity_against_brute_force(spark):
         assert abs(w - np.log((n(bad) + 0.5) / len(bad) / ((n(good) + 0.5) / len(good)))) < 1e-5 and w >= toxicity.MIN_WEIGHT
     got = {r.doc_id: r.score for r in toxicity.score(more, (weights, threshold, exceptions)).collect()}
     for r in more.collect():
-        assert abs(got[r.doc_id] - toxicity_brute(weights, threshold, (*toxicity.EXCEPTIONS, *exceptions), r.text)) < 1e-9
+        assert abs(got[r.doc_id] - toxicity_brute(weights, threshold, exceptions, r.text)) < 1e-9
 
 
 def test_toxicity_of_awkward_rows(spark, docs):
@@ -461,6 +461,50 @@ def test_places_by_buckets(spark):
         assert len(got) == len(rows) and all(r.nth == want[r.row] for r in got)
 
 
+@pytest.mark.parametrize("first, step", [(1_700_000_000_000, 1), (-1_700_000_000_000, 3), (2**62, 1), (0, 0), (-(2**40), 2**33)])
+def test_places_of_large_turns(spark, first, step):
+    """Turns such as epoch milliseconds, beyond what a double tells apart, and a single one."""
+    rng = random.Random(10)
+    rows = [(i, 1, -1, first + step * rng.randrange(700), rng.randrange(-(2**63), 2**63)) for i in range(2000)]
+    want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[3], r[4], r[0])), 1)}
+    got = quotes._nth(spark.createDataFrame(rows, "row long, conv_id long, above long, turn long, tie long"), 500).collect()
+    assert {r.row: r.nth for r in got} == want
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_texts_made_to_collide_keep_their_own_segments(spark):
+    """Thue-Morse strings and their complements agree under every polynomial hash modulo 2^64."""
+    texts = [thue_morse(n, *pair) for n in (32, 64, 256, 1024, 2048, 4096) for pair in ("ab", "ba", "xy", "yx", "äö", "öä")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = by_id(sentencepiece_nbest.segment_texts(rows))
+    assert all(got[i][0].decoded == t for i, t in enumerate(texts))
+
+
+def test_sample_of_one_repeated_id(spark):
+    """Whatever the id hashes to, rows of one id are sampled by their texts too, and copies of one row count once."""
+    for doc_id in range(8):
+        rows = spark.range(0, 40_000, 1, 4).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("ein Satz mit Wort "), "id").alias("text"), F.lit("de").alias("lang"))
+        n = common.bounded_sample(rows, "doc_id", 5000, ("text", "lang")).count()
+        assert 4000 < n < 6000
+        same = rows.select("doc_id", F.lit("immer derselbe Satz").alias("text"), "lang")
+        assert common.bounded_sample(same, "doc_id", 5000, ("text", "lang")).count() == 1
+    langs, _, _ = langid.learn(rows, 5000)
+    assert langs == ["de"]
+
+
+def test_first_of_near_duplicates_keeps_every_column(spark, docs):
+    """Columns named as helpers come back with their own values."""
+    clash = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in ("_row_digest", "_0", "at", "fp", "first", "a.b")])
+    kept = simhash.keep_first(clash)
+    assert kept.columns == clash.columns
+    whole = {tuple(r) for r in clash.collect()}
+    assert all(tuple(r) in whole for r in kept.collect())
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in simhash.keep_first(docs).collect()}
+
+
 def test_threads_are_read_depth_first(spark):
     rng = random.Random(9)
     rows, up = [], {}
@@ -660,7 +704,7 @@ def test_pipeline(spark):
     rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), labels.where(toxicity.crc_mod("doc_id", 5) != 0))
-    want = [{i: r.text for i, r in rows.items() if toxicity_brute(model[0], model[1], (*toxicity.EXCEPTIONS, *model[2]), r.text) < 0.5}]
+    want = [{i: r.text for i, r in rows.items() if toxicity_brute(model[0], model[1], model[2], r.text) < 0.5}]
     fps = {i: fingerprint_brute(t) for i, t in want[0].items()}
     root, first = components_brute(sorted(set(fps.values())), 3), {}
     for i in sorted(fps):

@@ -36,9 +36,6 @@ LOOKALIKES = {
 #: Model: weights of terms, the density that scores 0.5, learnt phrases in which a term is meant otherwise.
 Model = tuple[dict[str, float], float, tuple[str, ...]]
 
-#: Phrases in which a word of the lexicon is meant otherwise.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown nose", "sore loser", "idiot proof", "pond scum", "soap scum", "losers bracket")
-
 
 def _fold_table() -> dict[int, int]:
     table = {}
@@ -70,7 +67,7 @@ def fold(text: str) -> str:
 _WORD = re.compile(r"[^\W_]+")
 
 
-def build(weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+def build(weights: dict[str, float], exceptions: tuple[str, ...] = ()):
     """Automaton of folded terms; one that ends in * is a stem. An exception has weight 0 and covers what lies inside it."""
     held: dict[str, list] = {}
     for term, w in [*weights.items(), *((e, 0.0) for e in exceptions)]:
@@ -223,7 +220,7 @@ def _threshold(rows: DataFrame, weights: dict[str, float], except_for: tuple[str
     held = rows.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        auto = build(held.value, (*EXCEPTIONS, *except_for))
+        auto = build(held.value, except_for)
         return lambda toxic, texts: (toxic, [density(*matches(auto, t)) for t in texts])
 
     seen = map_rows(rows, make, "toxic int, d double").groupBy("toxic", "d").count().collect()
@@ -239,7 +236,7 @@ def _threshold(rows: DataFrame, weights: dict[str, float], except_for: tuple[str
     return (at + below) / 2
 
 
-def score(docs: DataFrame, model: Model, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, exceptions: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, terms) of each row: density over density plus threshold, and the matched terms.
 
     Null and empty texts score 0; rows and ids may repeat, ids may be null, and each row comes back with its id.
@@ -274,7 +271,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def make():
         weights, threshold, learnt = held.value
-        auto = build(weights, (*EXCEPTIONS, *learnt))
+        auto = build(weights, learnt)
 
         def step(*cols):
             keep = [density(*matches(auto, t)) < threshold for t in cols[at]]
