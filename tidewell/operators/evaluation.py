@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators import resampling
 from tidewell.operators.ranks import hash_rank, join_nulls, quantiles, running_totals
 from tidewell.operators.windows import average_rank
 
@@ -259,23 +260,22 @@ def worst_balance(report: DataFrame, k: int) -> DataFrame:
 
 
 def bootstrap_means(rows: DataFrame, strata: str, id_col: str, value: str, draws: int, tag: str, keys=()) -> DataFrame:
-    """(keys, draw, mean, n): the mean of each of `draws` resamples within strata.
+    """(keys, draw, mean, n): the mean of each of `draws` resamples that hold each stratum's number of ids.
 
-    A draw takes each row as often as a Poisson count of mean 1 says, by a hash of tag, stratum, draw and id: resampling
-    without numbering rows or joining draws to them. n varies a little from draw to draw and means divide by it; arms of
-    the same ids share their draws. Draws stand beside a row in its task, where the sums of each draw are combined, so only
-    draws x keys sums are shuffled.
+    A draw takes as many ids from a stratum, with replacement, as it has; all rows of an id are taken as often as the id, so arms of
+    the same ids share their draws. How often is found in resampling.hits, by halving ranks: ids are ranked by hash in
+    buckets, and CHUNK neighbouring ranks are one group, which counts for itself. Rows of one id and key are summed up first;
+    sums of each draw are combined by Spark, so draws x keys sums of a group are shuffled and no draw is joined to rows. Null values
+    don't count. mean is null where a draw has no value of a key.
     """
-    total, term, cuts = 0.0, math.exp(-1), []  # 2**32 times the cumulative Poisson probabilities of mean 1
-    for k in range(12):
-        total += term
-        term /= k + 1
-        cuts.append(round(total * 2**32))
-    digest = F.md5(F.concat_ws("|", F.lit(tag), F.col(strata).cast("string"), F.col("draw").cast("string"), F.col(id_col).cast("string")))
-    drawn = rows.select(*keys, strata, id_col, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_u", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
-    hits = sum(((F.col("_u") >= c).cast("int") for c in cuts), F.lit(0)).cast("long")
-    w = drawn.withColumn("_w", hits)
-    return w.groupBy(*keys, "draw").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum("_w").alias("n")).select(*keys, "draw", F.try_divide("_s", "n").alias("mean"), "n")
+    keys = list(keys)
+    own = rows.groupBy(strata, id_col, *keys).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    ranked = hash_rank(own.select(strata, id_col).distinct(), [strata], fn.hash_rank_key(tag, F.col(id_col)), id_col)
+    key = F.to_json(F.struct(F.lit(0).alias("_"), *keys))
+    placed = join_nulls(own, ranked, [strata, id_col]).select(F.coalesce(F.col(strata).cast("string"), F.lit("\0")).alias("_stratum"), (F.col("rank") - 1).alias("_at"), F.col("rank_of").alias("_n"), key.alias("_j"), F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("_s"), "_c")
+    drawn = resampling.sums(placed, draws, tag).select("_j", "draw", F.try_divide("_s", "n").alias("mean"), "n")
+    named = own.select(*keys).distinct().withColumn("_j", key)
+    return drawn.join(named, "_j").select(*keys, "draw", "mean", "n")
 
 
 def bootstrap_bands(draws: DataFrame, points: DataFrame, keys, at: str, level: float = 0.95) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
-from tidewell.operators import cohorts, epochs as ep, evaluation as ev, gaps, inference as inf, quality, splits
+from tidewell.operators import cohorts, epochs as ep, evaluation as ev, folds as wf, gaps, inference as inf, quality, splits
 from tidewell.plans import views as vw
 from tidewell.plans.file_queries import OWNER, event_files
 from tidewell.plans.inference_queries import OLS, people, preds
@@ -54,6 +54,14 @@ add("balance_report", balance, "SELECT variable, level, max(s) - min(s) AS max_p
 add("worst_balance", lambda s, d: ev.worst_balance(balance(s, d).withColumn("max_pp", fn.r6(F.col("max_pp"))), 15), "SELECT variable, level, round(max(s) - min(s), 6) AS max_pp FROM sh GROUP BY ALL ORDER BY max_pp DESC, variable, level LIMIT 15", BAL)
 add("balance_joint", lambda s, d: ev.joint_strata(cells(s, d), "split", [*VARS, "salutation"]), "SELECT split, strata, large, strata - count(*) AS zero_cells, large - count(*) FILTER (n >= 10) AS zero_large FROM (SELECT DISTINCT split, a, b, c FROM k) JOIN (SELECT a, b, c, count(*) AS n FROM k GROUP BY ALL) USING (a, b, c), (SELECT count(*) AS strata, count(*) FILTER (n >= 10) AS large FROM (SELECT count(*) AS n FROM k GROUP BY a, b, c)) GROUP BY split, strata, large", BAL)
 
+# Folds of weights 5, 2, 2, 1 within salutations: every level's count against its target
+WEIGHTS = (5, 2, 2, 1)
+add("weighted_folds", lambda s, d: wf.fold_margins(wf.weighted_folds(vw.demographics(s, d).fillna(-1, ["salutation"]), "user_id", VARS, WEIGHTS, "wf", ["salutation"]), VARS, WEIGHTS, ["salutation"]).drop("n"), """SELECT salutation, variable, level, fold, CASE WHEN variable = '(all)' THEN size ELSE n * size / total END AS target, true AS within
+FROM (SELECT salutation, unnest(['(all)', 'age_group', 'bmi_grp', 'age_group x bmi_grp']) AS variable, unnest(['(all)', a, b, a || '|' || b]) AS level FROM q) JOIN (SELECT salutation, variable, level, count(*) AS n FROM (SELECT salutation, unnest(['(all)', 'age_group', 'bmi_grp', 'age_group x bmi_grp']) AS variable, unnest(['(all)', a, b, a || '|' || b]) AS level FROM q) GROUP BY ALL) c USING (salutation, variable, level) JOIN fs USING (salutation) GROUP BY ALL""",
+    DM + """, q AS (SELECT coalesce(salutation, -1) AS salutation, coalesce(age_group::VARCHAR, '<MISSING>') AS a, coalesce(bmi_grp, '<MISSING>') AS b FROM demographics),
+fs AS (SELECT salutation, total, fold, floor(x) + (row_number() OVER (PARTITION BY salutation ORDER BY round(x - floor(x), 9) DESC, fold) <= total - sum(floor(x)) OVER (PARTITION BY salutation))::INT AS size FROM (SELECT salutation, count(*) AS total, unnest([0, 1, 2, 3]) AS fold, count(*) * unnest([5, 2, 2, 1]) / 10 AS x FROM q GROUP BY 1))
+""", "target")
+
 # Circles
 add("rayleigh", lambda s, d: ev.rayleigh(angles(s, d), ["user_id"]), """SELECT *, greatest(0, least(1, CASE WHEN n <= 50 THEN exp(sqrt(greatest(0, 1 + 4 * n + 4 * (n::DOUBLE * n - n * z))) - (1 + 2 * n)) WHEN z > 50 THEN 0 ELSE exp(-z) * (1 + (2 * z - z ** 2) / (4 * n) - (24 * z - 132 * z ** 2 + 76 * z ** 3 - 9 * z ** 4) / (288 * n::DOUBLE * n)) END)) AS p
 FROM (SELECT user_id, count(*) AS n, sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS length, atan2(avg(sin(angle)), avg(cos(angle))) AS mean_angle, 1 - sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS variance, count(*) * (avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS z FROM an GROUP BY 1)""", ANG, "length mean_angle variance z p")
@@ -63,16 +71,29 @@ add("phase_uniformity", lambda s, d: ev.phase_uniformity(team_angles(s, d), ["te
 FROM (SELECT user_id % 4 AS team, count(*) AS n, sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS length, count(*) * (avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS z FROM an GROUP BY 1) r
 JOIN (SELECT team, arg_max(bin, (n, -bin)) AS mode_bin, sum(n ** 2) * 24 / sum(n) - sum(n) AS chi_square FROM (SELECT user_id % 4 AS team, least(floor((angle + pi()) / (2 * pi() / 24)), 23)::BIGINT AS bin, count(*) AS n FROM an GROUP BY ALL) GROUP BY 1) USING (team)""", ANG, "length z p chi_square")
 
-# Resampling: 2,000 draws of Poisson counts
+# Resampling: 2,000 draws that keep strata; the SQL splits hits by counted trials, as the operator does for strata of up to 2,048 ids
 DRAWS = 2000
 boot = lambda s, d, keys=("arm",): ev.bootstrap_means(preds(s, d), "y", "user_id", "score", DRAWS, "boot", keys)
-_total, _term, _cuts = 0.0, 2.718281828459045**-1, []
-for _k in range(12):
-    _total += _term
-    _term /= _k + 1
-    _cuts.append(round(_total * 2**32))
-BOOT = P + f""", bw AS (SELECT p.arm, p.grp, p.score, draw, len(list_filter({_cuts}::BIGINT[], lambda c: c <= ('0x' || substr(md5('boot|' || y || '|' || draw || '|' || user_id), 1, 8))::BIGINT)) AS w FROM predictions p, (SELECT unnest(range(0, {DRAWS})) AS draw)),
-bm AS (SELECT arm, draw, sum(w * score) / nullif(sum(w), 0) AS mean FROM bw GROUP BY ALL), bg AS (SELECT arm, grp, draw, sum(w * score) / nullif(sum(w), 0) AS mean FROM bw GROUP BY ALL)
+_turn = lambda x, by, times=None: f"xor({x}, {x} >> {by})" + (f" * {times}::UBIGINT % 4294967296::UBIGINT" if times else "")
+
+
+def _mixed(values: str) -> str:
+    """SQL of resampling.mix over a list."""
+    for by, times in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
+        values = f"list_transform({values}, lambda x: {_turn('x', by, times)})"
+    return values
+
+
+_seed = "[('0x' || substr(md5('boot|' || y || '|' || k || '|' || a), 1, 8))::UBIGINT]"
+_base = _mixed(f"list_transform({_mixed(_seed)}, lambda x: (x + draw::UBIGINT) % 4294967296::UBIGINT)") + "[1]"
+_trials = _mixed("list_transform(range(0, hits), lambda i: (base + i::UBIGINT) % 4294967296::UBIGINT)")
+BOOT = P.replace("WITH ", "WITH RECURSIVE ", 1) + f""", dr AS (SELECT unnest(range(0, {DRAWS})) AS draw),
+bu AS (SELECT y, user_id, row_number() OVER (PARTITION BY y ORDER BY sha256('boot|' || user_id), user_id) - 1 AS a FROM (SELECT DISTINCT y, user_id FROM predictions)),
+bt AS (SELECT y, n, greatest(ceil(log2(n)), 9)::BIGINT AS k, 0::BIGINT AS a, draw, n AS hits FROM (SELECT y, count(*) AS n FROM bu GROUP BY 1), dr
+  UNION ALL SELECT y, n, k - 1, c.a, draw, c.hits FROM (SELECT y, n, k, draw, unnest([{{'a': a, 'hits': l}}, {{'a': a + half, 'hits': hits - l}}]) AS c FROM (SELECT *, CASE WHEN n - a <= half THEN hits ELSE len(list_filter({_trials}, lambda x: (x::DOUBLE + 0.5) / 4294967296.0 < half / least(n - a, 2 * half))) END AS l
+    FROM (SELECT *, 1::BIGINT << (k - 1) AS half, {_base} AS base FROM bt WHERE k > 0))) WHERE c.hits > 0),
+bw AS (SELECT p.arm, p.grp, p.score, draw, coalesce(hits, 0) AS w FROM (SELECT * FROM predictions JOIN bu USING (y, user_id)) p CROSS JOIN dr LEFT JOIN (SELECT y, a, draw, hits FROM bt WHERE k = 0) USING (y, a, draw)),
+bm AS (SELECT arm, draw, sum(w * score) / nullif(sum(w) FILTER (score IS NOT NULL), 0) AS mean FROM bw GROUP BY ALL), bg AS (SELECT arm, grp, draw, sum(w * score) / nullif(sum(w) FILTER (score IS NOT NULL), 0) AS mean FROM bw GROUP BY ALL)
 """
 _iv = lambda v, p="": f"avg({v}) AS {p}mean, quantile_cont({v}, 0.025) AS {p}low, quantile_cont({v}, 0.975) AS {p}high"
 add("stratified_bootstrap", lambda s, d: inf.group_means_bootstrap(boot(s, d).select("arm", F.col("mean").alias("value")), ["arm"]), f"SELECT arm, count(*) AS draws, {_iv('mean')} FROM bm GROUP BY 1", BOOT, "mean low high")
