@@ -34,9 +34,9 @@ def spectra(rows, keys, periods, degree=1, weekdays=True):
 
 
 SPECTRA = {
-    "nuisance_spectrum": (harmonic_queries.series, ("user_id", "window_index"), [7.0 + i / 2 for i in range(57)], 1, True),
+    "window_spectrum": (harmonic_queries.series, ("user_id", "window_index"), [7.0 + i / 2 for i in range(57)], 1, True),
     "seasonal_spectrum": (harmonic_queries.series, ("user_id", "window_index"), [28.0, 30.0], 3, True),
-    "recording_spectrum": (harmonic_queries.occupied, ("user_id",), [5.0, 7.0, 10.0, 14.0], 1, False),
+    "occupancy_spectrum": (harmonic_queries.occupied, ("user_id",), [5.0, 7.0, 10.0, 14.0], 1, False),
 }
 
 

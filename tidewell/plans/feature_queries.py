@@ -44,7 +44,7 @@ add("tercile_groups", lambda s, d: ft.tercile_groups(ft.recording_descriptors(gr
 add("clock_fractions", lambda s, d: ft.clock_fractions(grid(s, d), 8), "SELECT user_id, day, " + ", ".join(f"count(*) FILTER (hr IS NOT NULL AND bin // 2 = {b}) / 2 AS block_{b}" for b in range(4)) + " FROM g GROUP BY ALL", GRID, " ".join(f"block_{b}" for b in range(4)))
 add("physiology", lambda s, d: ft.physiology(grid(s, d), 2, (0, 9), (9, 24), 8), "SELECT user_id, day, avg(hr) FILTER (bin < 3) AS night, avg(hr) FILTER (bin >= 3) AS wake, 3.0 * arg_min(bin, (hr, bin)) AS nadir_hour, 3.0 * arg_min(bin, (-hr, bin)) AS peak_hour, CASE WHEN count(*) >= 2 THEN max(hr) - min(hr) END AS amplitude, avg(step) AS step, quantile_cont(hr, 0.1) AS p10, quantile_cont(hr, 0.5) AS p50, quantile_cont(hr, 0.9) AS p90, stddev_pop(hr) AS sd, 1 - avg(hr) FILTER (bin < 3) / nullif(avg(hr) FILTER (bin >= 3), 0) AS dip FROM (SELECT *, CASE WHEN bin - lag(bin) OVER w = 1 THEN abs(hr - lag(hr) OVER w) END AS step FROM b WINDOW w AS (PARTITION BY user_id, day ORDER BY bin)) GROUP BY ALL", GRID, "night wake nadir_hour peak_hour amplitude step p10 p50 p90 sd dip")
 add("wear_windows", lambda s, d: ft.wear_windows(grid(s, d), {"night": (0, 2), "waking": (3, 6)}), "SELECT user_id, " + ", ".join(f"avg({k}) AS {k}_mean, stddev_samp({k}) AS {k}_sd, avg({k}) FILTER ((day + 3) % 7 >= 5) - avg({k}) FILTER ((day + 3) % 7 < 5) AS {k}_weekend, avg(({k} >= 0.8)::INT) AS {k}_worn, avg(({k} <= 0.2)::INT) AS {k}_off, avg(({k} > 0.2 AND {k} < 0.8)::INT) AS {k}_partial" for k in ("night", "waking")) + " FROM (SELECT user_id, day, avg((hr IS NOT NULL)::INT) FILTER (bin BETWEEN 0 AND 2) AS night, avg((hr IS NOT NULL)::INT) FILTER (bin BETWEEN 3 AND 6) AS waking FROM g GROUP BY ALL) GROUP BY 1", GRID, " ".join(f"{k}_{x}" for k in ("night", "waking") for x in ("mean", "sd", "weekend", "worn", "off", "partial")))
-add("q_controls", lambda s, d: ft.observation_controls(vw.daily_values(s, d), wins(s, d)), "SELECT user_id, window_index, count(*) AS dates, avg(value) AS mean, stddev_samp(value) AS sd, regr_slope(value, day) AS slope, CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(value, day) - regr_slope(value, day) * regr_sxy(value, day), 0) / (count(*) - 2)) END AS residual_sd, count(*) / 180 AS coverage, max(day) - min(day) + 1 AS span, greatest(max(gap), end_day - max(day)) AS longest_gap FROM (SELECT *, day - coalesce(lag(day) OVER (PARTITION BY user_id, window_index ORDER BY day), start_day - 1) - 1 AS gap FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day) GROUP BY user_id, window_index, start_day, end_day", DW, "mean sd slope residual_sd coverage")
+add("window_geometry", lambda s, d: ft.observation_controls(vw.daily_values(s, d), wins(s, d)), "SELECT user_id, window_index, count(*) AS dates, avg(value) AS mean, stddev_samp(value) AS sd, regr_slope(value, day) AS slope, CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(value, day) - regr_slope(value, day) * regr_sxy(value, day), 0) / (count(*) - 2)) END AS residual_sd, count(*) / 180 AS coverage, max(day) - min(day) + 1 AS span, greatest(max(gap), end_day - max(day)) AS longest_gap FROM (SELECT *, day - coalesce(lag(day) OVER (PARTITION BY user_id, window_index ORDER BY day), start_day - 1) - 1 AS gap FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day) GROUP BY user_id, window_index, start_day, end_day", DW, "mean sd slope residual_sd coverage")
 VEC = "WITH vv AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) - 1 AS pos FROM embeddings)\n"
 vectors = lambda s, d: vw.table(s, d, "embeddings")
 add("pool_vectors", lambda s, d: ft.pool_vectors(vectors(s, d), "label", "embedding"), "SELECT label, pos, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM vv GROUP BY ALL", VEC, "mean sd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import cohorts, epochs as ep, harmonics as hm, rhythms
+from tidewell.operators import cohorts, epochs as ep, harmonics as hm, rhythms, spectra as sc
 from tidewell.plans import views as vw
 from tidewell.plans.queries import D, DW, E, SPEC, add, events, grid, spec, wins
 
@@ -14,12 +14,32 @@ CU = E + """, hc AS (SELECT user_id, hour, count(*) AS n, sum(value) AS vsum, av
 """
 add("curve_features", lambda s, d: hm.curve_features(hours(s, d)), "SELECT user_id, count(*) AS hours, sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS night_mean, sum(vsum) FILTER (hour BETWEEN 8 AND 19) / sum(n) FILTER (hour BETWEEN 8 AND 19) - sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS day_night, CASE WHEN count(*) FILTER (hour BETWEEN 5 AND 9) >= 2 THEN max(slope) END AS morning_slope, max(m) - min(m) AS range, coalesce(-sum(CASE WHEN m > lo AND mass > 1e-12 THEN (m - lo) / mass * ln((m - lo) / mass) END), 0) AS entropy FROM hc JOIN lo USING (user_id) LEFT JOIN (SELECT user_id, regr_slope(value, hour) AS slope FROM e WHERE hour BETWEEN 5 AND 9 GROUP BY 1) USING (user_id) GROUP BY 1", CU, "night_mean day_night morning_slope range entropy")
 add("circadian_24h", lambda s, d: hm.circadian_24h(hours(s, d)), doubles="level amplitude_1 amplitude_2 amplitude_3 peak_hour residual_sd night_mean day_night morning_slope range entropy")
-add("nuisance_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0 + i / 2 for i in range(57)]), doubles="explained amplitude angle")
+add("window_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0 + i / 2 for i in range(57)]), doubles="explained amplitude angle")
 add("spectrum_plain", lambda s, d: hm.nuisance_spectrum(vw.daily_values(s, d), [28.0, 30.0], ("user_id",), degree=0, weekdays=False).select("user_id", "period", "n", "explained", "amplitude", "angle"), "SELECT user_id, period, n, (b * cy + g * sy) / yy AS explained, sqrt(b ** 2 + g ** 2) AS amplitude, atan2(g, b) AS angle FROM (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs ** 2) AS b, (sy * cc - cy * cs) / (cc * ss - cs ** 2) AS g FROM (SELECT user_id, period, count(*) AS n, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, value) AS cy, covar_pop(s, value) AS sy, covar_pop(value, value) AS yy FROM (SELECT user_id, value, period, cos(2 * pi() * day / period) AS c, sin(2 * pi() * day / period) AS s FROM daily_values, (SELECT unnest([28.0, 30.0]::DOUBLE[]) AS period)) GROUP BY ALL))", D, "explained amplitude angle")
 add("band_summary", lambda s, d: hm.band_summary(hm.nuisance_spectrum(series(s, d), [25.0 + i / 2 for i in range(21)]), 25, 35), doubles="peak_share peak_amplitude band_mean")
 add("seasonal_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [28.0, 30.0], degree=3), doubles="explained amplitude angle")
+
+# Each user's first 180 days: tenth percentile of a day, and what of the day and of each quarter was recorded
+first_days = lambda s, d: sc.day_signals(grid(s, d)).withColumn("window_index", F.lit(1).cast("long"))
+spans = lambda s, d: first_days(s, d).groupBy("user_id", "window_index").agg(F.min("day").alias("start_day")).withColumn("end_day", F.col("start_day") + 179)
+quarters = [f"block_{b}" for b in range(4)]
+_fit = "explained amplitude angle"
+add("nuisance_spectrum", lambda s, d: sc.window_fits(first_days(s, d), sc.BROAD, responses=["p10"], coverage=quarters).drop("phase"), doubles="period " + _fit)
+add("narrow_spectrum", lambda s, d: sc.peaks(sc.window_fits(first_days(s, d), sc.NARROW, responses=["p10"], coverage=quarters), 25, 35), doubles="peak_share peak_amplitude band_mean")
+add("recording_spectrum", lambda s, d: sc.window_fits(first_days(s, d).withColumn("night", F.col("block_0")), sc.NARROW, responses=["occupancy", "night"]).drop("phase"), doubles=_fit)
+add("q_controls", lambda s, d: sc.recording_controls(first_days(s, d), spans(s, d)), doubles=" ".join(["p10_mean p10_sd p10_slope p10_residual_sd", *[f"{b}_mean" for b in quarters], *[f"{r}_{c}" for r in ("occupancy", "night") for c in ("amplitude", "share", "period")]]))
+moons = lambda s, d: series(s, d).withColumn("lunar", sc.lunar_elongation(F.col("day"))).withColumn("anomalistic", sc.lunar_anomaly(F.col("day")))
+SHAM = [18.0, 27.0, 28.0, 29.0, 34.0, 48.0, 55.0, 60.0]
+named_angles = lambda s, d: sc.window_fits(moons(s, d), SHAM, phases=["lunar", "anomalistic"])
+add("phase_angles", lambda s, d: named_angles(s, d).drop("dropped", "response"), doubles=_fit)
+add("phase_lock", lambda s, d: sc.rotation_null(named_angles(s, d).withColumn("term", F.coalesce("phase", F.col("period").cast("string"))), ["term"], ["user_id", "window_index"]), doubles="coherence null_mean null_max p")
+_poly = lambda c: " + ".join(f"{v!r} * c ** {i}" for i, v in enumerate(c))
+_moon = " + ".join(f"{a!r} * sin(radians({i} * d + {j} * m + {k} * l))" for a, (i, j, k) in sc.ELONGATION_TERMS)
+_perigee = " + ".join(f"{a!r} * sin(radians({k} * l))" for a, k in sc.ANOMALY_TERMS)
+add("lunar_phases", lambda s, d: vw.daily_values(s, d).select("day").distinct().select("day", sc.lunar_elongation(F.col("day")).alias("elongation"), sc.lunar_anomaly(F.col("day")).alias("anomaly")), f"""SELECT day, (e % 360 + 360) % 360 AS elongation, (a % 360 + 360) % 360 AS anomaly FROM (SELECT day, d + {_moon} AS e, l + {_perigee} AS a
+FROM (SELECT day, (({_poly(sc.MEAN_ELONGATION)}) % 360 + 360) % 360 AS d, (({_poly(sc.SOLAR_ANOMALY)}) % 360 + 360) % 360 AS m, (({_poly(sc.LUNAR_ANOMALY)}) % 360 + 360) % 360 AS l FROM (SELECT DISTINCT day, (day + {sc.JD_1970} - {sc.JD_2000})::DOUBLE / {sc.CENTURY} AS c FROM daily_values)))""", D, "elongation anomaly")
 occupied = lambda s, d: grid(s, d).groupBy("user_id", "day").agg(F.avg(F.col("hr").isNotNull().cast("double")).alias("value"))
-add("recording_spectrum", lambda s, d: hm.nuisance_spectrum(occupied(s, d), [5.0, 7.0, 10.0, 14.0], ("user_id",), weekdays=False), doubles="explained amplitude angle")
+add("occupancy_spectrum", lambda s, d: hm.nuisance_spectrum(occupied(s, d), [5.0, 7.0, 10.0, 14.0], ("user_id",), weekdays=False), doubles="explained amplitude angle")
 add("fixed_period_angles", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0, 28.0, 29.530588, 30.4375]).groupBy("window_index", "period").agg(F.count("angle").alias("n"), F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle"))).alias("coherence"), F.avg("explained").alias("explained")), doubles="coherence explained")
 _pr = lambda s, d: hm.partial_r2(series(s, d), 28.0)
 add("partial_r2", lambda s, d: _pr(s, d).select("user_id", "window_index", "n", "r2_trend"), "SELECT user_id, window_index, count(*) AS n, regr_r2(value, day) AS r2_trend FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day GROUP BY ALL", DW, "r2_trend")
