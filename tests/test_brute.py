@@ -60,7 +60,7 @@ def test_fixed_period_angles(spark):
     for (_, window, p), (_, share, amplitude, angle) in spectra(harmonic_queries.series(spark, SF).collect(), ("user_id", "window_index"), [7.0, 28.0, 29.530588, 30.4375]).items():
         if amplitude is not None:
             want.setdefault((window, p), []).append((share, angle))
-    got = {(r.window_index, r.period): r for r in registry.QUERIES["fixed_period_angles"](spark, SF).collect()}
+    got = {(r.window_index, r.period): r for r in registry.QUERIES["period_coherence"](spark, SF).collect()}
     assert set(want) <= set(got)
     for k, own in want.items():
         if k[1] != 7.0:  # weekdays leave nothing of seven days

@@ -31,7 +31,7 @@ add("q_controls", lambda s, d: sc.recording_controls(first_days(s, d), spans(s,
 moons = lambda s, d: series(s, d).withColumn("lunar", sc.lunar_elongation(F.col("day"))).withColumn("anomalistic", sc.lunar_anomaly(F.col("day")))
 SHAM = [18.0, 27.0, 28.0, 29.0, 34.0, 48.0, 55.0, 60.0]
 named_angles = lambda s, d: sc.window_fits(moons(s, d), SHAM, phases=["lunar", "anomalistic"])
-add("phase_angles", lambda s, d: named_angles(s, d).drop("dropped", "response"), doubles=_fit)
+add("fixed_period_angles", lambda s, d: named_angles(s, d).drop("dropped", "response"), doubles=_fit)
 add("phase_lock", lambda s, d: sc.rotation_null(named_angles(s, d).withColumn("term", F.coalesce("phase", F.col("period").cast("string"))), ["term"], ["user_id", "window_index"]), doubles="coherence null_mean null_max p")
 _poly = lambda c: " + ".join(f"{v!r} * c ** {i}" for i, v in enumerate(c))
 _moon = " + ".join(f"{a!r} * sin(radians({i} * d + {j} * m + {k} * l))" for a, (i, j, k) in sc.ELONGATION_TERMS)
@@ -40,7 +40,7 @@ add("lunar_phases", lambda s, d: vw.daily_values(s, d).select("day").distinct().
 FROM (SELECT day, (({_poly(sc.MEAN_ELONGATION)}) % 360 + 360) % 360 AS d, (({_poly(sc.SOLAR_ANOMALY)}) % 360 + 360) % 360 AS m, (({_poly(sc.LUNAR_ANOMALY)}) % 360 + 360) % 360 AS l FROM (SELECT DISTINCT day, (day + {sc.JD_1970} - {sc.JD_2000})::DOUBLE / {sc.CENTURY} AS c FROM daily_values)))""", D, "elongation anomaly")
 occupied = lambda s, d: grid(s, d).groupBy("user_id", "day").agg(F.avg(F.col("hr").isNotNull().cast("double")).alias("value"))
 add("occupancy_spectrum", lambda s, d: hm.nuisance_spectrum(occupied(s, d), [5.0, 7.0, 10.0, 14.0], ("user_id",), weekdays=False), doubles="explained amplitude angle")
-add("fixed_period_angles", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0, 28.0, 29.530588, 30.4375]).groupBy("window_index", "period").agg(F.count("angle").alias("n"), F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle"))).alias("coherence"), F.avg("explained").alias("explained")), doubles="coherence explained")
+add("period_coherence", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0, 28.0, 29.530588, 30.4375]).groupBy("window_index", "period").agg(F.count("angle").alias("n"), F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle"))).alias("coherence"), F.avg("explained").alias("explained")), doubles="coherence explained")
 _pr = lambda s, d: hm.partial_r2(series(s, d), 28.0)
 add("partial_r2", lambda s, d: _pr(s, d).select("user_id", "window_index", "n", "r2_trend"), "SELECT user_id, window_index, count(*) AS n, regr_r2(value, day) AS r2_trend FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day GROUP BY ALL", DW, "r2_trend")
 add("partial_r2_blocks", _pr, doubles="r2_trend r2_weekdays r2_period")
