@@ -36,7 +36,7 @@ def clean_diff(grid: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def fill_template(train: DataFrame) -> DataFrame:
-    return quantiles(train, ["bin"], "hr", {"template": 0.5})
+    return quantiles(train, ["bin"], "hr", {"template": 0.5}, few=True)
 
 
 def fill_clock(grid: DataFrame, train: DataFrame) -> DataFrame:

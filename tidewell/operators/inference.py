@@ -39,7 +39,7 @@ def abstention_profile(preds: DataFrame, low: float, high: float, stats: DataFra
 
 def outcome_groups(preds: DataFrame, before: str, after: str) -> DataFrame:
     """Users by whether two arms, each cut at its median score, are right: both_right, rescued, degraded, both_wrong."""
-    cut = quantiles(preds, ["arm"], "score", {"_m": 0.5})
+    cut = quantiles(preds, ["arm"], "score", {"_m": 0.5}, few=True)
     right = preds.join(F.broadcast(cut), "arm").withColumn("_ok", (F.col("score") >= F.col("_m")).cast("long") == F.col("y"))
     w = right.groupBy("user_id").agg(F.max(F.when(F.col("arm") == before, F.col("_ok"))).alias("a"), F.max(F.when(F.col("arm") == after, F.col("_ok"))).alias("b"))
     name = F.when(F.col("a") & F.col("b"), "both_right").when(~F.col("a") & F.col("b"), "rescued").when(F.col("a") & ~F.col("b"), "degraded").when(~F.col("a") & ~F.col("b"), "both_wrong")

@@ -49,10 +49,10 @@ def hash_rank(rows: DataFrame, keys, draw: Column, id_col: str, name: str = "ran
     return join_nulls(cut, hint(parts), [*keys, "_b"]).withColumn(name, F.col("_o") + F.row_number().over(inner)).drop("_d", "_b", "_o")
 
 
-def quantiles(rows: DataFrame, keys, value: str, shares: dict[str, float], few: bool = True) -> DataFrame:
+def quantiles(rows: DataFrame, keys, value: str, shares: dict[str, float], few: bool = False) -> DataFrame:
     """Quantiles of value for each key, exact and interpolated between neighbours; shares maps names to shares. Nulls are left out.
 
-    Equal values are counted first and the order statistics found in running sums, so no task holds a key's values.
+    Equal values are counted first and the order statistics found in running sums, so no task holds a key's values. `few` as in running_totals.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     totals = running_totals(counts, keys, value, ("_c",), few=few)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import epochs as ep, features as ft, gaps, splits
+from tidewell.operators import blocks, epochs as ep, features as ft, gaps, splits
 from tidewell.plans import views as vw
 from tidewell.plans.queries import CH, COV, DW, E, EX, GRID, D, add, days, events, good_days, grid, wins
 
@@ -32,8 +32,12 @@ _sp = "mean sd lo hi day_mean day_mean_sd day_count day_count_sd " + " ".join(f"
 add("source_profile", lambda s, d: ft.source_profile(events(s, d)), "SELECT user_id, source, channel, all_channels, sum(n)::BIGINT AS n, sum(s) / sum(n) AS mean, max(sd) AS sd, min(lo) AS lo, max(hi) AS hi, count(*) AS days, max(day) - min(day) + 1 AS span, avg(s / n) AS day_mean, stddev_samp(s / n) AS day_mean_sd, avg(n) AS day_count, stddev_samp(n) AS day_count_sd, " + ", ".join(f"sum({b}) / sum(n) AS share_{b}" for b in ft.BUCKETS) + " FROM dd JOIN sd USING (user_id, source, k) GROUP BY ALL", E + ", dd AS (SELECT user_id, source, channel, grouping(channel)::BIGINT AS all_channels, coalesce(channel, 0) AS k, day, count(*) AS n, sum(value) AS s, min(value) AS lo, max(value) AS hi, " + ", ".join(f"count(*) FILTER ({BUCKET} = '{b}') AS {b}" for b in ft.BUCKETS) + " FROM e GROUP BY GROUPING SETS ((user_id, source, channel, day), (user_id, source, day))), sd AS (SELECT user_id, source, coalesce(channel, 0) AS k, stddev_samp(value) AS sd FROM e GROUP BY GROUPING SETS ((user_id, source, channel), (user_id, source)))\n", _sp)
 _dt = " ".join([*[f"ch{c}_mean" for c in CH], "gap_3001", "gap_3002"])
 add("day_table", lambda s, d: ft.day_wide(days(s, d), 3000, (3001, 3002), vw.demographics(s, d)), "SELECT w.*, ch3000_mean - ch3001_mean AS gap_3001, ch3000_mean - ch3002_mean AS gap_3002, year(DATE '1970-01-01' + day::INT) - birth_year AS age FROM (SELECT user_id, day, " + ", ".join(f"max({x}) FILTER (channel = {c}) AS ch{c}_{x}" for c in CH for x in ("mean", "n")) + " FROM days GROUP BY ALL HAVING coalesce(bool_or(adequate) FILTER (channel = 3000), false)) w LEFT JOIN demographics USING (user_id)", COV + f", {vw.DEMOGRAPHICS_SQL}\n", _dt)
-_st = ("mean", "median", "vmin", "vmax")
-add("static_block", lambda s, d: ft.static_block(good_days(s, d), _st), "SELECT user_id, " + ", ".join(f"avg({x}) AS {x}_mean, stddev_samp({x}) AS {x}_sd, avg({x}) FILTER ((day + 3) % 7 < 5) - avg({x}) FILTER ((day + 3) % 7 >= 5) AS {x}_weekday" for x in _st) + " FROM days WHERE channel = 3000 GROUP BY 1", COV, " ".join(f"{x}_{y}" for x in _st for y in ("mean", "sd", "weekday")))
+_st = blocks.DAY_STATS
+_bins = [f"bin_{b}" for b in range(blocks.BINS)]
+BLOCK = COV + """, bd AS (SELECT user_id, (local_ms % 86400000) // 300000 AS bin, count(DISTINCT day) AS n FROM e WHERE channel = 3000 GROUP BY ALL),
+dd AS (SELECT *, cov_s / 3600 AS cov_h FROM days WHERE channel = 3000)
+"""
+add("static_block", lambda s, d: blocks.day_block(good_days(s, d), events(s, d).where("channel = 3000")), "SELECT a.*, " + ", ".join(f"coalesce(bin_{b}, 0) / days AS bin_{b}" for b in range(blocks.BINS)) + " FROM (SELECT user_id, " + ", ".join([*[f"avg({x}) AS {x}_mean" for x in _st], *[f"stddev_samp({x}) AS {x}_sd" for x in _st]]) + ", avg(mean) FILTER ((day + 3) % 7 >= 5) - avg(mean) FILTER ((day + 3) % 7 < 5) AS weekend_contrast FROM dd GROUP BY 1) a JOIN (SELECT user_id, count(DISTINCT day) AS days FROM dd GROUP BY 1) USING (user_id) LEFT JOIN (SELECT user_id, " + ", ".join(f"max(n) FILTER (bin = {b}) AS bin_{b}" for b in range(blocks.BINS)) + " FROM bd GROUP BY 1) USING (user_id)", BLOCK, " ".join([*[f"{x}_{y}" for x in _st for y in ("mean", "sd")], "weekend_contrast", *_bins]))
 _prof = lambda n, p: (", ".join(f"avg(hr) FILTER (bin = {b}) AS {p}{b}_mean, stddev_samp(hr) FILTER (bin = {b}) AS {p}{b}_sd" for b in range(n)), " ".join(f"{p}{b}_{y}" for b in range(n) for y in ("mean", "sd")))
 add("bin_profile", lambda s, d: ft.bin_profile(grid(s, d), 8), f"SELECT user_id, {_prof(8, 'bin')[0]} FROM g GROUP BY 1", GRID, _prof(8, "bin")[1])
 hourly = lambda s, d: events(s, d).groupBy("user_id", "day", F.col("hour").alias("bin")).agg(F.avg("value").alias("hr"))
@@ -49,7 +53,7 @@ VEC = "WITH vv AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(
 vectors = lambda s, d: vw.table(s, d, "embeddings")
 add("pool_vectors", lambda s, d: ft.pool_vectors(vectors(s, d), "label", "embedding"), "SELECT label, pos, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM vv GROUP BY ALL", VEC, "mean sd")
 add("pool_vectors_prefix", lambda s, d: ft.pool_vectors(vectors(s, d), "label", "embedding", 10, "vec_id"), "SELECT label, pos, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM vv WHERE vec_id IN (SELECT vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 10) GROUP BY ALL", VEC, "mean sd")
-add("date_profile_85", lambda s, d: ft.static_block(vw.daily_values(s, d), ("value",)), "SELECT user_id, avg(value) AS value_mean, stddev_samp(value) AS value_sd, avg(value) FILTER ((day + 3) % 7 < 5) - avg(value) FILTER ((day + 3) % 7 >= 5) AS value_weekday FROM daily_values GROUP BY 1", D, "value_mean value_sd value_weekday")
+add("value_profile", lambda s, d: ft.static_block(vw.daily_values(s, d), ("value",)), "SELECT user_id, avg(value) AS value_mean, stddev_samp(value) AS value_sd, avg(value) FILTER ((day + 3) % 7 < 5) - avg(value) FILTER ((day + 3) % 7 >= 5) AS value_weekday FROM daily_values GROUP BY 1", D, "value_mean value_sd value_weekday")
 base = lambda s, d: splits.baseline_days(vw.daily_values(s, d), "base")
 add("baseline_deviation", lambda s, d: ft.baseline_deviation(vw.daily_values(s, d), base(s, d)).select("user_id", "day", "deviation"), "SELECT user_id, day, value - bl AS deviation FROM daily_values LEFT JOIN (SELECT user_id, avg(value) AS bl FROM (SELECT user_id, value FROM daily_values QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sha256('base|' || user_id || '|' || day)) <= least(60, count(*) OVER (PARTITION BY user_id) // 4)) GROUP BY 1) USING (user_id)", D, "deviation")
 add("truncate_calendar", lambda s, d: ft.truncate_calendar(good_days(s, d), 19725, 19727), "SELECT user_id, split, coalesce(count(*) FILTER (kept), 0) AS days, min(day) FILTER (kept) AS first_day, max(day) FILTER (kept) AS last_day, CASE WHEN split IS NULL THEN 'between' WHEN count(*) FILTER (kept) < 2 THEN 'few_days' ELSE 'kept' END AS reason FROM (SELECT *, CASE split WHEN 'train' THEN day < 19725 WHEN 'test' THEN day >= 19727 ELSE false END AS kept FROM (SELECT user_id, day, CASE WHEN f < 19725 THEN 'train' WHEN f >= 19727 THEN 'test' END AS split FROM (SELECT user_id, day, min(day) OVER (PARTITION BY user_id) AS f FROM days WHERE channel = 3000))) GROUP BY user_id, split", COV)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import splits
 from tidewell.plans import views as vw
 from tidewell.plans.queries import DM, E, add
-from tidewell.sources import files
+from tidewell.sources import files, manifest
 
 NATIVE = {"startTimestamp": "start_ms", "endTimestamp": "end_ms", "type": "channel", "longValue": "value", "source": "source", "timezoneOffset": "tz_min"}
 
@@ -75,3 +75,16 @@ add("sink_partitioned", round_trip(("source_id",)), SINK, E)
 
 
 add("resume_done", lambda s, d: files.unfinished(vw.demographics(s, d).select("user_id"), vw.epochs(s, d).select("user_id").distinct(), ["user_id"]), f", {vw.DEMOGRAPHICS_SQL} SELECT user_id FROM demographics WHERE user_id NOT IN (SELECT user_id FROM epochs)", E)
+
+
+def resumed(spark, sf_dir: str):
+    """Days of users by team, written in two runs: the first breaks after half of its teams, before the manifest; the second does what is left."""
+    path = files.scratch(spark, "teams")
+    teams = vw.daily_values(spark, sf_dir).withColumn("team", F.col("user_id") % 8)
+    manifest.write_partitions(teams.where("team < 2"), path, ["team"])
+    manifest.write_partitions(teams.where("team < 5 AND day < 9500"), path, ["team"], finish=False)
+    done = manifest.write_partitions(teams, path, ["team"])
+    return spark.read.schema(teams.schema).parquet(path).groupBy("team").agg(F.count("*").alias("n"), F.sum("value").alias("total")).join(done, "team")
+
+
+add("resume_partitions", resumed, "SELECT team, n, total, n AS rows FROM (SELECT user_id % 8 AS team, count(*) AS n, sum(value) AS total FROM daily_values GROUP BY 1)", f"WITH {vw.DAILY_SQL}\n", "total")

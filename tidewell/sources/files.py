@@ -129,8 +129,12 @@ def unfinished(wanted: DataFrame, done: DataFrame, keys) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or under the warehouse where that's unset."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset a local session uses its warehouse; a cluster raises."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
