@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import evaluation as ev, modelling as ml, splits
+from tidewell.operators.preparation import Preparation, PreparationModel
 from tidewell.plans import views as vw
 from tidewell.plans.queries import P, add
+from tidewell.sources.files import scratch
 
 NUMERIC, GROUPS = ["n_chars", "n_words", "digits", "words_per_line"], ["lang", "source"]
 
@@ -67,6 +69,21 @@ def prep_report(s, d):
     return train.agg(*[F.avg(n).alias(n) for n in names]).select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', `{n}`" for n in names) + ") as (feature, mean)"))
 
 
+def saved_preparation(s, d):
+    """What a preparation learnt from training rows says after it was saved and loaded."""
+    t = table(s, d)
+    train = t.join(splits.stratified_split(t.select("user_id", "y"), "user_id", "y", "ml").where("split = 'train'").select("user_id"), "user_id")
+    path = scratch(s, "prep")
+    Preparation(numeric=NUMERIC, categorical=GROUPS).fit(train).save(path)
+    return PreparationModel.load(path).statistics(s)
+
+
+SP = """WITH mt AS (SELECT doc_id, quality::DOUBLE AS y, n_chars, len(regexp_split_to_array(text, '\\s+')) AS n_words, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_split_to_array(text, '\\s+')) / len(string_split(text, chr(10))) AS words_per_line, lang, source FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+tr AS (SELECT * FROM mt JOIN (SELECT doc_id, row_number() OVER (PARTITION BY y ORDER BY sha256('ml|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM mt) USING (doc_id) WHERE r > round(n * 0.15) + round(n * 0.15))
+"""
+_num = " UNION ALL ".join(f"SELECT '{c}' AS item, count(*) AS rows, count(*) - count({c}) AS missing, median({c})::DOUBLE AS median, NULL::VARCHAR AS mode, NULL::BIGINT AS levels FROM tr" for c in NUMERIC)
+_cat = " UNION ALL ".join(f"SELECT '{c}', count(*), count(*) - count({c}), NULL, (SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), count(DISTINCT {c}) FROM tr" for c in GROUPS)
+add("prep_saved", saved_preparation, f"{_num} UNION ALL {_cat}", SP, "median")
 add("prep_fit", prep_report, doubles="mean")
 add("scale_ridge", ridge_scores, doubles="score")
 add("forest", lambda s, d: forest_parts(s, d)[0].select("user_id", "y", "score"), doubles="score")
