@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.operators import harmonics
 
 #: The statistics of a day, in the block's order.
 DAY_STATS = ("mean", "median", "sd", "vmin", "vmax", "n", "cov_h", "hours")
@@ -37,3 +38,37 @@ def day_block(days: DataFrame, events: DataFrame, bins: int = BINS) -> DataFrame
     contrast = F.avg(F.when(weekend, F.col("mean"))) - F.avg(F.when(~weekend, F.col("mean")))
     wide = own.groupBy("user_id").agg(*stats, contrast.alias("weekend_contrast")).join(bin_shares(events, days, bins), "user_id")
     return wide.select(*[c for c in wide.columns if c != "shares"], *[F.col("shares")[b].alias(f"bin_{b}") for b in range(bins)])
+
+
+#: What is fitted to and read off the hourly curve of a day, in the profile's order; the means of its 24 hours follow.
+FITTED = ("level", "amplitude_1", "amplitude_2", "amplitude_3", "peak_hour", "residual_sd")
+CURVE = ("night_mean", "morning_slope", "day_night", "range", "entropy")
+HOURS = tuple(f"hour_{h}" for h in range(24))
+
+
+def day_curves(hours: DataFrame, fits: bool = True) -> DataFrame:
+    """Of each (user_id, day): FITTED, CURVE and the means of the 24 hours, 35 columns; without fits those of CURVE and HOURS, 29.
+
+    hours has n and vsum of each (user_id, day, hour). They are dealt by user once, at most 24 rows of a day, so neither
+    the day's aggregates nor a profile over days shuffles again. An hour without events is null.
+    """
+    own = hours.repartition("user_id")
+    keys = ("user_id", "day")
+    curves = harmonics.circadian_24h(own, keys) if fits else harmonics.curve_features(own, keys)
+    total = lambda h, c: F.sum(F.when(F.col("hour") == h, F.col(c)))
+    means = own.groupBy(*keys).agg(*[F.try_divide(total(h, "vsum"), total(h, "n")).alias(HOURS[h]) for h in range(24)])
+    return curves.join(means, list(keys)).select(*keys, *(FITTED if fits else ()), *CURVE, *HOURS)
+
+
+def date_profile(curves: DataFrame) -> DataFrame:
+    """Mean and deviation over a user's days of each column of day_curves, and of CURVE the means of weekdays, of weekends and their difference.
+
+    With the fits these are 85 columns beside user_id. Days on which a feature is null don't count for it; a deviation of one
+    day is null, as are the contrasts without days of both kinds.
+    """
+    names = [c for c in curves.columns if c not in ("user_id", "day")]
+    weekend = fn.weekday(F.col("day")) >= 5
+    kinds = {"wd": ~weekend, "we": weekend}
+    parts = [F.avg(F.when(on, F.col(c))).alias(f"{c}_{k}") for k, on in kinds.items() for c in CURVE]
+    wide = curves.groupBy("user_id").agg(*[F.avg(c).alias(f"{c}_mean") for c in names], *[F.stddev_samp(c).alias(f"{c}_sd") for c in names], *parts)
+    return wide.withColumns({f"{c}_wd_diff": F.col(f"{c}_wd") - F.col(f"{c}_we") for c in CURVE})

@@ -53,6 +53,17 @@ VEC = "WITH vv AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(
 vectors = lambda s, d: vw.table(s, d, "embeddings")
 add("pool_vectors", lambda s, d: ft.pool_vectors(vectors(s, d), "label", "embedding"), "SELECT label, pos, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM vv GROUP BY ALL", VEC, "mean sd")
 add("pool_vectors_prefix", lambda s, d: ft.pool_vectors(vectors(s, d), "label", "embedding", 10, "vec_id"), "SELECT label, pos, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM vv WHERE vec_id IN (SELECT vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 10) GROUP BY ALL", VEC, "mean sd")
+day_hours = lambda s, d: ep.hour_stats(events(s, d).where("channel = 3000"), ("user_id", "day", "hour"))
+_profile = lambda names: [f"{c}_{x}" for c in names for x in ("mean", "sd")] + [f"{c}_{x}" for c in blocks.CURVE for x in ("wd", "we", "wd_diff")]
+add("date_profile_85", lambda s, d: blocks.date_profile(blocks.day_curves(day_hours(s, d))), doubles=" ".join(_profile((*blocks.FITTED, *blocks.CURVE, *blocks.HOURS))))
+PROFILE = E + """, hc AS (SELECT user_id, day, hour, count(*) AS n, sum(value) AS vsum, avg(value) AS m FROM e WHERE channel = 3000 GROUP BY ALL),
+lo AS (SELECT user_id, day, min(m) AS lo, sum(m) - count(*) * min(m) AS mass FROM hc GROUP BY ALL),
+dc AS (SELECT user_id, day, (day + 3) % 7 >= 5 AS we, sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS night_mean, sum(vsum) FILTER (hour BETWEEN 8 AND 19) / sum(n) FILTER (hour BETWEEN 8 AND 19) - sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS day_night,
+ max(slope) AS morning_slope, max(m) - min(m) AS range, coalesce(-sum(CASE WHEN m > lo AND mass > 1e-12 THEN (m - lo) / mass * ln((m - lo) / mass) END), 0) AS entropy, """ + ", ".join(f"max(m) FILTER (hour = {h}) AS hour_{h}" for h in range(24)) + """
+ FROM hc JOIN lo USING (user_id, day) LEFT JOIN (SELECT user_id, day, regr_slope(value, hour) AS slope FROM e WHERE channel = 3000 AND hour BETWEEN 5 AND 9 GROUP BY ALL HAVING count(DISTINCT hour) > 1) USING (user_id, day) GROUP BY user_id, day)
+"""
+_plain = (*blocks.CURVE, *blocks.HOURS)
+add("date_profile_plain", lambda s, d: blocks.date_profile(blocks.day_curves(day_hours(s, d), fits=False)), "SELECT *, " + ", ".join(f"{c}_wd - {c}_we AS {c}_wd_diff" for c in blocks.CURVE) + " FROM (SELECT user_id, " + ", ".join([f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_sd" for c in _plain] + [f"avg({c}) FILTER (NOT we) AS {c}_wd, avg({c}) FILTER (we) AS {c}_we" for c in blocks.CURVE]) + " FROM dc GROUP BY 1)", PROFILE, " ".join(_profile(_plain)))
 add("value_profile", lambda s, d: ft.static_block(vw.daily_values(s, d), ("value",)), "SELECT user_id, avg(value) AS value_mean, stddev_samp(value) AS value_sd, avg(value) FILTER ((day + 3) % 7 < 5) - avg(value) FILTER ((day + 3) % 7 >= 5) AS value_weekday FROM daily_values GROUP BY 1", D, "value_mean value_sd value_weekday")
 base = lambda s, d: splits.baseline_days(vw.daily_values(s, d), "base")
 add("baseline_deviation", lambda s, d: ft.baseline_deviation(vw.daily_values(s, d), base(s, d)).select("user_id", "day", "deviation"), "SELECT user_id, day, value - bl AS deviation FROM daily_values LEFT JOIN (SELECT user_id, avg(value) AS bl FROM (SELECT user_id, value FROM daily_values QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sha256('base|' || user_id || '|' || day)) <= least(60, count(*) OVER (PARTITION BY user_id) // 4)) GROUP BY 1) USING (user_id)", D, "deviation")
