@@ -30,13 +30,40 @@ add("scan_epochs", scanned, "SELECT user_id, source, channel, start_ms, end_ms,
 add("scan_coerced", lambda s, d: files.scan_coerced(s, event_files(s, d)).groupBy(F.col("source").cast("long").alias("source")).agg(F.count("*").alias("n"), F.count("timezoneOffset").alias("offsets"), F.sum("longValue").alias("total")), "SELECT source, count(*) AS n, count(tz_min) AS offsets, sum(value) AS total FROM epochs GROUP BY 1", E, "total")
 
 
-def statuses(spark, sf_dir: str):
-    path = event_files(spark, sf_dir)
-    heads = files.headers(spark, path)
-    return files.scan_status(heads.select("file"), files.scan_coerced(spark, path), heads).groupBy("status").agg(F.sum("rows").alias("rows"), F.sum("valid").alias("valid"))
+def touch(batches):
+    """Makes an empty file of each path of a column, in the task."""
+    from tidewell.sources.listing import open_store
+
+    for b in batches:
+        for path in b.column("path").to_pylist():
+            store, at = open_store(path)
+            store.create_dir(at.rsplit("/", 1)[0])
+            store.open_output_stream(at).close()
+        yield b
+
 
+def add_empty_files(spark, sf_dir: str, path: str) -> None:
+    """Files of no bytes below a path, for users whose number ends in 7 and who have no events."""
+    none = vw.demographics(spark, sf_dir).where("user_id % 10 = 7").join(vw.epochs(spark, sf_dir), "user_id", "left_anti")
+    none.select(F.concat(F.lit(f"{path}/user_id="), "user_id", F.lit("/none.csv")).alias("path")).mapInArrow(touch, "path string").agg(F.count("*")).collect()  # one row
 
-add("scan_status", statuses, "SELECT 'ok' AS status, count(*) AS rows, count(value) AS valid FROM epochs", E)
+
+def statuses(spark, sf_dir: str):
+    """Files of users by the rest of their number: whole ones, without a core column, with values that aren't numbers, with a header only; and files of no bytes."""
+    path = files.scratch(spark, "status")
+    own = vw.epochs(spark, sf_dir).select("user_id", *[F.col(v).alias(k) for k, v in NATIVE.items()]).repartition("user_id")
+    write = lambda df: df.write.mode("append").option("header", True).partitionBy("user_id").csv(path)
+    write(own.where("user_id % 5 IN (0, 4)"))
+    write(own.where("user_id % 5 = 1").drop("longValue"))
+    write(own.where("user_id % 5 = 2").withColumn("longValue", F.lit("broken")))
+    own.where("user_id % 5 = 3").select("user_id", F.lit(",".join(NATIVE)).alias("value")).distinct().write.mode("append").partitionBy("user_id").text(path)
+    add_empty_files(spark, sf_dir, path)
+    return files.file_status(spark, path).groupBy("status").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("valid").alias("valid"))
+
+
+add("scan_status", statuses, f""", {vw.DEMOGRAPHICS_SQL}, t AS (SELECT user_id, user_id % 5 AS k, count(*) AS n, count(value) AS v FROM epochs GROUP BY 1)
+SELECT CASE k WHEN 1 THEN 'missing_required_columns' WHEN 2 THEN 'no_valid_core_event' WHEN 3 THEN 'header_only' ELSE 'ok' END AS status, count(*) AS files, sum(CASE WHEN k <> 3 THEN n ELSE 0 END)::BIGINT AS rows, sum(CASE WHEN k IN (0, 4) THEN v ELSE 0 END)::BIGINT AS valid FROM t GROUP BY 1
+UNION ALL SELECT 'unreadable', count(*), 0, 0 FROM demographics WHERE user_id % 10 = 7 AND user_id NOT IN (SELECT user_id FROM epochs) HAVING count(*) > 0""", E)
 uploads = lambda s, d: vw.epochs(s, d).select("user_id", "event_id", F.concat(F.date_format(F.timestamp_millis(F.col("start_ms") + F.coalesce("tz_min", F.lit(0.0)).cast("long") * 60000), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("tz_min").isNull(), "").otherwise(F.format_string("%s%02d:00", F.when(F.col("tz_min") < 0, "-").otherwise("+"), F.abs(F.col("tz_min") / 60).cast("int")))).alias("timestamp"), F.col("value").cast("string").alias("hr"))
 add("normalize_upload", lambda s, d: files.normalize_upload(uploads(s, d)).select("user_id", "start_ms", "end_ms", "tz_min", "value", "reason"), "SELECT user_id, start_ms // 1000 * 1000 AS start_ms, start_ms // 1000 * 1000 AS end_ms, tz_min, value, CASE WHEN tz_min IS NULL THEN 'offset' END AS reason FROM epochs", E)
 add("scan_reduced", lambda s, d: vw.table(s, d, "events").select("event_id", "user_id", "value").where("value > 50"), "SELECT event_id, user_id, value FROM events WHERE value > 50")

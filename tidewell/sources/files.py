@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.listing import listing
+
 EPOCH_SCHEMA = "startTimestamp long, endTimestamp long, type long, longValue double, source long, timezoneOffset double, _broken string"
+EVENT_COLUMNS = ("startTimestamp", "endTimestamp", "type", "longValue", "source", "timezoneOffset")
 CORE = ("startTimestamp", "type", "longValue")
 
 
@@ -32,7 +37,7 @@ def cells_of(line: str, width: int = 32) -> Column:
     return F.array(*[row[f"c{i}"] for i in range(width)])
 
 
-def scan_coerced(spark: SparkSession, path: str, columns=("startTimestamp", "endTimestamp", "type", "longValue", "source", "timezoneOffset"), width: int = 32) -> DataFrame:
+def scan_coerced(spark: SparkSession, path: str, columns=EVENT_COLUMNS, width: int = 32) -> DataFrame:
     """Events of CSV files whatever their columns: each file's header says where the named ones are, values are coerced or null.
 
     A file is a few lines of text to Spark: lines are joined to their file's header, so files may differ in columns. Cells may be
@@ -45,16 +50,23 @@ def scan_coerced(spark: SparkSession, path: str, columns=("startTimestamp", "end
     return cells.select("file", "user_id", *[at(c).alias(c) for c in columns])
 
 
-def scan_status(inventory: DataFrame, rows: DataFrame, heads: DataFrame, core=CORE) -> DataFrame:
-    """Status of each file: unreadable, missing_required_columns, header_only, no_valid_core_event or ok."""
+def outcome(core=CORE) -> Column:
+    """A file's status by its header (null where it can't be read), its rows (null without) and its valid ones."""
+    missing = F.size(F.array_except(F.array(*map(F.lit, core)), cells_of("header"))) > 0
+    return F.when(F.col("header").isNull(), "unreadable").when(missing, "missing_required_columns").when(F.col("rows").isNull(), "header_only").when(F.col("valid") == 0, "no_valid_core_event").otherwise("ok")
+
+
+def rows_of_files(rows: DataFrame, core=CORE) -> DataFrame:
     full = F.lit(True)
     for c in core:
         full = full & F.col(c).isNotNull()
-    n = rows.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(full).alias("valid"))
-    j = inventory.join(heads, "file", "left").join(n, "file", "left")
-    missing = F.size(F.array_except(F.array(*map(F.lit, core)), cells_of("header"))) > 0
-    status = F.when(F.col("header").isNull(), "unreadable").when(missing, "missing_required_columns").when(F.col("rows").isNull(), "header_only").when(F.col("valid") == 0, "no_valid_core_event").otherwise("ok")
-    return j.select("file", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("valid", F.lit(0)).alias("valid"))
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(full).alias("valid"))
+
+
+def scan_status(inventory: DataFrame, rows: DataFrame, heads: DataFrame, core=CORE) -> DataFrame:
+    """Status of each file: unreadable, missing_required_columns, header_only, no_valid_core_event or ok."""
+    j = inventory.join(heads, "file", "left").join(rows_of_files(rows, core), "file", "left")
+    return j.select("file", outcome(core).alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("valid", F.lit(0)).alias("valid"))
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
@@ -63,26 +75,42 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("_s = 0").groupBy("file").agg(F.min_by("value", "_i").alias("header"))
 
 
-def file_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes) of all files below a folder, those of no bytes too, which Spark's scans pass over: the store's own listing."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
-    found = []
-    while files.hasNext():
-        f = files.next()
-        if not f.getPath().getName().startswith(("_", ".")):
-            found.append((f.getPath().toString(), f.getLen()))
-    return spark.createDataFrame(found, "path string, bytes long")
-
-
 def file_inventory(spark: SparkSession, path: str, users: DataFrame, owner: str = OWNER) -> DataFrame:
-    """Each listed user's file: missing, zero_byte or nonempty, and its bytes. Contents aren't read; names and sizes pass through the driver."""
-    files = file_listing(spark, path).select(F.regexp_extract("path", owner, 1).try_cast("long").alias("user_id"), "bytes")
+    """Each listed user's file: missing, zero_byte or nonempty, and its bytes. Names and sizes are listed in tasks; contents aren't read."""
+    files = listing(spark, path).select(F.regexp_extract(F.concat(F.lit("/"), "name"), owner, 1).try_cast("long").alias("user_id"), "bytes")
     own = files.groupBy("user_id").agg(F.sum("bytes").alias("bytes"))
     state = F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "zero_byte").otherwise("nonempty")
     return users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", state.alias("state"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
+def name_below(path: str) -> Column:
+    """The name of a row's file relative to a root, as `listing` has it, from the path that Spark reports (percent-encoded, with scheme)."""
+    root = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.substring(full, F.locate(root, full) + len(root), 1 << 20)
+
+
+def coerced_rows(spark: SparkSession, path: str, found: DataFrame, columns=EVENT_COLUMNS, width: int = 32) -> DataFrame:
+    """(name, columns...) of the CSV files that a listing found with their headers; a header's own line isn't a row, nor is a blank one."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(name_below(path).alias("name"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    own = lines.where(F.trim("value") != "").join(found.where("header IS NOT NULL").select("name", F.col("header").alias("_head")), "name")
+    cells = own.where("value <> _head").withColumn("_c", cells_of("value", width)).withColumn("_h", cells_of("_head", width))
+    at = lambda c: F.when(F.array_position("_h", c) > 0, F.get("_c", (F.array_position("_h", c) - 1).cast("int"))).try_cast("double")
+    return cells.select("name", *[at(c).alias(c) for c in columns])
+
+
+def file_status(spark: SparkSession, path: str, core=CORE, width: int = 32) -> DataFrame:
+    """(file, bytes, status, problem, rows, valid) of every file below a folder, those of no bytes and unreadable ones too.
+
+    Headers come from the listing, in tasks; rows are counted by Spark's scan, so a large file is read by many tasks. A file
+    is unreadable where the listing names a problem.
+    """
+    found = listing(spark, path, headers=True)
+    rows = coerced_rows(spark, path, found, core, width).withColumnRenamed("name", "file")
+    known = found.withColumnRenamed("name", "file").join(rows_of_files(rows, core), "file", "left")
+    return known.select("file", "bytes", outcome(core).alias("status"), "problem", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("valid", F.lit(0)).alias("valid"))
+
+
 def normalize_upload(rows: DataFrame, channel: int = 3000, source: int = 0, years=(2000, 2100)) -> DataFrame:
     """Rows of (user_id, timestamp, hr, end_timestamp or none) as native events, with the reason of those rejected.
 
