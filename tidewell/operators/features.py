@@ -123,6 +123,20 @@ def tercile_groups(rows: DataFrame, train: DataFrame, columns) -> DataFrame:
     return out.withColumn("crossed", F.concat_ws("/", *[F.coalesce(f"{c}_group", F.lit(fn.MISSING)) for c in columns]))
 
 
+def subgroups(rows: DataFrame, train: DataFrame, columns: dict[str, str], crossed=()) -> DataFrame:
+    """(user_id, dimension, level): the groups that each row belongs to, by the training rows' thirds.
+
+    Everyone is in (overall, all) and, for each named column, in its low, middle or high; each pair (a, b) of `crossed` adds
+    a_x_b with the level low/high and the like. Four columns and two pairs make 31 groups. A row without a value in a column
+    isn't in that column's groups. Cutpoints are one row, so rows are not shuffled.
+    """
+    level = {name: F.col(f"{c}_group") for name, c in columns.items()}
+    pair = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("level"))
+    groups = [pair("overall", F.lit("all")), *[pair(n, g) for n, g in level.items()], *[pair(f"{a}_x_{b}", F.concat(level[a], F.lit("/"), level[b])) for a, b in crossed]]
+    cut = tercile_groups(rows, train, list(columns.values()))
+    return cut.select("user_id", F.explode(F.array(*groups)).alias("g")).select("user_id", "g.dimension", "g.level").where("level IS NOT NULL")
+
+
 def clock_fractions(grid: DataFrame, n_bins: int, blocks: int = 4) -> DataFrame:
     """Observed share of each block of the day."""
     size = n_bins // blocks

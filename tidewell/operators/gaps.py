@@ -59,15 +59,19 @@ def fill_linear(filled: DataFrame, k_max: int = 5, keys=KEYS) -> DataFrame:
     return out.withColumn("linear", F.when(short, line).otherwise(F.col("filled"))).drop("_b0", "_b1", "_h0", "_h1")
 
 
-def circular_smooth(profile: DataFrame, length: int, sigma: float, truncate: float = 4.0, keys=(), pos: str = "bin", value: str = "hr") -> DataFrame:
+def circular_smooth(profile: DataFrame, length: int, sigma: float, truncate: float = 4.0, keys=(), pos: str = "bin", value: str = "hr", nulls: str = "normalize") -> DataFrame:
     """Gaussian smoothing that wraps at the end of the day; nulls are left out and weights normalised.
 
-    The kernel is exploded beside each bin, so the shuffle is a sum by (keys, bin).
+    With nulls="normalize" a bin without a value gets the mean of those in reach (none: no row), with "omit" it stays null. A
+    sigma of 0 leaves values as they are. The kernel is exploded beside each bin, so the shuffle is a sum by (keys, bin).
     """
-    reach = int(truncate * sigma + 0.5)
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-0.5 * (k / sigma) ** 2)).alias("w")) for k in range(-reach, reach + 1)])
-    spread = profile.where(F.col(value).isNotNull()).select(*keys, pos, value, F.explode(kernel).alias("x")).select(*keys, F.pmod(F.col(pos) + F.col("x.k"), F.lit(length)).alias(pos), (F.col("x.w") * F.col(value)).alias("v"), F.col("x.w").alias("w"))
-    return spread.groupBy(*keys, pos).agg((F.sum("v") / F.sum("w")).alias("smooth"))
+    if nulls not in ("normalize", "omit"):
+        raise ValueError(f"nulls is normalize or omit, not {nulls}")
+    reach = int(truncate * sigma + 0.5) if sigma > 0 else 0
+    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-0.5 * (k / sigma) ** 2) if k else 1.0).alias("w")) for k in range(-reach, reach + 1)])
+    spread = profile.where(F.col(value).isNotNull()).select(*keys, pos, value, F.explode(kernel).alias("x")).select(*keys, F.pmod(F.col(pos) + F.col("x.k"), F.lit(length)).alias(pos), (F.col("x.w") * F.col(value)).alias("v"), F.col("x.w").alias("w"), (F.col("x.k") == 0).alias("own"))
+    smooth = F.sum("v") / F.sum("w")
+    return spread.groupBy(*keys, pos).agg((smooth if nulls == "normalize" else F.when(F.bool_or("own"), smooth)).alias("smooth"))
 
 
 def mask_stats(grid: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,30 @@ def customer_split(rows: DataFrame, entity: str, label: str, tag: str) -> DataFr
     return rows.drop(label).join(stratified_split(own, entity, label, tag), entity)
 
 
+def split_checks(rows: DataFrame, entity: str, label: str, assigned: DataFrame, splits=("train", "val", "test"), labels=(0, 1)) -> DataFrame:
+    """(check, violations, passed) of an assignment (entity, split) of the entities of rows, a row for each check.
+
+    missing_entity and missing_label count rows, conflicting_label, unassigned, unknown_entity and assigned_twice entities, other_label
+    entities with a label that isn't one of `labels`, unknown_split assignments; single_class counts splits that lack one of the labels.
+    Each side is one row for each entity before they meet, so the join is of entities, once.
+    """
+    own = rows.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.min(label).alias("_a"), F.max(label).alias("_b"))
+    given = assigned.groupBy(F.col(entity)).agg(F.count("*").alias("_n"), F.count_if(F.col("split").isNull() | ~F.col("split").isin(*splits)).alias("_odd"), F.min("split").alias("_s"))
+    clear = F.col("_a") == F.col("_b")
+    met = own.withColumn("_in", F.lit(True)).join(given, entity, "full")
+    classes = [F.count_if(F.col("_in") & clear & (F.col("_s") == s) & (F.col("_a") == v)) == 0 for s in splits for v in labels]
+    lacking = [classes[i * len(labels) : (i + 1) * len(labels)] for i in range(len(splits))]
+    found = met.agg(
+        F.count_if(F.col("_a") != F.col("_b")).alias("conflicting_label"), F.count_if(F.col("_in") & ~(F.col("_a").isin(*labels) & F.col("_b").isin(*labels))).alias("other_label"), F.count_if(F.col("_in") & F.col("_n").isNull()).alias("unassigned"),
+        F.count_if(F.col("_in").isNull()).alias("unknown_entity"), F.count_if(F.col("_n") > 1).alias("assigned_twice"), F.coalesce(F.sum("_odd"), F.lit(0)).alias("unknown_split"),
+        sum((F.when(reduce(lambda a, b: a | b, c), 1).otherwise(0) for c in lacking), F.lit(0)).cast("long").alias("single_class"),
+    )
+    empty = rows.agg(F.count_if(F.col(entity).isNull()).alias("missing_entity"), F.count_if(F.col(label).isNull()).alias("missing_label"))
+    names = [*empty.columns, *found.columns]
+    wide = empty.crossJoin(found)  # one row each
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in names])).alias("c")).select("c.check", "c.violations", (F.col("c.violations") == 0).alias("passed"))
+
+
 def repeated_holdouts(rows: DataFrame, id_col: str, label: str, tag: str, repeats: int, test: float = 0.2) -> DataFrame:
     r = rows.select(id_col, label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("rep"))
     ranked = hash_rank(r, ["rep", label], fn.hash_rank_key(tag, F.col("rep"), F.col(id_col)), id_col)

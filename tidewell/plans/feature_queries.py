@@ -45,6 +45,14 @@ HR = E + ", hh AS (SELECT user_id, day, hour AS bin, avg(value) AS hr FROM e GRO
 add("hour_profile", lambda s, d: ft.bin_profile(hourly(s, d), 24, "hour"), f"SELECT user_id, {_prof(24, 'hour')[0]} FROM hh GROUP BY 1", HR, _prof(24, "hour")[1])
 add("recording_descriptors", lambda s, d: ft.recording_descriptors(grid(s, d)), "SELECT user_id, max(day) - min(day) + 1 AS span, count(*) AS days, coalesce(max(gap), 0) AS longest_gap, avg(o) AS occupancy, stddev_samp(o) AS occupancy_sd, count(*) / (max(day) - min(day) + 1) AS density FROM (SELECT *, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) - 1 AS gap FROM (SELECT user_id, day, avg((hr IS NOT NULL)::INT) AS o FROM g GROUP BY ALL)) GROUP BY 1", GRID, "occupancy occupancy_sd density")
 add("tercile_groups", lambda s, d: ft.tercile_groups(ft.recording_descriptors(grid(s, d)), ft.recording_descriptors(grid(s, d)).where("user_id % 2 = 0"), ["span", "days"]), "SELECT user_id, span_group, days_group, span_group || '/' || days_group AS crossed FROM (SELECT user_id, CASE WHEN span <= s1 THEN 'low' WHEN span <= s2 THEN 'middle' ELSE 'high' END AS span_group, CASE WHEN days <= d1 THEN 'low' WHEN days <= d2 THEN 'middle' ELSE 'high' END AS days_group FROM rd, (SELECT quantile_cont(span, 1/3) AS s1, quantile_cont(span, 2/3) AS s2, quantile_cont(days, 1/3) AS d1, quantile_cont(days, 2/3) AS d2 FROM rd WHERE user_id % 2 = 0))", GRID + ", rd AS (SELECT user_id, max(day) - min(day) + 1 AS span, count(DISTINCT day) AS days FROM g GROUP BY 1)\n")
+SUBGROUPS = {"history": "span", "occupancy": "occupancy", "continuity": "density", "occupancy_variability": "occupancy_sd"}
+described = lambda s, d: ft.recording_descriptors(grid(s, d)).withColumns({c: F.round(F.col(c).cast("double"), 9) for c in SUBGROUPS.values()})
+_level = lambda c: f"CASE WHEN {c} <= {c}_1 THEN 'low' WHEN {c} <= {c}_2 THEN 'middle' WHEN {c} IS NOT NULL THEN 'high' END"
+_dims = [("overall", "'all'"), *[(n, f"{c}_l") for n, c in SUBGROUPS.items()], *[(f"{a}_x_occupancy", f"{SUBGROUPS[a]}_l || '/' || occupancy_l") for a in ("history", "continuity")]]
+SUB = GRID + """, rd AS (SELECT user_id, (max(day) - min(day) + 1)::DOUBLE AS span, round(avg(o), 9) AS occupancy, round(count(*) / (max(day) - min(day) + 1), 9) AS density, round(stddev_samp(o), 9) AS occupancy_sd FROM (SELECT user_id, day, avg((hr IS NOT NULL)::INT) AS o FROM g GROUP BY ALL) GROUP BY 1),
+lv AS (SELECT user_id, """ + ", ".join(f"{_level(c)} AS {c}_l" for c in SUBGROUPS.values()) + " FROM rd, (SELECT " + ", ".join(f"quantile_cont({c}, {i}/3) AS {c}_{i}" for c in SUBGROUPS.values() for i in (1, 2)) + """ FROM rd WHERE user_id % 2 = 0))
+"""
+add("tercile_subgroups", lambda s, d: ft.subgroups(described(s, d), described(s, d).where("user_id % 2 = 0"), SUBGROUPS, (("history", "occupancy"), ("continuity", "occupancy"))), " UNION ALL ".join(f"SELECT user_id, '{n}' AS dimension, {x} AS level FROM lv WHERE {x} IS NOT NULL" for n, x in _dims), SUB)
 add("clock_fractions", lambda s, d: ft.clock_fractions(grid(s, d), 8), "SELECT user_id, day, " + ", ".join(f"count(*) FILTER (hr IS NOT NULL AND bin // 2 = {b}) / 2 AS block_{b}" for b in range(4)) + " FROM g GROUP BY ALL", GRID, " ".join(f"block_{b}" for b in range(4)))
 add("physiology", lambda s, d: ft.physiology(grid(s, d), 2, (0, 9), (9, 24), 8), "SELECT user_id, day, avg(hr) FILTER (bin < 3) AS night, avg(hr) FILTER (bin >= 3) AS wake, 3.0 * arg_min(bin, (hr, bin)) AS nadir_hour, 3.0 * arg_min(bin, (-hr, bin)) AS peak_hour, CASE WHEN count(*) >= 2 THEN max(hr) - min(hr) END AS amplitude, avg(step) AS step, quantile_cont(hr, 0.1) AS p10, quantile_cont(hr, 0.5) AS p50, quantile_cont(hr, 0.9) AS p90, stddev_pop(hr) AS sd, 1 - avg(hr) FILTER (bin < 3) / nullif(avg(hr) FILTER (bin >= 3), 0) AS dip FROM (SELECT *, CASE WHEN bin - lag(bin) OVER w = 1 THEN abs(hr - lag(hr) OVER w) END AS step FROM b WINDOW w AS (PARTITION BY user_id, day ORDER BY bin)) GROUP BY ALL", GRID, "night wake nadir_hour peak_hour amplitude step p10 p50 p90 sd dip")
 add("wear_windows", lambda s, d: ft.wear_windows(grid(s, d), {"night": (0, 2), "waking": (3, 6)}), "SELECT user_id, " + ", ".join(f"avg({k}) AS {k}_mean, stddev_samp({k}) AS {k}_sd, avg({k}) FILTER ((day + 3) % 7 >= 5) - avg({k}) FILTER ((day + 3) % 7 < 5) AS {k}_weekend, avg(({k} >= 0.8)::INT) AS {k}_worn, avg(({k} <= 0.2)::INT) AS {k}_off, avg(({k} > 0.2 AND {k} < 0.8)::INT) AS {k}_partial" for k in ("night", "waking")) + " FROM (SELECT user_id, day, avg((hr IS NOT NULL)::INT) FILTER (bin BETWEEN 0 AND 2) AS night, avg((hr IS NOT NULL)::INT) FILTER (bin BETWEEN 3 AND 6) AS waking FROM g GROUP BY ALL) GROUP BY 1", GRID, " ".join(f"{k}_{x}" for k in ("night", "waking") for x in ("mean", "sd", "weekend", "worn", "off", "partial")))

@@ -51,6 +51,13 @@ add("eligibility_summary", lambda s, d: vw.demographics(s, d).groupBy("bmi_grp")
 # Splits and limits
 add("balanced_folds", lambda s, d: splits.balanced_folds(vw.demographics(s, d), "user_id", ["age_group", "bmi_grp"], "bal"), "SELECT user_id, age_group, bmi_grp, (row_number() OVER (ORDER BY age_group, bmi_grp, sha256('bal|' || user_id), user_id) - 1) % 5 AS fold FROM demographics", DM)
 add("customer_split", lambda s, d: splits.customer_split(preds(s, d).select("user_id", "arm", "y"), "user_id", "y", "cs"), "SELECT user_id, arm, y, CASE WHEN r <= round(n * 0.15) THEN 'test' WHEN r <= round(n * 0.15) + round(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM predictions JOIN (SELECT user_id, row_number() OVER (PARTITION BY y ORDER BY sha256('cs|' || user_id), user_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM (SELECT DISTINCT user_id, y FROM predictions)) USING (user_id)", P)
+orders = lambda s, d: vw.table(s, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 50 != 0, (F.col("o_custkey") % 2).cast("long")).alias("y")).unionByName(vw.table(s, d, "orders").where("o_orderkey % 97 = 0").select("o_custkey", F.lit(1).cast("long").alias("y")))
+dealt = lambda s, d: vw.table(s, d, "customer").where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("o_custkey"), F.expr("CASE WHEN c_custkey % 7 < 5 THEN 'train' WHEN c_custkey % 7 = 5 THEN 'val' WHEN c_custkey % 2 = 1 THEN 'test' END").alias("split"))
+SPLIT_CHECKS = """WITH r AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 50 <> 0 THEN (o_custkey % 2)::BIGINT END AS y FROM orders UNION ALL SELECT o_custkey, 1 FROM orders WHERE o_orderkey % 97 = 0),
+o AS (SELECT k, min(y) AS a, max(y) AS b FROM r GROUP BY 1), a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 < 5 THEN 'train' WHEN c_custkey % 7 = 5 THEN 'val' WHEN c_custkey % 2 = 1 THEN 'test' END AS split FROM customer WHERE c_custkey % 10 <> 3),
+p AS (SELECT s.split, count(DISTINCT o.a) AS n FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN (a JOIN o ON a.k = o.k AND o.a = o.b) ON a.split = s.split GROUP BY 1)
+"""
+add("split_checks", lambda s, d: splits.split_checks(orders(s, d), "o_custkey", "y", dealt(s, d)), """SELECT "check", violations, violations = 0 AS passed FROM (SELECT unnest(['missing_entity', 'missing_label', 'conflicting_label', 'other_label', 'unassigned', 'unknown_entity', 'assigned_twice', 'unknown_split', 'single_class']) AS "check", unnest([(SELECT count(*) FROM r WHERE k IS NULL), (SELECT count(*) FROM r WHERE y IS NULL), (SELECT count(*) FROM o WHERE a <> b), 0, (SELECT count(*) FROM o ANTI JOIN a USING (k)), (SELECT count(*) FROM a ANTI JOIN o USING (k)), 0, (SELECT count(*) FROM a WHERE split IS NULL), (SELECT count(*) FROM p WHERE n < 2)]) AS violations)""", SPLIT_CHECKS)
 add("limit_users", lambda s, d: events(s, d).join(vw.demographics(s, d).select("user_id").orderBy("user_id").limit(10), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), f", {vw.DEMOGRAPHICS_SQL} SELECT user_id, count(*) AS n FROM e WHERE user_id IN (SELECT user_id FROM demographics ORDER BY user_id LIMIT 10) GROUP BY 1", E)
 
 # Checks

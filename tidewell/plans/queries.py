@@ -178,6 +178,8 @@ add("fill_linear", lambda s, d: gaps.fill_linear(clock(s, d), 2).select("user_id
 QUERIES["fill_linear"] = lambda s, d: gaps.fill_linear(clock(s, d), 2).select("user_id", "day", "bin", fn.r6(F.col("linear")).alias("linear"))
 profile = lambda s, d: events(s, d).groupBy("user_id", F.col("hour").alias("bin")).agg(F.avg("value").alias("hr"))
 add("circular_smooth", lambda s, d: gaps.circular_smooth(profile(s, d), 24, 1.5, keys=("user_id",)).select("user_id", "bin", "smooth"), "SELECT user_id, ((hour + k + 24) % 24)::BIGINT AS bin, sum(exp(-0.5 * (k / 1.5) ** 2) * hr) / sum(exp(-0.5 * (k / 1.5) ** 2)) AS smooth FROM (SELECT user_id, hour, avg(value) AS hr FROM e GROUP BY ALL), range(-6, 7) r(k) GROUP BY ALL", E, "smooth")
+gapped = lambda s, d: profile(s, d).withColumn("hr", F.when(F.col("bin") % 5 != F.col("user_id") % 5, F.col("hr")))
+add("circular_smooth_omit", lambda s, d: gaps.circular_smooth(gapped(s, d), 24, 1.5, keys=("user_id",), nulls="omit").select("user_id", "bin", "smooth"), "SELECT user_id, ((hour + k + 24) % 24)::BIGINT AS bin, CASE WHEN bool_or(k = 0) THEN sum(exp(-0.5 * (k / 1.5) ** 2) * hr) / sum(exp(-0.5 * (k / 1.5) ** 2)) END AS smooth FROM (SELECT user_id, hour, avg(value) AS hr FROM e WHERE hour % 5 <> user_id % 5 GROUP BY ALL), range(-6, 7) r(k) GROUP BY ALL", E, "smooth")
 add("mask_stats", lambda s, d: gaps.mask_stats(grid(s, d)), "SELECT user_id, bin, avg((hr IS NOT NULL)::INT) AS share, count(*) AS days, coalesce(stddev_samp((hr IS NOT NULL)::INT), 0) AS sd FROM g GROUP BY ALL", GRID, "share sd")
 
 # Evaluation
