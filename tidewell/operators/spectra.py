@@ -83,6 +83,37 @@ def waves(turn: np.ndarray, basis: np.ndarray, live: np.ndarray, left: np.ndarra
     return b, np.einsum("wkri,wkri->wkr", b, right)
 
 
+def stacked(series: DataFrame, keys, used) -> DataFrame:
+    """(keys, _n, _own): a row for each window with its dates and columns in the order of dates, flat; dates with a null are left out.
+
+    Windows are dealt to the session's shuffle partitions by number: their work is in solving, not in bytes, and Spark would
+    otherwise put the few bytes of many windows into one task.
+    """
+    rows = series.select(*keys, F.col("day").cast("double").alias("_d"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(used)]).dropna(subset=["_d", *[f"_{i}" for i in range(len(used))]])
+    windows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_d", *[f"_{i}" for i in range(len(used))]))).alias("_own"))
+    flat = windows.select(*keys, F.size("_own").cast("long").alias("_n"), F.flatten(F.transform("_own", lambda r: F.array(r["_d"], *[r[f"_{i}"] for i in range(len(used))]))).alias("_own"))
+    return flat.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def unstacked(frame: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values (window, date, column), live (window, date)) of rows of `stacked`; zeros follow a window's last date."""
+    n = frame["_n"].to_numpy()
+    wide = np.zeros((len(frame), int(n.max()), width))
+    live = np.arange(wide.shape[1]) < n[:, None]
+    wide[live] = np.concatenate([np.asarray(own, float) for own in frame["_own"]]).reshape(-1, width)
+    return wide, live
+
+
+def nuisance(day: np.ndarray, mask: np.ndarray, coverage, degree: int, weekdays: bool) -> np.ndarray:
+    """Designs (window, date, column): intercept, powers of the elapsed share of the window, weekdays from Tuesday on, coverage columns."""
+    span = np.maximum((day * mask).max(axis=1) - day[:, 0], 1.0)
+    t = (day - day[:, :1]) / span[:, None]
+    columns = [t**p * mask for p in range(degree + 1)]
+    if weekdays:
+        columns += [(np.mod(day + 3, 7) == d) * mask for d in range(1, 7)]
+    return np.stack([*columns, *coverage], -1)
+
+
 def window_fits(series: DataFrame, periods=(), keys=("user_id", "window_index"), responses=("value",), coverage=(), phases=(), degree: int = 1, weekdays: bool = True) -> DataFrame:
     """(keys, response, period, phase, n, kept, dropped, available, zero_variance, explained, amplitude, angle): fits of each response of each window.
 
@@ -96,26 +127,16 @@ def window_fits(series: DataFrame, periods=(), keys=("user_id", "window_index"),
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
     names = ["intercept", *(("trend", "trend_2", "trend_3")[:degree]), *(WEEKDAYS if weekdays else ()), *coverage]
     used = [*responses, *coverage, *phases]
-    rows = series.select(*keys, F.col("day").cast("double").alias("_d"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(used)]).dropna(subset=["_d", *[f"_{i}" for i in range(len(used))]])
-    windows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_d", *[f"_{i}" for i in range(len(used))]))).alias("_own"))
-    windows = windows.select(*keys, F.size("_own").cast("long").alias("_n"), F.flatten(F.transform("_own", lambda r: F.array(r["_d"], *[r[f"_{i}"] for i in range(len(used))]))).alias("_own"))
+    windows = stacked(series, keys, used)
     terms = [(float(p), None) for p in grid] + [(None, p) for p in phases]
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["response string, period double, phase string, n long, kept long, dropped string, available int, zero_variance int, explained double, amplitude double, angle double"])
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        n, w, k = frame["_n"].to_numpy(), len(frame), len(used) + 1
-        wide = np.zeros((w, int(n.max()), k))
-        live = np.arange(wide.shape[1]) < n[:, None]
-        wide[live] = np.concatenate([np.asarray(own, float) for own in frame["_own"]]).reshape(-1, k)
+        n, w = frame["_n"].to_numpy(), len(frame)
+        wide, live = unstacked(frame, len(used) + 1)
         day, mask = wide[:, :, 0], live.astype(float)
-        span = np.maximum((day * mask).max(axis=1) - day[:, 0], 1.0)
-        t = (day - day[:, :1]) / span[:, None]
-        columns = [t**p * mask for p in range(degree + 1)]
-        if weekdays:
-            columns += [(np.mod(day + 3, 7) == d) * mask for d in range(1, 7)]
         at = 1 + len(responses)
-        columns += [wide[:, :, at + i] for i in range(len(coverage))]
-        basis, kept = screened(np.stack(columns, -1))
+        basis, kept = screened(nuisance(day, mask, [wide[:, :, at + i] for i in range(len(coverage))], degree, weekdays))
         y = wide[:, :, 1:at]
         left = y - np.einsum("wtp,wpr->wtr", basis, np.einsum("wtp,wtr->wpr", basis, y))
         mean = y.sum(axis=1) / n[:, None]

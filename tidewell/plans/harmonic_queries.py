@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import cohorts, epochs as ep, harmonics as hm, rhythms, spectra as sc
+from tidewell.operators import cohorts, epochs as ep, harmonics as hm, nulls, rhythms, spectra as sc
 from tidewell.plans import views as vw
 from tidewell.plans.queries import D, DW, E, SPEC, add, events, grid, spec, wins
 
@@ -28,6 +28,7 @@ add("nuisance_spectrum", lambda s, d: sc.window_fits(first_days(s, d), sc.BROAD,
 add("narrow_spectrum", lambda s, d: sc.peaks(sc.window_fits(first_days(s, d), sc.NARROW, responses=["p10"], coverage=quarters), 25, 35), doubles="peak_share peak_amplitude band_mean")
 add("recording_spectrum", lambda s, d: sc.window_fits(first_days(s, d).withColumn("night", F.col("block_0")), sc.NARROW, responses=["occupancy", "night"]).drop("phase"), doubles=_fit)
 add("q_controls", lambda s, d: sc.recording_controls(first_days(s, d), spans(s, d)), doubles=" ".join(["p10_mean p10_sd p10_slope p10_residual_sd", *[f"{b}_mean" for b in quarters], *[f"{r}_{c}" for r in ("occupancy", "night") for c in ("amplitude", "share", "period")]]))
+add("null_endpoints", lambda s, d: nulls.null_endpoints(first_days(s, d), value="p10", coverage=quarters).drop("spectrum", "null_mean", "null_variance"), doubles="v1 phi1 v2 phi2 nll band_excess band_excess_se peak_share peak_amplitude null_peak peak_excess p")
 moons = lambda s, d: series(s, d).withColumn("lunar", sc.lunar_elongation(F.col("day"))).withColumn("anomalistic", sc.lunar_anomaly(F.col("day")))
 SHAM = [18.0, 27.0, 28.0, 29.0, 34.0, 48.0, 55.0, 60.0]
 named_angles = lambda s, d: sc.window_fits(moons(s, d), SHAM, phases=["lunar", "anomalistic"])
