@@ -85,8 +85,8 @@ def nuisance_spectrum(series: DataFrame, periods, keys=("user_id", "window_index
         pairs = np.stack([np.stack([(c * c).sum(0), (c * s).sum(0)], 1), np.stack([(c * s).sum(0), (s * s).sum(0)], 1)], 1)
         right = np.stack([c.T @ r, s.T @ r], 1)
         size, axes = np.linalg.eigh(pairs)  # all periods at once; what the nuisance leaves nothing of falls out
-        b = np.einsum("pij,pj,pkj,pk->pi", axes, np.where(size > 1e-9 * n, 1 / np.where(size > 1e-9 * n, size, 1.0), 0.0), axes, right)
-        out = [(*key, p, n, float(x @ w / total), float(np.hypot(*x)), float(np.arctan2(x[1], x[0]))) for p, x, w in zip(grid, b, right, strict=True)]
+        b = np.einsum("pij,pj,pkj,pk->pi", axes, np.where(size > 1e-9 * n, 1 / np.where(size > 1e-9 * n, size, 1.0), 0.0), axes, right) + 0.0  # no negative zeros
+        out = [(*key, p, n, float(x @ w / total) + 0.0, float(np.hypot(*x)), float(np.arctan2(x[1], x[0]))) for p, x, w in zip(grid, b, right, strict=True)]
         return pd.DataFrame(out, columns=[*keys, "period", "n", "explained", "amplitude", "angle"])
 
     return series.select(*keys, "day", "value", *extra).groupBy(*keys).applyInPandas(solve, schema)

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import cohorts, epochs as ep, harmonics as hm, nulls, rhythms, spectra as sc
-from tidewell.plans import views as vw
-from tidewell.plans.queries import D, DW, E, SPEC, add, events, grid, spec, wins
+from tidewell.plans import fits_sql as fs, views as vw
+from tidewell.plans.queries import D, DW, E, GRID, SPEC, add, events, grid, spec, wins
 
 hours = lambda s, d: ep.hour_stats(events(s, d), ("user_id", "hour"))
 series = lambda s, d: cohorts.window_range_join(vw.daily_values(s, d), wins(s, d)).select("user_id", "window_index", "day", "value")
+SERIES = DW + ", sr AS (SELECT user_id, window_index, day, value FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day), "
+UW = "user_id, window_index"
+_ns = lambda periods, **k: fs.spectrum("sr", UW, periods, **k)
+_wide, _band, _bent, _four = _ns([7.0 + i / 2 for i in range(57)]), _ns([25.0 + i / 2 for i in range(21)]), _ns([28.0, 30.0], degree=3), _ns([7.0, 28.0, 29.530588, 30.4375])
 CU = E + """, hc AS (SELECT user_id, hour, count(*) AS n, sum(value) AS vsum, avg(value) AS m FROM e GROUP BY ALL), lo AS (SELECT user_id, min(m) AS lo, sum(m) - count(*) * min(m) AS mass FROM hc GROUP BY 1)
 """
 add("curve_features", lambda s, d: hm.curve_features(hours(s, d)), "SELECT user_id, count(*) AS hours, sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS night_mean, sum(vsum) FILTER (hour BETWEEN 8 AND 19) / sum(n) FILTER (hour BETWEEN 8 AND 19) - sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS day_night, CASE WHEN count(*) FILTER (hour BETWEEN 5 AND 9) >= 2 THEN max(slope) END AS morning_slope, max(m) - min(m) AS range, coalesce(-sum(CASE WHEN m > lo AND mass > 1e-12 THEN (m - lo) / mass * ln((m - lo) / mass) END), 0) AS entropy FROM hc JOIN lo USING (user_id) LEFT JOIN (SELECT user_id, regr_slope(value, hour) AS slope FROM e WHERE hour BETWEEN 5 AND 9 GROUP BY 1) USING (user_id) GROUP BY 1", CU, "night_mean day_night morning_slope range entropy")
 add("circadian_24h", lambda s, d: hm.circadian_24h(hours(s, d)), doubles="level amplitude_1 amplitude_2 amplitude_3 peak_hour residual_sd night_mean day_night morning_slope range entropy")
-add("window_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0 + i / 2 for i in range(57)]), doubles="explained amplitude angle")
+add("window_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0 + i / 2 for i in range(57)]), _wide[1], SERIES + _wide[0], "explained amplitude angle")
 add("spectrum_plain", lambda s, d: hm.nuisance_spectrum(vw.daily_values(s, d), [28.0, 30.0], ("user_id",), degree=0, weekdays=False).select("user_id", "period", "n", "explained", "amplitude", "angle"), "SELECT user_id, period, n, (b * cy + g * sy) / yy AS explained, sqrt(b ** 2 + g ** 2) AS amplitude, atan2(g, b) AS angle FROM (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs ** 2) AS b, (sy * cc - cy * cs) / (cc * ss - cs ** 2) AS g FROM (SELECT user_id, period, count(*) AS n, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, value) AS cy, covar_pop(s, value) AS sy, covar_pop(value, value) AS yy FROM (SELECT user_id, value, period, cos(2 * pi() * day / period) AS c, sin(2 * pi() * day / period) AS s FROM daily_values, (SELECT unnest([28.0, 30.0]::DOUBLE[]) AS period)) GROUP BY ALL))", D, "explained amplitude angle")
-add("band_summary", lambda s, d: hm.band_summary(hm.nuisance_spectrum(series(s, d), [25.0 + i / 2 for i in range(21)]), 25, 35), doubles="peak_share peak_amplitude band_mean")
-add("seasonal_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [28.0, 30.0], degree=3), doubles="explained amplitude angle")
+add("band_summary", lambda s, d: hm.band_summary(hm.nuisance_spectrum(series(s, d), [25.0 + i / 2 for i in range(21)]), 25, 35), f"""SELECT user_id, window_index, arg_max(period, (round(explained, 9), -period)) AS peak_period, arg_max(explained, (round(explained, 9), -period)) AS peak_share, arg_max(amplitude, (round(explained, 9), -period)) AS peak_amplitude, sum(area) / nullif(max(period) - min(period), 0) AS band_mean
+FROM (SELECT *, (period - lag(period) OVER w) * (explained + lag(explained) OVER w) / 2 AS area FROM ({_band[1]}) WHERE explained IS NOT NULL WINDOW w AS (PARTITION BY user_id, window_index ORDER BY period)) GROUP BY ALL""", SERIES + _band[0], "peak_share peak_amplitude band_mean")
+add("seasonal_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [28.0, 30.0], degree=3), _bent[1], SERIES + _bent[0], "explained amplitude angle")
 
 # Each user's first 180 days: tenth percentile of a day, and what of the day and of each quarter was recorded
 first_days = lambda s, d: sc.day_signals(grid(s, d)).withColumn("window_index", F.lit(1).cast("long"))
@@ -40,11 +45,13 @@ _perigee = " + ".join(f"{a!r} * sin(radians({k} * l))" for a, k in sc.ANOMALY_TE
 add("lunar_phases", lambda s, d: vw.daily_values(s, d).select("day").distinct().select("day", sc.lunar_elongation(F.col("day")).alias("elongation"), sc.lunar_anomaly(F.col("day")).alias("anomaly")), f"""SELECT day, (e % 360 + 360) % 360 AS elongation, (a % 360 + 360) % 360 AS anomaly FROM (SELECT day, d + {_moon} AS e, l + {_perigee} AS a
 FROM (SELECT day, (({_poly(sc.MEAN_ELONGATION)}) % 360 + 360) % 360 AS d, (({_poly(sc.SOLAR_ANOMALY)}) % 360 + 360) % 360 AS m, (({_poly(sc.LUNAR_ANOMALY)}) % 360 + 360) % 360 AS l FROM (SELECT DISTINCT day, (day + {sc.JD_1970} - {sc.JD_2000})::DOUBLE / {sc.CENTURY} AS c FROM daily_values)))""", D, "elongation anomaly")
 occupied = lambda s, d: grid(s, d).groupBy("user_id", "day").agg(F.avg(F.col("hr").isNotNull().cast("double")).alias("value"))
-add("occupancy_spectrum", lambda s, d: hm.nuisance_spectrum(occupied(s, d), [5.0, 7.0, 10.0, 14.0], ("user_id",), weekdays=False), doubles="explained amplitude angle")
-add("period_coherence", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0, 28.0, 29.530588, 30.4375]).groupBy("window_index", "period").agg(F.count("angle").alias("n"), F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle"))).alias("coherence"), F.avg("explained").alias("explained")), doubles="coherence explained")
+_occ = fs.spectrum("oc", "user_id", [5.0, 7.0, 10.0, 14.0], weekdays=False)
+add("occupancy_spectrum", lambda s, d: hm.nuisance_spectrum(occupied(s, d), [5.0, 7.0, 10.0, 14.0], ("user_id",), weekdays=False), _occ[1], GRID + ", oc AS (SELECT user_id, day, avg((hr IS NOT NULL)::INT) AS value FROM g GROUP BY ALL), " + _occ[0], "explained amplitude angle")
+add("period_coherence", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0, 28.0, 29.530588, 30.4375]).groupBy("window_index", "period").agg(F.count("angle").alias("n"), F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle"))).alias("coherence"), F.avg("explained").alias("explained")), f"SELECT window_index, period, count(angle) AS n, sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS coherence, avg(explained) AS explained FROM ({_four[1]}) GROUP BY ALL", SERIES + _four[0], "coherence explained")
 _pr = lambda s, d: hm.partial_r2(series(s, d), 28.0)
 add("partial_r2", lambda s, d: _pr(s, d).select("user_id", "window_index", "n", "r2_trend"), "SELECT user_id, window_index, count(*) AS n, regr_r2(value, day) AS r2_trend FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day GROUP BY ALL", DW, "r2_trend")
-add("partial_r2_blocks", _pr, doubles="r2_trend r2_weekdays r2_period")
+_nested = fs.behind("sr", UW, ["1.0::DOUBLE", "day - avg(day) OVER (PARTITION BY user_id, window_index)", *fs.WEEKDAYS, "cos(2 * pi() * day / 28)", "sin(2 * pi() * day / 28)"], marks=(1, 2, 8, 10))
+add("partial_r2_blocks", _pr, f"SELECT {UW}, count(*) AS n, {', '.join(f'CASE WHEN max(rss_1) > 1e-12 THEN (max(rss_{a}) - max(rss_{b})) / max(rss_1) END AS {c}' for a, b, c in ((1, 2, 'r2_trend'), (2, 8, 'r2_weekdays'), (8, 10, 'r2_period')))} FROM gs GROUP BY ALL", SERIES + _nested, "r2_trend r2_weekdays r2_period")
 halves = lambda s, d, w: rhythms.detrend(series(s, d).where(F.col("window_index") == w))
 FF = DW + """, sr AS (SELECT user_id, window_index, day, value FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day), ft AS (SELECT user_id, window_index, regr_slope(value, day) AS b, avg(value) AS m, avg(day) AS t FROM sr GROUP BY ALL),
 rs AS (SELECT user_id, window_index, day, value - m - b * (day - t) AS y, cos(2 * pi() * day / 28) AS c, sin(2 * pi() * day / 28) AS s FROM sr JOIN ft USING (user_id, window_index)), cv AS (SELECT user_id, avg(c * c) AS cc, avg(s * s) AS ss, avg(c * s) AS cs, avg(c * y) AS cy, avg(s * y) AS sy FROM rs WHERE window_index = 1 GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell.operators import cohorts, epochs as ep, evaluation as ev, folds as wf, gaps, inference as inf, quality, splits
-from tidewell.plans import views as vw
+from tidewell.plans import fits_sql as fs, views as vw
 from tidewell.plans.file_queries import OWNER, add_empty_files, event_files
 from tidewell.plans.inference_queries import OLS, people, preds
 from tidewell.plans.queries import COV, CUM, DM, E, GRID, MAN, P, RUNS, add, angles, ANG, days, events, grid, manifest
@@ -105,7 +105,8 @@ add("bootstrap_bands", lambda s, d: ev.bootstrap_bands(boot(s, d, ("arm", "grp")
 # Fits of several factors
 _rows = lambda s, d: inf.dummies(inf.dummies(people(s, d).join(vw.demographics(s, d).select("user_id", "salutation"), "user_id"), "grp", range(5), 0), "salutation", (10, 20, 30), 10)
 _two = [*[f"grp_{i}" for i in range(1, 5)], "salutation_20", "salutation_30"]
-add("ancova_factors", lambda s, d: inf.ols_hc3(_rows(s, d), "y", _two)[0], doubles="estimate se")
+_factors, _fit = fs.hc3("(SELECT * FROM pe JOIN demographics USING (user_id) WHERE salutation IS NOT NULL AND y IS NOT NULL)", {"intercept": "1", **{f"grp_{i}": f"(grp = {i})::INT" for i in range(1, 5)}, **{f"salutation_{v}": f"(salutation = {v})::INT" for v in (20, 30)}}, "y")
+add("ancova_factors", lambda s, d: inf.ols_hc3(_rows(s, d), "y", _two)[0], _fit, OLS.rstrip() + f", {vw.DEMOGRAPHICS_SQL}, " + _factors, "estimate se")
 GM = OLS + ", gm AS (SELECT grp, avg(y) AS m, var_pop(y) * count(*) / (1 - 1 / count(*)) ** 2 / count(*) ** 2 AS v FROM pe GROUP BY 1)\n"
 _dn = [f"grp_{i}" for i in range(1, 5)]
 add("wald_chunks", lambda s, d: inf.wald(*inf.ols_hc3(inf.dummies(people(s, d), "grp", range(5), 0), "y", _dn), {"grp_1": ["grp_1"], "grp_4": ["grp_4"], "grp": _dn}), "SELECT 'grp_' || grp AS chunk, (m - (SELECT m FROM gm WHERE grp = 0)) ** 2 / (v + (SELECT v FROM gm WHERE grp = 0)) AS wald, 1::BIGINT AS df FROM gm WHERE grp IN (1, 4) UNION ALL SELECT 'grp', sum(m ** 2 / v) - sum(m / v) ** 2 / sum(1 / v), 4::BIGINT FROM gm", GM, "wald")
