@@ -115,6 +115,23 @@ def test_decontamination_in_shards(spark, docs):
     assert not any(r.contaminated for r in decontam.contamination(docs, none).collect())
 
 
+def test_many_automata_write_texts_once(spark, monkeypatch):
+    """Repeated and null ids, null texts, and items that lie in several automata; each row keeps its own hits."""
+    rng = random.Random(11)
+    bench = spark.createDataFrame([(k, " ".join(f"b{k}_{i}" for i in range(10 + k % 5))) for k in range(40)], "item_id long, text string")
+    assert decontam.automata(bench, 13, 120)[1] >= 20
+    rows = [(rng.choice([None, 1, 2, k]), None if k % 9 == 0 else " ".join(["x", *(f"b{j}_{i}" for j in rng.sample(range(40), 3) for i in range(rng.choice([5, 20]))), "y"])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = decontam.match_benchmark(docs, bench).collect()
+    written = []
+    keep = decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", lambda df: written.append(df.columns) or keep(df))
+    parts = decontam.match_benchmark(docs, bench, shard_chars=120).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, parts)) and any(len(r.spans) > 1 for r in parts) and len(parts) == 60
+    assert sum("text" in c for c in written) == 1
+    assert decontam.match_benchmark(docs.where("false"), bench, shard_chars=120).collect() == []
+
+
 def test_long_spans_are_cut(spark):
     rng = random.Random(6)
     item = [f"t{i}" for i in range(60)]

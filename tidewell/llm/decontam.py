@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import map_rows, materialize
 
 WINDOW = 13
-#: An automaton holds test items of about so many characters; more items make more automata, and documents pass one after the other.
+#: An automaton holds test items of about so many characters; more items make more automata, which read the texts one after the other.
 SHARD_CHARS = 2_000_000
 #: Longer items are cut into parts of so many words, which overlap so that each window lies in one of them.
 PART_WORDS = 10_000
@@ -184,38 +185,59 @@ def automata(benchmark: DataFrame, window: int, shard_chars: int, part_words: in
 def scans(df: DataFrame, autos: tuple[DataFrame, int], text_col: str) -> DataFrame:
     """df with spans (hit word ranges), items (ids as strings, sorted) and n_words of its texts.
 
-    The driver sends one automaton at a time. Before the next one follows, what the rows met so far is written, so
-    neither the driver nor a worker ever holds two.
+    The driver sends one automaton at a time, so neither it nor a worker ever holds two. One automaton is met in place.
+    For several, df is written once with numbers of its rows; each automaton then reads the texts alone and leaves
+    (number, spans, items) of the rows it hits, the first one every row's count of words, and these are joined to the rows.
     """
     table, shards = autos
-    names = [*df.columns, "n_words", "spans", "items"]
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "n_words long, spans array<struct<start:long,end:long>>, items array<string>"])
-    out = df.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    at = df.columns.index(text_col)
-    for k in range(shards):
+    spark, found = df.sparkSession, "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+
+    def send(k: int):
         row = table.where(F.col("shard") == k).first()
-        held = df.sparkSession.sparkContext.broadcast(pickle.loads(row.automaton) if row else Automaton([]))
+        return spark.sparkContext.broadcast(pickle.loads(row.automaton) if row else Automaton([]))
+
+    def scan(auto: Automaton, texts) -> list[tuple]:
+        return [(len(tokens), [{"start": s, "end": e} for s, e in spans], sorted(ids)) for tokens in map(words, texts) for spans, ids in [auto.scan(tokens)]]
 
-        def make(held=held):
+    if shards == 1:
+        held, at = send(0), df.columns.index(text_col)
+
+        def beside():
             auto = held.value
 
             def step(*cols):
-                *_, n, spans, items = cols
-                for i, text in enumerate(cols[at]):
-                    tokens = words(text)
-                    hit, found = auto.scan(tokens)
-                    n[i] = len(tokens)
-                    spans[i] = [{"start": s, "end": e} for s, e in (merge([*((s["start"], s["end"]) for s in spans[i]), *hit]) if spans[i] else hit)]
-                    items[i] = sorted(found | set(items[i]))
-                return cols
+                got = scan(auto, cols[at])
+                return [*cols, *([g[i] for g in got] for i in range(3))]
 
             return step
 
-        out = map_rows(out.select(*[f"`{n}`" for n in names]), make, schema)
-        if k < shards - 1:
-            out = materialize(out)
-            held.destroy()
-    return out
+        return map_rows(df, beside, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), found]))
+
+    kept = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    parts = []
+    for k in range(shards):
+        held = send(k)
+
+        def hits(held=held, every=k == 0):
+            auto = held.value
+
+            def step(rows, texts):
+                got = [(r, *g) for r, g in zip(rows, scan(auto, texts), strict=True) if every or g[1]]
+                return [[g[i] for g in got] for i in range(4)]
+
+            return step
+
+        parts.append(materialize(map_rows(kept.select("_row", text_col), hits, f"_row long, {found}")))
+        held.destroy()
+
+    def joined():
+        def step(rows, n, spans, items):
+            return rows, n, [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in own])] for own in spans], [sorted(set(ids)) for ids in items]
+
+        return step
+
+    both = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return kept.join(map_rows(both, joined, f"_row long, {found}"), "_row").drop("_row")
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -223,7 +245,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Null and empty texts have no words and no hits; ids may repeat or be null. Benchmark rows of a null id or text
     are left out; rows of one item_id count as one item. Test items of up to shard_chars characters form one
-    automaton; of larger benchmarks each document passes one automaton after the other.
+    automaton; for larger benchmarks the rows are written once and read by one automaton after the other.
     """
     return scans(docs.select("doc_id", "text"), automata(benchmark, window, shard_chars), "text").drop("text")
 
