@@ -29,28 +29,37 @@ first_days = lambda s, d: sc.day_signals(grid(s, d)).withColumn("window_index",
 spans = lambda s, d: first_days(s, d).groupBy("user_id", "window_index").agg(F.min("day").alias("start_day")).withColumn("end_day", F.col("start_day") + 179)
 quarters = [f"block_{b}" for b in range(4)]
 _fit = "explained amplitude angle"
-add("nuisance_spectrum", lambda s, d: sc.window_fits(first_days(s, d), sc.BROAD, responses=["p10"], coverage=quarters).drop("phase"), doubles="period " + _fit)
-add("narrow_spectrum", lambda s, d: sc.peaks(sc.window_fits(first_days(s, d), sc.NARROW, responses=["p10"], coverage=quarters), 25, 35), doubles="peak_share peak_amplitude band_mean")
-add("recording_spectrum", lambda s, d: sc.window_fits(first_days(s, d).withColumn("night", F.col("block_0")), sc.NARROW, responses=["occupancy", "night"]).drop("phase"), doubles=_fit)
+SIGNALS = GRID + ", sg AS (SELECT user_id, 1::BIGINT AS window_index, day, quantile_cont(hr, 0.1) AS p10, avg((hr IS NOT NULL)::INT) AS occupancy, " + ", ".join(f"avg((hr IS NOT NULL)::INT) FILTER (bin * 4 // 8 = {b}) AS block_{b}" for b in range(4)) + " FROM g GROUP BY user_id, day), "
+_broad, _narrow = (fs.window_fits("sg", UW, p, ["p10"], quarters) for p in (sc.BROAD, sc.NARROW))
+_record = fs.window_fits("(SELECT *, block_0 AS night FROM sg)", UW, sc.NARROW, ["occupancy", "night"])
+add("nuisance_spectrum", lambda s, d: sc.window_fits(first_days(s, d), sc.BROAD, responses=["p10"], coverage=quarters).drop("phase"), f"SELECT * EXCLUDE (phase) FROM ({_broad[1]})", SIGNALS + _broad[0], "period " + _fit)
+add("narrow_spectrum", lambda s, d: sc.peaks(sc.window_fits(first_days(s, d), sc.NARROW, responses=["p10"], coverage=quarters), 25, 35), fs.peaks(_narrow[1], UW + ", response"), SIGNALS + _narrow[0], "peak_share peak_amplitude band_mean")
+add("recording_spectrum", lambda s, d: sc.window_fits(first_days(s, d).withColumn("night", F.col("block_0")), sc.NARROW, responses=["occupancy", "night"]).drop("phase"), f"SELECT * EXCLUDE (phase) FROM ({_record[1]})", SIGNALS + _record[0], _fit)
 add("q_controls", lambda s, d: sc.recording_controls(first_days(s, d), spans(s, d)), doubles=" ".join(["p10_mean p10_sd p10_slope p10_residual_sd", *[f"{b}_mean" for b in quarters], *[f"{r}_{c}" for r in ("occupancy", "night") for c in ("amplitude", "share", "period")]]))
 add("null_endpoints", lambda s, d: nulls.null_endpoints(first_days(s, d), value="p10", coverage=quarters).drop("spectrum", "null_mean", "null_variance"), doubles="v1 phi1 v2 phi2 nll band_excess band_excess_se peak_share peak_amplitude null_peak peak_excess p")
 moons = lambda s, d: series(s, d).withColumn("lunar", sc.lunar_elongation(F.col("day"))).withColumn("anomalistic", sc.lunar_anomaly(F.col("day")))
 SHAM = [18.0, 27.0, 28.0, 29.0, 34.0, 48.0, 55.0, 60.0]
 named_angles = lambda s, d: sc.window_fits(moons(s, d), SHAM, phases=["lunar", "anomalistic"])
-add("fixed_period_angles", lambda s, d: named_angles(s, d).drop("dropped", "response"), doubles=_fit)
-add("phase_lock", lambda s, d: sc.rotation_null(named_angles(s, d).withColumn("term", F.coalesce("phase", F.col("period").cast("string"))), ["term"], ["user_id", "window_index"]), doubles="coherence null_mean null_max p")
 _poly = lambda c: " + ".join(f"{v!r} * c ** {i}" for i, v in enumerate(c))
 _moon = " + ".join(f"{a!r} * sin(radians({i} * d + {j} * m + {k} * l))" for a, (i, j, k) in sc.ELONGATION_TERMS)
 _perigee = " + ".join(f"{a!r} * sin(radians({k} * l))" for a, k in sc.ANOMALY_TERMS)
-add("lunar_phases", lambda s, d: vw.daily_values(s, d).select("day").distinct().select("day", sc.lunar_elongation(F.col("day")).alias("elongation"), sc.lunar_anomaly(F.col("day")).alias("anomaly")), f"""SELECT day, (e % 360 + 360) % 360 AS elongation, (a % 360 + 360) % 360 AS anomaly FROM (SELECT day, d + {_moon} AS e, l + {_perigee} AS a
-FROM (SELECT day, (({_poly(sc.MEAN_ELONGATION)}) % 360 + 360) % 360 AS d, (({_poly(sc.SOLAR_ANOMALY)}) % 360 + 360) % 360 AS m, (({_poly(sc.LUNAR_ANOMALY)}) % 360 + 360) % 360 AS l FROM (SELECT DISTINCT day, (day + {sc.JD_1970} - {sc.JD_2000})::DOUBLE / {sc.CENTURY} AS c FROM daily_values)))""", D, "elongation anomaly")
+PHASES = f"""SELECT day, (e % 360 + 360) % 360 AS elongation, (a % 360 + 360) % 360 AS anomaly FROM (SELECT day, d + {_moon} AS e, l + {_perigee} AS a
+FROM (SELECT day, (({_poly(sc.MEAN_ELONGATION)}) % 360 + 360) % 360 AS d, (({_poly(sc.SOLAR_ANOMALY)}) % 360 + 360) % 360 AS m, (({_poly(sc.LUNAR_ANOMALY)}) % 360 + 360) % 360 AS l FROM (SELECT DISTINCT day, (day + {sc.JD_1970} - {sc.JD_2000})::DOUBLE / {sc.CENTURY} AS c FROM daily_values)))"""
+_named = fs.window_fits("mo", UW, SHAM, phases=["lunar", "anomalistic"])
+MOONS = SERIES + f"mo AS (SELECT sr.*, elongation AS lunar, anomaly AS anomalistic FROM sr JOIN ({PHASES}) USING (day)), " + _named[0]
+TURNS = MOONS + f""", an AS (SELECT *, coalesce(phase, period::VARCHAR) AS term FROM ({_named[1]}) WHERE angle IS NOT NULL),
+tu AS (SELECT term, r, count(*) AS n, sqrt(avg(cos(a)) ** 2 + avg(sin(a)) ** 2) AS c FROM (SELECT term, r, angle + CASE WHEN r > 0 THEN 2 * pi() * ('0x' || substr(md5('turn|' || user_id || '|' || window_index || '|' || r), 1, 8))::BIGINT / 2 ** 32 ELSE 0 END AS a FROM an, (SELECT unnest(range(0, 33)) AS r)) GROUP BY ALL)
+"""
+add("fixed_period_angles", lambda s, d: named_angles(s, d).drop("dropped", "response"), f"SELECT * EXCLUDE (dropped, response) FROM ({_named[1]})", MOONS, _fit)
+add("phase_lock", lambda s, d: sc.rotation_null(named_angles(s, d).withColumn("term", F.coalesce("phase", F.col("period").cast("string"))), ["term"], ["user_id", "window_index"]), "SELECT term, max(n) AS n, max(c) FILTER (r = 0) AS coherence, avg(c) FILTER (r > 0) AS null_mean, max(c) FILTER (r > 0) AS null_max, (1 + count(*) FILTER (r > 0 AND c >= c0)) / 33 AS p FROM tu JOIN (SELECT term, c AS c0 FROM tu WHERE r = 0) USING (term) GROUP BY 1", TURNS, "coherence null_mean null_max p")
+add("lunar_phases", lambda s, d: vw.daily_values(s, d).select("day").distinct().select("day", sc.lunar_elongation(F.col("day")).alias("elongation"), sc.lunar_anomaly(F.col("day")).alias("anomaly")), PHASES, D, "elongation anomaly")
 occupied = lambda s, d: grid(s, d).groupBy("user_id", "day").agg(F.avg(F.col("hr").isNotNull().cast("double")).alias("value"))
 _occ = fs.spectrum("oc", "user_id", [5.0, 7.0, 10.0, 14.0], weekdays=False)
 add("occupancy_spectrum", lambda s, d: hm.nuisance_spectrum(occupied(s, d), [5.0, 7.0, 10.0, 14.0], ("user_id",), weekdays=False), _occ[1], GRID + ", oc AS (SELECT user_id, day, avg((hr IS NOT NULL)::INT) AS value FROM g GROUP BY ALL), " + _occ[0], "explained amplitude angle")
 add("period_coherence", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0, 28.0, 29.530588, 30.4375]).groupBy("window_index", "period").agg(F.count("angle").alias("n"), F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle"))).alias("coherence"), F.avg("explained").alias("explained")), f"SELECT window_index, period, count(angle) AS n, sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2) AS coherence, avg(explained) AS explained FROM ({_four[1]}) GROUP BY ALL", SERIES + _four[0], "coherence explained")
 _pr = lambda s, d: hm.partial_r2(series(s, d), 28.0)
 add("partial_r2", lambda s, d: _pr(s, d).select("user_id", "window_index", "n", "r2_trend"), "SELECT user_id, window_index, count(*) AS n, regr_r2(value, day) AS r2_trend FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day GROUP BY ALL", DW, "r2_trend")
-_nested = fs.behind("sr", UW, ["1.0::DOUBLE", "day - avg(day) OVER (PARTITION BY user_id, window_index)", *fs.WEEKDAYS, "cos(2 * pi() * day / 28)", "sin(2 * pi() * day / 28)"], marks=(1, 2, 8, 10))
+_nested = fs.behind("(SELECT *, day - avg(day) OVER (PARTITION BY user_id, window_index) AS own FROM sr)", UW, ["1.0::DOUBLE", "own", *fs.WEEKDAYS, "cos(2 * pi() * day / 28)", "sin(2 * pi() * day / 28)"], marks=(1, 2, 8, 10))
 add("partial_r2_blocks", _pr, f"SELECT {UW}, count(*) AS n, {', '.join(f'CASE WHEN max(rss_1) > 1e-12 THEN (max(rss_{a}) - max(rss_{b})) / max(rss_1) END AS {c}' for a, b, c in ((1, 2, 'r2_trend'), (2, 8, 'r2_weekdays'), (8, 10, 'r2_period')))} FROM gs GROUP BY ALL", SERIES + _nested, "r2_trend r2_weekdays r2_period")
 halves = lambda s, d, w: rhythms.detrend(series(s, d).where(F.col("window_index") == w))
 FF = DW + """, sr AS (SELECT user_id, window_index, day, value FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day), ft AS (SELECT user_id, window_index, regr_slope(value, day) AS b, avg(value) AS m, avg(day) AS t FROM sr GROUP BY ALL),
