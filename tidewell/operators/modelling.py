@@ -21,7 +21,8 @@ def prepare(train: DataFrame, rows: DataFrame, numeric, categorical=(), max_leve
     Columns without any training value are dropped. A category's unseen levels get zeros. A column of more than
     max_levels levels raises an error: that is a key, not a category. What comes to the driver is a few values for each column.
     """
-    middle = {c: r[0] for c in numeric if (r := quantiles(train, [], c, {"m": 0.5}).first()) is not None}
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("e")).select("e.*") if numeric else None
+    middle = {} if long is None else {r.item: r.m for r in quantiles(long, ["item"], "v", {"m": 0.5}, few=True).collect()}  # a row for each column
     stats = train.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"k_{c}") for c in numeric], *[F.count_distinct(c).alias(f"l_{c}") for c in categorical]).first()
     wide = [c for c in categorical if stats[f"l_{c}"] > max_levels]
     if wide:

@@ -86,6 +86,15 @@ def hc3(source: str, terms: dict[str, str], y: str) -> tuple[str, str]:
     return ", ".join([rows, gram, *[step(k) for k in range(1, p + 1)], weights, beta, err]), fit
 
 
+def solved(source: str, keys: str, terms: list[str], y: str, weight: str = "1", name: str = "lq") -> str:
+    """CTEs of weighted least squares for each key; `name` has the keys and b, the list of estimates. The terms don't depend on one another."""
+    p, own = len(terms), f"{keys}, " if keys else ""
+    line = lambda e: f"[{', '.join(f'sum(({weight}) * ({e}) * ({f}))' for f in [*terms, y])}]"
+    out = [f"{name}_0 AS (SELECT {own}[{', '.join(line(e) for e in terms)}]::DOUBLE[][] AS m FROM {source}{f' GROUP BY {keys}' if keys else ''})"]
+    out += [f"{name}_{k} AS (SELECT {own}[[CASE WHEN i = {k} THEN m[{k}][j] / m[{k}][{k}] ELSE m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}] END for j in range(1, {p + 2})] for i in range(1, {p + 1})] AS m FROM {name}_{k - 1})" for k in range(1, p + 1)]
+    return ", ".join([*out, f"{name} AS (SELECT {own}[m[i][{p + 1}] for i in range(1, {p + 1})] AS b FROM {name}_{p})\n"])
+
+
 def auroc(source: str, keys: str) -> str:
     """AUROC of y by score for each key."""
     return f"SELECT {keys}, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {keys} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {keys}, score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM {source} GROUP BY ALL)) GROUP BY ALL"

@@ -16,8 +16,14 @@ _ns = lambda periods, **k: fs.spectrum("sr", UW, periods, **k)
 _wide, _band, _bent, _four = _ns([7.0 + i / 2 for i in range(57)]), _ns([25.0 + i / 2 for i in range(21)]), _ns([28.0, 30.0], degree=3), _ns([7.0, 28.0, 29.530588, 30.4375])
 CU = E + """, hc AS (SELECT user_id, hour, count(*) AS n, sum(value) AS vsum, avg(value) AS m FROM e GROUP BY ALL), lo AS (SELECT user_id, min(m) AS lo, sum(m) - count(*) * min(m) AS mass FROM hc GROUP BY 1)
 """
-add("curve_features", lambda s, d: hm.curve_features(hours(s, d)), "SELECT user_id, count(*) AS hours, sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS night_mean, sum(vsum) FILTER (hour BETWEEN 8 AND 19) / sum(n) FILTER (hour BETWEEN 8 AND 19) - sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS day_night, CASE WHEN count(*) FILTER (hour BETWEEN 5 AND 9) >= 2 THEN max(slope) END AS morning_slope, max(m) - min(m) AS range, coalesce(-sum(CASE WHEN m > lo AND mass > 1e-12 THEN (m - lo) / mass * ln((m - lo) / mass) END), 0) AS entropy FROM hc JOIN lo USING (user_id) LEFT JOIN (SELECT user_id, regr_slope(value, hour) AS slope FROM e WHERE hour BETWEEN 5 AND 9 GROUP BY 1) USING (user_id) GROUP BY 1", CU, "night_mean day_night morning_slope range entropy")
-add("circadian_24h", lambda s, d: hm.circadian_24h(hours(s, d)), doubles="level amplitude_1 amplitude_2 amplitude_3 peak_hour residual_sd night_mean day_night morning_slope range entropy")
+CURVE = "SELECT user_id, count(*) AS hours, sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS night_mean, sum(vsum) FILTER (hour BETWEEN 8 AND 19) / sum(n) FILTER (hour BETWEEN 8 AND 19) - sum(vsum) FILTER (hour < 6) / sum(n) FILTER (hour < 6) AS day_night, CASE WHEN count(*) FILTER (hour BETWEEN 5 AND 9) >= 2 THEN max(slope) END AS morning_slope, max(m) - min(m) AS range, coalesce(-sum(CASE WHEN m > lo AND mass > 1e-12 THEN (m - lo) / mass * ln((m - lo) / mass) END), 0) AS entropy FROM hc JOIN lo USING (user_id) LEFT JOIN (SELECT user_id, regr_slope(value, hour) AS slope FROM e WHERE hour BETWEEN 5 AND 9 GROUP BY 1) USING (user_id) GROUP BY 1"
+add("curve_features", lambda s, d: hm.curve_features(hours(s, d)), CURVE, CU, "night_mean day_night morning_slope range entropy")
+_turns = lambda x: [f"{f}(2 * pi() * {k} * {x} / 24)" for k in (1, 2, 3) for f in ("cos", "sin")]
+_at = lambda x: " + ".join(["b[1]", *(f"b[{i}] * {w}" for i, w in enumerate(_turns(x), 2))])
+CLOCK = CU.rstrip() + ", " + fs.solved("hc", "user_id", ["1.0", *_turns("hour")], "m", "n") + f""", pk AS (SELECT user_id, arg_max(h, (round({_at("h")}, 9), -h)) AS peak_hour FROM lq, (SELECT unnest(range(0, 96)) / 4 AS h) GROUP BY 1),
+rs AS (SELECT user_id, sqrt(sum(n * (m - ({_at("hour")})) ** 2) / sum(n)) AS residual_sd FROM hc JOIN lq USING (user_id) GROUP BY 1)
+"""
+add("circadian_24h", lambda s, d: hm.circadian_24h(hours(s, d)), f"SELECT user_id, b[1] AS level, sqrt(b[2] ** 2 + b[3] ** 2) AS amplitude_1, sqrt(b[4] ** 2 + b[5] ** 2) AS amplitude_2, sqrt(b[6] ** 2 + b[7] ** 2) AS amplitude_3, peak_hour, residual_sd, c.* EXCLUDE (user_id) FROM lq JOIN pk USING (user_id) JOIN rs USING (user_id) JOIN ({CURVE}) c USING (user_id)", CLOCK, "level amplitude_1 amplitude_2 amplitude_3 peak_hour residual_sd night_mean day_night morning_slope range entropy")
 add("window_spectrum", lambda s, d: hm.nuisance_spectrum(series(s, d), [7.0 + i / 2 for i in range(57)]), _wide[1], SERIES + _wide[0], "explained amplitude angle")
 add("spectrum_plain", lambda s, d: hm.nuisance_spectrum(vw.daily_values(s, d), [28.0, 30.0], ("user_id",), degree=0, weekdays=False).select("user_id", "period", "n", "explained", "amplitude", "angle"), "SELECT user_id, period, n, (b * cy + g * sy) / yy AS explained, sqrt(b ** 2 + g ** 2) AS amplitude, atan2(g, b) AS angle FROM (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs ** 2) AS b, (sy * cc - cy * cs) / (cc * ss - cs ** 2) AS g FROM (SELECT user_id, period, count(*) AS n, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, value) AS cy, covar_pop(s, value) AS sy, covar_pop(value, value) AS yy FROM (SELECT user_id, value, period, cos(2 * pi() * day / period) AS c, sin(2 * pi() * day / period) AS s FROM daily_values, (SELECT unnest([28.0, 30.0]::DOUBLE[]) AS period)) GROUP BY ALL))", D, "explained amplitude angle")
 add("band_summary", lambda s, d: hm.band_summary(hm.nuisance_spectrum(series(s, d), [25.0 + i / 2 for i in range(21)]), 25, 35), f"""SELECT user_id, window_index, arg_max(period, (round(explained, 9), -period)) AS peak_period, arg_max(explained, (round(explained, 9), -period)) AS peak_share, arg_max(amplitude, (round(explained, 9), -period)) AS peak_amplitude, sum(area) / nullif(max(period) - min(period), 0) AS band_mean
@@ -35,7 +41,13 @@ _record = fs.window_fits("(SELECT *, block_0 AS night FROM sg)", UW, sc.NARROW,
 add("nuisance_spectrum", lambda s, d: sc.window_fits(first_days(s, d), sc.BROAD, responses=["p10"], coverage=quarters).drop("phase"), f"SELECT * EXCLUDE (phase) FROM ({_broad[1]})", SIGNALS + _broad[0], "period " + _fit)
 add("narrow_spectrum", lambda s, d: sc.peaks(sc.window_fits(first_days(s, d), sc.NARROW, responses=["p10"], coverage=quarters), 25, 35), fs.peaks(_narrow[1], UW + ", response"), SIGNALS + _narrow[0], "peak_share peak_amplitude band_mean")
 add("recording_spectrum", lambda s, d: sc.window_fits(first_days(s, d).withColumn("night", F.col("block_0")), sc.NARROW, responses=["occupancy", "night"]).drop("phase"), f"SELECT * EXCLUDE (phase) FROM ({_record[1]})", SIGNALS + _record[0], _fit)
-add("q_controls", lambda s, d: sc.recording_controls(first_days(s, d), spans(s, d)), doubles=" ".join(["p10_mean p10_sd p10_slope p10_residual_sd", *[f"{b}_mean" for b in quarters], *[f"{r}_{c}" for r in ("occupancy", "night") for c in ("amplitude", "share", "period")]]))
+_level = fs.window_fits("ins", UW, sc.NARROW, ["p10"], quarters, name="lv")
+_both = fs.window_fits("(SELECT *, block_0 AS night FROM ins)", UW, sc.NARROW, ["occupancy", "night"], name="bo")
+_of = ", ".join(f"max({c}) FILTER (response = '{r}') AS {r}_{o}" for r in ("occupancy", "night") for c, o in (("peak_amplitude", "amplitude"), ("peak_share", "share"), ("peak_period", "period"), ("available", "available"), ("zero_variance", "zero_variance")))
+CONTROLS = SIGNALS + f"ins AS (SELECT * FROM sg JOIN (SELECT user_id, min(day) AS start_day FROM sg GROUP BY 1) USING (user_id) WHERE day <= start_day + 179 AND p10 IS NOT NULL), {_level[0]}, {_both[0]}"
+_plain = f"""SELECT user_id, window_index, avg(p10) AS p10_mean, stddev_samp(p10) AS p10_sd, regr_slope(p10, day) AS p10_slope, CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(p10, day) - regr_slope(p10, day) * regr_sxy(p10, day), 0) / (count(*) - 2)) END AS p10_residual_sd, {", ".join(f"avg({b}) AS {b}_mean" for b in quarters)}, max(day) - min(day) AS span, greatest(min(day) - any_value(start_day), any_value(start_day) + 179 - max(day), max(gap)) AS longest_gap
+FROM (SELECT *, day - lag(day) OVER (PARTITION BY user_id, window_index ORDER BY day) - 1 AS gap FROM ins) GROUP BY user_id, window_index"""
+add("q_controls", lambda s, d: sc.recording_controls(first_days(s, d), spans(s, d)), f"SELECT * FROM ({_plain}) JOIN (SELECT user_id, window_index, available AS hr_available, zero_variance AS hr_zero_variance FROM ({fs.peaks(_level[1], UW)})) USING (user_id, window_index) JOIN (SELECT user_id, window_index, {_of} FROM ({fs.peaks(_both[1], UW + ', response')}) GROUP BY ALL) USING (user_id, window_index)", CONTROLS, " ".join(["p10_mean p10_sd p10_slope p10_residual_sd", *[f"{b}_mean" for b in quarters], *[f"{r}_{c}" for r in ("occupancy", "night") for c in ("amplitude", "share", "period")]]))
 add("null_endpoints", lambda s, d: nulls.null_endpoints(first_days(s, d), value="p10", coverage=quarters).drop("spectrum", "null_mean", "null_variance"), doubles="v1 phi1 v2 phi2 nll band_excess band_excess_se peak_share peak_amplitude null_peak peak_excess p")
 moons = lambda s, d: series(s, d).withColumn("lunar", sc.lunar_elongation(F.col("day"))).withColumn("anomalistic", sc.lunar_anomaly(F.col("day")))
 SHAM = [18.0, 27.0, 28.0, 29.0, 34.0, 48.0, 55.0, 60.0]

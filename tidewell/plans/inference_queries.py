@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell.operators import cohorts, evaluation as ev, inference as inf, quality, rhythms, splits
-from tidewell.plans import views as vw
+from tidewell.plans import fits_sql as fs, views as vw
 from tidewell.plans.queries import COV, CUM, D, DM, DW, E, P, PERIODS, WM, add, days, events, wins, wmeans
 
 preds = vw.predictions
@@ -43,7 +43,8 @@ def age_curves(s, d):
     return grid.crossJoin(F.broadcast(coef)).select("x", fit.alias("fit"), sum((F.col(f"_rcs_{i}") * F.col(f"d_rcs_{i}") for i in (2, 3)), F.col("_rcs_1")).alias("slope"))
 
 
-add("age_curves", age_curves, doubles="fit slope")
+AGES = OLS.rstrip() + f", sp AS (SELECT y, x, {_t(2, 3)} / 400 AS r2, 3 * {_t(2, 2)} / 400 AS d2, {_t(8, 3)} / 400 AS r3, 3 * {_t(8, 2)} / 400 AS d3 FROM pe), " + fs.solved("sp", "", ["1.0", "x", "r2", "r3"], "y")
+add("age_curves", age_curves, "SELECT DISTINCT x, b[1] + b[2] * x + b[3] * r2 + b[4] * r3 AS fit, b[2] + b[3] * d2 + b[4] * d3 AS slope FROM sp, lq WHERE x BETWEEN 2 AND 22", AGES, "fit slope")
 rayleigh_p = lambda s, d: ev.rayleigh(events(s, d).select("user_id", "channel", (2 * F.pi() * F.pmod("local_ms", F.lit(fn.DAY_MS)) / fn.DAY_MS).alias("angle")), ["user_id", "channel"]).select("user_id", F.col("channel").cast("string").alias("test"), F.exp(-F.col("z")).alias("p"))
 add("holm_adjust", lambda s, d: ev.holm(rayleigh_p(s, d), ["user_id"]), "SELECT user_id, test, p, least(1, max((m - i + 1) * p) OVER (PARTITION BY user_id ORDER BY p, test ROWS UNBOUNDED PRECEDING)) AS adjusted FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY p, test) AS i FROM rp)", E + ", rp AS (SELECT user_id, channel::VARCHAR AS test, exp(-count(*) * (avg(cos(t)) ** 2 + avg(sin(t)) ** 2)) AS p FROM (SELECT user_id, channel, 2 * pi() * (local_ms % 86400000) / 86400000 AS t FROM e) GROUP BY ALL)\n", "p adjusted")
 add("eligibility_summary", lambda s, d: vw.demographics(s, d).groupBy("bmi_grp").agg(F.count("*").alias("candidates"), F.count_if(F.col("salutation").isin(10, 20)).alias("eligible"), F.count_if(F.col("salutation") == 10).alias("n0"), F.count_if(F.col("salutation") == 20).alias("n1"), F.median(F.when(F.col("salutation").isin(10, 20), 2024 - F.col("birth_year"))).alias("median_age")), "SELECT bmi_grp, count(*) AS candidates, count(*) FILTER (salutation IN (10, 20)) AS eligible, count(*) FILTER (salutation = 10) AS n0, count(*) FILTER (salutation = 20) AS n1, median(2024 - birth_year) FILTER (salutation IN (10, 20)) AS median_age FROM demographics GROUP BY 1", DM, "median_age")
