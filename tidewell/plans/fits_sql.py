@@ -1,4 +1,7 @@
-"""SQL of least squares for the oracles: columns taken out of one another in order, and elimination on lists."""
+"""SQL of least squares for the oracles: columns taken out of one another in order, and elimination on lists.
+
+Sources must not have columns named c, s, r, y0, rank, ss or a letter and a number such as o0: the CTEs add these.
+"""
 
 from __future__ import annotations
 
