@@ -71,6 +71,34 @@ def test_large_strata_keep_their_size(monkeypatch):
     assert (got.sum(axis=0) == n).all() and (got >= 0).all() and not got[n:].any()
 
 
+def test_large_strata_against_single_trials():
+    """Strata of more than TRIALS ids hold the same draws as one trial after another."""
+    n = resampling.TRIALS + 60
+    got = np.concatenate([resampling.hits("s", n, c, 2, "t") for c in range(-(-n // resampling.CHUNK))])
+    assert [got[:n, b].tolist() for b in range(2)] == [hits_plain("s", n, b, "t", resampling.CHUNK) for b in range(2)]
+
+
+def test_blocks_of_draws_are_those_of_one(spark):
+    """Draws that other tasks take down the tree are those of one task."""
+    n = 1300
+    placed = spark.createDataFrame([("s", i, n, "{}", float(i * i), 1) for i in range(n)], "_stratum string, _at long, _n long, _j string, _s double, _c long")
+    draws = resampling.BLOCK + 3
+    got = {r.draw: (r._s, r.n) for r in resampling.sums(placed, draws, "t").collect()}
+    ranks = np.concatenate([resampling.hits("s", n, c, draws, "t") for c in range(3)])[:n]
+    assert got == {b: (float((np.arange(n) ** 2) @ ranks[:, b]), n) for b in range(draws)}
+
+
+def test_order_of_sums_does_not_show_in_bands(spark):
+    """Means that differ in the last bits, as sums in another order do, give the same bounds to six decimals."""
+    exact = [0.4481] * 1950 + [0.44812] * 50
+    bounds = []
+    for noise in (0.0, 6e-17, -6e-17):
+        draws = spark.createDataFrame([("a", "x", i, v + noise) for i, v in enumerate(exact)], "arm string, grp string, draw int, mean double")
+        r = evaluation.bootstrap_bands(draws, spark.createDataFrame([("a", "x", 0.44)], "arm string, grp string, point double"), ["arm"], "grp").first()
+        bounds.append((r.low, r.high))
+    assert len(set(bounds)) == 1
+
+
 def arms(spark, n=100):
     """Two strata in which the score is the stratum, in two arms; the second arm scores 1 more; repeated rows of one id, a null score."""
     rows = [(arm, i, int(i >= n), float(i >= n) + add) for arm, add in (("a", 0.0), ("b", 1.0)) for i in range(2 * n)]
