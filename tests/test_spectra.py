@@ -11,7 +11,7 @@ import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from tidewell.operators import spectra as sc
+from tidewell.operators import harmonics, spectra as sc
 from tidewell.plans import harmonic_queries as hq
 from tidewell.plans import registry
 
@@ -177,3 +177,23 @@ def test_angles_of_named_phases(spark):
     some = dict(sorted(own.items())[:10])
     got = [r for r in hq.named_angles(spark, SF).collect() if (r.user_id, r.window_index) in some]
     assert_fits(got, some, ["value"], [], hq.SHAM, ["lunar", "anomalistic"])
+
+
+def test_slope_halfway_is_rounded_as_it_is(spark):
+    """A morning whose slope ends in 5 at the seventh decimal: cancellation must not tip it."""
+    from fractions import Fraction
+
+    from tidewell import functions as fn
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for user in range(400):
+        own = [(h, Fraction(int(rng.integers(0, 20000)), 100)) for h in (5, 5, 5, 6, 7, 7, 8, 9)]
+        mean_h, mean_v = Fraction(sum(h for h, _ in own), 8), sum(v for _, v in own) / 8
+        slope = sum((h - mean_h) * (v - mean_v) for h, v in own) / sum((h - mean_h) ** 2 for h, _ in own)
+        want[user] = float(int(abs(slope) * 10**6 + Fraction(1, 2)) * (1 if slope >= 0 else -1)) / 1e6
+        for h in (5, 6, 7, 8, 9):
+            v = [float(x) for g, x in own if g == h]
+            rows.append((user, h, len(v), float(np.sum(v))))
+    got = harmonics.curve_features(spark.createDataFrame(rows, "user_id long, hour long, n long, vsum double")).select("user_id", fn.r6(F.col("morning_slope")).alias("s")).collect()
+    assert {r.user_id: r.s for r in got} == want
