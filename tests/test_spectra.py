@@ -197,3 +197,30 @@ def test_slope_halfway_is_rounded_as_it_is(spark):
             rows.append((user, h, len(v), float(np.sum(v))))
     got = harmonics.curve_features(spark.createDataFrame(rows, "user_id long, hour long, n long, vsum double")).select("user_id", fn.r6(F.col("morning_slope")).alias("s")).collect()
     assert {r.user_id: r.s for r in got} == want
+
+
+def test_peaks_in_tasks_are_those_of_joined_spectra(spark):
+    """Series with gaps, nulls, constant values and a day repeated: series_peaks against detrend, spectrum and peak; sliding windows against the same over windows cut by hand; few rows held at once."""
+    from tidewell.operators import rhythms
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for user in range(6):
+        for day in sorted(rng.choice(400, 180, replace=False)):
+            value = 7.0 if user == 1 else None if user == 2 and day % 9 == 0 else float(10 * np.sin(day / 4.5) + rng.normal())
+            rows += [(user, int(day), value)] * (1 + (user == 3 and day % 50 == 0))
+    rows.append((9, 5, 1.0))
+    series = spark.createDataFrame(rows, "user_id long, day long, value double")
+    cut = [(u, 15 * k + min(d for v, d, _ in rows if v == u), d, y) for u, d, y in rows for k in range(28)]
+    span = {u: (min(d for v, d, _ in rows if v == u), max(d for v, d, _ in rows if v == u)) for u, _, _ in rows}
+    cut = [(u, a, d, y) for u, a, d, y in cut if a <= d < a + 90 and a + 90 <= span[u][1] + 1 and a + 90 - 1 < span[u][1] + 1]
+    counts = {}
+    for u, a, _, _ in cut:
+        counts[u, a] = counts.get((u, a), 0) + 1
+    windows = spark.createDataFrame([(u, a, d, y) for u, a, d, y in cut if counts[u, a] >= 30 and a + 90 <= span[u][1]], "user_id long, start_day long, day long, value double")
+    plain = lambda df, keys: {tuple(r[k] for k in keys): tuple(None if v is None else round(v, 7) for v in (r.period, r.power, r.amplitude, r.phase, r.noise_floor, r.snr)) for r in df.collect()}
+    both = ("user_id", "start_day")
+    assert plain(rhythms.series_peaks(series), ("user_id",)) == plain(rhythms.peak(rhythms.spectrum(rhythms.detrend(series))), ("user_id",))
+    got = rhythms.sliding_spectrum(series, min_days=30)
+    assert plain(got, both) == plain(rhythms.peak(rhythms.spectrum(rhythms.detrend(windows, both), keys=both), both), both)
+    assert "Window" not in got._jdf.queryExecution().toString() and got._jdf.queryExecution().toString().count("Generate") == 0
