@@ -47,8 +47,9 @@ lk AS (SELECT user_id, phi, count(*) AS days, greatest(sum((y - a * p) ** 2 / gr
 add("ar1_profile", lambda s, d: rhythms.ar1(rhythms.detrend(vw.daily_values(s, d))), "SELECT user_id, max(days) AS days, arg_min(phi, (round(days * ln(variance) + d, 6), phi)) AS phi, arg_min(variance, (round(days * ln(variance) + d, 6), phi)) AS variance FROM lk GROUP BY 1", AR, "phi variance")
 
 KEYS = ("user_id", "window_index")
-windowed = lambda s, d: rhythms.detrend(cohorts.window_range_join(vw.daily_values(s, d), wins(s, d)).select(*KEYS, "day", "value"), KEYS)
-peaks = lambda s, d: rhythms.peak(rhythms.spectrum(windowed(s, d), keys=KEYS), KEYS)
+inside = lambda s, d: cohorts.window_range_join(vw.daily_values(s, d), wins(s, d)).select(*KEYS, "day", "value")
+windowed = lambda s, d: rhythms.detrend(inside(s, d), KEYS)
+peaks = lambda s, d: rhythms.series_peaks(inside(s, d), keys=KEYS)
 carried = lambda s, d: inf.forecast_correlation(peaks(s, d), windowed(s, d))
 PER = DW + ", sr AS (SELECT user_id, window_index, day, value FROM daily_values JOIN win USING (user_id) WHERE day BETWEEN start_day AND end_day)\n" + spectra_sql("sr", "user_id, window_index") + """, fo AS (SELECT user_id, count(*) AS days, corr(y, g) AS forecast_r, 1 - sum((y - g) ** 2) / nullif(count(*) * var_pop(y), 0) AS forecast_r2 FROM (SELECT rs.user_id, y, amplitude * cos(2 * pi() * day / period - phase) AS g FROM rs JOIN pk ON pk.user_id = rs.user_id AND pk.window_index = 1 WHERE rs.window_index = 2) GROUP BY 1),
 jo AS (SELECT a.user_id, a.period AS p1, b.period AS p2, row_number() OVER (ORDER BY sha256('perm|' || a.user_id), a.user_id) AS r, count(*) OVER () AS n FROM pk a JOIN pk b ON b.user_id = a.user_id AND a.window_index = 1 AND b.window_index = 2)
