@@ -51,3 +51,12 @@ def test_windows_are_dealt_to_all_partitions(spark, dealt):
     df = spark.createDataFrame(rows(), "user_id long, window_index long, day long, value double").where("value IS NOT NULL")
     tasks = dealt(df).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_model_rows_are_read_from_scratch(spark):
+    from oracle import SF
+
+    from tidewell.plans import model_queries
+
+    for rows in model_queries.parts(spark, SF)[0]:
+        assert not any(f.endswith("documents.parquet") or "/documents.parquet/" in f for f in rows.inputFiles())
