@@ -160,6 +160,17 @@ def test_long_spans_are_cut(spark):
     assert {r.doc_id: r.text for r in decontam.drop_contaminated(docs, bench).collect()} == dict(rows)
 
 
+def test_decontamination_takes_one_worker_a_task(spark, monkeypatch):
+    """Two maps in one stage would take, and keep, two Python workers for each task."""
+    bench = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(20)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*(f"x{i}" for i in range(900)), *(f"t{i}" for i in range(20))]), 5), (2, "y", 1)], "doc_id long, text string, n_chars long")
+    plans, keep = [], decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    got = {r.doc_id: r.text for r in decontam.remove_contamination(docs, bench).collect()}
+    assert {i: t.split() for i, t in got.items()} == {1: [f"x{i}" for i in range(900)], 2: ["y"]}
+    assert [p.count("MapInArrow") for p in plans[1:]] == [1, 1]
+
+
 def test_license_scan(spark, docs):
     notice = license_scan.TEMPLATES["mit-grant"]
     extra = spark.createDataFrame([(50, "foo " * 200 + notice + " bar" * 100), (51, "released UNDER the  mit license"), (52, "mit license released under")], "doc_id long, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -182,8 +183,11 @@ def automata(benchmark: DataFrame, window: int, shard_chars: int, part_words: in
     return materialize(parts.groupBy("shard").applyInArrow(build, "shard long, automaton binary")), shards
 
 
-def scans(df: DataFrame, autos: tuple[DataFrame, int], text_col: str) -> DataFrame:
-    """df with spans (hit word ranges), items (ids as strings, sorted) and n_words of its texts.
+def scans(df: DataFrame, autos: tuple[DataFrame, int], text_col: str, then: tuple[Callable, str] | None = None) -> DataFrame:
+    """df with n_words, spans (hit word ranges) and items (ids as strings, sorted) of its texts.
+
+    then: make and schema of a map_rows over these columns. With one automaton it runs in the scan's own worker, since
+    Spark holds a worker for each map of a stage and keeps them all.
 
     The driver sends one automaton at a time, so neither it nor a worker ever holds two. One automaton is met in place.
     For several, df is written once with numbers of its rows; each automaton then reads the texts alone and leaves
@@ -203,15 +207,15 @@ def scans(df: DataFrame, autos: tuple[DataFrame, int], text_col: str) -> DataFra
         held, at = send(0), df.columns.index(text_col)
 
         def beside():
-            auto = held.value
+            auto, more = held.value, then[0]() if then else lambda *cols: cols
 
             def step(*cols):
                 got = scan(auto, cols[at])
-                return [*cols, *([g[i] for g in got] for i in range(3))]
+                return more(*cols, *([g[i] for g in got] for i in range(3)))
 
             return step
 
-        return map_rows(df, beside, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), found]))
+        return map_rows(df, beside, then[1] if then else ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), found]))
 
     kept = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
     parts = []
@@ -237,7 +241,8 @@ def scans(df: DataFrame, autos: tuple[DataFrame, int], text_col: str) -> DataFra
         return step
 
     both = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return kept.join(map_rows(both, joined, f"_row long, {found}"), "_row").drop("_row")
+    whole = kept.join(map_rows(both, joined, f"_row long, {found}"), "_row").drop("_row")
+    return map_rows(whole, *then) if then else whole
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -287,7 +292,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, coverage: int =
             return True, cut_words(text, long) if long else text
 
         def step(*cols):
-            *cols, n_words, spans = cols
+            *cols, n_words, spans, _ = cols
             got = [clean(*x) for x in zip(cols[at], n_words, spans, strict=True)]
             again = [new != old for old, (_, new) in zip(cols[at], got, strict=True)]
             if size is not None:
@@ -300,7 +305,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, coverage: int =
     schema = ", ".join([*(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)), "_again boolean"])
     todo, done = docs.toDF(*names), None
     while True:
-        got = materialize(map_rows(scans(todo, autos, names[at]).select(*names, "n_words", "spans"), make, schema))
+        got = materialize(scans(todo, autos, names[at], (make, schema)))
         rest = got.where("NOT _again").select(*names)
         done = rest if done is None else done.unionByName(rest)
         todo = got.where("_again").select(*names)
