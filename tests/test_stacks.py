@@ -53,6 +53,24 @@ def test_windows_are_dealt_to_all_partitions(spark, dealt):
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_cosinor_grid_sums_in_tasks(spark):
+    """Against least squares with a null value and a short series; no shuffle has a row for each period."""
+    own = {(u, d): v for u, _, d, v in rows()}
+    df = spark.createDataFrame([(u, d, v) for (u, d), v in own.items() if u != 101 and v is not None], "user_id long, day long, value double")
+    plan = df.transform(rhythms.cosinor_grid, [20.0, 28.0])
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {(r.user_id, r.period): r for r in plan.collect()}
+    for u in {u for u, _ in own} - {101}:
+        day, y = np.array([(d, v) for (w, d), v in own.items() if w == u and v is not None], float).reshape(-1, 2).T
+        assert ((u, 28.0) in got) == (len(y) > 4)
+        if len(y) < 60:
+            continue
+        x = np.column_stack([np.ones_like(day), day - day.mean(), np.cos(2 * math.pi * day / 28), np.sin(2 * math.pi * day / 28)])
+        rss = [float(((y - x[:, :k] @ np.linalg.lstsq(x[:, :k], y, rcond=None)[0]) ** 2).sum()) for k in (1, 2, 4)]
+        r = got[u, 28.0]
+        assert r.n == len(y) and [r.delta_r2, r.r2_null] == [pytest.approx(v, abs=1e-9) for v in ((rss[1] - rss[2]) / rss[0], 1 - rss[1] / rss[0])]
+
+
 def test_model_rows_are_read_from_scratch(spark):
     from oracle import SF
 
